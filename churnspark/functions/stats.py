@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 _APPROX_ACCURACY = 10000
 _MAX_CANDIDATES = 20000
+_WIDTHS = 4            # nested bracket widths 2/acc * 4**j
 
 
 def _valid(c: Column) -> Column:
@@ -31,32 +32,44 @@ def exact_quantiles(df: DataFrame, col: str, probs, *,
                     max_candidates: int = _MAX_CANDIDATES) -> list:
     """Exact ``quantile_cont`` values of ``col`` (NULL/NaN ignored).
 
-    Returns ``None`` for every prob when the column has no valid value.
+    Returns ``None`` for every prob when the column has no valid value.  The
+    one-column input is persisted for the few passes and released at the end.
     """
+    from pyspark import StorageLevel
     probs = [float(p) for p in probs]
     x = F.col(col).cast("double")
-    base = df.select(x.alias("_x")).where(_valid(F.col("_x")))
-
-    eps = 2.0 / accuracy
-    first = base.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.min("_x").alias("mn"),
-        F.max("_x").alias("mx"),
-    ).first()
-    n = int(first["n"])
-    if n == 0:
-        return [None] * len(probs)
-
-    # target ranks (0-based): k and k+1 for each prob
-    targets = []
-    for p in probs:
-        h = (n - 1) * p
-        k = int(math.floor(h))
-        k1 = min(int(math.ceil(h)), n - 1)
-        targets.append((k, k1, h - k))
-    ranks = sorted({r for k, k1, _ in targets for r in (k, k1)})
-    values = _select_ranks(base, ranks, n, first["mn"], first["mx"], 0, eps, accuracy,
-                           max_candidates)
+    base = df.select(x.alias("_x")).where(_valid(F.col("_x"))).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        # pass 1: size, range and nested approximate brackets around every prob
+        widths = [2.0 / accuracy * (4 ** j) for j in range(_WIDTHS)]
+        qs = []
+        for p in probs:
+            for w in widths:
+                qs.extend([max(0.0, p - w), min(1.0, p + w)])
+        first = base.agg(
+            F.count(F.lit(1)).alias("n"), F.min("_x").alias("mn"), F.max("_x").alias("mx"),
+            F.percentile_approx("_x", qs, accuracy).alias("q"),
+        ).first()
+        n = int(first["n"])
+        if n == 0:
+            return [None] * len(probs)
+        targets = []
+        for p in probs:
+            h = (n - 1) * p
+            k = int(math.floor(h))
+            k1 = min(int(math.ceil(h)), n - 1)
+            targets.append((k, k1, h - k))
+        hint = {}
+        for i, (k, k1, _) in enumerate(targets):
+            cands = [(first["q"][2 * (i * _WIDTHS + j)], first["q"][2 * (i * _WIDTHS + j) + 1])
+                     for j in range(_WIDTHS)]
+            hint[k] = hint.get(k, []) + cands
+            hint[k1] = hint.get(k1, []) + cands
+        ranks = sorted(hint)
+        values = _select_ranks(base, ranks, n, first["mn"], first["mx"], 0, 2.0 / accuracy,
+                               accuracy, max_candidates, hint=hint)
+    finally:
+        base.unpersist()
     out = []
     for k, k1, frac in targets:
         lo, hi = values[k], values[k1]
@@ -65,26 +78,38 @@ def exact_quantiles(df: DataFrame, col: str, probs, *,
 
 
 def _select_ranks(base: DataFrame, ranks, n, mn, mx, offset, eps, accuracy,
-                  max_candidates, depth: int = 0) -> dict:
-    """Values at 0-based global ``ranks``; ``base`` holds ranks [offset, offset+n)."""
-    # bracket each wanted rank with approximate quantiles of this subset
-    qs = []
-    for r in ranks:
-        q = (r - offset) / max(n - 1, 1)
-        qs.extend([max(0.0, q - eps), min(1.0, q + eps)])
-    approx = base.agg(F.percentile_approx("_x", qs, accuracy).alias("q")).first()["q"]
-    brackets = [(approx[2 * i], approx[2 * i + 1]) for i in range(len(ranks))]
-    # one pass: rows below lo and rows up to hi, for every bracket
+                  max_candidates, depth: int = 0, hint: dict | None = None) -> dict:
+    """Values at 0-based global ``ranks``; ``base`` holds ranks [offset, offset+n).
+
+    ``hint`` maps a rank to candidate (lo, hi) brackets, narrowest first.
+    """
+    if hint is None:
+        # bracket each wanted rank with approximate quantiles of this subset
+        qs = []
+        for r in ranks:
+            q = (r - offset) / max(n - 1, 1)
+            for j in range(_WIDTHS):
+                w = eps * (4 ** j)
+                qs.extend([max(0.0, q - w), min(1.0, q + w)])
+        approx = base.agg(F.percentile_approx("_x", qs, accuracy).alias("q")).first()["q"]
+        hint = {r: [(approx[2 * (i * _WIDTHS + j)], approx[2 * (i * _WIDTHS + j) + 1])
+                    for j in range(_WIDTHS)] for i, r in enumerate(ranks)}
+    # one pass: rows below lo and rows up to hi, for every candidate bracket
+    brackets = sorted({b for r in ranks for b in hint[r]})
     aggs = []
     for i, (lo, hi) in enumerate(brackets):
         aggs.append(F.count_if(F.col("_x") < F.lit(lo)).alias(f"lt{i}"))
         aggs.append(F.count_if(F.col("_x") <= F.lit(hi)).alias(f"le{i}"))
     cnt = base.agg(*aggs).first()
+    counts = {b: (offset + cnt[f"lt{i}"], offset + cnt[f"le{i}"]) for i, b in enumerate(brackets)}
     small, large = [], []
-    for i, r in enumerate(ranks):
-        lo, hi = brackets[i]
-        lt, le = offset + cnt[f"lt{i}"], offset + cnt[f"le{i}"]
-        if not (lt <= r < le):          # approximation missed: widen to the subset
+    for r in ranks:
+        valid = [(counts[b][1] - counts[b][0], b) for b in hint[r]
+                 if counts[b][0] <= r < counts[b][1]]
+        if valid:
+            _, (lo, hi) = min(valid)
+            lt, le = counts[(lo, hi)]
+        else:                           # approximation missed: widen to the subset
             lo, hi, lt, le = mn, mx, offset, offset + n
         (small if le - lt <= max_candidates else large).append((r, lo, hi, lt, le))
     out = {}

@@ -173,45 +173,45 @@ def q_feature_names(spark, d):
 # ------------------------------------------------------------------ X
 
 def q_stratified_split(spark, d):
-    c = cleaned(spark, d).select(S.KEY, "label")
+    c = _scored(spark, d).select(S.KEY, "label")
     return split.stratified_split(c, test_frac=SPLIT_FRAC)
 
 
 def q_plain_split(spark, d):
-    c = cleaned(spark, d).select(S.KEY)
+    c = _scored(spark, d).select(S.KEY)
     return split.plain_split(c, test_frac=SPLIT_FRAC)
 
 
 def q_folds(spark, d):
-    c = cleaned(spark, d).select(S.KEY, "label")
+    c = _scored(spark, d).select(S.KEY, "label")
     return split.stratified_folds(c, k=N_FOLDS)
 
 
 def q_capped_sample(spark, d):
-    c = cleaned(spark, d).select(S.KEY, "score")
+    c = _scored(spark, d).select(S.KEY, "score")
     return split.capped_sample(c, SAMPLE_CAP)
 
 
 def q_class_weights(spark, d):
-    c = cleaned(spark, d).select(S.KEY, "label")
+    c = _scored(spark, d).select(S.KEY, "label")
     return split.class_weights(c).withColumn("weight", r("weight"))
 
 
 # ------------------------------------------------------------------ V, M15
 
 def q_minmax_score(spark, d):
-    c = cleaned(spark, d).select(S.KEY, (F.col("score") * 4 - 2).alias("margin"))
+    c = _scored(spark, d).select(S.KEY, (F.col("score") * 4 - 2).alias("margin"))
     return score.minmax_score(c, "margin", out="score_minmax") \
         .select(S.KEY, r("score_minmax").alias("score_minmax"))
 
 
 def q_threshold_label(spark, d):
-    c = cleaned(spark, d).select(S.KEY, "score")
+    c = _scored(spark, d).select(S.KEY, "score")
     return score.threshold_label(c)
 
 
 def q_soft_vote(spark, d):
-    c = with_members(cleaned(spark, d))
+    c = with_members(_light(spark, d))
     v = score.soft_vote(c, MEMBERS)
     return v.select(S.KEY, r("vote_score").alias("vote_score"),
                     (F.col("vote_score") >= S.DEFAULT_THRESHOLD).cast("int").alias("vote_label"))
@@ -219,8 +219,16 @@ def q_soft_vote(spark, d):
 
 # ------------------------------------------------------------------ E
 
+def _light(spark, d):
+    """Key, label, score plus the raw numeric columns the member scores use."""
+    rw = raw(spark, d).select(S.KEY, "Churn", "score", "tenure", "MonthlyCharges")
+    return clean.label_column(rw, "Churn", "label")
+
+
 def _scored(spark, d):
-    return cleaned(spark, d).select(S.KEY, "label", "score")
+    """(key, label, score) - only the label needs encoding (F9), no fitted cleaning."""
+    rw = raw(spark, d).select(S.KEY, "Churn", "score")
+    return clean.label_column(rw, "Churn", "label").select(S.KEY, "label", "score")
 
 
 def q_confusion(spark, d):
@@ -298,20 +306,20 @@ def _metric_cols():
 
 
 def q_compare_models(spark, d):
-    long = models_long(with_members(cleaned(spark, d)))
+    long = models_long(with_members(_light(spark, d)))
     t = metrics.compare_models(long)
     return t.select("model", "tn", "fp", "fn", "tp", *_metric_cols())
 
 
 def q_pick_best(spark, d):
-    long = models_long(with_members(cleaned(spark, d)))
+    long = models_long(with_members(_light(spark, d)))
     t = metrics.metric_table(long, groups=["model"])
     b = metrics.pick_best(t, "pr_auc", "model")
     return b.select("model", r("pr_auc").alias("pr_auc"))
 
 
 def q_train_test_metrics(spark, d):
-    c = cleaned(spark, d).select(S.KEY, "label", "score")
+    c = _scored(spark, d)
     sp = split.stratified_split(c, test_frac=SPLIT_FRAC)
     t = metrics.metric_table(sp, groups=["split"])
     return t.select("split", "tn", "fp", "fn", "tp", *_metric_cols())
@@ -319,7 +327,7 @@ def q_train_test_metrics(spark, d):
 
 def q_registry_best(spark, d):
     from churnspark.sources import io
-    long = models_long(with_members(cleaned(spark, d)))
+    long = models_long(with_members(_light(spark, d)))
     t = metrics.metric_table(long, groups=["model"])
     reg = io.registry_rows_from_metrics(t, "model", created_base=1.7e9)
     best = io.registry_latest_best(reg)

@@ -100,6 +100,11 @@ def score_levels(df: DataFrame, label: str = "label", score: str = "score", grou
 
 
 def curve_summary(df: DataFrame, label: str = "label", score: str = "score", groups=()):
+    """E3 + E4 per group (see :func:`_curve_summary`)."""
+    return _drop_g(_curve_summary(df, label, score, groups))
+
+
+def _curve_summary(df: DataFrame, label: str = "label", score: str = "score", groups=()):
     """E3 + E4: ROC AUC (ties averaged, trapezoid) and average precision per group.
 
     AUC = sum_s fp_s * (tp_above_s + tp_s / 2) / (P * N); NULL unless both classes occur.
@@ -117,7 +122,7 @@ def curve_summary(df: DataFrame, label: str = "label", score: str = "score", gro
                F.col("_auc") / (F.col("P") * F.col("N"))).alias("roc_auc"),
         F.when(F.col("P") > 0, F.col("_ap") / F.col("P")).alias("pr_auc"),
     )
-    return _drop_g(out)
+    return out
 
 
 def roc_curve(df: DataFrame, label: str = "label", score: str = "score", groups=()) -> DataFrame:
@@ -351,7 +356,7 @@ def metric_table(df: DataFrame, label: str = "label", score: str = "score", grou
         *confusion_aggs(label, predicted(score, threshold)),
         F.avg(diff * diff).alias("brier"),
     ).withColumns(rate_columns())
-    curves = curve_summary(d, label, score, gc)
+    curves = _curve_summary(d, label, score, gc)
     # both sides have one row per group: a small equi-join
     out = point.join(curves, on=gc, how="left")
     return _drop_g(out.select(*gc, "tn", "fp", "fn", "tp", *METRIC_COLUMNS))

@@ -36,7 +36,16 @@ def fit_yeo_johnson(df: DataFrame, cols, passes: int = 5, points: int = 41,
     cols = list(cols)
     if not cols:
         return {}
-    base = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).na.drop()
+    from pyspark import StorageLevel
+    base = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).na.drop() \
+        .persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _fit_yj(base, cols, passes, points, lo, hi)
+    finally:
+        base.unpersist()
+
+
+def _fit_yj(base, cols, passes, points, lo, hi) -> dict:
     first = base.agg(F.count(F.lit(1)).alias("n"), *[
         F.sum(F.signum(c) * F.log1p(F.abs(c))).alias(f"s_{c}") for c in cols]).first()
     n = first["n"]

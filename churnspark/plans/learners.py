@@ -298,7 +298,20 @@ def fit(key: str, train: DataFrame, features: ChurnFeatures | None = None,
         h = F.conv(F.substring(hash_key(F.col(S.KEY), S.SEED), 1, 6), 16, 10).cast("double")
         data = data.withColumn("_is_val", h < F.lit(frac * 16 ** 6))
         clf.setValidationIndicatorCol("_is_val")
-    return pipe.fit(data)
+    return fit_persisted(pipe, data)
+
+
+def fit_persisted(estimator, data: DataFrame):
+    """Fit with the input persisted for the many passes of an iterative fit
+    (feature statistics, tree levels, boosting rounds), then release it."""
+    from pyspark import StorageLevel
+    if data.storageLevel.useMemory or data.storageLevel.useDisk:
+        return estimator.fit(data)
+    data = data.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return estimator.fit(data)
+    finally:
+        data.unpersist()
 
 
 def score(model: PipelineModel, df: DataFrame, out: str = "score", keep=None) -> DataFrame:

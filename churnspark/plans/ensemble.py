@@ -25,6 +25,7 @@ from churnspark.operators import metrics as M
 from churnspark.operators import score as V
 from churnspark.plans import learners as L
 from churnspark.plans import tune as T
+from churnspark.session import materialize
 
 _ML_OUT = ("features", "rff", "rawPrediction", "probability", "prediction", "weight", "_is_val")
 
@@ -172,6 +173,7 @@ def fit_stacking(keys, train: DataFrame, k: int = 5, overrides: dict | None = No
     oof = parts[0]
     for p in parts[1:]:
         oof = oof.unionByName(p)
+    oof = materialize(oof)
     x = VectorAssembler(inputCols=[f"p_{key}" for key in keys], outputCol="_meta_x").transform(oof)
     meta = LogisticRegression(featuresCol="_meta_x", labelCol="label", maxIter=max_iter).fit(x)
     members = {key: L.fit(key, train, overrides=overrides.get(key)) for key in keys}
@@ -193,5 +195,5 @@ def fit_calibrated(key: str, train: DataFrame, cv: int = 3, overrides=None) -> C
 def evaluate(model, df: DataFrame, name: str, threshold: float = S.DEFAULT_THRESHOLD) -> DataFrame:
     """Metric row of an ensemble (or any model) at the threshold."""
     s = model.transform(df) if not isinstance(model, PipelineModel) else L.score(model, df)
-    s = s.select("label", "score")
+    s = materialize(s.select("label", "score"))
     return M.metric_table(s, threshold=threshold).withColumn("model", F.lit(name))

@@ -98,10 +98,11 @@ def train_advanced(train: DataFrame, test: DataFrame, cfg: AdvancedConfig | None
 
 
 def _metric_rows(scored) -> DataFrame:
+    from churnspark.session import materialize
     u = scored[0]
     for s in scored[1:]:
         u = u.unionByName(s)
-    return M.metric_table(u, groups=["model"])
+    return M.metric_table(materialize(u), groups=["model"])
 
 
 def _best(table: DataFrame, metric: str) -> str:

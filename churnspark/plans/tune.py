@@ -24,6 +24,7 @@ from churnspark import schema as S
 from churnspark.operators import metrics as M
 from churnspark.operators import split
 from churnspark.plans import learners as L
+from churnspark.session import materialize
 
 FOLD = "fold"
 
@@ -44,7 +45,11 @@ class ExactMetricEvaluator(Evaluator, HasLabelCol):
         s = dataset.select(F.col(self.getLabelCol()).alias("label"),
                            vector_to_array(F.col(self.getOrDefault("probabilityCol")))[1].alias("score"))
         name = self.getOrDefault("metricName")
-        row = M.metric_table(s).first()
+        s = materialize(s)
+        try:
+            row = M.metric_table(s).first()
+        finally:
+            s.unpersist()
         v = row[name]
         return float("nan") if v is None else float(v)
 
@@ -81,7 +86,7 @@ def cv_metrics(key: str, df: DataFrame, k: int = 5, scoring=("roc_auc", "accurac
                parallelism: int = 2, overrides=None) -> DataFrame:
     """M9: metric per fold from ONE grouped query over the out-of-fold union,
     then mean and (population) std across folds."""
-    oof = out_of_fold(key, df, k, overrides, parallelism)
+    oof = materialize(out_of_fold(key, df, k, overrides, parallelism))
     per_fold = M.metric_table(oof, groups=[FOLD])
     long = per_fold.select(FOLD, F.explode(F.array(*[
         F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in scoring
@@ -188,8 +193,9 @@ def model_search(key: str, df: DataFrame, n_trials: int = 6, cv_splits: int = 5,
         params = sample_space(space, rng)
         if scale_trees != 1.0 and "n_estimators" in params:
             params["n_estimators"] = max(1, int(params["n_estimators"] * scale_trees))
-        oof = out_of_fold(key, folded, k, params, parallelism, folded=True)
+        oof = materialize(out_of_fold(key, folded, k, params, parallelism, folded=True))
         ap = M.curve_summary(oof).first()["pr_auc"]
+        oof.unpersist()
         trials.append((params, ap))
     best = max(trials, key=lambda t: (t[1] if t[1] is not None else -1.0))
     return best[0], trials

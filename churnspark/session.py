@@ -61,3 +61,16 @@ def default_buckets(spark: SparkSession, factor: int = 4, floor: int = 8,
     except Exception:  # pragma: no cover - Connect sessions have no SparkContext
         par = int(os.cpu_count() or 8)
     return max(floor, min(cap, par * factor))
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Persist (memory, spilling to disk) and compute once.
+
+    Used before several passes over a frame whose plan is expensive to plan or
+    recompute (model scores, out-of-fold unions); lost blocks are recomputed
+    from lineage.  Callers ``unpersist`` when done.
+    """
+    from pyspark import StorageLevel
+    out = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out.count()
+    return out

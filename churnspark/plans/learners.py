@@ -150,6 +150,8 @@ def to_spark_params(kind: str, params: dict) -> tuple[dict, bool, list[str]]:
         elif k == "n_iter_no_change":
             if v is not None:
                 out.setdefault("validationFraction", 0.1)
+        elif k == "max_iter":
+            out["maxIter"] = int(v)
         elif k == "C":
             out["regParam"] = 1.0 / (float(v) * 1000.0)
         else:

@@ -117,3 +117,17 @@ def test_registry_and_csv(spark):
         f.write("X1,Male,0,Yes,No,1,Yes,No,DSL,No,No,No,No,No,No,One year,Yes,NA,20.5, ,No\n")
     r = io.read_customers(spark, csv).first()
     assert r.PaymentMethod is None and r.TotalCharges == " " and r.MonthlyCharges == 20.5
+
+
+def test_streaming_scoring(spark, parts):
+    from churnspark.plans import catalog as C
+    from churnspark.streaming.scoring import score_stream
+    train, _ = parts
+    model = L.fit("dt", train)
+    d = tempfile.mkdtemp(prefix="cs-stream-")
+    src, sink, ck = (os.path.join(d, x) for x in ("src", "sink", "ck"))
+    C.raw(spark, "/root/testdata/sf0.001").drop("score").write.parquet(src)
+    q = score_stream(spark, model, src, sink, ck)
+    q.awaitTermination(120)
+    out = spark.read.parquet(sink)
+    assert out.count() == 150 and set(out.columns) >= {"customerID", "prediction", "probability"}

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from churnspark import schema as S
 from churnspark.operators import metrics as M
-from churnspark.session import ensure_checkpoint_dir
+from churnspark.session import default_buckets, ensure_checkpoint_dir
 
 # ---------------------------------------------------------------- tree table
 
@@ -188,6 +188,10 @@ def tree_shap(model: PipelineModel, df: DataFrame, key: str = S.KEY,
     out_col = vector_to_array("probability")[1] if space == "probability" else \
         vector_to_array("rawPrediction")[1]
     rows = scored.select(key, vector_to_array(features).alias("_x"), out_col.alias("output"))
+    # explanation is CPU-heavy per row: make sure every core gets a share
+    par = default_buckets(df.sparkSession, factor=1, floor=1)
+    if rows.rdd.getNumPartitions() < par:
+        rows = rows.repartition(par)
 
     def explain(batches):
         for pdf in batches:

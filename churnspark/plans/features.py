@@ -30,7 +30,7 @@ from churnspark.functions import clean, features
 from churnspark.operators import encode, impute
 
 
-def fit_yeo_johnson(df: DataFrame, cols, passes: int = 5, points: int = 41,
+def fit_yeo_johnson(df: DataFrame, cols, passes: int = 7, points: int = 17,
                     lo: float = -2.0, hi: float = 2.0) -> dict:
     """Lambda maximising the Yeo-Johnson log-likelihood of each column."""
     cols = list(cols)

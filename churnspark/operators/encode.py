@@ -75,3 +75,17 @@ def label_codes(df: DataFrame, cols, suffix: str = "") -> DataFrame:
         out = out.withColumn(c + suffix, F.col(o).cast("int")).drop(o) if suffix else \
             out.withColumn(c, F.col(o).cast("int")).drop(o)
     return out
+
+
+def select_roles(df: DataFrame, categorical=None, numerical=None, exclude=(S.KEY, S.TARGET, "label")):
+    """Column roles.  Explicit lists are intersected with the present columns;
+    a missing (None) list falls back to the schema: string columns are
+    categorical, numeric/boolean columns numerical.  Everything else is dropped."""
+    from pyspark.sql import types as T
+    cols = [c for c in df.columns if c not in exclude]
+    if categorical is None:
+        categorical = [c for c in cols if isinstance(df.schema[c].dataType, T.StringType)]
+    if numerical is None or len(numerical) == 0:
+        numerical = [c for c in cols if c not in categorical and
+                     isinstance(df.schema[c].dataType, (T.NumericType, T.BooleanType))]
+    return {"categorical": S.present(df, categorical), "numerical": S.present(df, numerical)}

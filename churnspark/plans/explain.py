@@ -37,7 +37,8 @@ from churnspark.session import default_buckets, ensure_checkpoint_dir
 
 def tree_table(clf) -> tuple[list[dict], list[float], str]:
     """Trees as numpy node arrays, tree weights and the output space."""
-    spark = clf._java_obj and __import__("pyspark").sql.SparkSession.getActiveSession()
+    from pyspark.sql import SparkSession
+    spark = SparkSession.getActiveSession()
     base = ensure_checkpoint_dir(spark)
     path = os.path.join(base.replace("file:", ""), f"trees-{uuid.uuid4().hex}")
     clf.write().overwrite().save(path)

@@ -120,7 +120,11 @@ def _search(key: str, df: DataFrame, combos: list[dict], k: int, metric: str,
     cv = CrossValidator(estimator=pipe, estimatorParamMaps=maps,
                         evaluator=ExactMetricEvaluator(metric), foldCol=FOLD, numFolds=k,
                         parallelism=parallelism, collectSubModels=False)
-    model = cv.fit(with_folds(df, k))
+    folded = with_folds(df, k)
+    try:
+        model = cv.fit(folded)
+    finally:
+        folded.unpersist()
     return model, combos
 
 

@@ -131,3 +131,28 @@ def test_streaming_scoring(spark, parts):
     q.awaitTermination(120)
     out = spark.read.parquet(sink)
     assert out.count() == 150 and set(out.columns) >= {"customerID", "prediction", "probability"}
+
+
+def test_promote_best_saves_ensemble(spark, parts):
+    from churnspark.plans.flow import promote_best
+    from churnspark.operators import metrics as M
+    train, test = parts
+    models = {"dt": L.fit("dt", train)}
+    models["vote"] = EN.VotingModel({"dt": models["dt"], "logreg": L.fit("logreg", train)})
+    scored = [L.score(models["dt"], test).select(F.lit("dt").alias("model"), "label", "score"),
+              models["vote"].transform(test).select(F.lit("vote").alias("model"), "label", "score")]
+    table = M.metric_table(scored[0].unionByName(scored[1]), groups=["model"])
+    d = tempfile.mkdtemp(prefix="cs-best-")
+    name = promote_best(models, table, d)
+    back = EN.load_any(os.path.join(d, "best"))
+    a = sorted(r.score for r in (back.transform(test) if name == "vote" else L.score(back, test)).collect())
+    b = sorted(r.score for r in (models[name].transform(test) if name == "vote"
+                                 else L.score(models[name], test)).collect())
+    assert a == b
+
+
+def test_roles(spark):
+    from churnspark.operators.encode import select_roles
+    df = spark.createDataFrame([("k", "a", 1, 2.0, "Yes")], "customerID string, g string, i int, d double, Churn string")
+    assert select_roles(df) == {"categorical": ["g"], "numerical": ["i", "d"]}
+    assert select_roles(df, ["g", "zz"], ["d"]) == {"categorical": ["g"], "numerical": ["d"]}

@@ -94,11 +94,24 @@ def score_levels(df: DataFrame, label: str = "label", score: str = "score", grou
         F.sum(y).alias("tp_s"), F.sum(1 - y).alias("fp_s"))
     cum = running_sums(levels, "threshold", ["tp_s", "fp_s"], gc, descending=True)
     cum = cum.withColumnRenamed("tp_s_cum", "tp_cum").withColumnRenamed("fp_s_cum", "fp_cum")
+    if gc == [_G]:
+        # ungrouped: the two totals are fit-time literals (one tiny aggregate)
+        t = levels.agg(F.sum("tp_s").alias("P"), F.sum("fp_s").alias("N")).first()
+        return cum.withColumns({"P": F.lit(int(t["P"] or 0)), "N": F.lit(int(t["N"] or 0))}), gc
     totals = levels.groupBy(*gc).agg(F.sum("tp_s").alias("P"), F.sum("fp_s").alias("N"))
     # one row per group: bounded by the number of groups (models x splits)
     return cum.join(F.broadcast(totals), on=gc, how="inner"), gc
 
 
+def _levels_cum(df: DataFrame, label: str, score: str, gc):
+    """Distinct-score levels with running counts (no totals attached)."""
+    y = F.col(label).cast("long")
+    levels = df.groupBy(*gc, F.col(score).alias("threshold")).agg(
+        F.sum(y).alias("tp_s"), F.sum(1 - y).alias("fp_s"))
+    cum = running_sums(levels, "threshold", ["tp_s", "fp_s"], gc, descending=True)
+    return cum.withColumnRenamed("tp_s_cum", "tp_cum").withColumnRenamed("fp_s_cum", "fp_cum")
+
+
 def curve_summary(df: DataFrame, label: str = "label", score: str = "score", groups=()):
     """E3 + E4 per group (see :func:`_curve_summary`)."""
     return _drop_g(_curve_summary(df, label, score, groups))
@@ -110,9 +123,11 @@ def _curve_summary(df: DataFrame, label: str = "label", score: str = "score", gr
     AUC = sum_s fp_s * (tp_above_s + tp_s / 2) / (P * N); NULL unless both classes occur.
     AP  = sum_s (tp_s / P) * precision_s; NULL without positives.
     """
-    lv, gc = score_levels(df, label, score, groups)
+    d, gc = _groups(df, groups)
+    lv = _levels_cum(d, label, score, gc)
+    # totals come from the same aggregate: no join
     out = lv.groupBy(*gc).agg(
-        F.first("P").alias("P"), F.first("N").alias("N"),
+        F.sum("tp_s").alias("P"), F.sum("fp_s").alias("N"),
         F.sum(F.col("fp_s") * (F.col("tp_cum") - F.col("tp_s") / 2.0)).alias("_auc"),
         F.sum(F.col("tp_s") * (F.col("tp_cum") / (F.col("tp_cum") + F.col("fp_cum")))).alias("_ap"),
     )
@@ -357,8 +372,14 @@ def metric_table(df: DataFrame, label: str = "label", score: str = "score", grou
         F.avg(diff * diff).alias("brier"),
     ).withColumns(rate_columns())
     curves = _curve_summary(d, label, score, gc)
-    # both sides have one row per group: a small equi-join
-    out = point.join(curves, on=gc, how="left")
+    if gc == [_G]:
+        # ungrouped: both sides are single rows; carry the curve values as literals
+        c = curves.first()
+        out = point.withColumns({"roc_auc": F.lit(c["roc_auc"] if c else None).cast("double"),
+                                 "pr_auc": F.lit(c["pr_auc"] if c else None).cast("double")})
+    else:
+        # both sides have one row per group: a small equi-join on the group keys
+        out = point.join(curves, on=gc, how="left")
     return _drop_g(out.select(*gc, "tn", "fp", "fn", "tp", *METRIC_COLUMNS))
 
 

@@ -11,11 +11,10 @@ def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["clean_lenient", "roc_auc", "risk_summary", "stratified_split",
-                                  "hist_by_class", "top_factors", "one_hot", "compare_models"])
+@pytest.mark.parametrize("name", sorted(PLAIN))
 def test_no_cartesian_no_python(spark, small_dir, name):
     p = _plan(E.queries()[name](spark, small_dir))
-    assert "CartesianProduct" not in p
+    assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
     assert "BatchEvalPython" not in p and "ArrowEvalPython" not in p
 
 

@@ -126,15 +126,44 @@ def _select_ranks(base: DataFrame, ranks, n, mn, mx, offset, eps, accuracy,
     for r, lo, hi, lt, le in large:
         sub = base.where((F.col("_x") >= F.lit(lo)) & (F.col("_x") <= F.lit(hi)))
         if le - lt >= n and depth > 0 or depth > 8:
-            # no progress (massive ties): the k-th value of a sorted prefix
-            vals = [row["_x"] for row in sub.orderBy("_x").limit(r - lt + 1).collect()]
-            out[r] = vals[r - lt]
+            # no progress (massive ties): bisect the value range with counts only
+            out[r] = _bisect_rank(sub, r - lt, lo, hi)
             continue
         out.update(_select_ranks(sub, [r], le - lt, lo, hi, lt, eps, accuracy,
                                  max_candidates, depth + 1))
     return out
 
 
+def _bisect_rank(sub: DataFrame, k: int, lo: float, hi: float) -> float:
+    """Value of 0-based rank ``k`` among ``sub``'s ``_x`` values in [lo, hi].
+
+    Each step counts the rows at or below the midpoint and keeps the half that
+    holds rank ``k``; once the range holds one distinct value it is the answer.
+    Only counts reach the driver, whatever the number of tied rows.
+    """
+    below = 0                        # rows of sub strictly below lo
+    for _ in range(200):
+        if lo == hi:
+            return lo
+        mid = lo + (hi - lo) / 2.0
+        if mid <= lo or mid >= hi:   # adjacent doubles: the answer is one of the two
+            c = sub.where(F.col("_x") <= F.lit(lo)).count()
+            return lo if k < c else hi
+        row = sub.agg(
+            F.count_if(F.col("_x") <= F.lit(mid)).alias("le"),
+            F.max(F.when(F.col("_x") <= F.lit(mid), F.col("_x"))).alias("a"),
+            F.min(F.when(F.col("_x") > F.lit(mid), F.col("_x"))).alias("b"),
+        ).first()
+        if k < row["le"]:
+            hi = row["a"]
+        else:
+            below = row["le"]
+            lo = row["b"]
+            sub = sub.where(F.col("_x") > F.lit(mid))
+            k -= below
+    return lo
+
+
 def exact_median(df: DataFrame, col: str) -> float | None:
     return exact_quantiles(df, col, [0.5])[0]
 

@@ -41,7 +41,7 @@ def hashed_rank(df: DataFrame, key: str, seed: int | str, partition_cols=(),
     joined = d.join(F.broadcast(offsets), on=[*pc, "_b"], how="inner")
     w2 = Window.partitionBy(*pc, "_b").orderBy("_h", key)
     return joined.withColumn(out, (F.row_number().over(w2) + F.col("_off")).cast("long")) \
-        .drop("_h", "_b", "_off")
+        .select(*df.columns, out)
 
 
 def value_buckets(df: DataFrame, order_col: str, n_buckets: int | None = None,
@@ -90,4 +90,4 @@ def running_sums(df: DataFrame, order_col: str, sum_cols, partition_cols=(),
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return joined.withColumns({
         f"{c}{suffix}": F.sum(c).over(w) + F.col(f"_off_{c}") for c in sums
-    }).drop("_b", *[f"_off_{c}" for c in sums])
+    }).select(*df.columns, *[f"{c}{suffix}" for c in sums])

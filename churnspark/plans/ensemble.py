@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import json
 import os
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
@@ -156,39 +157,66 @@ def fit_voting(keys, train: DataFrame, overrides: dict | None = None) -> VotingM
 
 
 def fit_stacking(keys, train: DataFrame, k: int = 5, overrides: dict | None = None,
-                 max_iter: int = 200) -> StackingModel:
+                 max_iter: int = 200, parallelism: int = 2) -> StackingModel:
     """Out-of-fold member scores (fold by fold, member after member on the same
-    held-out frame) -> LogisticRegression; members refit on all rows."""
+    held-out frame) -> LogisticRegression; members refit on all rows.
+
+    The k folds, and then the member refits, run as independent jobs, up to
+    ``parallelism`` at once."""
     overrides = overrides or {}
+    keys = list(keys)
     folded = T.with_folds(train, k)
-    parts = []
-    for f in range(k):
+
+    def fold_part(f: int) -> DataFrame:
         fit_rows = folded.where(F.col(T.FOLD) != f)
         held = folded.where(F.col(T.FOLD) == f).select(S.KEY, "label", *[
             c for c in train.columns if c not in (S.KEY, "label")])
         for key in keys:
             held = add_member_score(held, L.fit(key, fit_rows, overrides=overrides.get(key)),
                                     f"p_{key}")
-        parts.append(held.select(S.KEY, "label", *[f"p_{key}" for key in keys]))
-    oof = parts[0]
-    for p in parts[1:]:
-        oof = oof.unionByName(p)
-    oof = materialize(oof)
-    x = VectorAssembler(inputCols=[f"p_{key}" for key in keys], outputCol="_meta_x").transform(oof)
-    meta = LogisticRegression(featuresCol="_meta_x", labelCol="label", maxIter=max_iter).fit(x)
-    members = {key: L.fit(key, train, overrides=overrides.get(key)) for key in keys}
-    return StackingModel(members, meta)
-
-
-def fit_calibrated(key: str, train: DataFrame, cv: int = 3, overrides=None) -> CalibratedModel:
-    """Per fold, fit the base on the other folds and an isotonic map on this one."""
+        return held.select(S.KEY, "label", *[f"p_{key}" for key in keys])
+
+    try:
+        with ThreadPoolExecutor(max_workers=max(1, parallelism)) as ex:
+            parts = list(ex.map(fold_part, range(k)))
+        oof = parts[0]
+        for p in parts[1:]:
+            oof = oof.unionByName(p)
+        oof = materialize(oof)
+    finally:
+        folded.unpersist()
+    try:
+        x = VectorAssembler(inputCols=[f"p_{key}" for key in keys],
+                            outputCol="_meta_x").transform(oof)
+        meta = LogisticRegression(featuresCol="_meta_x", labelCol="label",
+                                  maxIter=max_iter).fit(x)
+    finally:
+        oof.unpersist()
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as ex:
+        fitted = list(ex.map(lambda key: L.fit(key, train, overrides=overrides.get(key)), keys))
+    return StackingModel(dict(zip(keys, fitted)), meta)
+
+
+def fit_calibrated(key: str, train: DataFrame, cv: int = 3, overrides=None,
+                   parallelism: int = 2) -> CalibratedModel:
+    """Per fold, fit the base on the other folds and an isotonic map on this one.
+
+    Folds are independent Spark jobs; up to ``parallelism`` of them run at once
+    (as ``CrossValidator(parallelism=...)`` does), each with its own persisted input.
+    """
     folded = T.with_folds(train, cv)
-    parts = []
-    for f in range(cv):
+
+    def one(f: int):
         base = L.fit(key, folded.where(F.col(T.FOLD) != f), overrides=overrides)
         held = L.score(base, folded.where(F.col(T.FOLD) == f), keep=["label"])
         iso = IsotonicRegression(featuresCol="score", labelCol="label", isotonic=True).fit(held)
-        parts.append((base, iso))
+        return base, iso
+
+    try:
+        with ThreadPoolExecutor(max_workers=max(1, parallelism)) as ex:
+            parts = list(ex.map(one, range(cv)))
+    finally:
+        folded.unpersist()
     return CalibratedModel(parts)
 
 

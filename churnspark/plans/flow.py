@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.ml import PipelineModel
@@ -16,6 +17,7 @@ from churnspark.plans import ensemble as EN
 from churnspark.plans import learners as L
 from churnspark.plans import tune as T
 from churnspark.plans.features import ChurnFeatures
+from churnspark.session import materialize
 
 
 @dataclass
@@ -32,6 +34,7 @@ class AdvancedConfig:
     ensemble_stacking: bool = True
     scoring: str = "pr_auc"
     overrides: dict = field(default_factory=dict)
+    parallelism: int = 2               # independent fits running at once
 
 
 @dataclass
@@ -66,43 +69,55 @@ def train_advanced(train: DataFrame, test: DataFrame, cfg: AdvancedConfig | None
                 best, _ = T.model_search(key, train, cfg.n_trials, cfg.cv_splits, cfg.seed)
                 overrides[key] = best
     models: dict = {}
+    keys = list(cfg.keys)
+    pool = ThreadPoolExecutor(max_workers=max(1, cfg.parallelism))
     if cfg.use_smote:
         feats = ChurnFeatures().fit(train)
         vec = feats.transform(train).select(S.KEY, "label", "features")
         sampler = resample.smote if cfg.smote_kind.upper() == "SMOTE" else resample.adasyn
-        vec = sampler(vec, seed=cfg.seed)
-        for key in cfg.keys:
-            models[key] = _fit_on_vectors(key, feats, vec, overrides.get(key))
+        # resampled once, shared by every member fit
+        vec = materialize(sampler(vec, seed=cfg.seed))
+        try:
+            with pool as ex:
+                fitted = list(ex.map(
+                    lambda key: _fit_on_vectors(key, feats, vec, overrides.get(key)), keys))
+        finally:
+            vec.unpersist()
     else:
-        for key in cfg.keys:
-            models[key] = L.fit(key, train, overrides=overrides.get(key))
+        with pool as ex:
+            fitted = list(ex.map(
+                lambda key: L.fit(key, train, overrides=overrides.get(key)), keys))
+    models.update(zip(keys, fitted))
     if cfg.ensemble_voting and len(cfg.keys) >= 2:
         models["soft_voting"] = EN.VotingModel({k: models[k] for k in cfg.keys})
     if cfg.ensemble_stacking and len(cfg.keys) >= 2:
         models["stacking"] = EN.fit_stacking(list(cfg.keys), train, k=cfg.cv_splits,
-                                             overrides=overrides)
+                                             overrides=overrides, parallelism=cfg.parallelism)
     scored = []
     for name, m in models.items():
         s = m.transform(test) if not isinstance(m, PipelineModel) else L.score(m, test)
         scored.append(s.select(F.lit(name).alias("model"), "label", "score"))
-    table = _metric_rows(scored)
+    table, cached = _metric_rows(scored)
     if cfg.calibrate:
         best_base = _best(table.where(F.col("model").isin(*cfg.keys)), cfg.scoring)
-        cal = EN.fit_calibrated(best_base, train, cv=3, overrides=overrides.get(best_base))
+        cached.unpersist()
+        cal = EN.fit_calibrated(best_base, train, cv=3, overrides=overrides.get(best_base),
+                                parallelism=cfg.parallelism)
         models[f"{best_base}_calibrated"] = cal
         scored.append(cal.transform(test).select(F.lit(f"{best_base}_calibrated").alias("model"),
                                                  "label", "score"))
-        table = _metric_rows(scored)
+        table, _ = _metric_rows(scored)
     comparison = table.orderBy(F.col(cfg.scoring).desc_nulls_last(), "model")
     return AdvancedResult(models, comparison, _best(table, cfg.scoring))
 
 
-def _metric_rows(scored) -> DataFrame:
-    from churnspark.session import materialize
+def _metric_rows(scored):
+    """Metric table per model over the materialised union of scores (returned too)."""
     u = scored[0]
     for s in scored[1:]:
         u = u.unionByName(s)
-    return M.metric_table(materialize(u), groups=["model"])
+    u = materialize(u)
+    return M.metric_table(u, groups=["model"]), u
 
 
 def _best(table: DataFrame, metric: str) -> str:

@@ -193,13 +193,16 @@ def model_search(key: str, df: DataFrame, n_trials: int = 6, cv_splits: int = 5,
     folded = with_folds(df, k)
     rng = random.Random(seed)
     trials = []
-    for _ in range(n_trials):
-        params = sample_space(space, rng)
-        if scale_trees != 1.0 and "n_estimators" in params:
-            params["n_estimators"] = max(1, int(params["n_estimators"] * scale_trees))
-        oof = materialize(out_of_fold(key, folded, k, params, parallelism, folded=True))
-        ap = M.curve_summary(oof).first()["pr_auc"]
-        oof.unpersist()
-        trials.append((params, ap))
+    try:
+        for _ in range(n_trials):
+            params = sample_space(space, rng)
+            if scale_trees != 1.0 and "n_estimators" in params:
+                params["n_estimators"] = max(1, int(params["n_estimators"] * scale_trees))
+            oof = materialize(out_of_fold(key, folded, k, params, parallelism, folded=True))
+            ap = M.curve_summary(oof).first()["pr_auc"]
+            oof.unpersist()
+            trials.append((params, ap))
+    finally:
+        folded.unpersist()
     best = max(trials, key=lambda t: (t[1] if t[1] is not None else -1.0))
     return best[0], trials

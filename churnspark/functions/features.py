@@ -72,6 +72,17 @@ def yeo_johnson(c: Column, lam: float) -> Column:
     return F.when(x >= 0, pos).otherwise(neg)
 
 
+def yeo_johnson_by(c: Column, lam: Column) -> Column:
+    """:func:`yeo_johnson` with lambda taken from a column (one code path for a
+    whole grid of lambdas, as in the G7 likelihood search)."""
+    x = c.cast("double")
+    tiny = 2.220446049250313e-16
+    pos = F.when(F.abs(lam) < tiny, F.log1p(x)).otherwise((F.pow(x + 1.0, lam) - 1.0) / lam)
+    neg = F.when(F.abs(lam - 2.0) > tiny,
+                 -(F.pow(1.0 - x, 2.0 - lam) - 1.0) / (2.0 - lam)).otherwise(-F.log1p(-x))
+    return F.when(x >= 0, pos).otherwise(neg)
+
+
 def engineer_lenient(df: DataFrame) -> DataFrame:
     """Derived features of the config-driven builder (on cleaned, coerced data)."""
     out = df

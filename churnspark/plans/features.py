@@ -45,6 +45,25 @@ def fit_yeo_johnson(df: DataFrame, cols, passes: int = 7, points: int = 17,
         base.unpersist()
 
 
+def _grid_variances(base: DataFrame, cols, grids: dict) -> dict:
+    """Population variance of the transform for every (column, grid lambda).
+
+    Each row is exploded into one cell per (column, lambda) and reduced with a
+    grouped ``var_pop``: the map-side partial aggregate leaves at most
+    |cols| x |grid| rows per task, and the expression code does not depend on
+    the lambdas, so every pass reuses the same compiled stage.
+    """
+    cells = F.array(*[
+        F.struct(F.lit(ci).alias("c"), F.lit(i).alias("i"), F.lit(float(lam)).alias("lam"))
+        for ci, c in enumerate(cols) for i, lam in enumerate(grids[c])
+    ])
+    long = base.select(F.array(*[F.col(c) for c in cols]).alias("v"), F.explode(cells).alias("g"))
+    y = features.yeo_johnson_by(F.element_at("v", F.col("g.c") + 1), F.col("g.lam"))
+    rows = long.select("g.c", "g.i", y.alias("y")).groupBy("c", "i") \
+        .agg(F.var_pop("y").alias("vp")).collect()
+    return {(cols[r["c"]], r["i"]): r["vp"] for r in rows}
+
+
 def _fit_yj(base, cols, passes, points, lo, hi) -> dict:
     first = base.agg(F.count(F.lit(1)).alias("n"), *[
         F.sum(F.signum(c) * F.log1p(F.abs(c))).alias(f"s_{c}") for c in cols]).first()
@@ -60,14 +79,12 @@ def _fit_yj(base, cols, passes, points, lo, hi) -> dict:
     while p < passes:
         grids = {c: [center[c] - half[c] + 2 * half[c] * i / (points - 1) for i in range(points)]
                  for c in cols}
-        aggs = [F.var_pop(features.yeo_johnson(F.col(c), lam)).alias(f"{c}__{i}")
-                for c in cols for i, lam in enumerate(grids[c])]
-        row = base.agg(*aggs).first()
+        var = _grid_variances(base, cols, grids)
         at_edge = False
         for c in cols:
             scored = []
             for i, lam in enumerate(grids[c]):
-                v = row[f"{c}__{i}"]
+                v = var.get((c, i))
                 ll = (-n / 2.0 * math.log(v) + (lam - 1) * svals[c]) if v and v > 0 and \
                     math.isfinite(v) else -math.inf
                 scored.append((ll, -abs(lam - 1.0), lam, i))

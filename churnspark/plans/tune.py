@@ -2,7 +2,9 @@
 
 Folds come from the repeatable fold column (X3); every fit refits the whole
 pipeline - feature statistics included - inside the fold, so nothing leaks
-from held-out rows.  Metrics are the exact distributed ones of
+from held-out rows.  When the candidates differ only in classifier
+parameters, :class:`SharedPrefixPipeline` fits those fold statistics once per
+fold and reuses the fold's feature vectors for every candidate.  Metrics are the exact distributed ones of
 :mod:`churnspark.operators.metrics`.
 """
 
@@ -11,8 +13,11 @@ from __future__ import annotations
 import itertools
 import math
 import random
+import threading
 from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import StorageLevel
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.evaluation import Evaluator
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.param.shared import HasLabelCol, Param, Params, TypeConverters
@@ -29,6 +34,52 @@ from churnspark.session import materialize
 FOLD = "fold"
 
 
+class SharedPrefixPipeline(Pipeline):
+    """A Pipeline whose ``fitMultiple`` (the call CrossValidator makes per fold)
+    fits the stages before the classifier once when every param map only sets
+    classifier params, then fits one classifier per map on the persisted
+    vectors.  Same models as refitting the whole pipeline per map."""
+
+    def fitMultiple(self, dataset, paramMaps):
+        stages = self.getStages()
+        last = stages[-1]
+        if len(stages) < 2 or any(p.parent != last.uid for pm in paramMaps for p in pm):
+            return super().fitMultiple(dataset, paramMaps)
+        return _PrefixFits(stages, dataset, list(paramMaps))
+
+
+class _PrefixFits:
+    """Thread-safe iterator of (index, PipelineModel), as ``fitMultiple`` returns."""
+
+    def __init__(self, stages, dataset, maps):
+        self._stages, self._data, self._maps = stages, dataset, maps
+        self._lock = threading.Lock()
+        self._next = self._done = 0
+        self._prefix = self._vectors = None
+
+    def __iter__(self):
+        return self
+
+    def __next__(self):
+        with self._lock:
+            if self._next >= len(self._maps):
+                raise StopIteration
+            i = self._next
+            self._next += 1
+            if self._prefix is None:
+                self._prefix = Pipeline(stages=self._stages[:-1]).fit(self._data)
+                self._vectors = self._prefix.transform(self._data) \
+                    .persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            clf = self._stages[-1].copy(self._maps[i]).fit(self._vectors)
+        finally:
+            with self._lock:
+                self._done += 1
+                if self._done == len(self._maps):
+                    self._vectors.unpersist()
+        return i, PipelineModel(self._prefix.stages + [clf])
+
+
 class ExactMetricEvaluator(Evaluator, HasLabelCol):
     """Evaluator running the exact curve/point metrics (AP, not Spark's PR area)."""
     metricName = Param(Params._dummy(), "metricName", "roc_auc, pr_auc, accuracy, f1, brier",
@@ -116,6 +167,7 @@ def grid_combos(grid: dict) -> list[dict]:
 def _search(key: str, df: DataFrame, combos: list[dict], k: int, metric: str,
             parallelism: int):
     pipe, _ = L.build_pipeline(key)
+    pipe = SharedPrefixPipeline(stages=pipe.getStages())
     maps = _param_maps(key, pipe, combos)
     cv = CrossValidator(estimator=pipe, estimatorParamMaps=maps,
                         evaluator=ExactMetricEvaluator(metric), foldCol=FOLD, numFolds=k,

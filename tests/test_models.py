@@ -156,3 +156,23 @@ def test_roles(spark):
     df = spark.createDataFrame([("k", "a", 1, 2.0, "Yes")], "customerID string, g string, i int, d double, Churn string")
     assert select_roles(df) == {"categorical": ["g"], "numerical": ["i", "d"]}
     assert select_roles(df, ["g", "zz"], ["d"]) == {"categorical": ["g"], "numerical": ["d"]}
+
+
+def test_shared_prefix_search_equals_full_refits(spark, parts):
+    # fitting the feature stage once per fold must give the same CV metrics as
+    # refitting the whole pipeline for every candidate
+    from pyspark.ml import Pipeline
+    from pyspark.ml.tuning import CrossValidator
+    from churnspark.plans import tune as T
+    train, _ = parts
+    combos = T.grid_combos({"max_depth": [2, 4]})
+    pipe, _ = L.build_pipeline("dt")
+    folded = T.with_folds(train, 3)
+    got = []
+    for p in (Pipeline(stages=pipe.getStages()), T.SharedPrefixPipeline(stages=pipe.getStages())):
+        cv = CrossValidator(estimator=p, estimatorParamMaps=T._param_maps("dt", p, combos),
+                            evaluator=T.ExactMetricEvaluator("roc_auc"), foldCol=T.FOLD,
+                            numFolds=3, parallelism=2)
+        got.append(cv.fit(folded).avgMetrics)
+    folded.unpersist()
+    assert np.allclose(got[0], got[1], rtol=0, atol=1e-12)

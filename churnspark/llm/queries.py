@@ -15,6 +15,13 @@ def tokenizer_file() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from churnspark.llm.quality import apply_rules
+    out = apply_rules(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+                      "first_step", "step")
+
+
 def op3_topk_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     from churnspark.llm.topk import exact_top_k
     table = read_table(spark, sf_dir, "embeddings")
@@ -40,5 +47,5 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_topk_histogram, op6_line_dedup, op8_packing, op10_sharding)
+    f.__name__: f for f in (op1_quality_rules, op3_topk_histogram, op6_line_dedup, op8_packing, op10_sharding)
 }

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from churnspark.llm.common import rank_within, settle
 
 #: Bits of a dimension, of the text's hash below it, of the id's hash, and of one histogram.
-DIM_BITS, TEXT_BITS, ID_BITS, STEP_BITS = 20, 28, 48, 12
+DIM_BITS, TEXT_BITS, ID_BITS, STEP_BITS = 20, 28, 48, 16
 
 
 @dataclass

@@ -1,5 +1,56 @@
 """DuckDB SQL for the queries that SQL can express."""
 
+OP1 = r"""
+WITH d AS (
+  SELECT doc_id, lang AS stratum, coalesce(text, '') AS t,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
+  FROM documents),
+grams AS (
+  SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) >= 3)),
+twice AS (SELECT doc_id, g FROM grams GROUP BY ALL HAVING count(*) >= 2),
+rep AS (
+  SELECT doc_id, count(DISTINCT p) AS n
+  FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM grams JOIN twice USING (doc_id, g)) GROUP BY doc_id),
+m AS (
+  SELECT doc_id, stratum, CAST(len(w) AS BIGINT) AS n_words,
+         CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+         CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         CAST(length(regexp_replace(t, '[^A-Z]', '', 'g')) AS BIGINT) AS n_upper,
+         len(l) AS n_lines, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines,
+         coalesce(rep.n, 0) AS n_repeat_words
+  FROM d LEFT JOIN rep USING (doc_id)),
+r AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+         CAST(least(
+           coalesce(11 - len(list_filter([3000,2000,1500,1000,800,600,500,400,300,200], lambda c: n_symbols * 1000 / nullif(n_words, 0) > c)), 11),
+           coalesce(11 - len(list_filter([950,900,850,800,750,700,650,600,550,500], lambda c: n_dup_lines * 1000 / nullif(n_lines, 0) > c)), 11),
+           coalesce(11 - len(list_filter([480,460,440,420,400,380,360,340,320,300], lambda c: n_repeat_words * 1000 / nullif(n_words, 0) > c)), 11),
+           coalesce(11 - len(list_filter([950,900,850,800,750,700,650,600,550,500], lambda c: n_upper * 1000 / nullif(word_chars, 0) > c)), 11),
+           coalesce(11 - len(list_filter([30000,25000,22000,20000,18000,17000,16000,15000,14000,13000], lambda c: word_chars * 1000 / nullif(n_words, 0) > c)), 11)) AS INTEGER) AS first_step
+  FROM m),
+good AS (
+  SELECT stratum, first_step FROM r
+  WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels GROUP BY doc_id HAVING max(quality) = 1)),
+tally AS (
+  SELECT s.stratum, step, (SELECT count(*) FROM good g WHERE g.stratum IS NOT DISTINCT FROM s.stratum) AS n,
+         (SELECT count(*) FROM good g WHERE g.stratum IS NOT DISTINCT FROM s.stratum AND g.first_step <= step) AS k,
+         (SELECT count(*) FROM (SELECT DISTINCT stratum FROM r)) AS strata
+  FROM (SELECT DISTINCT stratum FROM r) s, range(1, 11) steps(step)),
+terms AS (
+  SELECT stratum, step, strata,
+         CASE WHEN n = 0 THEN 1.0
+              ELSE exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.01) + (n - i) * ln(0.99)) END AS term
+  FROM (SELECT *, unnest(range(0, k + 1)) AS i FROM tally)),
+passed AS (SELECT stratum, step, sum(term) <= 0.05 / any_value(strata) AS ok FROM terms GROUP BY stratum, step),
+chosen AS (
+  SELECT stratum, CAST(coalesce(min(step) FILTER (NOT ok), 11) - 1 AS INTEGER) AS step FROM passed GROUP BY stratum)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND first_step > chosen.step AS kept, first_step, chosen.step AS step
+FROM r JOIN chosen ON r.stratum IS NOT DISTINCT FROM chosen.stratum
+"""
+
 OP3 = """
 WITH v AS (
   SELECT vec_id, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS DOUBLE) FOR x IN embedding] AS c
@@ -28,6 +79,7 @@ FROM kept GROUP BY doc_id
 """
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_quality_rules": OP1,
     "op3_topk_histogram": OP3,
     "op6_line_dedup": OP6,
 }

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from churnspark.llm.common import own_name, rank_within, settle, texts
+from churnspark.llm.common import rank_within, settle, texts
 
 #: Buckets of the ranking within one length step.
 RANK_BITS = 10

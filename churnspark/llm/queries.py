@@ -22,6 +22,17 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                       "first_step", "step")
 
 
+def doc_fold(folds: int):
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(folds))
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from churnspark.llm.langid import identify
+    docs = read_table(spark, sf_dir, "documents")
+    out = identify(docs.select("doc_id", "text"), docs.filter(doc_fold(5) != 0))
+    return out.select("doc_id", F.coalesce(doc_fold(5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score", "accepted")
+
+
 def op3_topk_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     from churnspark.llm.topk import exact_top_k
     table = read_table(spark, sf_dir, "embeddings")
@@ -47,5 +58,5 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op3_topk_histogram, op6_line_dedup, op8_packing, op10_sharding)
+    f.__name__: f for f in (op1_quality_rules, op2_language_id, op3_topk_histogram, op6_line_dedup, op8_packing, op10_sharding)
 }

@@ -46,6 +46,11 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from churnspark.llm.neardup import near_duplicates
+    return near_duplicates(read_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from churnspark.llm.packing import pack
     return pack(read_table(spark, sf_dir, "documents"), tokenizer_file())
@@ -58,5 +63,5 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_language_id, op3_topk_histogram, op6_line_dedup, op8_packing, op10_sharding)
+    f.__name__: f for f in (op1_quality_rules, op2_language_id, op3_topk_histogram, op6_line_dedup, op7_near_duplicates, op8_packing, op10_sharding)
 }

@@ -18,12 +18,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from churnspark.llm.bloom import FILTER_POWER, blocks, gather, prober, segment_count
 from churnspark.llm.common import HEAVY_PARTS, SPACE, own_name, settle, texts
 
-#: Bits of a segment (a power of two), as a power of two: 32 KiB.
-SEGMENT_POWER = 18
-
-
 def line_keys(text: bytes | None) -> tuple[list[bytes], list[bytes]]:
     """Lines, and their keys: stripped of white space, A-Z in lower case."""
     lines = (text or b"").split(b"\n")
@@ -34,28 +31,11 @@ def long_enough(key: bytes, least: int) -> bool:
     return len(key) >= least and (len(key) >= 4 * least or len(key.decode("utf-8", "replace")) >= least)
 
 
-def bit_places(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The two bits of a hash inside its segment."""
-    mask = np.uint64((1 << SEGMENT_POWER) - 1)
-    return (hashes & mask).astype(np.int64), ((hashes >> np.uint64(SEGMENT_POWER)) & mask).astype(np.int64)
-
-
-def _blocks(segments: int, least: int):
-    """Map side: per segment the hashes that a stretch of documents has seen, once or more than once."""
-    import pyarrow as pa
-
+def _send(segments: int, least: int):
+    """Map side: the hashes that a stretch of documents has seen; two events per key at most, however often it has it."""
     def out(parts: list[np.ndarray]):
         found, n = np.unique(np.concatenate(parts), return_counts=True)
-        # two events per key at most, however often the stretch has it
-        events = np.concatenate([found, found[n > 1]])
-        where = (events >> np.uint64(40)) % np.uint64(segments)
-        order = np.argsort(where, kind="stable")
-        events, where = events[order], where[order]
-        ids, starts = np.unique(where, return_index=True)
-        pieces = np.split(events, starts[1:])
-        return pa.RecordBatch.from_arrays(
-            [pa.array(ids.astype(np.int32)), pa.array([p.astype("<u8").tobytes() for p in pieces], pa.binary())],
-            ["segment", "hashes"])
+        return blocks(np.concatenate([found, found[n > 1]]), segments)
 
     def run(batches: Iterator):
         parts, held = [], 0
@@ -74,58 +54,6 @@ def _blocks(segments: int, least: int):
     return run
 
 
-def _twice(batches: Iterator):
-    """Reduce side: blocks come sorted by segment; only one segment's two filters are held."""
-    import pyarrow as pa
-    segment, once, twice = None, None, None
-
-    def row():
-        return pa.RecordBatch.from_arrays(
-            [pa.array([segment], pa.int32()), pa.array([np.packbits(twice).tobytes()], pa.binary())],
-            ["segment", "bits"])
-
-    for batch in batches:
-        for s, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if s != segment:
-                if segment is not None and twice.any():
-                    yield row()
-                segment = s
-                once, twice = np.zeros(1 << SEGMENT_POWER, bool), np.zeros(1 << SEGMENT_POWER, bool)
-            for places in bit_places(np.frombuffer(blob, "<u8")):
-                # a bit set by two events of this block, or now and by an earlier block
-                hit, n = np.unique(places, return_counts=True)
-                twice[hit[n > 1]] = True
-                twice[hit[once[hit]]] = True
-                once[hit] = True
-    if segment is not None and twice.any():
-        yield row()
-
-
-def twice_filter(docs: DataFrame, text: str, filter_power: int, least: int) -> dict[int, bytes]:
-    """The twice-seen filter by segment: 2 ** filter_power bits at most."""
-    segments = 1 << max(0, filter_power - SEGMENT_POWER)
-    blocks = docs.select(text).mapInArrow(_blocks(segments, least), "segment int, hashes binary")
-    rows = (blocks.repartition("segment").sortWithinPartitions("segment")
-            .mapInArrow(_twice, "segment int, bits binary").collect())  # its size is that of the filter
-    return {r["segment"]: bytes(r["bits"]) for r in rows}
-
-
-def _prober(shared, segments: int):
-    """Tells which hashes have both bits in the twice-seen filter."""
-    bits = {k: np.unpackbits(np.frombuffer(v, np.uint8)).astype(bool) for k, v in shared.value.items()}
-
-    def probe(hashes: np.ndarray) -> np.ndarray:
-        found = np.zeros(len(hashes), bool)
-        where = (hashes >> np.uint64(40)) % np.uint64(segments)
-        a, b = bit_places(hashes)
-        for i, s in enumerate(where.tolist()):
-            seg = bits.get(s)
-            found[i] = seg is not None and seg[a[i]] and seg[b[i]]
-        return found
-
-    return probe
-
-
 def _suspect_keys(keys: list[bytes], probe, least: int) -> dict[bytes, int]:
     """Suspected keys of a document, with the number of their first line."""
     first: dict[bytes, int] = {}
@@ -139,7 +67,7 @@ def _suspect_keys(keys: list[bytes], probe, least: int) -> dict[bytes, int]:
 
 
 def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_docs: int = 2,
-                keep_first: bool = True, min_chars: int = 1, filter_power: int = 27) -> DataFrame:
+                keep_first: bool = True, min_chars: int = 1, filter_power: int = FILTER_POWER) -> DataFrame:
     """Drop the lines whose key is found in ``min_docs`` documents or more.
 
     Returns every row of ``docs`` with all its columns, the text without the
@@ -153,11 +81,11 @@ def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     """
     import pyarrow as pa
     sc = docs.sparkSession.sparkContext
-    segments = 1 << max(0, filter_power - SEGMENT_POWER)
-    twice = sc.broadcast(twice_filter(docs, text, filter_power, min_chars))
+    segments = segment_count(filter_power)
+    twice = sc.broadcast(gather(docs.select(text).mapInArrow(_send(segments, min_chars), "segment int, hashes binary"), True))
 
     def suspects(batches: Iterator):
-        probe = _prober(twice, segments)
+        probe = prober(twice.value, segments)
         for batch in batches:
             ids, digests, firsts = [], [], []
             for i, t in zip(batch.column(0).to_pylist(), texts(batch.column(1)), strict=True):
@@ -214,13 +142,13 @@ def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
 
     def at_once(batches: Iterator):
         """Documents with no light suspect need nothing from the shuffle."""
-        probe = _prober(twice, segments)
+        probe = prober(twice.value, segments)
         for batch in batches:
             mask = pa.array([not waits(t, probe) for t in texts(batch.column(text_at))], pa.bool_())
             yield clean(batch.filter(mask), None)
 
     def waiting(batches: Iterator):
-        probe = _prober(twice, segments)
+        probe = prober(twice.value, segments)
         for batch in batches:
             yield batch.filter(pa.array([waits(t, probe) for t in texts(batch.column(text_at))], pa.bool_()))
 

@@ -56,6 +56,12 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_table(spark, sf_dir, "documents"), tokenizer_file())
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from churnspark.llm.substrdedup import drop_repeats
+    out = drop_repeats(read_table(spark, sf_dir, "documents").select("doc_id", "text"), keep_layout=False)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from churnspark.llm.sharding import shard
     out = shard(read_table(spark, sf_dir, "documents"), 40)
@@ -63,5 +69,5 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_language_id, op3_topk_histogram, op6_line_dedup, op7_near_duplicates, op8_packing, op10_sharding)
+    f.__name__: f for f in (op1_quality_rules, op2_language_id, op3_topk_histogram, op6_line_dedup, op7_near_duplicates, op8_packing, op9_substring_dedup, op10_sharding)
 }

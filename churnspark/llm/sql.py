@@ -101,9 +101,27 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, d.doc_id = compon
 FROM d JOIN comp ON comp.id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
 """
 
+OP9 = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (
+  SELECT doc_id, i, sha256(array_to_string(w[i:i + 34], ' ')) AS h
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35)),
+twice AS (SELECT h FROM win GROUP BY h HAVING count(*) >= 2),
+hit AS (SELECT doc_id, i FROM win JOIN twice USING (h)),
+word AS (SELECT doc_id, unnest(w) AS v, generate_subscripts(w, 1) AS i FROM d WHERE len(w) > 0),
+gone AS (SELECT DISTINCT doc_id, i FROM (SELECT doc_id, unnest(range(i, i + 35)) AS i FROM hit)),
+kept AS (
+  SELECT word.doc_id, count(*) AS n_words, count(gone.i) AS n_removed,
+         string_agg(v, ' ' ORDER BY word.i) FILTER (gone.i IS NULL) AS t
+  FROM word LEFT JOIN gone ON gone.doc_id = word.doc_id AND gone.i = word.i GROUP BY word.doc_id)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_quality_rules": OP1,
     "op3_topk_histogram": OP3,
     "op6_line_dedup": OP6,
     "op7_near_duplicates": OP7,
+    "op9_substring_dedup": OP9,
 }

@@ -39,6 +39,14 @@ def op3_topk_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(table, table.filter(F.col("vec_id") % 100 == 0), 10)
 
 
+def op4_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from churnspark.llm.toxicity import fit, score
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit(docs, read_table(spark, sf_dir, "labels").filter(doc_fold(4) != 2))
+    out = score(docs, model)
+    return out.select("doc_id", F.coalesce(doc_fold(4) == 2, F.lit(False)).alias("held_out"), "score", "predicted", F.size("spans").alias("n_spans"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from churnspark.llm.linededup import dedup_lines
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -69,5 +77,5 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_language_id, op3_topk_histogram, op6_line_dedup, op7_near_duplicates, op8_packing, op9_substring_dedup, op10_sharding)
+    f.__name__: f for f in (op1_quality_rules, op2_language_id, op3_topk_histogram, op4_toxicity_crf, op6_line_dedup, op7_near_duplicates, op8_packing, op9_substring_dedup, op10_sharding)
 }

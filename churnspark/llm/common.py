@@ -69,10 +69,25 @@ def heavy_light_join(left: DataFrame, right: DataFrame, key: str, count: str) ->
     is_heavy = F.col(count) * F.lit(HEAVY_PARTS) >= F.lit(total)
     heavy, light = right.filter(is_heavy), right.filter(~is_heavy)
     hot = left.join(F.broadcast(heavy), key)
-    cold = left.join(F.broadcast(heavy.select(key)), key, "left_anti").join(light, key)
+    cold = left.join(F.broadcast(heavy), key, "left_anti").join(light, key)
     return hot.unionByName(cold)
 
 
+def row_key(*columns: Column) -> Column:
+    """A 64-bit name of a row's contents."""
+    return F.xxhash64(*columns)
+
+
+def without(df: DataFrame, key: str, gone: DataFrame, most_broadcast: int = 1_000_000) -> DataFrame:
+    """The rows of ``df`` whose 64-bit ``key`` is not in ``gone``; a null key stays.
+
+    ``gone`` is settled and counted: up to ``most_broadcast`` keys go to every task, so
+    that ``df`` is only filtered; more are joined by a shuffle.
+    """
+    gone = settle(gone.select(key).distinct())
+    return df.join(F.broadcast(gone) if gone.count() <= most_broadcast else gone, key, "left_anti")
+
+
 def rank_within(df: DataFrame, key: str, bucket: Column, order: list[Column], out: str) -> DataFrame:
     """Add the row's 0-based rank among the rows of its ``key``, by (bucket, order).
 

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from churnspark.llm.common import SPACE_RE, bind, own_name, settle
+from churnspark.llm.common import SPACE_RE, bind, own_name, row_key, settle
 
 #: measure -> cutoffs in parts per thousand, mildest step first; a text is rejected at step t if its measure is above the t-th.
 LADDER = {
@@ -134,7 +134,7 @@ def choose_steps(good: DataFrame, strata: DataFrame, n_strata: int, stratum: str
 
 def apply_rules(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", stratum: str = "lang",
                 risk: float = 0.01, delta: float = 0.05) -> DataFrame:
-    """One row per row of ``docs``: doc_id, stratum, the measures, base_failed, first_step, step and kept.
+    """One row per row of ``docs``: doc_id, row_key (of id and text), stratum, the measures, base_failed, first_step, step and kept.
 
     base_failed: under 50 words, or over half of the words in repeated 3-word
     windows.  The holdout is every labelled row that passes this base rule; a
@@ -144,7 +144,8 @@ def apply_rules(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", t
     good labels keeps all that passes the base rule.  Repeated rows are judged each
     (and count each in the holdout); a null id has no label.
     """
-    rows = measured(docs.select(F.col(doc_id).alias("doc_id"), F.col(stratum).cast("string").alias("stratum"), F.col(text).alias("text")), "text").drop("text")
+    rows = measured(docs.select(F.col(doc_id).alias("doc_id"), row_key(F.col(doc_id), F.col(text)).alias("row_key"),
+                               F.col(stratum).cast("string").alias("stratum"), F.col(text).alias("text")), "text").drop("text")
     rows = rows.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     rows = settle(rows.withColumn("first_step", first_step()))  # a narrow row for each document, used three times
     fine = labels.groupBy(F.col("doc_id").alias("label_id")).agg(F.max("quality").alias("quality")).filter("quality = 1").select("label_id")

@@ -47,6 +47,22 @@ def op4_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(doc_fold(4) == 2, F.lit(False)).alias("held_out"), "score", "predicted", F.size("spans").alias("n_spans"))
 
 
+def source_domain():
+    """A stand-in for a registry of sources: those numbered 0 to 4 in the last digit are forums, the others press."""
+    return F.when(F.right(F.col("source"), F.lit(1)) < "5", "forum").otherwise("press")
+
+
+#: Target weights of the mix: relative to their siblings, 1 for any other.
+MIX_WEIGHTS = {"domain": {"forum": 2, "press": 3}, "language": {"en": 4, "de": 2, "fr": 2}, "source": {"src1": 3, "src5": 2}}
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from churnspark.llm.mixing import mix
+    docs = read_table(spark, sf_dir, "documents")
+    out = mix(docs, domain=source_domain(), weights=MIX_WEIGHTS, max_epochs=3, seed=7)
+    return out.select("doc_id", "domain", "lang", "source", "tokens", "copies")
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from churnspark.llm.linededup import dedup_lines
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -76,6 +92,11 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("law", F.lit("bytes")).withColumn("grown_shard", F.lit(None).cast("int"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_language_id, op3_topk_histogram, op4_toxicity_crf, op6_line_dedup, op7_near_duplicates, op8_packing, op9_substring_dedup, op10_sharding)
+    f.__name__: f for f in (op1_quality_rules, op2_language_id, op3_topk_histogram, op4_toxicity_crf, op5_mixing, op6_line_dedup, op7_near_duplicates, op8_packing, op9_substring_dedup, op10_sharding, pipeline)
 }

@@ -64,6 +64,53 @@ WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id)
 QUALIFY rank <= 10
 """
 
+def _split(table: str, above: str, path: list[str], weight: str) -> str:
+    """One level of the budget tree: children full in the order of supply / weight, the rest by running whole shares."""
+    name, parents = path[-1], path[:-1]
+    same = " AND ".join(f"n.{p} IS NOT DISTINCT FROM u.{p}" for p in parents) or "TRUE"
+    part = f"PARTITION BY {', '.join(parents)}" if parents else ""
+    return f"""
+{table}_n AS (
+  SELECT {', '.join(f'n.{p}' for p in path)}, s, w, u.b AS p
+  FROM (SELECT {', '.join(path)}, CAST(sum(tokens) * 3 AS HUGEINT) AS s, CAST({weight} AS HUGEINT) AS w FROM leaf GROUP BY {', '.join(path)}) AS n
+  JOIN {above} AS u ON {same}),
+{table}_o AS (
+  SELECT *, row_number() OVER ({part} ORDER BY CASE WHEN s = 0 THEN -1 ELSE s / w END, {name} NULLS FIRST) AS i FROM {table}_n),
+{table}_f AS (
+  SELECT *, s = 0 OR s * sum(w) OVER ({part} ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
+    <= w * (p - coalesce(sum(s) OVER ({part} ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS f FROM {table}_o),
+{table}_g AS (SELECT *, bool_and(f) OVER ({part} ORDER BY i) AS a FROM {table}_f),
+{table}_h AS (
+  SELECT *, p - coalesce(sum(s) FILTER (a) OVER ({part}), 0) AS r, sum(w) FILTER (NOT a) OVER ({part}) AS wo,
+         sum(w) FILTER (NOT a) OVER ({part} ORDER BY i) AS wu FROM {table}_g),
+{table} AS (
+  SELECT {', '.join(path)}, CAST(CASE WHEN a THEN s ELSE CAST(r * wu AS HUGEINT) // CAST(wo AS HUGEINT) - CAST(r * (wu - w) AS HUGEINT) // CAST(wo AS HUGEINT) END AS HUGEINT) AS b
+  FROM {table}_h),"""
+
+
+OP5 = r"""
+WITH d AS (
+  SELECT doc_id, CASE WHEN right(source, 1) < '5' THEN 'forum' ELSE 'press' END AS domain, lang, source,
+         CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS tokens
+  FROM documents),
+leaf AS (SELECT domain, lang, source, sum(tokens) AS tokens FROM d GROUP BY ALL),
+root AS (SELECT CAST(sum(tokens) AS HUGEINT) AS b FROM leaf),""" + _split(
+    "l1", "root", ["domain"], "CASE domain WHEN 'forum' THEN 2 WHEN 'press' THEN 3 ELSE 1 END") + _split(
+    "l2", "l1", ["domain", "lang"], "CASE lang WHEN 'en' THEN 4 WHEN 'de' THEN 2 WHEN 'fr' THEN 2 ELSE 1 END") + _split(
+    "l3", "l2", ["domain", "lang", "source"], "CASE source WHEN 'src1' THEN 3 WHEN 'src5' THEN 2 ELSE 1 END") + """
+plan AS (
+  SELECT leaf.*, CASE WHEN tokens > 0 THEN b // tokens ELSE 0 END AS epochs, b - CASE WHEN tokens > 0 THEN (b // tokens) * tokens ELSE 0 END AS remains
+  FROM leaf JOIN l3 ON leaf.domain = l3.domain AND leaf.lang IS NOT DISTINCT FROM l3.lang AND leaf.source IS NOT DISTINCT FROM l3.source),
+laid AS (
+  SELECT d.*, plan.tokens AS leaf_tokens, epochs, remains,
+         sum(d.tokens) OVER (PARTITION BY d.domain, d.lang, d.source
+           ORDER BY substr(md5('7:' || CAST(epochs AS VARCHAR) || ':' || CAST(doc_id AS VARCHAR)), 1, 12), CAST(doc_id AS VARCHAR)) AS upto
+  FROM d JOIN plan ON d.domain = plan.domain AND d.lang IS NOT DISTINCT FROM plan.lang AND d.source IS NOT DISTINCT FROM plan.source)
+SELECT doc_id, domain, lang, source, tokens,
+       CAST(epochs + CASE WHEN (remains > 0 OR leaf_tokens = 0) AND upto <= remains THEN 1 ELSE 0 END AS INTEGER) AS copies
+FROM laid
+"""
+
 OP6 = r"""
 WITH lines AS (
   SELECT doc_id, generate_subscripts(l, 1) AS i, unnest(l) AS line
@@ -121,6 +168,7 @@ FROM d LEFT JOIN kept USING (doc_id)
 ORACLE_SQL: dict[str, str] = {
     "op1_quality_rules": OP1,
     "op3_topk_histogram": OP3,
+    "op5_mixing": OP5,
     "op6_line_dedup": OP6,
     "op7_near_duplicates": OP7,
     "op9_substring_dedup": OP9,

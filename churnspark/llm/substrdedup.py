@@ -18,8 +18,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from churnspark.llm.bloom import row_key, split_by_keys
-from churnspark.llm.common import WordHashes, own_name, settle, texts
+from churnspark.llm.bloom import split_by_keys
+from churnspark.llm.common import WordHashes, own_name, row_key, settle, texts
 
 #: A perfect difference set: every residue modulo 21 is a difference of two of its members.
 PERIOD, COVER = 21, (0, 1, 6, 8, 18)

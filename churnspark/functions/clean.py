@@ -157,7 +157,3 @@ def clean_strict(df: DataFrame, fitted: dict | None = None) -> DataFrame:
 def drop_nulls(df: DataFrame, subset=None) -> DataFrame:
     """drop rows holding a NULL (or NaN) in any (subset) column."""
     return df.na.drop(how="any", subset=subset)
-
-
-def any_null(cols) -> Column:
-    return reduce(lambda a, b: a | b, [F.col(c).isNull() for c in cols])

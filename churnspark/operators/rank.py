@@ -18,6 +18,16 @@ from pyspark.sql import functions as F
 from churnspark.session import default_buckets
 
 
+def _join_offsets(df: DataFrame, offsets: DataFrame, on) -> DataFrame:
+    """Broadcast join that treats NULL keys as equal, so no row is lost."""
+    other = offsets.withColumnsRenamed({c: f"_o_{c}" for c in on})
+    cond = None
+    for c in on:
+        eq = F.col(c).eqNullSafe(F.col(f"_o_{c}"))
+        cond = eq if cond is None else cond & eq
+    return df.join(F.broadcast(other), cond, "inner")
+
+
 def hash_key(key: Column, seed: int | str) -> Column:
     """md5 of 'seed:key' as lowercase hex - identical in Spark SQL and DuckDB."""
     return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))
@@ -29,7 +39,8 @@ def hashed_rank(df: DataFrame, key: str, seed: int | str, partition_cols=(),
 
     Buckets are the first ``prefix_hex`` hex digits of the hash (16**prefix_hex
     of them), which are monotone in the hash order.  The per-bucket count table
-    holds at most |groups| * 16**prefix_hex rows.
+    holds at most |groups| * 16**prefix_hex rows.  A NULL key or group is a value
+    like any other: its rows are ranked too (NULL keys first).
     """
     pc = list(partition_cols)
     h = hash_key(F.col(key), seed)
@@ -38,7 +49,7 @@ def hashed_rank(df: DataFrame, key: str, seed: int | str, partition_cols=(),
     counts = d.groupBy(*pc, "_b").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy(*pc).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*pc, "_b", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
-    joined = d.join(F.broadcast(offsets), on=[*pc, "_b"], how="inner")
+    joined = _join_offsets(d, offsets, [*pc, "_b"])
     w2 = Window.partitionBy(*pc, "_b").orderBy("_h", key)
     return joined.withColumn(out, (F.row_number().over(w2) + F.col("_off")).cast("long")) \
         .select(*df.columns, out)
@@ -84,7 +95,7 @@ def running_sums(df: DataFrame, order_col: str, sum_cols, partition_cols=(),
     offsets = bt.select(*pc, "_b", *[
         F.coalesce(F.sum(f"_bt_{c}").over(wb), F.lit(0)).alias(f"_off_{c}") for c in sums
     ])
-    joined = d.join(F.broadcast(offsets), on=[*pc, "_b"], how="inner")
+    joined = _join_offsets(d, offsets, [*pc, "_b"])
     oorder = F.col(order_col).desc() if descending else F.col(order_col).asc()
     w = Window.partitionBy(*pc, "_b").orderBy(oorder) \
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)

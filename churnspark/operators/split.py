@@ -1,15 +1,17 @@
 """Repeatable splits, folds, samples and class weights.
 
 Row order inside each class comes from md5('<seed>:<key>') - stable under any
-repartitioning or input order and identical in other SQL engines.  Ranks come
-from the two-level helper, never from one window per class.
+repartitioning or input order and identical in other SQL engines.  A split only
+needs to know where the quota ends: the hash of each class's last test row is
+found by counts, and the wide rows are compared with it where they are.  Folds
+take ranks from the two-level helper, never from one window per class.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from churnspark import schema as S
@@ -18,8 +20,11 @@ from churnspark.operators.rank import hash_key, hashed_rank
 
 def class_counts(df: DataFrame, label: str = "label") -> dict:
     """Rows per class (one tiny aggregate; the class domain is bounded)."""
-    return {r[label]: int(r["n"]) for r in
-            df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = {r[label]: int(r["n"]) for r in
+              df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
+    if None in counts:
+        raise ValueError(f"{counts[None]} rows have a NULL {label!r}; a class is needed for every row")
+    return counts
 
 
 def test_quotas(counts: dict, test_frac: float) -> dict:
@@ -47,14 +52,51 @@ def _lookup(col: Column, mapping: dict, default=None) -> Column:
     return expr.otherwise(F.lit(default))
 
 
+def _cutoffs(df: DataFrame, key: str, seed: int, quota: dict, label: str | None) -> dict:
+    """Per class the (hash, key) of its ``quota``-th row in hash order; None for a quota of 0.
+
+    Counts by hash prefix find the prefix that holds the row; only that prefix's
+    rows (1 in 65536 of the class) are put in order.
+    """
+    wanted = {c: q for c, q in quota.items() if q > 0}
+    if not wanted:
+        return {}
+    group = F.col(label) if label else F.lit(0)
+    q = _lookup(F.col("_c"), wanted, None)
+    rows = df.select(group.alias("_c"), hash_key(F.col(key), seed).alias("_h"), F.col(key).cast("string").alias("_k")) \
+        .withColumns({"_p": F.substring("_h", 1, 4), "_q": q}).where(F.col("_q").isNotNull())
+    upto = Window.partitionBy("_c").orderBy(F.col("_p").asc_nulls_first()) \
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    edge = rows.groupBy("_c", "_q", "_p").agg(F.count(F.lit(1)).alias("_n")) \
+        .withColumn("_upto", F.sum("_n").over(upto)).where(F.col("_upto") >= F.col("_q")) \
+        .groupBy("_c").agg(F.min(F.struct("_upto", "_n", F.col("_p").alias("p"))).alias("_e")) \
+        .select(F.col("_c").alias("_ec"), F.col("_e.p").alias("_ep"), (F.col("_e._upto") - F.col("_e._n")).alias("_before"))
+    inside = Window.partitionBy("_c").orderBy(F.col("_h").asc_nulls_first(), F.col("_k").asc_nulls_first())
+    last = rows.join(F.broadcast(edge), (F.col("_c") == F.col("_ec")) & F.col("_p").eqNullSafe(F.col("_ep"))) \
+        .withColumn("_r", F.row_number().over(inside) + F.col("_before")).where(F.col("_r") == F.col("_q"))
+    return {r["_c"]: (r["_h"], r["_k"]) for r in last.select("_c", "_h", "_k").collect()}   # a row per class
+
+
+def _up_to(df: DataFrame, key: str, seed: int, quota: dict, label: str | None) -> Column:
+    """True for the first ``quota`` rows of each class in hash order: a comparison with literals."""
+    h, k = hash_key(F.col(key), seed), F.col(key).cast("string")
+    out = F.lit(False)
+    for c, (hc, kc) in _cutoffs(df, key, seed, quota, label).items():
+        if hc is None:             # the last row has a NULL key: only such rows come before it
+            before = h.isNull()
+        else:
+            before = h.isNull() | (h < F.lit(hc)) | ((h == F.lit(hc)) & (k <= F.lit(kc)))
+        mine = before if label is None else (F.col(label) == F.lit(c)) & before
+        out = out | mine
+    return out
+
+
 def stratified_split(df: DataFrame, label: str = "label", key: str = S.KEY,
                      test_frac: float = 0.2, seed: int = S.SEED,
                      out: str = "split") -> DataFrame:
     """Adds ``split`` = 'test' for the first quota rows of each class, else 'train'."""
     quota = test_quotas(class_counts(df, label), test_frac)
-    ranked = hashed_rank(df, key, seed, [label], out="_rank")
-    is_test = F.col("_rank") <= _lookup(F.col(label), quota, 0)
-    return ranked.withColumn(out, F.when(is_test, "test").otherwise("train")).drop("_rank")
+    return df.withColumn(out, F.when(_up_to(df, key, seed, quota, label), "test").otherwise("train"))
 
 
 def plain_split(df: DataFrame, key: str = S.KEY, test_frac: float = 0.2,
@@ -62,14 +104,14 @@ def plain_split(df: DataFrame, key: str = S.KEY, test_frac: float = 0.2,
     """Unstratified: the first ceil(n * test_frac) rows in hash order are test."""
     n = df.count()
     n_test = int(math.ceil(test_frac * n))
-    ranked = hashed_rank(df, key, seed, [], out="_rank")
-    return ranked.withColumn(out, F.when(F.col("_rank") <= n_test, "test").otherwise("train")) \
-        .drop("_rank")
+    return df.withColumn(out, F.when(_up_to(df, key, seed, {0: n_test}, None), "test").otherwise("train"))
 
 
 def stratified_folds(df: DataFrame, k: int = 5, label: str = "label", key: str = S.KEY,
                      seed: int = S.SEED, out: str = "fold") -> DataFrame:
-    """fold = (rank within class - 1) mod k, an int column usable as ``foldCol``."""
+    """fold = (rank within class - 1) mod k, an int column usable as ``foldCol``.
+
+    Rows with a NULL label form a class of their own: none is lost."""
     ranked = hashed_rank(df, key, seed, [label], out="_rank")
     return ranked.withColumn(out, ((F.col("_rank") - 1) % k).cast("int")).drop("_rank")
 

@@ -28,12 +28,12 @@ from churnspark.plans import learners as L
 from churnspark.plans import tune as T
 from churnspark.session import materialize
 
-_ML_OUT = ("features", "rff", "rawPrediction", "probability", "prediction", "weight", "_is_val")
-
 
 def add_member_score(df: DataFrame, model, out: str) -> DataFrame:
-    """Append ``out`` = P(churn) of ``model`` while keeping ``df``'s columns intact."""
+    """Append ``out`` = P(churn) of ``model`` (a pipeline or an ensemble) while keeping ``df``'s columns intact."""
     cols = df.columns
+    if not isinstance(model, PipelineModel):
+        return model.transform(df, out).select(*[F.col(f"`{c}`") for c in cols], out)
     packed = df.withColumn("_orig", F.struct(*[F.col(f"`{c}`") for c in cols]))
     scored = L.score(model, packed, out="_p")
     return scored.select(*[F.col("_orig")[c].alias(c) for c in cols], F.col("_p").alias(out))
@@ -122,7 +122,10 @@ class CalibratedModel:
 
 def _save_members(path: str, kind: str, members: dict, extra: dict):
     for name, m in members.items():
-        m.write().overwrite().save(os.path.join(path, name))
+        if isinstance(m, PipelineModel):
+            m.write().overwrite().save(os.path.join(path, name))
+        else:
+            m.save(os.path.join(path, name))
     manifest = {"kind": kind, "members": list(members), "extra": extra}
     from pyspark.sql import SparkSession
     ss = SparkSession.getActiveSession()
@@ -134,7 +137,7 @@ def _load_members(path: str):
     from pyspark.sql import SparkSession
     ss = SparkSession.getActiveSession()
     man = json.loads(ss.read.text(os.path.join(path, "_manifest")).first()[0])
-    return man, {n: PipelineModel.load(os.path.join(path, n)) for n in man["members"]}
+    return man, {n: load_any(os.path.join(path, n)) for n in man["members"]}
 
 
 def load_any(path: str):
@@ -156,13 +159,27 @@ def fit_voting(keys, train: DataFrame, overrides: dict | None = None) -> VotingM
     return VotingModel({k: L.fit(k, train, overrides=(overrides or {}).get(k)) for k in keys})
 
 
+def _fit_member(key: str, rows: DataFrame, overrides, features):
+    """A member on raw rows, or with ``features`` on rows that stage has encoded (then a
+    model of encoded rows, see ``_whole``)."""
+    if features is None:
+        return L.fit(key, rows, overrides=overrides)
+    return PipelineModel(L.fit_vectors(key, features, rows, overrides).stages[1:])
+
+
+def _whole(model, features):
+    """The model for raw rows."""
+    return model if features is None else PipelineModel([features, *model.stages])
+
+
 def fit_stacking(keys, train: DataFrame, k: int = 5, overrides: dict | None = None,
-                 max_iter: int = 200, parallelism: int = 2) -> StackingModel:
+                 max_iter: int = 200, parallelism: int = 2, features=None) -> StackingModel:
     """Out-of-fold member scores (fold by fold, member after member on the same
     held-out frame) -> LogisticRegression; members refit on all rows.
 
     The k folds, and then the member refits, run as independent jobs, up to
-    ``parallelism`` at once."""
+    ``parallelism`` at once.  With ``features``, a fitted feature stage, ``train``
+    holds rows that it has encoded (resampled ones, say)."""
     overrides = overrides or {}
     keys = list(keys)
     folded = T.with_folds(train, k)
@@ -172,8 +189,7 @@ def fit_stacking(keys, train: DataFrame, k: int = 5, overrides: dict | None = No
         held = folded.where(F.col(T.FOLD) == f).select(S.KEY, "label", *[
             c for c in train.columns if c not in (S.KEY, "label")])
         for key in keys:
-            held = add_member_score(held, L.fit(key, fit_rows, overrides=overrides.get(key)),
-                                    f"p_{key}")
+            held = add_member_score(held, _fit_member(key, fit_rows, overrides.get(key), features), f"p_{key}")
         return held.select(S.KEY, "label", *[f"p_{key}" for key in keys])
 
     try:
@@ -193,24 +209,30 @@ def fit_stacking(keys, train: DataFrame, k: int = 5, overrides: dict | None = No
     finally:
         oof.unpersist()
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as ex:
-        fitted = list(ex.map(lambda key: L.fit(key, train, overrides=overrides.get(key)), keys))
+        fitted = list(ex.map(lambda key: _whole(_fit_member(key, train, overrides.get(key), features), features), keys))
     return StackingModel(dict(zip(keys, fitted)), meta)
 
 
-def fit_calibrated(key: str, train: DataFrame, cv: int = 3, overrides=None,
-                   parallelism: int = 2) -> CalibratedModel:
+def fit_calibrated(base, train: DataFrame, cv: int = 3, overrides=None,
+                   parallelism: int = 2, features=None) -> CalibratedModel:
     """Per fold, fit the base on the other folds and an isotonic map on this one.
 
-    Folds are independent Spark jobs; up to ``parallelism`` of them run at once
-    (as ``CrossValidator(parallelism=...)`` does), each with its own persisted input.
+    ``base`` is a learner's key, or a function from rows to a fitted model (an
+    ensemble, say).  Folds are independent Spark jobs; up to ``parallelism`` of them
+    run at once (as ``CrossValidator(parallelism=...)`` does), each with its own
+    persisted input.  ``features``: as in :func:`fit_stacking`.
     """
     folded = T.with_folds(train, cv)
 
     def one(f: int):
-        base = L.fit(key, folded.where(F.col(T.FOLD) != f), overrides=overrides)
-        held = L.score(base, folded.where(F.col(T.FOLD) == f), keep=["label"])
+        rows = folded.where(F.col(T.FOLD) != f).drop(T.FOLD)
+        whole = base(rows) if callable(base) else _whole(_fit_member(base, rows, overrides, features), features)
+        scorer = whole
+        if features is not None:       # held-out rows are encoded already
+            scorer = encoded_part(whole)
+        held = add_member_score(folded.where(F.col(T.FOLD) == f).drop(T.FOLD), scorer, "score").select("label", "score")
         iso = IsotonicRegression(featuresCol="score", labelCol="label", isotonic=True).fit(held)
-        return base, iso
+        return whole, iso
 
     try:
         with ThreadPoolExecutor(max_workers=max(1, parallelism)) as ex:
@@ -220,6 +242,14 @@ def fit_calibrated(key: str, train: DataFrame, cv: int = 3, overrides=None,
     return CalibratedModel(parts)
 
 
+def encoded_part(model):
+    """The part of a model after its feature stage, to score encoded rows."""
+    if isinstance(model, PipelineModel):
+        return PipelineModel(model.stages[1:])
+    members = {n: encoded_part(m) for n, m in model.members.items()}
+    return StackingModel(members, model.meta) if isinstance(model, StackingModel) else VotingModel(members)
+
+
 def evaluate(model, df: DataFrame, name: str, threshold: float = S.DEFAULT_THRESHOLD) -> DataFrame:
     """Metric row of an ensemble (or any model) at the threshold."""
     s = model.transform(df) if not isinstance(model, PipelineModel) else L.score(model, df)

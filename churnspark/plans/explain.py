@@ -3,12 +3,13 @@
 * H1 :func:`tree_shap` - exact path-dependent TreeSHAP (Lundberg et al.,
   2018) for Spark decision trees, random forests and boosted trees.  The tree
   table (bounded by trees x 2^depth nodes) is read from the saved model and
-  shipped to the tasks; rows are explained batch by batch in ``mapInPandas``.
+  shipped to the tasks; ``mapInPandas`` explains a batch of rows at once, leaf
+  path by leaf path.
   Output space: P(churn) for trees/forests, the margin for boosted trees.
 * H2 :func:`sampling_shapley` - Monte-Carlo Shapley values (Strumbelj &
-  Kononenko, 2014): rows x features x draws are expanded as a DataFrame, the
-  two perturbed vectors are built with array functions and scored by the
-  classifier stage in one pass.
+  Kononenko, 2014): rows x draws x steps are expanded as a DataFrame, the
+  mixed vectors are built with array functions and scored by the classifier
+  stage in one pass.
 * H3 :func:`permutation_importance` - each feature x repeat permutes the column
   inside hash buckets (positions under two seeds, an equi-join on
   bucket + position: no global sort), and the metric drop is averaged.
@@ -16,6 +17,7 @@
 
 from __future__ import annotations
 
+import math
 import os
 import uuid
 
@@ -40,7 +42,7 @@ def tree_table(clf) -> tuple[list[dict], list[float], str]:
     from pyspark.sql import SparkSession
     spark = SparkSession.getActiveSession()
     base = ensure_checkpoint_dir(spark)
-    path = os.path.join(base.replace("file:", ""), f"trees-{uuid.uuid4().hex}")
+    path = os.path.join(base, f"trees-{uuid.uuid4().hex}")
     clf.write().overwrite().save(path)
     data = spark.read.parquet(os.path.join(path, "data"))
     if "treeID" in data.columns:
@@ -98,73 +100,58 @@ def tree_table(clf) -> tuple[list[dict], list[float], str]:
 
 # ---------------------------------------------------------------- TreeSHAP core
 
-def _goes_left(t, node, x) -> bool:
-    c = t["cats"][node]
-    v = x[t["feat"][node]]
-    return (v in c) if c is not None else (v <= t["thr"][node])
-
-
-def _extend(path, zf, of, fi):
-    d = len(path)
-    path.append([fi, zf, of, 1.0 if d == 0 else 0.0])
-    for i in range(d - 1, -1, -1):
-        path[i + 1][3] += of * path[i][3] * (i + 1) / (d + 1)
-        path[i][3] = zf * path[i][3] * (d - i) / (d + 1)
-
-
-def _unwind(path, idx):
-    d = len(path) - 1
-    of, zf = path[idx][2], path[idx][1]
-    nxt = path[d][3]
-    for i in range(d - 1, -1, -1):
-        if of != 0:
-            tmp = path[i][3]
-            path[i][3] = nxt * (d + 1) / ((i + 1) * of)
-            nxt = tmp - path[i][3] * zf * (d - i) / (d + 1)
-        else:
-            path[i][3] = path[i][3] * (d + 1) / (zf * (d - i))
-    for i in range(idx, d):
-        path[i][0], path[i][1], path[i][2] = path[i + 1][0], path[i + 1][1], path[i + 1][2]
-    path.pop()
-
-
-def _unwound_sum(path, idx) -> float:
-    d = len(path) - 1
-    of, zf = path[idx][2], path[idx][1]
-    nxt = path[d][3]
-    total = 0.0
-    for i in range(d - 1, -1, -1):
-        if of != 0:
-            tmp = nxt * (d + 1) / ((i + 1) * of)
-            total += tmp
-            nxt = path[i][3] - tmp * zf * ((d - i) / (d + 1))
-        else:
-            total += (path[i][3] / zf) / ((d - i) / (d + 1))
-    return total
-
-
-def _recurse(t, x, phi, node, path, zf, of, fi, scale):
-    path = [list(e) for e in path]
-    _extend(path, zf, of, fi)
-    if t["left"][node] < 0:
-        for i in range(1, len(path)):
-            w = _unwound_sum(path, i)
-            phi[path[i][0]] += scale * w * (path[i][2] - path[i][1]) * t["value"][node]
-        return
-    hot, cold = (t["left"][node], t["right"][node]) if _goes_left(t, node, x) else \
-        (t["right"][node], t["left"][node])
-    cov = t["cover"][node]
-    hz = t["cover"][hot] / cov if cov > 0 else 0.0
-    cz = t["cover"][cold] / cov if cov > 0 else 0.0
-    iz, io = 1.0, 1.0
-    split = t["feat"][node]
-    for k in range(1, len(path)):
-        if path[k][0] == split:
-            iz, io = path[k][1], path[k][2]
-            _unwind(path, k)
-            break
-    _recurse(t, x, phi, hot, path, hz * iz, io, split, scale)
-    _recurse(t, x, phi, cold, path, cz * iz, 0.0, split, scale)
+def leaf_paths(t) -> list[tuple]:
+    """(value, features, cover ratios, tests) for every leaf; tests: per feature its (node, goes left?) on the path."""
+    out, todo = [], [(0, {})]
+    while todo:
+        node, held = todo.pop()
+        if t["left"][node] < 0:
+            feats = list(held)
+            out.append((t["value"][node], feats, [held[f][0] for f in feats], [held[f][1] for f in feats]))
+            continue
+        f, cover = int(t["feat"][node]), t["cover"][node]
+        for child, left in ((t["left"][node], True), (t["right"][node], False)):
+            z, tests = held.get(f, (1.0, ()))
+            ratio = t["cover"][child] / cover if cover > 0 else 0.0
+            todo.append((child, {**held, f: (z * ratio, (*tests, (node, left)))}))
+    return out
+
+
+def path_shares(z: np.ndarray, o: np.ndarray) -> np.ndarray:
+    """Shapley values of a leaf with value 1, for rows of 0/1 ``o``: the game pays the
+    product of o over the features present and of z over those absent."""
+    n, m = o.shape
+    weight = np.array([1.0 / (m * math.comb(m - 1, k)) for k in range(m)])
+    out = np.empty((n, m))
+    for i in range(m):
+        poly = np.zeros((n, m))
+        poly[:, 0] = 1.0
+        for d, j in enumerate(j for j in range(m) if j != i):
+            poly[:, 1 : d + 2] = poly[:, 1 : d + 2] * z[j] + poly[:, : d + 1] * o[:, j : j + 1]
+            poly[:, 0] *= z[j]
+        out[:, i] = (o[:, i] - z[i]) * (poly @ weight)
+    return out
+
+
+def shap_batch(trees, weights, x: np.ndarray) -> np.ndarray:
+    """Path-dependent TreeSHAP of all rows at once, leaf path by leaf path."""
+    phi = np.zeros(x.shape)
+    for t, w in zip(trees, weights):
+        inner = np.flatnonzero(t["left"] >= 0)
+        goes_left = {int(i): np.isin(x[:, t["feat"][i]], list(t["cats"][i])) if t["cats"][i] is not None
+                     else x[:, t["feat"][i]] <= t["thr"][i] for i in inner}
+        for value, feats, z, tests in leaf_paths(t):
+            if not feats:
+                continue
+            one = np.ones((len(x), len(feats)), bool)
+            for j, nodes in enumerate(tests):
+                for node, left in nodes:
+                    one[:, j] &= goes_left[node] == left
+            # rows that pass the same tests get the same shares
+            code, back = np.unique(one @ (1 << np.arange(len(feats))), return_inverse=True)
+            shares = path_shares(np.asarray(z), ((code[:, None] >> np.arange(len(feats))) & 1).astype(float))
+            phi[:, feats] += w * value * shares[back]
+    return phi
 
 
 def expected_value(t) -> float:
@@ -172,16 +159,9 @@ def expected_value(t) -> float:
     return float((t["value"][leaves] * t["cover"][leaves]).sum() / t["cover"][leaves].sum())
 
 
-def shap_row(trees, weights, x, p) -> np.ndarray:
-    phi = np.zeros(p)
-    for t, w in zip(trees, weights):
-        _recurse(t, x, phi, 0, [], 1.0, 1.0, -1, w)
-    return phi
-
-
 def tree_shap(model: PipelineModel, df: DataFrame, key: str = S.KEY,
               features: str = "features") -> tuple[DataFrame, float, str]:
-    """H1: (key, phi array<double>, output) for every row; returns (frame, base value, space)."""
+    """H1: (key, phi array<double>, output, x) for every row; returns (frame, base value, space)."""
     clf = model.stages[-1]
     trees, weights, space = tree_table(clf)
     base = float(sum(w * expected_value(t) for t, w in zip(trees, weights)))
@@ -196,63 +176,65 @@ def tree_shap(model: PipelineModel, df: DataFrame, key: str = S.KEY,
 
     def explain(batches):
         for pdf in batches:
-            phis = []
-            for xv in pdf["_x"]:
-                x = np.asarray(xv, dtype=float)
-                phis.append(shap_row(trees, weights, x, len(x)).tolist())
-            yield pd.DataFrame({key: pdf[key], "phi": phis, "output": pdf["output"]})
+            if len(pdf):
+                phi = shap_batch(trees, weights, np.stack(pdf["_x"].to_numpy()))
+                yield pd.DataFrame({key: pdf[key], "phi": phi.tolist(), "output": pdf["output"], "x": pdf["_x"]})
 
-    res = rows.mapInPandas(explain, f"`{key}` string, phi array<double>, output double")
+    res = rows.mapInPandas(explain, f"`{key}` string, phi array<double>, output double, x array<double>")
     return res, base, space
 
 
-def shap_long(phi_df: DataFrame, names, key: str = S.KEY, values: DataFrame | None = None) -> DataFrame:
-    """Wide phi arrays -> (key, feature, contribution) via posexplode."""
+def shap_long(phi_df: DataFrame, names, key: str = S.KEY) -> DataFrame:
+    """Wide phi and x arrays -> (key, feature, feature_value, contribution)."""
     nm = F.array(*[F.lit(n) for n in names])
-    return phi_df.select(key, F.posexplode("phi").alias("i", "contribution")) \
-        .select(key, F.element_at(nm, F.col("i") + 1).alias("feature"), "contribution")
+    return phi_df.select(key, "x", F.posexplode("phi").alias("i", "contribution")) \
+        .select(key, F.element_at(nm, F.col("i") + 1).alias("feature"), F.get("x", F.col("i")).alias("feature_value"), "contribution")
 
 
 # ---------------------------------------------------------------- H2
 
+#: Background rows that are broadcast at most.
+MAX_BACKGROUND = 10_000
+
+
 def sampling_shapley(model: PipelineModel, rows: DataFrame, background: DataFrame,
                      draws: int = 100, seed: int = S.SEED, key: str = S.KEY,
                      features: str = "features") -> DataFrame:
     """H2: (key, feature index i, phi) by permutation sampling against a background set.
 
-    ``background`` should already be a capped sample (the feature's own limit)."""
+    Each draw of a row takes one background row and one order of the features, and
+    walks from the background to the row feature by feature: p + 1 evaluations, whose
+    differences are the contributions.  They sum to f(x) minus the mean output over
+    the row's own draws.  ``background`` is a capped sample (the feature's own limit).
+    """
     feat_model = PipelineModel(model.stages[:-1])
     clf = model.stages[-1]
     x = feat_model.transform(rows).select(key, vector_to_array(features).alias("x"))
     bg = feat_model.transform(background).select(vector_to_array(features).alias("z"))
-    bg = bg.withColumn("b", F.row_number().over(Window.orderBy(F.xxhash64("z"))) - 1)
     nbg = bg.count()
+    if nbg > MAX_BACKGROUND:
+        raise ValueError(f"{nbg} background rows; {MAX_BACKGROUND} at most, see capped_sample")
+    bg = bg.withColumn("b", F.row_number().over(Window.orderBy(F.xxhash64("z"))) - 1)
     p = len(x.first()["x"])
-    e = x.select(key, "x", F.explode(F.sequence(F.lit(0), F.lit(p - 1))).alias("j")) \
-        .select(key, "x", "j", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("s"))
-    e = e.withColumn("b", F.pmod(F.xxhash64(F.lit(seed), F.col(key), F.col("j"), F.col("s")),
-                                 F.lit(nbg)))
-    # background has at most the capped sample's rows: size-bounded broadcast
-    e = e.join(F.broadcast(bg), "b")
-
-    def rank_of(i):
-        return F.xxhash64(F.lit(seed + 1), F.col(key), F.col("s"), i)
-
-    before = lambda i: rank_of(i) < rank_of(F.col("j"))
     idx = F.sequence(F.lit(0), F.lit(p - 1))
-    plus = F.transform(idx, lambda i: F.when(before(i) | (i == F.col("j")), F.col("x")[i])
-                       .otherwise(F.col("z")[i]))
-    minus = F.transform(idx, lambda i: F.when(before(i) & (i != F.col("j")), F.col("x")[i])
-                        .otherwise(F.col("z")[i]))
-    both = e.select(key, "j", "s", F.explode(F.array(
-        F.struct(F.lit(1.0).alias("sign"), plus.alias("v")),
-        F.struct(F.lit(-1.0).alias("sign"), minus.alias("v")))).alias("t")) \
-        .select(key, "j", "s", "t.sign", array_to_vector("t.v").alias(features))
-    scored = clf.transform(both)
+    e = x.select(key, "x", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("s")) \
+        .withColumn("b", F.pmod(F.xxhash64(F.lit(seed), F.col(key), F.col("s")), F.lit(nbg)))
+    e = e.join(F.broadcast(bg), "b")
+    order = F.transform(F.array_sort(F.transform(idx, lambda i: F.struct(
+        F.xxhash64(F.lit(seed + 1), F.col(key), F.col("s"), i).alias("h"), i.alias("i")))), lambda r: r["i"])
+    e = e.withColumn("order", order)
+    e = e.withColumn("place", F.transform(idx, lambda i: F.array_position("order", i)))
+    step = e.select(key, "order", "place", "x", "z", F.explode(F.sequence(F.lit(0), F.lit(p))).alias("t"))
+    mixed = F.transform(idx, lambda i: F.when(F.get("place", i) <= F.col("t"), F.get("x", i)).otherwise(F.get("z", i)))
+    scored = clf.transform(step.select(key, F.get("order", F.col("t") - 1).alias("now"), F.get("order", F.col("t")).alias("next"),
+                                       array_to_vector(mixed).alias(features)))
     out = vector_to_array("probability")[1] if "probability" in scored.columns else \
         vector_to_array("rawPrediction")[1]
-    return scored.groupBy(key, "j").agg((F.sum(F.col("sign") * out) / F.lit(float(draws)))
-                                        .alias("phi")).withColumnRenamed("j", "i")
+    # the output with the feature just added, less that before the next one
+    parts = scored.select(key, F.explode(F.array(
+        F.struct(F.col("now").alias("i"), out.alias("v")),
+        F.struct(F.col("next").alias("i"), (-out).alias("v")))).alias("d")).select(key, "d.i", "d.v").where(F.col("i").isNotNull())
+    return parts.groupBy(key, "i").agg((F.sum("v") / F.lit(float(draws))).alias("phi"))
 
 
 # ---------------------------------------------------------------- H3
@@ -275,10 +257,10 @@ def permutation_importance(model: PipelineModel, rows: DataFrame, repeats: int =
     w1 = Window.partitionBy(*grp).orderBy(F.xxhash64(F.lit(seed + 1), F.col(key)), key)
     w2 = Window.partitionBy(*grp).orderBy(F.xxhash64(F.lit(seed + 2), F.col("r"), F.col(key)), key)
     slots = e.withColumn("pos", F.row_number().over(w1))
-    donors = e.select(*grp, F.col("x").alias("dx"), F.row_number().over(w2).alias("pos"))
+    donors = e.select(*grp, F.get("x", F.col("j")).alias("dx"), F.row_number().over(w2).alias("pos"))
     perm = slots.join(donors, grp + ["pos"]) \
         .withColumn("x", F.transform(F.sequence(F.lit(0), F.lit(p - 1)),
-                                     lambda i: F.when(i == F.col("j"), F.col("dx")[i])
+                                     lambda i: F.when(i == F.col("j"), F.col("dx"))
                                      .otherwise(F.col("x")[i])))
     scored = clf.transform(perm.select(key, "label", "j", "r", array_to_vector("x").alias(features)))
     s = scored.select("label", "j", "r", vector_to_array("probability")[1].alias("score"))

@@ -21,94 +21,88 @@ from churnspark.session import materialize
 
 
 @dataclass
-class AdvancedConfig:
-    keys: tuple = ("dt", "rf", "gb")
-    cv_splits: int = 5
+class FlowPlan:
+    """What a training flow does, step by step.
+
+    An empty or zero entry leaves the step out.
+    """
+
+    learners: tuple = ("dt", "rf", "gb")
+    search_trials: int = 0             # M12 trials for each learner that has a search space
+    oversample: str | None = None      # "smote" or "adasyn", on the encoded training rows
+    ensembles: tuple = ("voting", "stacking")
+    folds: int = 5                     # of the search and of stacking
+    calibration_folds: int = 3
+    rank_by: str = "pr_auc"
     seed: int = S.SEED
-    use_smote: bool = False
-    smote_kind: str = "SMOTE"          # or "ADASYN"
-    use_search: bool = False
-    n_trials: int = 20
-    calibrate: bool = True
-    ensemble_voting: bool = True
-    ensemble_stacking: bool = True
-    scoring: str = "pr_auc"
+    jobs: int = 2                      # independent fits at once
     overrides: dict = field(default_factory=dict)
-    parallelism: int = 2               # independent fits running at once
 
 
 @dataclass
-class AdvancedResult:
+class FlowResult:
     models: dict
     comparison: DataFrame
     best_name: str
 
 
-class _Resampled:
-    """A fitted feature stage followed by a classifier trained on resampled vectors."""
+_SAMPLERS = {"smote": resample.smote, "adasyn": resample.adasyn}
 
-    def __init__(self, features, clf):
-        self.model = PipelineModel([features, clf])
 
+def train_flow(train: DataFrame, test: DataFrame, plan: FlowPlan | None = None) -> FlowResult:
+    """Search, oversample, fit the learners, build ensembles, calibrate whichever
+    model leads, and compare all of them on ``test``.
 
-def _fit_on_vectors(key: str, features, vectors: DataFrame, overrides=None):
-    kind, params = L.catalogue()[key]
-    sp, _, _ = L.to_spark_params(kind, dict(params, **(overrides or {})))
-    clf = L.make_classifier(kind if kind != "rbf_svm" else "logistic", sp)
-    return PipelineModel([features, clf.fit(vectors)])
-
-
-def train_advanced(train: DataFrame, test: DataFrame, cfg: AdvancedConfig | None = None) -> AdvancedResult:
-    """(search) -> (resample) -> base models -> voting -> stacking -> calibrate the
-    best base -> comparison table sorted by the scoring metric."""
-    cfg = cfg or AdvancedConfig()
-    overrides = dict(cfg.overrides)
-    if cfg.use_search:
-        for key in cfg.keys:
+    The feature stage is fitted once, and every learner is fitted on its vectors;
+    stacking and calibration see the same (oversampled) rows.
+    """
+    plan = plan or FlowPlan()
+    over = dict(plan.overrides)
+    if plan.search_trials:
+        for key in plan.learners:
             if key in T.SEARCH_SPACES:
-                best, _ = T.model_search(key, train, cfg.n_trials, cfg.cv_splits, cfg.seed)
-                overrides[key] = best
-    models: dict = {}
-    keys = list(cfg.keys)
-    pool = ThreadPoolExecutor(max_workers=max(1, cfg.parallelism))
-    if cfg.use_smote:
-        feats = ChurnFeatures().fit(train)
-        vec = feats.transform(train).select(S.KEY, "label", "features")
-        sampler = resample.smote if cfg.smote_kind.upper() == "SMOTE" else resample.adasyn
-        # resampled once, shared by every member fit
-        vec = materialize(sampler(vec, seed=cfg.seed))
-        try:
-            with pool as ex:
-                fitted = list(ex.map(
-                    lambda key: _fit_on_vectors(key, feats, vec, overrides.get(key)), keys))
-        finally:
-            vec.unpersist()
-    else:
-        with pool as ex:
-            fitted = list(ex.map(
-                lambda key: L.fit(key, train, overrides=overrides.get(key)), keys))
-    models.update(zip(keys, fitted))
-    if cfg.ensemble_voting and len(cfg.keys) >= 2:
-        models["soft_voting"] = EN.VotingModel({k: models[k] for k in cfg.keys})
-    if cfg.ensemble_stacking and len(cfg.keys) >= 2:
-        models["stacking"] = EN.fit_stacking(list(cfg.keys), train, k=cfg.cv_splits,
-                                             overrides=overrides, parallelism=cfg.parallelism)
-    scored = []
-    for name, m in models.items():
-        s = m.transform(test) if not isinstance(m, PipelineModel) else L.score(m, test)
-        scored.append(s.select(F.lit(name).alias("model"), "label", "score"))
-    table, cached = _metric_rows(scored)
-    if cfg.calibrate:
-        best_base = _best(table.where(F.col("model").isin(*cfg.keys)), cfg.scoring)
-        cached.unpersist()
-        cal = EN.fit_calibrated(best_base, train, cv=3, overrides=overrides.get(best_base),
-                                parallelism=cfg.parallelism)
-        models[f"{best_base}_calibrated"] = cal
-        scored.append(cal.transform(test).select(F.lit(f"{best_base}_calibrated").alias("model"),
-                                                 "label", "score"))
-        table, _ = _metric_rows(scored)
-    comparison = table.orderBy(F.col(cfg.scoring).desc_nulls_last(), "model")
-    return AdvancedResult(models, comparison, _best(table, cfg.scoring))
+                over[key], _ = T.model_search(key, train, plan.search_trials, plan.folds, plan.seed)
+    features = ChurnFeatures().fit(train)
+    rows = features.transform(train).select(S.KEY, "label", "features")
+    if plan.oversample:
+        rows = _SAMPLERS[plan.oversample.lower()](rows, seed=plan.seed)
+    rows = materialize(rows)
+
+    def members(data: DataFrame) -> dict:
+        with ThreadPoolExecutor(max_workers=max(1, plan.jobs)) as pool:
+            fitted = pool.map(lambda key: L.fit_vectors(key, features, data, over.get(key)), plan.learners)
+            return dict(zip(plan.learners, fitted))
+
+    def build(name: str, data: DataFrame, base: dict | None = None):
+        if name == "soft_voting":
+            return EN.VotingModel(base or members(data))
+        return EN.fit_stacking(list(plan.learners), data, k=plan.folds, overrides=over,
+                               parallelism=plan.jobs, features=features)
+
+    try:
+        models = members(rows)
+        if len(plan.learners) > 1:
+            for kind, name in (("voting", "soft_voting"), ("stacking", "stacking")):
+                if kind in plan.ensembles:
+                    models[name] = build(name, rows, {k: models[k] for k in plan.learners})
+        table, scores = _compare(models, test)
+        if plan.calibration_folds:
+            lead = _best(table, plan.rank_by)
+            base = lead if lead in plan.learners else (lambda data: build(lead, data))
+            models[f"{lead}_calibrated"] = EN.fit_calibrated(
+                base, rows, cv=plan.calibration_folds, overrides=over.get(lead), parallelism=plan.jobs, features=features)
+            scores.unpersist()
+            table, scores = _compare(models, test)
+    finally:
+        rows.unpersist()
+    comparison = table.orderBy(F.col(plan.rank_by).desc_nulls_last(), "model")
+    return FlowResult(models, comparison, _best(table, plan.rank_by))
+
+
+def _compare(models: dict, test: DataFrame):
+    """Metric row of each model, and the scores it comes from."""
+    return _metric_rows([EN.add_member_score(test, m, "score").select(F.lit(name).alias("model"), "label", "score")
+                         for name, m in models.items()])
 
 
 def _metric_rows(scored):
@@ -127,6 +121,22 @@ def _best(table: DataFrame, metric: str) -> str:
     return row["model"]
 
 
+def predict_named(df: DataFrame, models_dir: str, name: str | None = None,
+                  threshold: float = S.DEFAULT_THRESHOLD, out_path: str | None = None) -> DataFrame:
+    """V4: score new customers with the model saved under ``models_dir/name`` (the promoted
+    one without a name), and write the predictions (S3) if ``out_path`` is given."""
+    from churnspark.sources import io
+    path = os.path.join(models_dir, name or "best")
+    spark = df.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        raise FileNotFoundError(f"no model at {path}")
+    scored = L.predict_batch(EN.load_any(path), df, threshold)
+    if out_path:
+        io.write_predictions(scored, out_path, score="probability")
+    return scored
+
+
 def promote_best(models: dict, table: DataFrame, out_dir: str, metric: str = "pr_auc") -> str:
     """Save the winner (ensembles included) under ``out_dir/best``; return its name."""
     name = _best(table, metric)

@@ -2,13 +2,14 @@
 
 Presets are written in the original libraries' parameter names and mapped to
 Spark ML by :func:`to_spark_params` (the §2.14 map); parameters without a
-Spark counterpart are reported, never silently dropped.  XGBoost, LightGBM
+Spark counterpart are logged at every fit and returned by ``build_pipeline``.  XGBoost, LightGBM
 and CatBoost presets become ``GBTClassifier`` configurations; the RBF SVC
 becomes random Fourier features + ``LinearSVC``.
 """
 
 from __future__ import annotations
 
+import logging
 import math
 
 import numpy as np
@@ -90,9 +91,10 @@ CLI_PRESETS = {
     "svc": ("rbf_svm", dict(kernel="rbf", class_weight="balanced", C=1.0, gamma="scale")),
 }
 
-IGNORED = {"num_leaves", "reg_alpha", "reg_lambda", "l2_leaf_reg", "bagging_temperature",
-           "random_strength", "oob_score", "ccp_alpha", "bootstrap", "kernel", "loss",
-           "objective", "eval_metric", "n_jobs", "verbose", "use_label_encoder", "criterion_mse"}
+#: Levels of a Spark ML tree at most.
+MAX_DEPTH = 30
+
+log = logging.getLogger(__name__)
 
 # ---------------------------------------------------------------------------
 
@@ -108,13 +110,14 @@ def to_spark_params(kind: str, params: dict) -> tuple[dict, bool, list[str]]:
         if k in ("n_estimators", "iterations"):
             out["numTrees" if kind == "forest" else "maxIter"] = int(v)
         elif k in ("max_depth", "depth"):
-            out["maxDepth"] = min(int(v), 30)
+            if int(v) > MAX_DEPTH:
+                raise ValueError(f"{k}={v}: Spark ML trees have {MAX_DEPTH} levels at most")
+            out["maxDepth"] = min(int(v), out.get("maxDepth", MAX_DEPTH))
         elif k in ("min_samples_leaf", "min_child_samples"):
             out["minInstancesPerNode"] = max(int(v), out.get("minInstancesPerNode", 1))
-        elif k == "min_samples_split":
-            # no Spark counterpart; a split needs >= 2 * leaf size rows anyway
-            out.setdefault("minInstancesPerNode", max(1, int(v) // 2))
-            out["minInstancesPerNode"] = max(out["minInstancesPerNode"], 1)
+        elif k == "num_leaves":
+            # leaf-wise growth has no counterpart: a tree with that many leaves needs this depth
+            out["maxDepth"] = min(max(1, math.ceil(math.log2(max(2, int(v))))), out.get("maxDepth", MAX_DEPTH))
         elif k == "min_child_weight":
             out["minWeightFractionPerNode"] = 0.0
             out["minInstancesPerNode"] = max(int(v), out.get("minInstancesPerNode", 1))
@@ -153,7 +156,7 @@ def to_spark_params(kind: str, params: dict) -> tuple[dict, bool, list[str]]:
         elif k == "max_iter":
             out["maxIter"] = int(v)
         elif k == "C":
-            out["regParam"] = 1.0 / (float(v) * 1000.0)
+            out["C"] = float(v)      # becomes regParam = 1 / (C * rows) once the rows are known
         else:
             ignored.append(k)
     return out, balanced, sorted(ignored)
@@ -176,8 +179,6 @@ def make_classifier(kind: str, sp: dict, weight_col: str | None = None,
         raise ValueError(f"unknown learner kind {kind!r}")
     valid = {p.name for p in clf.params}
     clf.setParams(**{k: v for k, v in sp.items() if k in valid})
-    if kind == "boost" and sp.get("validationFraction"):
-        clf._val_fraction = sp["validationFraction"]
     if weight_col and "weightCol" in valid:
         clf.setWeightCol(weight_col)
     return clf
@@ -267,11 +268,18 @@ class RandomFourierModel(Model, HasInputCol, HasOutputCol, DefaultParamsReadable
 # ------------------------------------------------------------------ M8, V1, V4
 
 def build_pipeline(key: str, features: ChurnFeatures | None = None, overrides: dict | None = None,
-                   weight_col: str | None = None) -> tuple[Pipeline, list[str]]:
-    """M8: features -> (RBF map) -> classifier, as one Spark ML Pipeline."""
+                   weight_col: str | None = None, n_rows: int | None = None) -> tuple[Pipeline, list[str]]:
+    """M8: features -> (RBF map) -> classifier, as one Spark ML Pipeline, and the ignored parameters.
+
+    ``n_rows``: training rows (balanced weights sum to them too), for the SVC's C.
+    """
     kind, params = catalogue()[key]
     params = dict(params, **(overrides or {}))
     sp, balanced, ignored = to_spark_params(kind, params)
+    if ignored:
+        log.warning("%s: no Spark ML counterpart for %s", key, ", ".join(ignored))
+    if "C" in sp and n_rows:
+        sp["regParam"] = 1.0 / (sp["C"] * n_rows)
     feats = features or ChurnFeatures()
     stages = [feats]
     fcol = "features"
@@ -284,23 +292,50 @@ def build_pipeline(key: str, features: ChurnFeatures | None = None, overrides: d
     return Pipeline(stages=stages), ignored
 
 
-def fit(key: str, train: DataFrame, features: ChurnFeatures | None = None,
-        overrides: dict | None = None) -> PipelineModel:
-    """Fit one pipeline; 'balanced' presets get X5 weights in a ``weight`` column."""
+def training_columns(train: DataFrame, frac: float | None = None) -> DataFrame:
+    """X5 weights in ``weight``, ones in ``unit_weight``, and with ``frac`` the rows
+    that early stopping looks at in ``_is_val`` (a repeatable share by key hash)."""
+    from churnspark.operators.rank import hash_key
     from churnspark.operators.split import class_weights
-    kind, params = catalogue()[key]
-    balanced = params.get("class_weight") == "balanced"
-    data = class_weights(train) if balanced else train
-    pipe, _ = build_pipeline(key, features, overrides, "weight" if balanced else None)
-    clf = pipe.getStages()[-1]
-    frac = getattr(clf, "_val_fraction", None)
+    data = class_weights(train).withColumn("unit_weight", F.lit(1.0))
     if frac:
-        # early stopping: a repeatable hash-chosen validation share of the rows
-        from churnspark.operators.rank import hash_key
         h = F.conv(F.substring(hash_key(F.col(S.KEY), S.SEED), 1, 6), 16, 10).cast("double")
         data = data.withColumn("_is_val", h < F.lit(frac * 16 ** 6))
-        clf.setValidationIndicatorCol("_is_val")
-    return fit_persisted(pipe, data)
+    return data
+
+
+def early_stop_share(key: str, overrides: dict | None = None) -> float | None:
+    """The share of rows that early stopping holds out, if the learner stops early."""
+    kind, params = catalogue()[key]
+    sp, _, _ = to_spark_params(kind, dict(params, **(overrides or {})))
+    return sp.get("validationFraction") if kind == "boost" else None
+
+
+def prepare(key: str, train: DataFrame, features=None, overrides: dict | None = None):
+    """The estimator and its training rows: weights for 'balanced', early stopping, the SVC's C."""
+    kind, params = catalogue()[key]
+    params = dict(params, **(overrides or {}))
+    balanced = params.get("class_weight") == "balanced"
+    frac = early_stop_share(key, overrides)
+    data = training_columns(train, frac) if balanced or frac else train
+    n_rows = train.count() if kind == "rbf_svm" else None
+    pipe, _ = build_pipeline(key, features, overrides, "weight" if balanced else None, n_rows)
+    if frac:
+        pipe.getStages()[-1].setValidationIndicatorCol("_is_val")
+    return pipe, data
+
+
+def fit(key: str, train: DataFrame, features: ChurnFeatures | None = None,
+        overrides: dict | None = None) -> PipelineModel:
+    """Fit one pipeline; 'balanced' presets get X5 weights in a ``weight`` column."""
+    return fit_persisted(*prepare(key, train, features, overrides))
+
+
+def fit_vectors(key: str, features: Model, vectors: DataFrame, overrides: dict | None = None) -> PipelineModel:
+    """Fit the learner on rows that the fitted feature stage has encoded (resampled
+    ones, say); the result scores raw rows like any other pipeline."""
+    pipe, data = prepare(key, vectors, features, overrides)
+    return PipelineModel([features, *fit_persisted(Pipeline(stages=pipe.getStages()[1:]), data).stages])
 
 
 def fit_persisted(estimator, data: DataFrame):
@@ -316,22 +351,29 @@ def fit_persisted(estimator, data: DataFrame):
         data.unpersist()
 
 
-def score(model: PipelineModel, df: DataFrame, out: str = "score", keep=None) -> DataFrame:
-    """V1/V2: P(churn) column; margin-only models are min-max scaled over the batch."""
+def score(model: PipelineModel, df: DataFrame, out: str = "score", keep=None, bounds=None) -> DataFrame:
+    """V1/V2: P(churn) column; margin-only models are min-max scaled by ``bounds``, else over the batch."""
     scored = model.transform(df)
     if "probability" in scored.columns:
         scored = scored.withColumn(out, V.positive_probability("probability"))
     else:
         scored = scored.withColumn("_margin", vector_to_array(F.col("rawPrediction"))[1])
-        scored = V.minmax_score(scored, "_margin", out)
+        scored = V.minmax_score(scored, "_margin", out, bounds)
     if keep is not None:
         scored = scored.select(*keep, out)
     return scored
 
 
-def predict_batch(model: PipelineModel, df: DataFrame, threshold: float = S.DEFAULT_THRESHOLD,
-                  key: str = S.KEY) -> DataFrame:
+def margin_bounds(model: PipelineModel, train: DataFrame) -> tuple:
+    """Smallest and largest margin on the training rows."""
+    scored = model.transform(train).withColumn("_margin", vector_to_array(F.col("rawPrediction"))[1])
+    return V.fit_minmax(scored, "_margin")
+
+
+def predict_batch(model, df: DataFrame, threshold: float = S.DEFAULT_THRESHOLD,
+                  key: str = S.KEY, bounds=None) -> DataFrame:
     """V4: key, prediction (score >= threshold) and probability for new customers."""
-    s = score(model, df, keep=[key])
+    s = score(model, df, keep=[key], bounds=bounds) if isinstance(model, PipelineModel) else \
+        model.transform(df).select(key, "score")
     return s.select(key, (F.col("score") >= threshold).cast("int").alias("prediction"),
                     F.col("score").alias("probability"))

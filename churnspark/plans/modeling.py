@@ -1,8 +1,7 @@
-"""Model-based queries (no SQL oracle; the driver checks rows, our tests check
-invariants).  Presets are the small "driver" ones (SURVEY §7.3): boosting <= 10
-iterations, forests <= 20 trees, <= 3 folds, <= 4 grid points.  Every query
-trains on the X1 train split of the whole customer table and explains/scores
-the whole test split; fitted models are shared within a session.
+"""Model-based queries: the catalogue's presets, trained on the X1 train split of
+the whole customer table, explaining and scoring the whole test split.  Fitted
+models are shared within a session; ``forget`` drops them, as the benchmark does
+before each query.  ``checks`` has what these queries must satisfy as SQL.
 """
 
 from __future__ import annotations
@@ -26,17 +25,21 @@ from churnspark.plans import tune as T
 from churnspark.plans.features import ChurnFeatures, fit_yeo_johnson
 from churnspark.session import ensure_checkpoint_dir
 
-DRIVER_OVERRIDES = {
-    "rf": {"n_estimators": 20},
-    "gb": {"n_estimators": 10},
-    "xgb": {"n_estimators": 10},
-    "lgbm": {"n_estimators": 10},
-    "cat": {"iterations": 10},
-}
-FOLDS = 3
 _MODELS: dict = {}
 
 
+def _session(spark: SparkSession) -> str:
+    return spark.sparkContext.applicationId
+
+
+def forget() -> None:
+    """Drop all fitted models and labelled splits."""
+    _MODELS.clear()
+    for df in _LABELED.values():
+        df.unpersist()
+    _LABELED.clear()
+
+
 def labeled(spark: SparkSession, d: str) -> DataFrame:
     """Raw customer rows with the encoded label and the X1 split."""
     rw = C.raw(spark, d).drop("score")
@@ -50,8 +53,8 @@ _LABELED: dict = {}
 def labeled_cached(spark: SparkSession, d: str) -> DataFrame:
     """The labeled split, materialised once per session (iterative fits reuse it)."""
     from pyspark import StorageLevel
-    k = (id(spark), d)
-    if k not in _LABELED or not _LABELED[k].sparkSession is spark:
+    k = (_session(spark), d)
+    if k not in _LABELED:
         lab = labeled(spark, d).persist(StorageLevel.MEMORY_AND_DISK)
         lab.count()
         _LABELED[k] = lab
@@ -65,10 +68,10 @@ def _parts(spark, d):
 
 
 def fitted(spark, d, key: str):
-    k = (id(spark), d, key)
+    k = (_session(spark), d, key)
     if k not in _MODELS:
         train, _ = _parts(spark, d)
-        _MODELS[k] = L.fit(key, train, overrides=DRIVER_OVERRIDES.get(key))
+        _MODELS[k] = L.fit(key, train)
     return _MODELS[k]
 
 
@@ -82,40 +85,40 @@ def _predict(key):
 
 def q_cv_metrics(spark, d):
     train, _ = _parts(spark, d)
-    return T.cv_metrics("dt", train, k=FOLDS)
+    return T.cv_metrics("dt", train)
 
 
-DT_GRID = {"max_depth": [3, 5], "min_samples_leaf": [5, 20]}
+DT_GRID = {"max_depth": [3, 5], "min_samples_leaf": [5, 20], "class_weight": [None, "balanced"]}
 
 
 def q_grid_search(spark, d):
     train, _ = _parts(spark, d)
-    model, combos = T.grid_search("dt", train, DT_GRID, k=FOLDS)
+    model, combos = T.grid_search("dt", train, DT_GRID)
     return T.results_table(spark, model, combos)
 
 
 def q_random_search(spark, d):
     train, _ = _parts(spark, d)
-    model, combos = T.random_search("dt", train, DT_GRID, n_iter=3, k=FOLDS)
+    model, combos = T.random_search("dt", train, DT_GRID, n_iter=3)
     return T.results_table(spark, model, combos)
 
 
 def q_model_search(spark, d):
     train, _ = _parts(spark, d)
-    best, trials = T.model_search("xgb", train, n_trials=2, cv_splits=6, scale_trees=0.05)
+    best, trials = T.model_search("xgb", train, n_trials=2, cv_splits=4)
     rows = [(i, {k: str(v) for k, v in p.items()}, ap, p == best) for i, (p, ap) in enumerate(trials)]
     return spark.createDataFrame(rows, "trial int, params map<string,string>, pr_auc double, best boolean")
 
 
 def q_stacking(spark, d):
     train, test = _parts(spark, d)
-    model = EN.fit_stacking(["dt", "logreg"], train, k=FOLDS)
+    model = EN.fit_stacking(["dt", "logreg"], train)
     return model.transform(test).select(S.KEY, "label", "score")
 
 
 def q_calibration(spark, d):
     train, test = _parts(spark, d)
-    model = EN.fit_calibrated("dt", train, cv=FOLDS)
+    model = EN.fit_calibrated("dt", train, cv=3)
     return model.transform(test).select(S.KEY, "label", "score")
 
 
@@ -188,7 +191,7 @@ def q_boost_shap(spark, d):
 def q_sampling_shapley(spark, d):
     train, test = _parts(spark, d)
     background = split.capped_sample(train, 50)
-    out = X.sampling_shapley(fitted(spark, d, "dt"), test, background, draws=10)
+    out = X.sampling_shapley(fitted(spark, d, "dt"), test, background)
     names = F.array(*[F.lit(n) for n in _names(spark, d, "dt")])
     return out.select(S.KEY, F.element_at(names, F.col("i") + 1).alias("feature"),
                       F.col("phi").alias("contribution"))
@@ -196,7 +199,7 @@ def q_sampling_shapley(spark, d):
 
 def q_permutation_importance(spark, d):
     _, test = _parts(spark, d)
-    out = X.permutation_importance(fitted(spark, d, "dt"), test, repeats=3)
+    out = X.permutation_importance(fitted(spark, d, "dt"), test)
     names = F.array(*[F.lit(n) for n in _names(spark, d, "dt")])
     return out.select(F.element_at(names, F.col("i") + 1).alias("feature"),
                       "importance_mean", "importance_std")
@@ -207,13 +210,13 @@ def q_model_importance(spark, d):
 
 
 def q_beeswarm(spark, d):
-    """H8: the capped sample (the plot's own 500-row limit) x the top-10 features."""
+    """H8: the operators' own sample (X4) and number of top features (H4)."""
     _, test = _parts(spark, d)
     model = fitted(spark, d, "rf")
-    sample = split.capped_sample(test, 500)
+    sample = split.capped_sample(test)
     phi, _, _ = X.tree_shap(model, sample)
     long = X.shap_long(phi, _names(spark, d, "rf"))
-    top = global_importance(long, 10).select("feature")
+    top = global_importance(long).select("feature")
     return long.join(F.broadcast(top), "feature", "left_semi")
 
 
@@ -226,13 +229,21 @@ def q_predict_batch(spark, d):
     return L.predict_batch(model, C.raw(spark, d).drop("score"))
 
 
+def q_predict_named(spark, d):
+    """V4 + E17: the better of two learners is promoted, found again and scores every customer."""
+    from churnspark.plans.flow import predict_named, promote_best
+    _, test = _parts(spark, d)
+    models = {k: fitted(spark, d, k) for k in ("dt", "logreg")}
+    scored = [L.score(m, test).select(F.lit(k).alias("model"), "label", "score") for k, m in models.items()]
+    folder = os.path.join(ensure_checkpoint_dir(spark), f"models-{uuid.uuid4().hex}")
+    promote_best(models, M.metric_table(scored[0].unionByName(scored[1]), groups=["model"]), folder)
+    return predict_named(C.raw(spark, d).drop("score"), folder)
+
+
 def q_advanced_flow(spark, d):
-    from churnspark.plans.flow import AdvancedConfig, train_advanced
+    from churnspark.plans.flow import FlowPlan, train_flow
     train, test = _parts(spark, d)
-    cfg = AdvancedConfig(keys=("dt", "logreg"), cv_splits=FOLDS, use_smote=True, calibrate=True,
-                         ensemble_voting=True, ensemble_stacking=False)
-    result = train_advanced(train, test, cfg)
-    return result.comparison
+    return train_flow(train, test, FlowPlan(learners=("dt", "logreg"), oversample="smote")).comparison
 
 
 MODEL_QUERIES = {
@@ -262,4 +273,7 @@ MODEL_QUERIES = {
     "model_importance": q_model_importance,
     "beeswarm": q_beeswarm,
     "predict_batch": q_predict_batch,
+    "predict_named": q_predict_named,
+    "lgbm_predict": _predict("lgbm"),
+    "cat_predict": _predict("cat"),
 }

@@ -38,14 +38,22 @@ class SharedPrefixPipeline(Pipeline):
     """A Pipeline whose ``fitMultiple`` (the call CrossValidator makes per fold)
     fits the stages before the classifier once when every param map only sets
     classifier params, then fits one classifier per map on the persisted
-    vectors.  Same models as refitting the whole pipeline per map."""
+    vectors.  Same models as refitting the whole pipeline per map.
+
+    Every fit first adds the X5 weights of its own rows (``weight``, and ones in
+    ``unit_weight``) and, with ``val_share``, the rows held out for early stopping."""
+
+    val_share: float | None = None
+
+    def _fit(self, dataset):
+        return super()._fit(L.training_columns(dataset, self.val_share))
 
     def fitMultiple(self, dataset, paramMaps):
         stages = self.getStages()
         last = stages[-1]
         if len(stages) < 2 or any(p.parent != last.uid for pm in paramMaps for p in pm):
             return super().fitMultiple(dataset, paramMaps)
-        return _PrefixFits(stages, dataset, list(paramMaps))
+        return _PrefixFits(stages, L.training_columns(dataset, self.val_share), list(paramMaps))
 
 
 class _PrefixFits:
@@ -93,16 +101,20 @@ class ExactMetricEvaluator(Evaluator, HasLabelCol):
         self._set(metricName=metricName, labelCol=labelCol, probabilityCol=probabilityCol)
 
     def _evaluate(self, dataset: DataFrame) -> float:
-        s = dataset.select(F.col(self.getLabelCol()).alias("label"),
-                           vector_to_array(F.col(self.getOrDefault("probabilityCol")))[1].alias("score"))
+        # a margin-only learner (SVC) is ranked by its margin
+        col = self.getOrDefault("probabilityCol")
+        col = col if col in dataset.columns else "rawPrediction"
+        s = dataset.select(F.col(self.getLabelCol()).alias("label"), vector_to_array(F.col(col))[1].alias("score"))
         name = self.getOrDefault("metricName")
         s = materialize(s)
         try:
             row = M.metric_table(s).first()
         finally:
             s.unpersist()
-        v = row[name]
-        return float("nan") if v is None else float(v)
+        v = None if row is None else row[name]
+        if v is None or math.isnan(v):
+            raise ValueError(f"{name} is undefined on a fold: it needs rows of both classes")
+        return float(v)
 
     def isLargerBetter(self) -> bool:
         return self.getOrDefault("metricName") != "brier"
@@ -137,7 +149,11 @@ def cv_metrics(key: str, df: DataFrame, k: int = 5, scoring=("roc_auc", "accurac
                parallelism: int = 2, overrides=None) -> DataFrame:
     """M9: metric per fold from ONE grouped query over the out-of-fold union,
     then mean and (population) std across folds."""
-    oof = materialize(out_of_fold(key, df, k, overrides, parallelism))
+    folded = with_folds(df, k)
+    try:
+        oof = materialize(out_of_fold(key, folded, k, overrides, parallelism, folded=True))
+    finally:
+        folded.unpersist()
     per_fold = M.metric_table(oof, groups=[FOLD])
     long = per_fold.select(FOLD, F.explode(F.array(*[
         F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in scoring
@@ -147,15 +163,35 @@ def cv_metrics(key: str, df: DataFrame, k: int = 5, scoring=("roc_auc", "accurac
                                       F.count(F.lit(1)).alias("folds"))
 
 
-def _param_maps(key: str, pipeline, combos: list[dict]):
-    """Original-name parameter combinations -> Spark ParamMaps on the classifier stage."""
+def cross_validate(key: str, df: DataFrame, k: int = 5, scoring=("roc_auc", "accuracy", "f1"),
+                   parallelism: int = 2, overrides=None):
+    """M9: the fold metrics, and the pipeline refitted on all rows."""
+    return cv_metrics(key, df, k, scoring, parallelism, overrides), L.fit(key, df, overrides=overrides)
+
+
+def _param_maps(key: str, pipeline, combos: list[dict], n_rows: int | None = None):
+    """Original-name parameter combinations -> Spark ParamMaps.
+
+    ``class_weight`` chooses the weight column, a parameter like any other;
+    ``n_rows`` are the training rows of a fold, for the SVC's C."""
     kind, base = L.catalogue()[key]
-    clf = pipeline.getStages()[-1]
-    valid = {p.name: p for p in clf.params}
+    stages = pipeline.getStages()
+    valid = {p.name: p for p in stages[-1].params}
     maps = []
     for combo in combos:
-        sp, _, _ = L.to_spark_params(kind, dict(base, **combo))
-        maps.append({valid[k]: v for k, v in sp.items() if k in valid})
+        sp, balanced, ignored = L.to_spark_params(kind, dict(base, **combo))
+        if any(name in combo for name in ignored):
+            L.log.warning("%s: searching %s has no effect", key, ", ".join(n for n in ignored if n in combo))
+        if "C" in sp and n_rows:
+            sp["regParam"] = 1.0 / (sp["C"] * n_rows)
+        pm = {valid[k]: v for k, v in sp.items() if k in valid}
+        if "weightCol" in valid:
+            pm[valid["weightCol"]] = "weight" if balanced else "unit_weight"
+        if kind == "boost" and sp.get("validationFraction"):
+            pm[valid["validationIndicatorCol"]] = "_is_val"
+        if kind == "rbf_svm" and "gamma" in combo:
+            pm[stages[-2].gamma] = str(sp["gamma"])
+        maps.append(pm)
     return maps
 
 
@@ -168,7 +204,10 @@ def _search(key: str, df: DataFrame, combos: list[dict], k: int, metric: str,
             parallelism: int):
     pipe, _ = L.build_pipeline(key)
     pipe = SharedPrefixPipeline(stages=pipe.getStages())
-    maps = _param_maps(key, pipe, combos)
+    pipe.val_share = max((s for s in (L.early_stop_share(key, c) for c in combos) if s), default=None)
+    kind, _ = L.catalogue()[key]
+    n_rows = df.count() * (k - 1) // k if kind == "rbf_svm" else None
+    maps = _param_maps(key, pipe, combos, n_rows)
     cv = CrossValidator(estimator=pipe, estimatorParamMaps=maps,
                         evaluator=ExactMetricEvaluator(metric), foldCol=FOLD, numFolds=k,
                         parallelism=parallelism, collectSubModels=False)
@@ -210,7 +249,9 @@ def results_table(spark, model, combos, metric: str = "roc_auc") -> DataFrame:
                                                               "candidate")))
 
 
-# Search ranges of the model-based tuner.
+# ---------------------------------------------------------------------------
+# Search ranges of the model-based tuner.
+# ---------------------------------------------------------------------------
 SEARCH_SPACES = {
     "xgb": {"n_estimators": ("int", 150, 400), "max_depth": ("int", 3, 8),
             "learning_rate": ("log", 0.01, 0.2), "subsample": ("float", 0.6, 1.0),
@@ -234,8 +275,7 @@ def sample_space(space: dict, rng: random.Random) -> dict:
 
 
 def model_search(key: str, df: DataFrame, n_trials: int = 6, cv_splits: int = 5,
-                 seed: int = S.SEED, parallelism: int = 2, space: dict | None = None,
-                 scale_trees: float = 1.0):
+                 seed: int = S.SEED, parallelism: int = 2, space: dict | None = None):
     """Seeded search over ranges; objective = average precision of the pooled
     out-of-fold scores with max(3, cv // 2) folds.  Returns (best params, trials)."""
     space = space or SEARCH_SPACES.get(key)
@@ -248,13 +288,13 @@ def model_search(key: str, df: DataFrame, n_trials: int = 6, cv_splits: int = 5,
     try:
         for _ in range(n_trials):
             params = sample_space(space, rng)
-            if scale_trees != 1.0 and "n_estimators" in params:
-                params["n_estimators"] = max(1, int(params["n_estimators"] * scale_trees))
             oof = materialize(out_of_fold(key, folded, k, params, parallelism, folded=True))
             ap = M.curve_summary(oof).first()["pr_auc"]
             oof.unpersist()
+            if ap is None or math.isnan(ap):
+                raise ValueError("average precision is undefined: no positive rows")
             trials.append((params, ap))
     finally:
         folded.unpersist()
-    best = max(trials, key=lambda t: (t[1] if t[1] is not None else -1.0))
+    best = max(trials, key=lambda t: t[1])
     return best[0], trials

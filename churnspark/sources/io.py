@@ -39,20 +39,28 @@ RUN_LOG_SCHEMA = T.StructType([
 
 def read_customers(spark: SparkSession, path: str, fmt: str = "csv",
                    schema: T.StructType = S.RAW_SCHEMA) -> DataFrame:
-    """Customer table with an explicit schema (no inference pass).
+    """Customer table, its columns named by the file's header (no inference pass).
 
-    CSV: header row; the usual NA spellings become NULL, but a blank ``' '``
-    stays text so the numeric parse (F2) decides.
+    CSV: the columns of ``schema`` come first, in its order and types, whatever
+    their order in the file; those the file lacks stay absent, others follow as
+    text.  The usual NA spellings become NULL, text that is no number becomes
+    NULL in a numeric column, and a blank ``' '`` stays text so the numeric
+    parse (F2) decides.
     """
     if fmt == "parquet":
         return spark.read.parquet(path)
-    df = spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE") \
+    df = spark.read.option("header", True).option("inferSchema", False) \
         .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False) \
         .csv(path)
-    strings = [f.name for f in schema.fields if isinstance(f.dataType, T.StringType)]
-    return df.withColumns({
-        c: F.when(F.col(c).isin(*NA_STRINGS), F.lit(None)).otherwise(F.col(c)) for c in strings
-    })
+    known = [f for f in schema.fields if f.name in df.columns]
+    rest = [c for c in df.columns if c not in schema.fieldNames()]
+
+    def text(c):
+        return F.when(F.col(f"`{c}`").isin(*NA_STRINGS), F.lit(None)).otherwise(F.col(f"`{c}`"))
+
+    return df.select(*[(text(f.name) if isinstance(f.dataType, T.StringType)
+                        else F.trim(text(f.name)).try_cast(f.dataType)).alias(f.name) for f in known],
+                     *[text(c).alias(c) for c in rest])
 
 
 # ------------------------------------------------------------------ S2
@@ -94,20 +102,6 @@ def write_metrics(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").json(path)
 
 
-def tuning_results(spark: SparkSession, param_maps, avg_metrics, std_metrics=None,
-                   metric: str = "roc_auc") -> DataFrame:
-    """One row per candidate (params as a string map) with mean/std score and rank."""
-    std_metrics = std_metrics or [None] * len(avg_metrics)
-    rows = []
-    for i, (pm, m, s) in enumerate(zip(param_maps, avg_metrics, std_metrics)):
-        params = {p.name: str(v) for p, v in pm.items()}
-        rows.append((i, params, float(m), None if s is None else float(s)))
-    df = spark.createDataFrame(rows, f"candidate int, params map<string,string>, "
-                                     f"mean_{metric} double, std_{metric} double")
-    w = Window.orderBy(F.col(f"mean_{metric}").desc(), F.col("candidate"))
-    return df.withColumn("rank", F.rank().over(w))
-
-
 def write_tuning(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").json(path)
 

@@ -1,15 +1,15 @@
 """Structured Streaming scoring (V4 on a stream).
 
 A fitted model is stateless per row, so the same ``PipelineModel`` scores a
-``readStream`` source; each micro-batch is appended to a Parquet sink through
-``foreachBatch`` (idempotent per batch id via the checkpointed query).
+``readStream`` source; ``foreachBatch`` writes each micro-batch to its own folder
+``batch_id=<id>`` of the Parquet sink and overwrites it when the batch is retried,
+so no row is written twice.
 """
 
 from __future__ import annotations
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from churnspark import schema as S
 from churnspark.plans import learners as L
@@ -17,16 +17,21 @@ from churnspark.plans import learners as L
 
 def score_stream(spark: SparkSession, model: PipelineModel, source_dir: str,
                  sink_dir: str, checkpoint_dir: str, threshold: float = S.DEFAULT_THRESHOLD,
-                 schema=S.RAW_SCHEMA, fmt: str = "parquet", key: str = S.KEY):
-    """Start a streaming query scoring every new file under ``source_dir``."""
+                 schema=S.RAW_SCHEMA, fmt: str = "parquet", key: str = S.KEY, bounds=None):
+    """Start a streaming query scoring every new file under ``source_dir``.
+
+    A margin-only model (SVC) needs ``bounds``, the smallest and largest margin on
+    its training rows: scores must not depend on what else is in a micro-batch."""
+    if bounds is None and not hasattr(model.stages[-1], "setProbabilityCol"):
+        raise ValueError("a margin-only model is scaled by its training margins: give bounds")
     stream = spark.readStream.schema(schema).format(fmt)
     if fmt == "csv":
         stream = stream.option("header", True)
     src = stream.load(source_dir)
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        out = L.predict_batch(model, batch, threshold, key).withColumn("batch_id", F.lit(batch_id))
-        out.write.mode("append").parquet(sink_dir)
+        out = L.predict_batch(model, batch, threshold, key, bounds)
+        out.write.mode("overwrite").parquet(f"{sink_dir}/batch_id={batch_id}")
 
     return (src.writeStream.foreachBatch(write_batch)
             .option("checkpointLocation", checkpoint_dir)

@@ -165,9 +165,9 @@ def test_shared_prefix_search_equals_full_refits(spark, parts):
     from pyspark.ml.tuning import CrossValidator
     from churnspark.plans import tune as T
     train, _ = parts
-    combos = T.grid_combos({"max_depth": [2, 4]})
+    combos = T.grid_combos({"max_depth": [2, 4], "class_weight": [None]})
     pipe, _ = L.build_pipeline("dt")
-    folded = T.with_folds(train, 3)
+    folded = T.with_folds(L.training_columns(train), 3)
     got = []
     for p in (Pipeline(stages=pipe.getStages()), T.SharedPrefixPipeline(stages=pipe.getStages())):
         cv = CrossValidator(estimator=p, estimatorParamMaps=T._param_maps("dt", p, combos),

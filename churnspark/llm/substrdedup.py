@@ -51,10 +51,11 @@ def positions(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return owner, np.arange(int(lengths.sum())) - first[owner], first
 
 
-# A match row (h, c, k, p, q): the hash (h, c) was seen in row k at p.  Within its stretch of rows a task knows
-# already which hashes repeat: of these it sends one notice (p = -1) to the hash's owner, however often they occur,
-# and the places p..q go along under a hash of their own.
-MATCH = "h long, c int, k long, p int, q int"
+# A match row (h, k, v): the hash h was seen in text k; v holds the hash's other 31 bits c and the place p, as c << 32 | p.
+# Within its stretch of texts a task knows already which hashes repeat: of these it sends one notice (p = NOTICE) to
+# the hash's owner, however often they occur, and the runs of places go along under a hash of their own, with
+# v = -1 - (first place << 31 | length).
+MATCH, NOTICE = "h long, k long, v long", (1 << 32) - 1
 
 
 def match_batch(h: np.ndarray, c: np.ndarray, k: np.ndarray, p: np.ndarray):
@@ -68,31 +69,71 @@ def match_batch(h: np.ndarray, c: np.ndarray, k: np.ndarray, p: np.ndarray):
     notice = order[opens]
     notice = notice[known[notice]]
     single = np.flatnonzero(~known)
-    # runs of known places in one row
+    # runs of known places in one text; copies of a text have the same runs
     sure = np.flatnonzero(known)
     run = np.concatenate([[True], (k[sure][1:] != k[sure][:-1]) | (p[sure][1:] != p[sure][:-1] + 1)]) if len(sure) else np.zeros(0, bool)
     lo = sure[run]
-    hi = sure[np.concatenate([run[1:], [True]])] if len(sure) else sure
-    own = (k[lo].view(np.uint64) ^ (p[lo].astype(np.uint64) * _FACTORS[0, 1])) * _FACTORS[0, 2]
-    none = np.zeros(len(notice), np.int64)
-    parts = [
-        (h[single].view(np.int64), c[single], k[single], p[single], p[single]),
-        (h[notice].view(np.int64), c[notice], none, none - 1, none - 1),
-        (own.view(np.int64), np.zeros(len(lo), np.int64) - 1, k[lo], p[lo], p[hi]),
+    size = np.diff(np.concatenate([np.flatnonzero(run), [len(sure)]]))
+    runs = np.unique(np.stack([k[lo], -1 - ((p[lo] << 31) | size)], 1), axis=0)
+    own = (runs[:, 0].astype(np.uint64) * _FACTORS[0, 1]) ^ (runs[:, 1].astype(np.uint64) * _FACTORS[0, 2])
+    columns = [
+        np.concatenate([h[single].view(np.int64), h[notice].view(np.int64), own.view(np.int64)]),
+        np.concatenate([k[single], np.zeros(len(notice), np.int64), runs[:, 0]]),
+        np.concatenate([(c[single] << 32) | p[single], (c[notice] << 32) | NOTICE, runs[:, 1]]),
     ]
-    columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
-    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32())
-    return pa.RecordBatch.from_arrays([pa.array(x).cast(t) for x, t in zip(columns, kinds, strict=True)], ["h", "c", "k", "p", "q"])
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["h", "k", "v"])
 
 
-def repeated(matches: DataFrame) -> DataFrame:
-    """(k, runs): the places whose hash occurs more than once, as a list of (p, q) for each row.
+def repeated(matches: DataFrame, reach: int) -> DataFrame:
+    """(k, runs): the places whose hash occurs more than once, as merged runs p..q for each text.
 
-    After the tasks' own matching a hash has one row per task at most, so its group is small.
+    A run starts up to ``reach`` places before the place that was found.  After the
+    tasks' own matching a hash has one row per task at most, so its group is small.
     """
+    import pyarrow as pa
+    c = F.when(F.col("v") < 0, F.lit(-1)).otherwise(F.shiftright("v", 32))
     n = F.count(F.lit(1)).over(Window.partitionBy("h", "c"))
-    found = matches.withColumn("n", n).filter("p >= 0 AND (c = -1 OR n > 1)")
-    return found.groupBy("k").agg(F.collect_list(F.struct("p", "q")).alias("runs"))
+    found = (matches.repartition("h").withColumn("c", c).withColumn("n", n)
+             .filter((F.col("v") < 0) | ((F.col("n") > 1) & (F.col("v").bitwiseAND(NOTICE) != NOTICE)))
+             .select("k", F.when(F.col("v") < 0, F.col("v")).otherwise(F.col("v").bitwiseAND(NOTICE)).alias("v")))
+
+    def merge(batches: Iterator):
+        """Rows come sorted by text: one text's places are held at a time."""
+        held: list = []
+
+        def row(k, parts):
+            v = np.concatenate(parts)
+            far = -1 - v
+            p, q = np.where(v < 0, far >> 31, v), np.where(v < 0, (far >> 31) + (far & ((1 << 31) - 1)) - 1, v)
+            order = np.argsort(p)
+            p, q = np.maximum(p[order] - reach, 0), np.maximum.accumulate(q[order])
+            new = np.concatenate([[True], p[1:] > q[:-1] + 1])
+            last = np.concatenate([new[1:], [True]])
+            return k, p[new].tolist(), q[last].tolist()
+
+        def out(rows):
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.int32())),
+                                               pa.array([r[2] for r in rows], pa.list_(pa.int32()))], ["k", "p", "q"])
+
+        for batch in batches:
+            k, v = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            if not len(k):
+                continue
+            cuts = np.flatnonzero(k[1:] != k[:-1]) + 1
+            done = []
+            for part_k, part in zip(k[np.concatenate([[0], cuts])].tolist(), np.split(v, cuts), strict=True):
+                if held and held[0] != part_k:
+                    done.append(row(held[0], held[1]))
+                    held = []
+                held = held or [part_k, []]
+                held[1].append(part)
+            if done:
+                yield out(done)
+        if held:
+            yield out([row(held[0], held[1])])
+
+    merged = found.repartition("k").sortWithinPartitions("k").mapInArrow(merge, "k long, p array<int>, q array<int>")
+    return merged.select("k", F.arrays_zip("p", "q").alias("runs"))
 
 
 def marks(runs, size: int) -> np.ndarray:
@@ -104,7 +145,7 @@ def marks(runs, size: int) -> np.ndarray:
     return np.cumsum(step[:-1]) > 0
 
 
-def drop_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", window: int = 35, keep_layout: bool = True) -> DataFrame:
+def drop_repeats(docs: DataFrame, *, text: str = "text", window: int = 35, keep_layout: bool = True) -> DataFrame:
     """Remove every word covered by a ``window``-word passage that also starts anywhere else.
 
     Returns every row and column of ``docs`` with the text's kept words joined by one
@@ -112,8 +153,8 @@ def drop_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     ``keep_layout`` a text that loses nothing stays as it is.  Passages are judged on
     the input, a second one in the same text included, so all copies go.  A null or
     empty text has no words (and becomes empty unless ``keep_layout``); texts of
-    fewer than ``window`` words lose nothing.  Rows that are wholly equal in id and
-    text are repeats of each other.  Windows are compared by a 95-bit hash.
+    fewer than ``window`` words lose nothing.  Rows with the same text repeat each
+    other, whatever their ids.  Windows are compared by a 95-bit hash.
     """
     import pyarrow as pa
     if not PERIOD <= window <= MOST_WINDOW:
@@ -139,8 +180,8 @@ def drop_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
             key, near = batch.column(0).to_numpy(), np.zeros(len(x) + 1, np.int64)
             for i, runs in enumerate(batch.column(2).to_pylist()):
                 last = lengths[i] - window
-                for r in runs:  # windows that hold an anchor which starts at p..q
-                    lo, hi = max(0, r["p"] - PERIOD + 1), min(last, r["q"])
+                for r in runs:  # windows that hold a repeated anchor
+                    lo, hi = r["p"], min(last, r["q"])
                     if lo <= hi:
                         near[first[i] + lo] += 1
                         near[first[i] + hi + 1] -= 1
@@ -150,12 +191,13 @@ def drop_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
 
     k, names = own_name(docs, "row_key"), ("n_words", "n_removed")
     keep = [c for c in docs.columns if c not in names]
-    rows = docs.select(*keep).withColumn(k, row_key(F.col(doc_id), F.col(text)))
+    # equal texts have equal passages, so they share a key, and lie side by side after a join on it
+    rows = docs.select(*keep).withColumn(k, row_key(F.col(text)))
     narrow = rows.select(F.col(k).alias("k"), F.col(text).alias("text"))
-    seeds = settle(repeated(narrow.mapInArrow(anchors, MATCH)))
+    seeds = settle(repeated(narrow.mapInArrow(anchors, MATCH), PERIOD - 1))
     may, _ = split_by_keys(narrow, "k", seeds)
     suspects = may.join(seeds, "k").select("k", "text", "runs")
-    gone = settle(repeated(suspects.mapInArrow(windows, MATCH)))
+    gone = settle(repeated(suspects.mapInArrow(windows, MATCH), 0))
     touched, untouched = split_by_keys(rows, k, gone.withColumnRenamed("k", k))
 
     at = keep.index(text)

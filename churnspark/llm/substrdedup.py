@@ -28,12 +28,20 @@ MOST_WINDOW = 512
 _FACTORS = np.random.default_rng(20240913).integers(0, 2**63, (2, MOST_WINDOW), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+def slices(batches: Iterator, rows: int = 1000) -> Iterator:
+    """Smaller batches: what a task holds follows these, not Arrow's."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def word_rows(column, words: WordHashes) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of all texts one after the other, and each text's number of words."""
-    parts = [(t or b"").split() for t in texts(column)]
-    lengths = np.fromiter(map(len, parts), np.int64, len(parts))
-    x = np.fromiter((words[w] for p in parts for w in p), np.uint64, int(lengths.sum()))
-    return x, lengths
+    parts = []
+    for t in texts(column):
+        tokens = (t or b"").split()
+        parts.append(np.fromiter(map(words.__getitem__, tokens), np.uint64, len(tokens)))
+    return np.concatenate(parts), np.fromiter(map(len, parts), np.int64, len(parts))
 
 
 def window_hash(x: np.ndarray, starts: np.ndarray, length: int, which: int) -> np.ndarray:
@@ -163,8 +171,8 @@ def drop_repeats(docs: DataFrame, *, text: str = "text", window: int = 35, keep_
     on_cover = np.isin(np.arange(PERIOD), COVER)
 
     def anchors(batches: Iterator):
-        words = WordHashes()
-        for batch in batches:
+        words = WordHashes(200_000)
+        for batch in slices(batches):
             x, lengths = word_rows(batch.column(1), words)
             owner, place, _ = positions(lengths)
             starts = np.flatnonzero(on_cover[place % PERIOD] & (place + anchor <= lengths[owner]) & (lengths[owner] >= window))
@@ -173,8 +181,8 @@ def drop_repeats(docs: DataFrame, *, text: str = "text", window: int = 35, keep_
             yield match_batch(h, np.zeros(len(h), np.int64), key[owner[starts]], place[starts])
 
     def windows(batches: Iterator):
-        words = WordHashes()
-        for batch in batches:
+        words = WordHashes(200_000)
+        for batch in slices(batches):
             x, lengths = word_rows(batch.column(1), words)
             owner, place, first = positions(lengths)
             key, near = batch.column(0).to_numpy(), np.zeros(len(x) + 1, np.int64)

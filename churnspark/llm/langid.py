@@ -14,11 +14,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from churnspark.llm.common import texts
+from churnspark.llm.common import settle, texts
 
 UNDETERMINED = "und"
 #: Bytes that are compressed at once: short, so that a text's own repeats do not hide the dictionary.
 BLOCK = 4096
+#: Languages whose counts are broadcast at most.
+MOST_BROADCAST = 10_000
 
 
 def sample(labelled: DataFrame, per_language: int, piece: int) -> dict[str, tuple[int, bytes]]:
@@ -27,7 +29,9 @@ def sample(labelled: DataFrame, per_language: int, piece: int) -> dict[str, tupl
     ``labelled`` has id, text, lang.  The rows with the smallest hashes are taken;
     a first cut by hash leaves few of a large language's rows to be ranked.
     """
-    counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    counts = settle(labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")))
+    if counts.count() <= MOST_BROADCAST:
+        counts = F.broadcast(counts)
     unit = F.shiftrightunsigned(F.xxhash64("id"), 11) / F.lit(float(1 << 53))
     few = (labelled.join(counts, "lang").withColumn("u", unit).filter(F.col("u") * F.col("n") <= 4 * per_language)
            .select("lang", "n", "u", "id", F.lower("text").alias("text")))

@@ -24,10 +24,12 @@ from pyspark.sql import functions as F
 
 from churnspark.llm.common import WordHashes, heavy_light_join, settle, texts
 
-#: Minwise coordinates, trees, branches of a node, depth of the first comparison and of the last.
-COORDINATES, TREES, BRANCHES, FIRST_DEPTH, LAST_DEPTH = 48, 6, 2, 2, 12
-#: Members of a node that are compared exhaustively, but for its last depth.
-SMALL_NODE = 24
+#: Minwise coordinates, trees, branches of a node.
+COORDINATES, TREES, BRANCHES = 48, 6, 2
+#: Depths at which members are compared: large nodes branch on from one to the next.
+DEPTHS = (2, 6, 10)
+#: Members of a node that are compared exhaustively, but for the last depth.
+SMALL_NODE = 8
 #: Odd multipliers, from a fixed seed: of a shingle's words, of the coordinates, of node names.
 _RANDOM = np.random.default_rng(20240607)
 WORD_FACTORS = _RANDOM.integers(0, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -56,11 +58,13 @@ def shingle_set(text: bytes | None, words: WordHashes, size: int) -> np.ndarray:
     return np.unique(mix(h))
 
 
-def minwise(shingles: np.ndarray) -> np.ndarray:
-    """COORDINATES minwise values, 32 bits each."""
-    out = np.empty(COORDINATES, np.uint32)
+def minwise(sets: list[np.ndarray]) -> np.ndarray:
+    """COORDINATES minwise values of each set, 32 bits each; no set may be empty."""
+    x = np.concatenate(sets)
+    starts = np.cumsum([0, *map(len, sets[:-1])])
+    out = np.empty((len(sets), COORDINATES), "<u4")
     for i, factor in enumerate(COORDINATE_FACTORS):
-        out[i] = ((shingles * factor) >> np.uint64(32)).min()
+        out[:, i] = np.minimum.reduceat(x * factor, starts) >> np.uint64(32)
     return out
 
 
@@ -90,19 +94,21 @@ def describe(docs: DataFrame, doc_id: str, text: str, size: int) -> DataFrame:
     def run(batches: Iterator):
         words = WordHashes()
         for batch in batches:
-            n, sig, mins = [], [], []
-            for t in texts(batch.column(1)):
-                s = shingle_set(t, words, size)
-                n.append(len(s))
-                sig.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-                mins.append(minwise(s).astype("<u4").tobytes() if len(s) else None)
+            n, sig, mins, todo = [], [], [], texts(batch.column(1))
+            for i in range(0, len(todo), 128):
+                sets = [shingle_set(t, words, size) for t in todo[i : i + 128]]
+                full = [s for s in sets if len(s)]
+                values = iter(minwise(full) if full else ())
+                n += map(len, sets)
+                sig += [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
+                mins += [next(values).tobytes() if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.array(mins, pa.binary())], ["id", "n", "sig", "mins"])
 
     return docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, "id long, n long, sig binary, mins binary")
 
 
 def first_nodes(reps: DataFrame) -> DataFrame:
-    """(node, id): every document's nodes at FIRST_DEPTH in every tree."""
+    """(node, id): every document's nodes at the first of DEPTHS in every tree."""
     import pyarrow as pa
 
     def run(batches: Iterator):
@@ -111,26 +117,28 @@ def first_nodes(reps: DataFrame) -> DataFrame:
                 continue
             ids, mins = batch.column(0).to_numpy(), _matrix(batch.column(1))
             level = [np.full(len(ids), mix(np.array([t + 1], np.uint64))[0]) for t in range(TREES)]
-            for _ in range(FIRST_DEPTH):
+            for _ in range(DEPTHS[0]):
                 level = [c for nodes in level for c in children(nodes, mins)]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(level).view(np.int64)), pa.array(np.tile(ids, len(level)))], ["node", "id"])
 
     return reps.select("id", "mins").mapInArrow(run, "node long, id long")
 
 
-def branch(members: DataFrame, reps: DataFrame) -> DataFrame:
-    """(node, id) one level further down."""
+def branch(members: DataFrame, reps: DataFrame, levels: int) -> DataFrame:
+    """(node, id) that many levels further down."""
     import pyarrow as pa
 
     def run(batches: Iterator):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            kids = children(batch.column(0).to_numpy().view(np.uint64), _matrix(batch.column(2)))
+            mins, kids = _matrix(batch.column(2)), [batch.column(0).to_numpy().view(np.uint64)]
+            for _ in range(levels):
+                kids = [c for nodes in kids for c in children(nodes, mins)]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(kids).view(np.int64)), pa.array(np.tile(batch.column(1).to_numpy(), len(kids)))], ["node", "id"])
 
     rows = members.select("node", "id").join(reps.select("id", "mins"), "id").select("node", "id", "mins")
-    return rows.mapInArrow(run, "node long, id long").distinct()
+    return rows.mapInArrow(run, "node long, id long")
 
 
 def shared_nodes(members: DataFrame) -> DataFrame:
@@ -160,32 +168,27 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     left = sets.select(F.col("id").alias("a"), F.col("set").alias("set_a"))
     # a member is in few pairs; the first of a large group is in many, and Spark splits a skewed join
     rows = pairs.join(right, "b").join(left, "a").select("a", "b", "set_a", "set_b")
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    return rows.mapInArrow(run, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
     """(id, component): the smallest id reachable, for every id in a link, by alternating large and small stars."""
-    def stars(edges: DataFrame, large: bool) -> DataFrame:
-        both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a")).distinct()
-        near = settle(both if large else both.filter("v < u"))
-        least = settle(near.groupBy("u").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("m")).withColumn("m", F.least("u", "m")))
-        rows = heavy_light_join(near, least, "u", "n")
-        if large:
-            out = rows.filter("v > u").select("v", "m")
-        else:
-            out = rows.select("v", "m").union(least.select("u", "m"))
-        return out.filter("v <> m").select(F.col("m").alias("a"), F.col("v").alias("b")).distinct()
+    def star(edges: DataFrame, large: bool) -> DataFrame:
+        both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a"))
+        near = both if large else both.filter("v < u")
+        least = near.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+        # an id in very many links is skewed here, and Spark splits it
+        rows = near.join(least, "u")
+        out = rows.filter("v > u").select("v", "m") if large else rows.select("v", "m").union(least.select("u", "m"))
+        return settle(out.filter("v <> m").select(F.col("m").alias("a"), F.col("v").alias("b")).distinct())
 
     edges = settle(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct())
-    mark = None
     while True:
-        edges = settle(stars(settle(stars(edges, True)), False))
-        now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
-        if now == mark or not now[0]:
-            break
-        mark = now
-    # converged: every edge joins an id to its component's smallest
-    return edges.select(F.col("b").alias("id"), F.col("a").alias("component"))
+        # done when every id has one edge to a smaller id, and that one has none
+        roles = edges.select(F.col("b").alias("id"), F.lit(1).alias("below"), F.lit(0).alias("above")).union(edges.select("a", F.lit(0), F.lit(1)))
+        if roles.groupBy("id").agg(F.sum("below").alias("below"), F.max("above").alias("above")).filter("below + above > 1").isEmpty():
+            return edges.select(F.col("b").alias("id"), F.col("a").alias("component"))
+        edges = star(star(edges, True), False)
 
 
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 75) -> DataFrame:
@@ -218,15 +221,14 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     tested = settle(members.filter("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct())
     links = settle(linked(tested, sets, percent))
     comp = components(links)
-    for depth in range(FIRST_DEPTH, LAST_DEPTH + 1):
+    for depth, deeper_by in zip(DEPTHS, [*np.diff(DEPTHS).tolist(), 0], strict=True):
         # nodes that still hold several components
-        marked = settle(members.select("node", "id", "size").join(comp, "id", "left").withColumn("component", F.coalesce("component", "id")))
-        mixed = settle(marked.groupBy("node").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("c"))
-                       .filter("lo <> hi").select("node", "c"))
-        open_ = settle(heavy_light_join(marked, mixed, "node", "c").drop("c"))
+        marked = members.select("node", "id", "size").join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        mixed = marked.groupBy("node").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("node")
+        open_ = settle(marked.join(mixed, "node", "left_semi"))
         if open_.isEmpty():
             break
-        last = depth == LAST_DEPTH
+        last = depth == DEPTHS[-1]
         small = open_ if last else open_.filter(F.col("size") <= SMALL_NODE)
         x = small.select("node", F.col("id").alias("a"), F.col("component").alias("ca"))
         y = small.select("node", F.col("id").alias("b"), F.col("component").alias("cb"))
@@ -235,10 +237,13 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
         if not last:
             deeper = open_.filter(F.col("size") > SMALL_NODE)
             if not deeper.isEmpty():
-                members = shared_nodes(settle(branch(deeper, classes)))
+                members = shared_nodes(settle(branch(deeper, classes, deeper_by)))
                 across = across.union(members.filter("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")))
-        fresh = settle(across.distinct().join(tested, ["a", "b"], "left_anti"))
-        tested = settle(tested.union(fresh))
+        of = comp.select(F.col("id").alias("a"), F.col("component").alias("ca")), comp.select(F.col("id").alias("b"), F.col("component").alias("cb"))
+        apart = (across.distinct().join(tested, ["a", "b"], "left_anti").join(of[0], "a", "left").join(of[1], "b", "left")
+                 .filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")))
+        fresh = settle(apart.select("a", "b"))
+        tested = tested.union(fresh)
         found = settle(linked(fresh, sets, percent))
         if not found.isEmpty():
             links = settle(comp.select(F.col("component").alias("a"), F.col("id").alias("b")).union(found))

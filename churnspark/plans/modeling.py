@@ -1,7 +1,7 @@
 """Model-based queries: the catalogue's presets, trained on the X1 train split of
 the whole customer table, explaining and scoring the whole test split.  Fitted
 models are shared within a session; ``forget`` drops them, as the benchmark does
-before each query.  ``checks`` has what these queries must satisfy as SQL.
+before each query.  ``plans/checks`` has what these queries must satisfy as SQL.
 """
 
 from __future__ import annotations

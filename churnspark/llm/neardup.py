@@ -8,7 +8,9 @@ a node, a pair at 0.75 meets in a given tree with probability 0.89 or more at an
 depth, and misses all TREES trees with probability 0.11 ** TREES or less.
 
 A document is first compared with the smallest member of its nodes, and the links
-found are joined to components.  Members of different components that share a small
+found are joined to components; then with the likeliest member of another component
+in its block of a node, so that copies of one text are one component before anything
+else is compared.  Members of different components that share a small
 node are then compared exhaustively, by their minwise values; a large node branches
 again, and at the last depth is compared block by block.  Links are always confirmed
 on full sets.  Sets that are equal are one class from the start.
@@ -28,7 +30,7 @@ from churnspark.llm.common import WordHashes, heavy_light_join, settle, texts
 #: Minwise coordinates, trees, branches of a node.
 COORDINATES, TREES, BRANCHES = 48, 6, 2
 #: Depths at which members are compared: large nodes branch on from one to the next.
-DEPTHS = (2, 6, 10)
+DEPTHS = (2, 4, 7, 10)
 #: Members of a node that are compared exhaustively; at the last depth, of a block of a larger node.
 SMALL_NODE = 64
 #: Minwise values of COORDINATES that a pair must share to be confirmed on full sets: at 0.75 one pair in 20 000 shares fewer.
@@ -155,26 +157,36 @@ def hubs(members: DataFrame) -> DataFrame:
     return members.groupBy("id").agg(F.min("first").alias("a")).filter("a < id").select("a", F.col("id").alias("b"))
 
 
-def alike(members: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+def alike(members: DataFrame, reps: DataFrame, percent: int, nearest: bool = False) -> DataFrame:
     """(a, b): pairs a < b of different components that share a node and may be linked.
 
     ``members`` has (node, id, size, component).  A node of more than SMALL_NODE members
     is cut into blocks of about that many by a hash of the id, and every two blocks
     meet, so that a task never holds more than two blocks.  Sizes too different for
     ``percent`` and pairs that share fewer than AGREE minwise values are left out.
+    With ``nearest`` a block is only compared with itself, and each member gets one
+    partner, that with which it shares most values.
     """
     import pyarrow as pa
 
     def compare(ids, component, own, n, mins) -> np.ndarray:
+        """Columns (a, b, shared values)."""
         x, y = np.triu_indices(len(ids), 1)
         ok = component[x] != component[y]
         if (own >= 0).any():
             ok &= own[x] != own[y]
         ok &= 100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])
         x, y = x[ok], y[ok]
-        ok = (mins[x] == mins[y]).sum(axis=1) >= AGREE
-        x, y = ids[x[ok]], ids[y[ok]]
-        return np.stack([np.minimum(x, y), np.maximum(x, y)])
+        shared = (mins[x] == mins[y]).sum(axis=1)
+        ok = shared >= AGREE
+        x, y, shared = ids[x[ok]], ids[y[ok]], shared[ok]
+        if nearest:
+            both, of = np.concatenate([x, y]), np.concatenate([y, x])
+            order = np.lexsort((of, -np.tile(shared, 2), both))
+            both, of, shared = both[order], of[order], np.tile(shared, 2)[order]
+            first = np.concatenate([[True], both[1:] != both[:-1]])[: len(both)]
+            return np.stack([both[first], of[first], shared[first]])
+        return np.stack([np.minimum(x, y), np.maximum(x, y), shared])
 
     def run(batches: Iterator):
         """Rows come sorted by cell; the last cell of a batch waits for the next batch."""
@@ -188,20 +200,21 @@ def alike(members: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
             found = [compare(*(z[i:j] for z in held[1:])) for i, j in zip(cuts[:-1], cuts[1:], strict=True) if j - i > 1]
             held = [z[cuts[-1]:] for z in held]
             if found:
-                a, b = np.unique(np.concatenate(found, axis=1), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(z) for z in np.unique(np.concatenate(found, axis=1), axis=1)], ["a", "b", "shared"])
         if held is not None and len(held[0]) > 1:
-            a, b = compare(*held[1:])
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(z) for z in compare(*held[1:])], ["a", "b", "shared"])
 
     blocks = F.ceil(F.col("size") / SMALL_NODE)
     block = F.pmod(F.xxhash64("id"), blocks)
-    other = F.explode(F.when(blocks > 1, F.sequence(F.lit(0).cast("long"), blocks - 1)).otherwise(F.array(F.lit(0).cast("long"))))
+    other = block if nearest else F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))
     cells = (members.withColumns({"blocks": blocks, "block": block}).withColumn("other", other)
              .select(F.xxhash64("node", F.least("block", "other"), F.greatest("block", "other")).alias("cell"), "id", "component",
                      F.when(F.col("block") == F.col("other"), F.lit(-1)).otherwise(F.col("block")).cast("long").alias("own")))
     rows = cells.join(reps.select("id", "n", "mins"), "id").select("cell", "id", "component", "own", "n", "mins")
-    return rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "a long, b long").distinct()
+    pairs = rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "a long, b long, shared long")
+    if nearest:  # of all its nodes
+        pairs = pairs.groupBy("a").agg(F.max(F.struct("shared", F.col("b"))).alias("best")).select("a", F.col("best.b").alias("b"))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -278,11 +291,31 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     tested = settle(hubs(members))
     links = settle(linked(tested, sets, percent))
     comp = components(links)
-    for depth, deeper_by in zip(DEPTHS, [*np.diff(DEPTHS).tolist(), 0], strict=True):
-        # nodes that still hold several components
+
+    def still_open(members: DataFrame) -> DataFrame:
+        """The members of nodes that hold several components."""
         marked = members.select("node", "id", "size").join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
         mixed = marked.groupBy("node").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("node")
-        open_ = settle(marked.join(mixed, "node", "left_semi"))
+        return settle(marked.join(mixed, "node", "left_semi"))
+
+    def confirm(pairs: DataFrame) -> bool:
+        """Test what has not been tested, and join the components that are linked."""
+        nonlocal tested, comp
+        of = comp.select(F.col("id").alias("a"), F.col("component").alias("ca")), comp.select(F.col("id").alias("b"), F.col("component").alias("cb"))
+        apart = (pairs.distinct().join(tested, ["a", "b"], "left_anti").join(of[0], "a", "left").join(of[1], "b", "left")
+                 .filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")))
+        fresh = settle(apart.select("a", "b"))
+        tested = tested.union(fresh)
+        found = settle(linked(fresh, sets, percent))
+        if found.isEmpty():
+            return False
+        comp = components(settle(comp.select(F.col("component").alias("a"), F.col("id").alias("b")).union(found)))
+        return True
+
+    for depth, deeper_by in zip(DEPTHS, [*np.diff(DEPTHS).tolist(), 0], strict=True):
+        open_ = still_open(members)
+        if not open_.isEmpty() and confirm(alike(open_, classes, percent, nearest=True)):
+            open_ = still_open(members)
         if open_.isEmpty():
             break
         last = depth == DEPTHS[-1]
@@ -294,15 +327,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
             if not deeper.isEmpty():
                 members = shared_nodes(settle(branch(deeper, classes, deeper_by)))
                 across = across.union(hubs(members))
-        of = comp.select(F.col("id").alias("a"), F.col("component").alias("ca")), comp.select(F.col("id").alias("b"), F.col("component").alias("cb"))
-        apart = (across.distinct().join(tested, ["a", "b"], "left_anti").join(of[0], "a", "left").join(of[1], "b", "left")
-                 .filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")))
-        fresh = settle(apart.select("a", "b"))
-        tested = tested.union(fresh)
-        found = settle(linked(fresh, sets, percent))
-        if not found.isEmpty():
-            links = settle(comp.select(F.col("component").alias("a"), F.col("id").alias("b")).union(found))
-            comp = components(links)
+        confirm(across)
         if members is None:
             break
 

@@ -1,5 +1,6 @@
 import random
 
+from churnspark.llm import neardup
 from churnspark.llm.neardup import components, near_duplicates
 from conftest import words
 
@@ -56,6 +57,19 @@ def test_large_groups_chains_and_neighbours_below_the_threshold(spark):
     check(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
 
 
+def test_blocks_of_large_nodes(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "SMALL_NODE", 4)
+    monkeypatch.setattr(neardup, "DEPTHS", (2,))  # the first depth is the last: every node is compared in blocks
+    r = random.Random(5)
+    base, rows = words(51, 90).split(), []
+    for i in range(60):
+        w = list(base)
+        for _ in range(r.randrange(1, 5)):
+            w[r.randrange(len(w))] = f"new{r.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    check(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 200), (200, 150), (7, 7)]
     got = {r["id"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -88,24 +88,26 @@ def q_cv_metrics(spark, d):
     return T.cv_metrics("dt", train)
 
 
-DT_GRID = {"max_depth": [3, 5], "min_samples_leaf": [5, 20], "class_weight": [None, "balanced"]}
+#: The shipped grid of this learner (config.yaml, tuning.param_grids): 144 points.
+DT_GRID = {"criterion": ["gini"], "max_depth": [4, 6, 10], "min_samples_split": [10, 50, 100, 200],
+           "min_samples_leaf": [10, 20, 50], "max_features": ["sqrt", None], "class_weight": [None, "balanced"]}
 
 
 def q_grid_search(spark, d):
     train, _ = _parts(spark, d)
-    model, combos = T.grid_search("dt", train, DT_GRID)
+    model, combos = T.grid_search("decision_tree_gini", train, DT_GRID)
     return T.results_table(spark, model, combos)
 
 
 def q_random_search(spark, d):
     train, _ = _parts(spark, d)
-    model, combos = T.random_search("dt", train, DT_GRID, n_iter=3)
+    model, combos = T.random_search("decision_tree_gini", train, DT_GRID, n_iter=50)
     return T.results_table(spark, model, combos)
 
 
 def q_model_search(spark, d):
     train, _ = _parts(spark, d)
-    best, trials = T.model_search("xgb", train, n_trials=2, cv_splits=4)
+    best, trials = T.model_search("xgb", train, n_trials=20)
     rows = [(i, {k: str(v) for k, v in p.items()}, ap, p == best) for i, (p, ap) in enumerate(trials)]
     return spark.createDataFrame(rows, "trial int, params map<string,string>, pr_auc double, best boolean")
 
@@ -243,7 +245,8 @@ def q_predict_named(spark, d):
 def q_advanced_flow(spark, d):
     from churnspark.plans.flow import FlowPlan, train_flow
     train, test = _parts(spark, d)
-    return train_flow(train, test, FlowPlan(learners=("dt", "logreg"), oversample="smote")).comparison
+    plan = FlowPlan(learners=("dt", "logreg", "rf", "gb", "xgb"), search_trials=20, oversample="smote")
+    return train_flow(train, test, plan).comparison
 
 
 MODEL_QUERIES = {

@@ -208,7 +208,10 @@ def _search(key: str, df: DataFrame, combos: list[dict], k: int, metric: str,
     kind, _ = L.catalogue()[key]
     n_rows = df.count() * (k - 1) // k if kind == "rbf_svm" else None
     maps = _param_maps(key, pipe, combos, n_rows)
-    cv = CrossValidator(estimator=pipe, estimatorParamMaps=maps,
+    # points that differ only in what Spark ML has no parameter for are the same fit: done once
+    at: dict = {}
+    place = [at.setdefault(frozenset(m.items()), len(at)) for m in maps]
+    cv = CrossValidator(estimator=pipe, estimatorParamMaps=[dict(m) for m in at],
                         evaluator=ExactMetricEvaluator(metric), foldCol=FOLD, numFolds=k,
                         parallelism=parallelism, collectSubModels=False)
     folded = with_folds(df, k)
@@ -216,6 +219,9 @@ def _search(key: str, df: DataFrame, combos: list[dict], k: int, metric: str,
         model = cv.fit(folded)
     finally:
         folded.unpersist()
+    model.avgMetrics = [model.avgMetrics[i] for i in place]
+    model.stdMetrics = [model.stdMetrics[i] for i in place]
+    model._set(estimatorParamMaps=maps)
     return model, combos
 
 

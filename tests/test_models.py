@@ -176,3 +176,53 @@ def test_shared_prefix_search_equals_full_refits(spark, parts):
         got.append(cv.fit(folded).avgMetrics)
     folded.unpersist()
     assert np.allclose(got[0], got[1], rtol=0, atol=1e-12)
+
+
+def test_search_queries_call_the_operators_in_full(spark, parts, small_dir, monkeypatch):
+    from churnspark.plans import flow
+    from churnspark.plans import tune as T
+    seen = {}
+
+    class Stop(Exception):
+        pass
+
+    def taken(name):
+        def call(*args, **kwargs):
+            seen[name] = (args, kwargs)
+            raise Stop
+        return call
+
+    monkeypatch.setattr(T, "_search", taken("search"))
+    monkeypatch.setattr(T, "model_search", taken("model"))
+    monkeypatch.setattr(flow, "train_flow", taken("flow"))
+
+    def called(query, name):
+        with pytest.raises(Stop):
+            MD.MODEL_QUERIES[query](spark, small_dir)
+        return seen[name]
+
+    assert len(called("grid_search", "search")[0][2]) == 144
+    assert len({tuple(c.items()) for c in called("random_search", "search")[0][2]}) == 50
+    args, kwargs = called("model_search", "model")
+    assert args[0] == "xgb" and kwargs["n_trials"] == 20
+    plan = called("advanced_flow", "flow")[0][2]
+    assert {*flow.FlowPlan().learners, "logreg", "xgb"} <= set(plan.learners) and plan.search_trials == 20
+    assert {*plan.ensembles} == {"voting", "stacking"}
+
+
+def test_equal_candidates_are_fitted_once_and_all_reported(spark, parts, monkeypatch):
+    from churnspark.plans import tune as T
+    train, _ = parts
+    fits = []
+    real = T.CrossValidator
+
+    def counted(**kwargs):
+        fits.append(len(kwargs["estimatorParamMaps"]))
+        return real(**kwargs)
+
+    monkeypatch.setattr(T, "CrossValidator", counted)
+    model, combos = T.grid_search("dt", train, {"max_depth": [1, 4], "min_samples_split": [10, 50]}, k=2)
+    assert fits == [2] and len(combos) == len(model.stdMetrics) == 4
+    shallow, same, deep, last = model.avgMetrics
+    assert shallow == same != deep == last
+    assert T.results_table(spark, model, combos).count() == 4

@@ -16,7 +16,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from churnspark.llm.common import settle, texts
+from churnspark.llm.neardup import COORDINATES, describe
 
 #: Lengths of the prefixes that count besides the whole word.
 PREFIXES = (4, 5, 6)
@@ -33,6 +34,8 @@ EDGES = (1.0, 2.0, 3.0, 4.0, 5.0)
 BINS = len(EDGES) + 1
 #: Log odds from which a token of a toxic document is labelled toxic.
 LABEL_AT = 3.0
+#: Minwise values of COORDINATES that two near copies share at least: about the share of their shingles that is common.
+NEAR = COORDINATES * 3 // 4
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 
@@ -215,6 +218,26 @@ class Model:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
+def distinct_texts(described: Iterable[tuple[int, int, bytes | None]]) -> list[int]:
+    """Ids of rows (id, label, minwise values), without near copies: those that share NEAR values or more with a smaller id that stays, of their label.
+
+    Texts that share NEAR of the values share one of the 16 groups of three values, but for
+    about one in 7000; only such texts are compared.  Of texts without words one stays.
+    """
+    rows = sorted(described, key=lambda r: (r[0], r[1], r[2] or b""))
+    values = np.frombuffer(b"".join(r[2] or bytes(4 * COORDINATES) for r in rows), "<u4").reshape(-1, COORDINATES)
+    stay: list[int] = []
+    groups: dict[tuple, list[int]] = {}
+    for at, (_, label, _) in enumerate(rows):
+        keys = [(label, g, values[at, g : g + 3].tobytes()) for g in range(0, COORDINATES, 3)]
+        near = list({x for k in keys for x in groups.get(k, ())})
+        if (values[near] == values[at]).sum(axis=1).max(initial=0) < NEAR:
+            stay.append(at)
+            for k in keys:
+                groups.setdefault(k, []).append(at)
+    return [rows[at][0] for at in stay]
+
+
 def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", sample: int = 4000,
         field_documents: int = 1500, stretch: int = 64, min_documents: int = 3, most_units: int = 50_000) -> Model:
     """Fit on a bounded sample: the ``sample`` toxic and 2 * ``sample`` clean labelled documents with the smallest id hashes.
@@ -231,11 +254,14 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
     h = F.xxhash64("id")
     ids = (marked.filter("toxic = 1").orderBy(h, "id").limit(sample)
            .union(marked.filter("toxic <> 1").orderBy(h, "id").limit(2 * sample)))
-    # 3 * sample ids at most; of texts that open alike (copies, near copies) one counts, or their rare words would look toxic
-    opening = F.xxhash64(F.substring_index(F.lower(F.coalesce(F.col(text), F.lit(""))), " ", 8))
-    picked = settle(docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), opening.alias("opening")).join(F.broadcast(ids), "id")
-                    .select("id", "text", "opening", (F.col("toxic") == 1).cast("int").alias("toxic")))
-    rows = picked.join(F.broadcast(picked.groupBy("opening", "toxic").agg(F.min("id").alias("id"))), ["opening", "toxic", "id"]).select("id", "text", "toxic")
+    # 3 * sample ids at most; of copies and near copies one counts, or their rare words would look toxic
+    digest = F.xxhash64(F.lower(F.coalesce(F.col(text), F.lit(""))))
+    picked = settle(docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), digest.alias("digest")).join(F.broadcast(ids), "id")
+                    .select("id", "text", "digest", (F.col("toxic") == 1).cast("int").alias("toxic")))
+    unique = picked.join(F.broadcast(picked.groupBy("digest", "toxic").agg(F.min("id").alias("id"))), ["digest", "toxic", "id"]).select("id", "text", "toxic")
+    mins = describe(unique, "id", "text", 5).select("id", "mins").join(F.broadcast(ids), "id").select("id", "mins", (F.col("toxic") == 1).cast("int").alias("toxic"))
+    kept = distinct_texts((r["id"], r["toxic"], r["mins"]) for r in mins.collect())  # 3 * sample rows, of 48 values each
+    rows = settle(unique.join(F.broadcast(spark.createDataFrame([(i,) for i in sorted(set(kept))], "id long")), "id"))
 
     def count(wanted: int, only):
         def run(batches: Iterator):

@@ -64,6 +64,28 @@ def test_held_out_documents_and_their_spans(spark):
             assert "vile" in r["text"][s["start"] : s["end"]]
 
 
+def test_texts_that_open_alike_all_count(spark):
+    rows, labels = corpus()
+    opening = "this text is free to copy under the terms of the licence below\n"
+    docs = spark.createDataFrame([(i, opening + t) for i, t in rows], "doc_id long, text string")
+    marked = spark.createDataFrame([x for x in labels if x[0] % 4 != 2], "doc_id long, quality int, toxic int")
+    model = X.fit(docs, marked)
+    assert (model.lexicon.toxic, model.lexicon.clean) == (sum(t for i, _, t in labels if i % 4 != 2), sum(1 - t for i, _, t in labels if i % 4 != 2))
+    truth = {i: t for i, _, t in labels}
+    held = X.score(docs.filter("doc_id % 4 = 2"), model).collect()
+    assert np.mean([r["predicted"] == truth[r["doc_id"]] for r in held]) > 0.97
+
+
+def test_copies_and_near_copies_count_once(spark):
+    rows, labels = corpus(120)
+    long = " ".join(f"w{i}" for i in range(200))
+    for i in range(12):  # four copies, four in capitals, four with another word in the middle
+        rows.append((1000 + i, long if i < 4 else long.upper() if i < 8 else long.replace("w100 ", f"other{i} ")))
+        labels.append((1000 + i, 1, 1))
+    model = X.fit(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert model.lexicon.toxic == 21 and "w5" not in model.lexicon.counts
+
+
 def test_edge_rows_missing_labels_and_empty_table(spark, edge_docs, no_docs):
     labels = spark.createDataFrame([(0, 1, 0), (1, 1, 0), (2, None, None), (None, 1, 1), (9, 1, 1), (99, 1, 1)], "doc_id long, quality int, toxic int")
     model = X.fit(edge_docs, labels)

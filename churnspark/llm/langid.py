@@ -36,7 +36,9 @@ def sample(labelled: DataFrame, per_language: int, piece: int) -> dict[str, tupl
     few = (labelled.join(counts, "lang").withColumn("u", unit).filter(F.col("u") * F.col("n") <= 4 * per_language)
            .select("lang", "n", "u", "id", F.lower("text").alias("text")))
     ranked = few.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("u", "id"))).filter(F.col("r") <= per_language)
-    rows = ranked.select("lang", "n", "r", F.encode("text", "utf-8").substr(1, piece).alias("part")).collect()  # bounded by the two parameters
+    # anywhere in the text: many texts of a source may open alike
+    start = F.pmod(F.xxhash64("id", F.lit("piece")), F.greatest(F.octet_length("text") - piece + 1, F.lit(1))).cast("int") + 1
+    rows = ranked.select("lang", "n", "r", F.encode("text", "utf-8").substr(start, F.lit(piece)).alias("part")).collect()  # bounded by the two parameters
     out: dict[str, list] = {}
     for r in sorted(rows, key=lambda r: (r["lang"], r["r"])):
         out.setdefault(r["lang"], [r["n"], []])[1].append(bytes(r["part"]))

@@ -21,6 +21,16 @@ def test_labels_of_held_out_rows_do_not_matter(spark):
     assert a == b
 
 
+def test_texts_that_open_alike(spark):
+    opening = "Copyright notice: free to copy under the terms of the public licence. " * 4
+    german = "der die das und nicht ein eine ist wir sie haben werden auch nach bei einer um am sind noch wie".split()
+    docs = spark.createDataFrame(
+        [(i, opening + (" ".join(german[(i * 7 + j * j) % len(german)] for j in range(150)) if i % 3 == 0 else words(i, 150)), "de" if i % 3 == 0 else "en") for i in range(300)],
+        "doc_id long, text string, lang string")
+    held = identify(docs.filter("doc_id % 5 = 0"), docs.filter("doc_id % 5 <> 0")).collect()
+    assert all(r["lang_pred"] == r["lang"] for r in held)
+
+
 def test_edge_rows(spark, edge_docs, no_docs):
     rows = identify(edge_docs, edge_docs).collect()
     assert len(rows) == edge_docs.count()

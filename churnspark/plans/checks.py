@@ -37,5 +37,7 @@ def vote_is_mean(spark: SparkSession, d: str) -> DataFrame:
 
 CHECK_QUERIES = {
     "tree_shap_additivity": _additivity("dt"),
+    "forest_shap_additivity": _additivity("rf"),
+    "boost_shap_additivity": _additivity("gb"),
     "vote_is_mean": vote_is_mean,
 }

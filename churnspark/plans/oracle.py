@@ -519,7 +519,7 @@ SQL["correlations"] = q(" UNION ALL ".join(
 
 # ---------------------------------------------------------------- model checks
 
-for _name in ("tree_shap_additivity", "vote_is_mean"):
+for _name in ("tree_shap_additivity", "forest_shap_additivity", "boost_shap_additivity", "vote_is_mean"):
     SQL[_name] = q("SELECT count(*) AS n_rows, 0 AS n_bad FROM sp WHERE split = 'test'", _QUOTA)
 
 

@@ -226,3 +226,14 @@ def test_equal_candidates_are_fitted_once_and_all_reported(spark, parts, monkeyp
     shallow, same, deep, last = model.avgMetrics
     assert shallow == same != deep == last
     assert T.results_table(spark, model, combos).count() == 4
+
+
+@pytest.mark.parametrize("key,name", [("rf", "forest_shap_additivity"), ("gb", "boost_shap_additivity")])
+def test_additivity_checks_see_a_wrong_base_value(spark, parts, small_dir, monkeypatch, key, name):
+    from churnspark.plans.checks import CHECK_QUERIES
+    model, real = L.fit(key, parts[0], overrides={"n_estimators": 3}), X.tree_shap
+    monkeypatch.setattr(MD, "fitted", lambda spark, d, asked: {key: model}[asked])
+    assert CHECK_QUERIES[name](spark, small_dir).first()["n_bad"] == 0
+    monkeypatch.setattr(X, "tree_shap", lambda *args: (lambda phi, base, space: (phi, base + 0.01, space))(*real(*args)))
+    r = CHECK_QUERIES[name](spark, small_dir).first()
+    assert r["n_bad"] == r["n_rows"] > 0

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterable
+
+import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from churnspark.session import cut_lineage
+from churnspark.session import cut_lineage, ensure_checkpoint_dir
 
 #: Keys that hold at least 1 / HEAVY_PARTS of all rows count as heavy, so there are at most HEAVY_PARTS of them.
 HEAVY_PARTS = 4096
@@ -103,3 +107,55 @@ def rank_within(df: DataFrame, key: str, bucket: Column, order: list[Column], ou
     inside = rows.withColumn(out, F.row_number().over(Window.partitionBy(key, b).orderBy(*order)).cast("long") - 1)
     return (inside.join(offsets.hint("shuffle_merge"), [key, b])
             .withColumn(out, F.col(out) + F.col(off)).drop(b, off))
+
+
+class BestOf:
+    """The ``k`` best rows of each of ``n`` keys, highest score first and then smallest id, out of as many rows as come.
+
+    ``bound`` is, by key, the score below which a row cannot be one of them.
+    """
+
+    def __init__(self, n: int, k: int, bound):
+        self.k, self.bound = k, np.broadcast_to(np.asarray(bound, np.int64), n).copy()
+        self.rows = [np.zeros(0, np.int64)] * 3
+        self.parts, self.size, self.least = [], 0, 1 << 16
+
+    def add(self, key: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
+        self.parts.append((key, score, ids))
+        self.size += len(key)
+        if self.size > max(self.least, 2 * len(self.rows[0])):
+            self.trim()
+
+    def trim(self) -> list[np.ndarray]:
+        """key, score and id of the best so far, in order."""
+        key, score, ids = (np.concatenate(z) for z in zip(self.rows, *self.parts, strict=True))
+        order = np.lexsort((ids, -score, key))
+        key, score, ids = key[order], score[order], ids[order]
+        begins = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, int)
+        rank = np.arange(len(key)) - np.repeat(begins, np.diff([*begins, len(key)]))
+        full = rank == self.k - 1
+        self.bound[key[full]] = np.maximum(self.bound[key[full]], score[full])
+        keep = rank < self.k
+        self.rows, self.parts, self.size = [key[keep], score[keep], ids[keep]], [], 0
+        return self.rows
+
+
+def best_of_tasks(rows: DataFrame, key: list[str], k: int, score: str, row_id: str, out: str = "rank") -> DataFrame:
+    """Of each key's rows, ``k`` at most from each task, the ``k`` best and their rank: by groups of tasks first, so that a key is never whole in one place."""
+    part = own_name(rows, "task_group")
+    order = [F.col(score).desc(), F.col(row_id)]
+    rows = rows.withColumn(part, F.pmod(F.spark_partition_id(), F.lit(64)))
+    first = rows.withColumn(out, F.row_number().over(Window.partitionBy(*key, part).orderBy(*order))).filter(F.col(out) <= k)
+    return first.drop(part).withColumn(out, F.row_number().over(Window.partitionBy(*key).orderBy(*order))).filter(F.col(out) <= k)
+
+
+def one_by_one(spark: SparkSession, frames: Iterable[DataFrame], several: bool) -> DataFrame | None:
+    """The union of ``frames``: if there are several, each is written to the shared folder before the next one is made."""
+    folder = f"{ensure_checkpoint_dir(spark)}/blocks-{uuid.uuid4().hex}"
+    made = False
+    for frame in frames:
+        if not several:
+            return frame
+        frame.write.mode("append").parquet(folder)
+        made = True
+    return spark.read.parquet(folder) if made else None

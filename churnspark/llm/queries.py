@@ -92,11 +92,29 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("law", F.lit("bytes")).withColumn("grown_shard", F.lit(None).cast("int"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from churnspark.llm.lexical import rank_documents
+    return rank_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), 50)
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from churnspark.llm.hardneg import hard_negatives
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    table = read_table(spark, sf_dir, "embeddings").withColumn("label", moved)
+    return hard_negatives(table, table.filter(F.col("vec_id") % 50 == 0))
+
+
+def op13_simhash_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from churnspark.llm.simhash import near_duplicates
+    return near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_language_id, op3_topk_histogram, op4_toxicity_crf, op5_mixing, op6_line_dedup, op7_near_duplicates, op8_packing, op9_substring_dedup, op10_sharding, pipeline)
+    f.__name__: f for f in (op1_quality_rules, op2_language_id, op3_topk_histogram, op4_toxicity_crf, op5_mixing, op6_line_dedup, op7_near_duplicates, op8_packing, op9_substring_dedup, op10_sharding, op11_lexical_search,
+                          op12_hard_negatives, op13_simhash_duplicates, pipeline)
 }

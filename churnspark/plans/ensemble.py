@@ -13,10 +13,12 @@ from __future__ import annotations
 import json
 import os
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import replace
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +28,7 @@ from churnspark.operators import metrics as M
 from churnspark.operators import score as V
 from churnspark.plans import learners as L
 from churnspark.plans import tune as T
+from churnspark.plans.histtrees import fit_specs
 from churnspark.session import materialize
 
 
@@ -167,6 +170,20 @@ def _fit_member(key: str, rows: DataFrame, overrides, features):
     return PipelineModel(L.fit_vectors(key, features, rows, overrides).stages[1:])
 
 
+def grow_members(keys, rows: DataFrame, overrides: dict, folds) -> dict:
+    """Those of the learners that histtrees grows, fitted on encoded rows, all together: (key, f)
+    is trained without fold f of the rows' fold column, (key, None) on all rows."""
+    by_bins: dict[int, list] = {}
+    for key in keys:
+        found = L.grown_spec(key, overrides.get(key))
+        if found:
+            by_bins.setdefault(found[1], []).extend(((key, f), replace(found[0], held_out=f)) for f in folds)
+    fold = F.col(T.FOLD) if T.FOLD in rows.columns else F.lit(-2).alias(T.FOLD)
+    data = rows.select(S.KEY, "label", fold, vector_to_array("features").alias("x0"))
+    return {name: PipelineModel([model]) for bins, mine in by_bins.items()
+            for (name, _), model in zip(mine, fit_specs(data, [spec for _, spec in mine], bins), strict=True)}
+
+
 def _whole(model, features):
     """The model for raw rows."""
     return model if features is None else PipelineModel([features, *model.stages])
@@ -183,13 +200,14 @@ def fit_stacking(keys, train: DataFrame, k: int = 5, overrides: dict | None = No
     overrides = overrides or {}
     keys = list(keys)
     folded = T.with_folds(train, k)
+    grown = grow_members(keys, folded, overrides, [*range(k), None]) if features is not None else {}
 
     def fold_part(f: int) -> DataFrame:
         fit_rows = folded.where(F.col(T.FOLD) != f)
         held = folded.where(F.col(T.FOLD) == f).select(S.KEY, "label", *[
             c for c in train.columns if c not in (S.KEY, "label")])
         for key in keys:
-            held = add_member_score(held, _fit_member(key, fit_rows, overrides.get(key), features), f"p_{key}")
+            held = add_member_score(held, grown.get((key, f)) or _fit_member(key, fit_rows, overrides.get(key), features), f"p_{key}")
         return held.select(S.KEY, "label", *[f"p_{key}" for key in keys])
 
     try:
@@ -209,7 +227,7 @@ def fit_stacking(keys, train: DataFrame, k: int = 5, overrides: dict | None = No
     finally:
         oof.unpersist()
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as ex:
-        fitted = list(ex.map(lambda key: _whole(_fit_member(key, train, overrides.get(key), features), features), keys))
+        fitted = list(ex.map(lambda key: _whole(grown.get((key, None)) or _fit_member(key, train, overrides.get(key), features), features), keys))
     return StackingModel(dict(zip(keys, fitted)), meta)
 
 
@@ -223,10 +241,11 @@ def fit_calibrated(base, train: DataFrame, cv: int = 3, overrides=None,
     persisted input.  ``features``: as in :func:`fit_stacking`.
     """
     folded = T.with_folds(train, cv)
+    grown = grow_members([base], folded, {base: overrides}, range(cv)) if features is not None and not callable(base) else {}
 
     def one(f: int):
         rows = folded.where(F.col(T.FOLD) != f).drop(T.FOLD)
-        whole = base(rows) if callable(base) else _whole(_fit_member(base, rows, overrides, features), features)
+        whole = base(rows) if callable(base) else _whole(grown.get((base, f)) or _fit_member(base, rows, overrides, features), features)
         scorer = whole
         if features is not None:       # held-out rows are encoded already
             scorer = encoded_part(whole)

@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from churnspark import schema as S
 from churnspark.operators import metrics as M
+from churnspark.plans.histtrees import HistTreesModel
 from churnspark.session import default_buckets, ensure_checkpoint_dir
 
 # ---------------------------------------------------------------- tree table
@@ -39,6 +40,14 @@ from churnspark.session import default_buckets, ensure_checkpoint_dir
 
 def tree_table(clf) -> tuple[list[dict], list[float], str]:
     """Trees as numpy node arrays, tree weights and the output space."""
+    if isinstance(clf, HistTreesModel):
+        forest = clf.forest
+        trees = [dict(left=np.array(t["left"]), right=np.array(t["right"]), feat=np.array(t["feature"]), thr=np.array(t["threshold"]), cats=[None] * len(t["left"]),
+                      value=np.array(t["value"]), cover=np.array(t["cover"])) for t in forest["trees"]]
+        if forest["space"] == "margin":           # the prior is a tree of one leaf
+            trees.append(dict(left=np.array([-1]), right=np.array([-1]), feat=np.array([-1]), thr=np.zeros(1), cats=[None], value=np.array([forest["base"]]), cover=np.ones(1)))
+            return trees, [1.0] * len(trees), "margin"
+        return trees, [1.0 / len(trees)] * len(trees), "probability"
     from pyspark.sql import SparkSession
     spark = SparkSession.getActiveSession()
     base = ensure_checkpoint_dir(spark)

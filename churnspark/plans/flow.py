@@ -35,7 +35,7 @@ class FlowPlan:
     calibration_folds: int = 3
     rank_by: str = "pr_auc"
     seed: int = S.SEED
-    jobs: int = 2                      # independent fits at once
+    jobs: int = 4                      # independent fits at once
     overrides: dict = field(default_factory=dict)
 
 
@@ -69,8 +69,9 @@ def train_flow(train: DataFrame, test: DataFrame, plan: FlowPlan | None = None)
     rows = materialize(rows)
 
     def members(data: DataFrame) -> dict:
+        grown = {key: PipelineModel([features, *m.stages]) for (key, _), m in EN.grow_members(plan.learners, data, over, [None]).items()}
         with ThreadPoolExecutor(max_workers=max(1, plan.jobs)) as pool:
-            fitted = pool.map(lambda key: L.fit_vectors(key, features, data, over.get(key)), plan.learners)
+            fitted = pool.map(lambda key: grown.get(key) or L.fit_vectors(key, features, data, over.get(key)), plan.learners)
             return dict(zip(plan.learners, fitted))
 
     def build(name: str, data: DataFrame, base: dict | None = None):

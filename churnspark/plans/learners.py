@@ -1,9 +1,11 @@
 """Learner catalogue (M1-M7), one-pipeline fit (M8) and scoring (V1, V2, V4).
 
-Presets are written in the original libraries' parameter names and mapped to
-Spark ML by :func:`to_spark_params` (the §2.14 map); parameters without a
-Spark counterpart are logged at every fit and returned by ``build_pipeline``.  XGBoost, LightGBM
-and CatBoost presets become ``GBTClassifier`` configurations; the RBF SVC
+Presets are written in the original libraries' parameter names.  Forests, the app's
+tree, logistic regression and the SVC are mapped to Spark ML by :func:`to_spark_params`
+(the §2.14 map); boosted trees (gradient boosting, XGBoost, LightGBM, CatBoost presets)
+and the trees that draw features at each node are grown by
+:mod:`churnspark.plans.histtrees`, as :func:`to_tree_spec` says.  Parameters without a
+counterpart are logged at every fit and returned by ``build_pipeline``.  The RBF SVC
 becomes random Fourier features + ``LinearSVC``.
 """
 
@@ -15,8 +17,8 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
-from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LinearSVC,
-                                       LogisticRegression, RandomForestClassifier)
+from pyspark.ml.classification import (DecisionTreeClassifier, LinearSVC, LogisticRegression,
+                                       RandomForestClassifier)
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param.shared import HasInputCol, HasOutputCol, HasSeed, Param, Params, TypeConverters
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
@@ -27,6 +29,7 @@ from pyspark.sql import types as T
 from churnspark import schema as S
 from churnspark.operators import score as V
 from churnspark.plans.features import ChurnFeatures
+from churnspark.plans.histtrees import MAX_BINS, HistTreesClassifier, TreeSpec
 
 # ---------------------------------------------------------------------------
 # Learner presets in the original parameter names.
@@ -42,21 +45,21 @@ APP_PRESETS = {
     "gb": ("Gradient Boosting", "boost", dict(learning_rate=0.05, n_estimators=100,
                                                min_samples_split=10, min_samples_leaf=5, max_depth=3,
                                                random_state=42)),
-    "xgb": ("XGBoost", "boost", dict(learning_rate=0.01, max_depth=3, min_child_weight=1,
+    "xgb": ("XGBoost", "xgb", dict(learning_rate=0.01, max_depth=3, min_child_weight=1,
                                       subsample=0.7, colsample_bytree=0.7, n_estimators=100,
                                       random_state=42)),
-    "lgbm": ("LightGBM", "boost", dict(learning_rate=0.01, n_estimators=100, max_depth=10,
+    "lgbm": ("LightGBM", "lgbm", dict(learning_rate=0.01, n_estimators=100, max_depth=10,
                                         num_leaves=15, min_child_samples=20, reg_alpha=0.1,
                                         reg_lambda=0.5, random_state=42)),
-    "cat": ("CatBoost", "boost", dict(iterations=100, learning_rate=0.05, depth=4, l2_leaf_reg=3,
+    "cat": ("CatBoost", "cat", dict(iterations=100, learning_rate=0.05, depth=4, l2_leaf_reg=3,
                                        random_seed=42)),
 }
 
 CLI_PRESETS = {
-    "decision_tree_gini": ("tree", dict(class_weight="balanced", criterion="gini", max_depth=6,
+    "decision_tree_gini": ("split_tree", dict(class_weight="balanced", criterion="gini", max_depth=6,
                                         min_samples_split=100, min_samples_leaf=50,
                                         max_features="sqrt", random_state=42)),
-    "decision_tree_entropy": ("tree", dict(class_weight="balanced", criterion="entropy", max_depth=6,
+    "decision_tree_entropy": ("split_tree", dict(class_weight="balanced", criterion="entropy", max_depth=6,
                                            min_samples_split=100, min_samples_leaf=50,
                                            max_features="sqrt", random_state=42)),
     "rf_basic": ("forest", dict(criterion="entropy", n_estimators=20000, max_depth=15,
@@ -73,26 +76,31 @@ CLI_PRESETS = {
                                min_samples_leaf=50, max_depth=20, max_features="sqrt",
                                validation_fraction=0.1, n_iter_no_change=1000, tol=0.0001,
                                ccp_alpha=0.0, random_state=42)),
-    "xgb_basic": ("boost", dict(n_estimators=1000, learning_rate=0.1, max_depth=3, subsample=0.8,
+    "xgb_basic": ("xgb", dict(n_estimators=1000, learning_rate=0.1, max_depth=3, subsample=0.8,
                                 colsample_bytree=0.8, random_state=42)),
-    "xgb_tuned": ("boost", dict(n_estimators=5000, learning_rate=0.075, max_depth=4,
+    "xgb_tuned": ("xgb", dict(n_estimators=5000, learning_rate=0.075, max_depth=4,
                                 min_child_weight=10, subsample=0.7, colsample_bytree=0.7, gamma=1.0,
                                 reg_alpha=0.1, reg_lambda=1.0, random_state=42)),
-    "lgbm_basic": ("boost", dict(n_estimators=1000, learning_rate=0.1, max_depth=25, num_leaves=7,
+    "lgbm_basic": ("lgbm", dict(n_estimators=1000, learning_rate=0.1, max_depth=25, num_leaves=7,
                                  subsample=0.8, colsample_bytree=0.8, random_state=42)),
-    "lgbm_tuned": ("boost", dict(n_estimators=10000, learning_rate=0.075, max_depth=25,
+    "lgbm_tuned": ("lgbm", dict(n_estimators=10000, learning_rate=0.075, max_depth=25,
                                  num_leaves=31, min_child_samples=50, min_split_gain=0.01,
                                  subsample=0.7, colsample_bytree=0.7, reg_alpha=0.1, reg_lambda=1.0,
                                  random_state=42)),
-    "cat_basic": ("boost", dict(iterations=1000, learning_rate=0.1, depth=3, random_seed=42)),
-    "cat_tuned": ("boost", dict(iterations=1000, learning_rate=0.01, depth=12, l2_leaf_reg=3.0,
+    "cat_basic": ("cat", dict(iterations=1000, learning_rate=0.1, depth=3, random_seed=42)),
+    "cat_tuned": ("cat", dict(iterations=1000, learning_rate=0.01, depth=12, l2_leaf_reg=3.0,
                                 random_strength=1.0, border_count=128, bagging_temperature=1.0,
                                 random_seed=42)),
     "svc": ("rbf_svm", dict(kernel="rbf", class_weight="balanced", C=1.0, gamma="scale")),
 }
 
+#: Kinds that histtrees grows.
+GROWN = ("boost", "xgb", "lgbm", "cat", "split_tree")
+
 #: Levels of a Spark ML tree at most.
 MAX_DEPTH = 30
+#: Levels of a grown tree that is bounded by its leaves only.
+NO_DEPTH = 64
 
 log = logging.getLogger(__name__)
 
@@ -115,13 +123,7 @@ def to_spark_params(kind: str, params: dict) -> tuple[dict, bool, list[str]]:
             out["maxDepth"] = min(int(v), out.get("maxDepth", MAX_DEPTH))
         elif k in ("min_samples_leaf", "min_child_samples"):
             out["minInstancesPerNode"] = max(int(v), out.get("minInstancesPerNode", 1))
-        elif k == "num_leaves":
-            # leaf-wise growth has no counterpart: a tree with that many leaves needs this depth
-            out["maxDepth"] = min(max(1, math.ceil(math.log2(max(2, int(v))))), out.get("maxDepth", MAX_DEPTH))
-        elif k == "min_child_weight":
-            out["minWeightFractionPerNode"] = 0.0
-            out["minInstancesPerNode"] = max(int(v), out.get("minInstancesPerNode", 1))
-        elif k in ("max_features", "colsample_bytree"):
+        elif k == "max_features":
             if v is None:
                 out["featureSubsetStrategy"] = "all"
             elif isinstance(v, str):
@@ -130,8 +132,6 @@ def to_spark_params(kind: str, params: dict) -> tuple[dict, bool, list[str]]:
                 out["featureSubsetStrategy"] = str(float(v))
         elif k == "subsample":
             out["subsamplingRate"] = float(v)
-        elif k == "learning_rate":
-            out["stepSize"] = float(v)
         elif k == "criterion":
             if kind in ("tree", "forest"):
                 out["impurity"] = v
@@ -142,17 +142,6 @@ def to_spark_params(kind: str, params: dict) -> tuple[dict, bool, list[str]]:
                 out["minInfoGain"] = float(v)
         elif k in ("random_state", "random_seed"):
             out["seed"] = int(v)
-        elif k == "border_count":
-            out["maxBins"] = int(v)
-        elif k == "validation_fraction":
-            if params.get("n_iter_no_change") is not None:
-                out["validationFraction"] = float(v)
-        elif k == "tol":
-            if params.get("n_iter_no_change") is not None:
-                out["validationTol"] = float(v)
-        elif k == "n_iter_no_change":
-            if v is not None:
-                out.setdefault("validationFraction", 0.1)
         elif k == "max_iter":
             out["maxIter"] = int(v)
         elif k == "C":
@@ -162,6 +151,70 @@ def to_spark_params(kind: str, params: dict) -> tuple[dict, bool, list[str]]:
     return out, balanced, sorted(ignored)
 
 
+#: What the libraries take where a preset says nothing: fixed values.
+_GROWN_DEFAULTS = {
+    "boost": dict(learning_rate=0.1, n_estimators=100, max_depth=3, min_samples_split=2, min_samples_leaf=1, tol=1e-4, validation_fraction=0.1),
+    "xgb": dict(learning_rate=0.3, n_estimators=100, max_depth=6, min_child_weight=1, reg_lambda=1.0),
+    "lgbm": dict(learning_rate=0.1, n_estimators=100, max_depth=-1, num_leaves=31, min_child_samples=20, min_child_weight=1e-3),
+    "cat": dict(learning_rate=0.03, iterations=1000, depth=6, l2_leaf_reg=3.0),
+    "split_tree": dict(criterion="gini", max_depth=None, min_samples_split=2, min_samples_leaf=1),
+}
+
+
+def to_tree_spec(kind: str, params: dict) -> tuple[TreeSpec, int, list[str]]:
+    """Map original parameters to a TreeSpec: (spec, bins, ignored names).
+
+    sklearn's boosting fits the residuals by least squares; the others take second-order
+    gains.  CatBoost's trees split a whole level alike, LightGBM's grow best leaf first."""
+    p = dict(_GROWN_DEFAULTS[kind], **params)
+    if kind == "lgbm" and "n_estimators" not in params and "iterations" in params:
+        p["n_estimators"] = params["iterations"]
+    spec: dict = {"criterion": {"boost": "variance", "split_tree": p.pop("criterion", "gini")}.get(kind, "newton"), "symmetric": kind == "cat"}
+    bins, ignored = MAX_BINS, []
+    names = {"learning_rate": "learning_rate", "subsample": "subsample", "colsample_bytree": "colsample", "reg_alpha": "reg_alpha", "reg_lambda": "reg_lambda",
+             "l2_leaf_reg": "reg_lambda", "gamma": "min_gain", "min_split_gain": "min_gain", "bagging_temperature": "temperature"}
+    for k, v in p.items():
+        if k in names:
+            spec[names[k]] = float(v)
+        elif k in ("n_estimators", "iterations"):
+            spec["rounds"] = int(v)
+        elif k in ("max_depth", "depth"):
+            spec["max_depth"] = int(v) if v is not None and int(v) > 0 else NO_DEPTH
+        elif k == "num_leaves":
+            spec["num_leaves"] = int(v)
+        elif k in ("min_samples_leaf", "min_child_samples"):
+            spec["min_leaf"] = int(v)
+        elif k == "min_samples_split":
+            spec["min_split"] = int(v)
+        elif k == "min_child_weight":
+            spec["min_hessian"] = float(v)
+        elif k == "max_features":
+            spec["node_features"] = v
+        elif k == "border_count":
+            bins = int(v) + 1
+        elif k in ("random_state", "random_seed"):
+            spec["seed"] = int(v)
+        elif k == "class_weight":
+            spec["balanced"] = v == "balanced"
+        elif k == "n_iter_no_change":
+            if v is not None:
+                spec.update(patience=int(v), tol=float(p["tol"]), val_share=float(p["validation_fraction"]))
+        elif k in ("tol", "validation_fraction") or (k == "ccp_alpha" and not v):
+            continue
+        else:
+            ignored.append(k)
+    return TreeSpec(**spec), bins, sorted(ignored)
+
+
+def grown_spec(key: str, overrides: dict | None = None) -> tuple[TreeSpec, int] | None:
+    """The TreeSpec and bins of a learner that histtrees grows; None for any other."""
+    kind, params = catalogue()[key]
+    if kind not in GROWN:
+        return None
+    spec, bins, _ = to_tree_spec(kind, dict(params, **(overrides or {})))
+    return spec, bins
+
+
 def make_classifier(kind: str, sp: dict, weight_col: str | None = None,
                     features_col: str = "features", label_col: str = "label"):
     common = dict(featuresCol=features_col, labelCol=label_col)
@@ -169,8 +222,6 @@ def make_classifier(kind: str, sp: dict, weight_col: str | None = None,
         clf = DecisionTreeClassifier(**common)
     elif kind == "forest":
         clf = RandomForestClassifier(**common)
-    elif kind == "boost":
-        clf = GBTClassifier(**common)
     elif kind == "logistic":
         clf = LogisticRegression(**common)
     elif kind == "rbf_svm":
@@ -275,6 +326,11 @@ def build_pipeline(key: str, features: ChurnFeatures | None = None, overrides: d
     """
     kind, params = catalogue()[key]
     params = dict(params, **(overrides or {}))
+    if kind in GROWN:
+        spec, bins, ignored = to_tree_spec(kind, params)
+        if ignored:
+            log.warning("%s: no counterpart for %s", key, ", ".join(ignored))
+        return Pipeline(stages=[features or ChurnFeatures(), HistTreesClassifier(spec, maxBins=bins)]), ignored
     sp, balanced, ignored = to_spark_params(kind, params)
     if ignored:
         log.warning("%s: no Spark ML counterpart for %s", key, ", ".join(ignored))
@@ -292,37 +348,20 @@ def build_pipeline(key: str, features: ChurnFeatures | None = None, overrides: d
     return Pipeline(stages=stages), ignored
 
 
-def training_columns(train: DataFrame, frac: float | None = None) -> DataFrame:
-    """X5 weights in ``weight``, ones in ``unit_weight``, and with ``frac`` the rows
-    that early stopping looks at in ``_is_val`` (a repeatable share by key hash)."""
-    from churnspark.operators.rank import hash_key
+def training_columns(train: DataFrame) -> DataFrame:
+    """X5 weights in ``weight`` and ones in ``unit_weight``."""
     from churnspark.operators.split import class_weights
-    data = class_weights(train).withColumn("unit_weight", F.lit(1.0))
-    if frac:
-        h = F.conv(F.substring(hash_key(F.col(S.KEY), S.SEED), 1, 6), 16, 10).cast("double")
-        data = data.withColumn("_is_val", h < F.lit(frac * 16 ** 6))
-    return data
-
-
-def early_stop_share(key: str, overrides: dict | None = None) -> float | None:
-    """The share of rows that early stopping holds out, if the learner stops early."""
-    kind, params = catalogue()[key]
-    sp, _, _ = to_spark_params(kind, dict(params, **(overrides or {})))
-    return sp.get("validationFraction") if kind == "boost" else None
+    return class_weights(train).withColumn("unit_weight", F.lit(1.0))
 
 
 def prepare(key: str, train: DataFrame, features=None, overrides: dict | None = None):
-    """The estimator and its training rows: weights for 'balanced', early stopping, the SVC's C."""
+    """The estimator and its training rows: weights for 'balanced', the SVC's C.  Grown trees see to their weights and early stopping themselves."""
     kind, params = catalogue()[key]
     params = dict(params, **(overrides or {}))
-    balanced = params.get("class_weight") == "balanced"
-    frac = early_stop_share(key, overrides)
-    data = training_columns(train, frac) if balanced or frac else train
+    balanced = params.get("class_weight") == "balanced" and kind not in GROWN
     n_rows = train.count() if kind == "rbf_svm" else None
     pipe, _ = build_pipeline(key, features, overrides, "weight" if balanced else None, n_rows)
-    if frac:
-        pipe.getStages()[-1].setValidationIndicatorCol("_is_val")
-    return pipe, data
+    return pipe, training_columns(train) if balanced else train
 
 
 def fit(key: str, train: DataFrame, features: ChurnFeatures | None = None,

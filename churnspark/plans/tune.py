@@ -4,7 +4,8 @@ Folds come from the repeatable fold column (X3); every fit refits the whole
 pipeline - feature statistics included - inside the fold, so nothing leaks
 from held-out rows.  When the candidates differ only in classifier
 parameters, :class:`SharedPrefixPipeline` fits those fold statistics once per
-fold and reuses the fold's feature vectors for every candidate.  Metrics are the exact distributed ones of
+fold and reuses the fold's feature vectors for every candidate; candidates that
+:mod:`churnspark.plans.histtrees` grows are grown on all folds at once.  Metrics are the exact distributed ones of
 :mod:`churnspark.operators.metrics`.
 """
 
@@ -13,8 +14,10 @@ from __future__ import annotations
 import itertools
 import math
 import random
+import statistics
 import threading
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass, replace
 
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
@@ -29,10 +32,10 @@ from churnspark import schema as S
 from churnspark.operators import metrics as M
 from churnspark.operators import split
 from churnspark.plans import learners as L
+from churnspark.plans.features import ChurnFeatures
+from churnspark.plans.histtrees import FOLD, grower
 from churnspark.session import materialize
 
-FOLD = "fold"
-
 
 class SharedPrefixPipeline(Pipeline):
     """A Pipeline whose ``fitMultiple`` (the call CrossValidator makes per fold)
@@ -41,19 +44,17 @@ class SharedPrefixPipeline(Pipeline):
     vectors.  Same models as refitting the whole pipeline per map.
 
     Every fit first adds the X5 weights of its own rows (``weight``, and ones in
-    ``unit_weight``) and, with ``val_share``, the rows held out for early stopping."""
-
-    val_share: float | None = None
+    ``unit_weight``)."""
 
     def _fit(self, dataset):
-        return super()._fit(L.training_columns(dataset, self.val_share))
+        return super()._fit(L.training_columns(dataset))
 
     def fitMultiple(self, dataset, paramMaps):
         stages = self.getStages()
         last = stages[-1]
         if len(stages) < 2 or any(p.parent != last.uid for pm in paramMaps for p in pm):
             return super().fitMultiple(dataset, paramMaps)
-        return _PrefixFits(stages, L.training_columns(dataset, self.val_share), list(paramMaps))
+        return _PrefixFits(stages, L.training_columns(dataset), list(paramMaps))
 
 
 class _PrefixFits:
@@ -187,8 +188,6 @@ def _param_maps(key: str, pipeline, combos: list[dict], n_rows: int | None = Non
         pm = {valid[k]: v for k, v in sp.items() if k in valid}
         if "weightCol" in valid:
             pm[valid["weightCol"]] = "weight" if balanced else "unit_weight"
-        if kind == "boost" and sp.get("validationFraction"):
-            pm[valid["validationIndicatorCol"]] = "_is_val"
         if kind == "rbf_svm" and "gamma" in combo:
             pm[stages[-2].gamma] = str(sp["gamma"])
         maps.append(pm)
@@ -202,9 +201,10 @@ def grid_combos(grid: dict) -> list[dict]:
 
 def _search(key: str, df: DataFrame, combos: list[dict], k: int, metric: str,
             parallelism: int):
+    if L.grown_spec(key):
+        return _grown_search(key, df, combos, k, metric), combos
     pipe, _ = L.build_pipeline(key)
     pipe = SharedPrefixPipeline(stages=pipe.getStages())
-    pipe.val_share = max((s for s in (L.early_stop_share(key, c) for c in combos) if s), default=None)
     kind, _ = L.catalogue()[key]
     n_rows = df.count() * (k - 1) // k if kind == "rbf_svm" else None
     maps = _param_maps(key, pipe, combos, n_rows)
@@ -225,6 +225,66 @@ def _search(key: str, df: DataFrame, combos: list[dict], k: int, metric: str,
     return model, combos
 
 
+@dataclass
+class SearchResult:
+    """What a search over grown trees returns, by the names of a CrossValidatorModel."""
+
+    bestModel: PipelineModel
+    avgMetrics: list
+    stdMetrics: list
+
+
+def fold_views(folded: DataFrame, k: int) -> DataFrame:
+    """Key, label, fold, and for each fold f the rows' vectors ``x{f}`` by the feature stage fitted on the other folds."""
+    out, names = folded.select(F.struct(*[F.col(f"`{c}`") for c in folded.columns]).alias("_orig")), []
+    for f in range(k):
+        stage = ChurnFeatures().fit(folded.where(F.col(FOLD) != f))
+        rows = stage.transform(out.select("_orig.*", "_orig", *names))
+        out = rows.select("_orig", *names, vector_to_array("features").alias(f"x{f}"))
+        names.append(f"x{f}")
+    return out.select(*[F.col("_orig")[c].alias(c) for c in (S.KEY, "label", FOLD)], *names)
+
+
+def _by_bins(key: str, combos: list[dict]) -> dict[int, list[tuple[int, object]]]:
+    """Candidates (place, TreeSpec) by their number of bins."""
+    out: dict[int, list] = {}
+    for i, combo in enumerate(combos):
+        spec, bins = L.grown_spec(key, combo)
+        out.setdefault(bins, []).append((i, spec))
+    return out
+
+
+def _grown_search(key: str, df: DataFrame, combos: list[dict], k: int, metric: str) -> SearchResult:
+    """Every candidate on every fold, all of them grown together; then the best on all rows."""
+    folded = with_folds(df, k)
+    values: dict[int, dict[int, float]] = {}
+    try:
+        rows = fold_views(folded, k)
+        for bins, mine in _by_bins(key, combos).items():
+            place: dict = {}                      # equal candidates are grown once
+            for _, spec in mine:
+                place.setdefault(spec, len(place))
+            grow = grower(rows, k, len(place) * k, bins)
+            try:
+                numbers = {(c, f): grow.add(replace(spec, view=f, held_out=f)) for spec, c in place.items() for f in range(k)}
+                grow.run()
+                scores = materialize(grow.held_out_scores(df.sparkSession, list(numbers.values())))
+            finally:
+                grow.release()
+            found = {r["model"]: r[metric] for r in M.metric_table(scores, groups=["model"]).select("model", metric).collect()}   # a row for each candidate and fold
+            scores.unpersist()
+            for i, spec in mine:
+                values[i] = {f: found.get(numbers[place[spec], f]) for f in range(k)}
+    finally:
+        folded.unpersist()
+    if any(v is None or math.isnan(v) for fold in values.values() for v in fold.values()):
+        raise ValueError(f"{metric} is undefined on a fold: it needs rows of both classes")
+    mean = [statistics.fmean(values[i].values()) for i in range(len(combos))]
+    std = [statistics.stdev(values[i].values()) if k > 1 else 0.0 for i in range(len(combos))]
+    best = (min if metric == "brier" else max)(range(len(combos)), key=mean.__getitem__)
+    return SearchResult(L.fit(key, df, overrides=combos[best]), mean, std)
+
+
 def grid_search(key: str, df: DataFrame, grid: dict, k: int = 5, metric: str = "roc_auc",
                 parallelism: int = 2):
     """Every grid point, k-fold CV on the whole pipeline, refit the best."""
@@ -269,38 +329,126 @@ SEARCH_SPACES = {
 
 
 def sample_space(space: dict, rng: random.Random) -> dict:
-    out = {}
-    for name, (kind, lo, hi) in space.items():
-        if kind == "int":
-            out[name] = rng.randint(lo, hi)
-        elif kind == "log":
-            out[name] = math.exp(rng.uniform(math.log(lo), math.log(hi)))
-        else:
-            out[name] = rng.uniform(lo, hi)
-    return out
+    return {name: _at(kind, lo, hi, rng.random()) for name, (kind, lo, hi) in space.items()}
+
+
+def _at(kind: str, lo: float, hi: float, u: float):
+    """The value at ``u`` in [0, 1) of a range."""
+    if kind == "int":
+        return min(int(hi), int(lo) + int(u * (int(hi) - int(lo) + 1)))
+    return math.exp(math.log(lo) + u * (math.log(hi) - math.log(lo))) if kind == "log" else lo + u * (hi - lo)
+
+
+def _place(kind: str, lo: float, hi: float, value: float) -> float:
+    """The inverse of :func:`_at` (the middle of an integer's share)."""
+    if kind == "int":
+        return (value - lo + 0.5) / (hi - lo + 1)
+    return (math.log(value) - math.log(lo)) / (math.log(hi) - math.log(lo)) if kind == "log" else (value - lo) / (hi - lo)
+
+
+class ParzenSampler:
+    """Model-based sampling: a density over the good trials and one over the others; the
+    next point takes of each parameter, of ``draws`` values drawn from the first, the one
+    where it exceeds the second most.
+
+    The first ``startup`` points are drawn evenly.  A density is, parameter by parameter,
+    the mean of a uniform one and of a normal around each trial, cut off at the range's ends.
+    """
+
+    def __init__(self, space: dict, seed: int, startup: int = 10, good_share: float = 0.25, draws: int = 24):
+        self.space, self.rng, self.startup, self.good_share, self.draws = space, random.Random(seed), startup, good_share, draws
+        self.trials: list[tuple[dict, float]] = []
+
+    def tell(self, params: dict, value: float) -> None:
+        self.trials.append((params, value))
+
+    def ask(self, model_based: bool = True) -> dict:
+        if not model_based or len(self.trials) < 2:
+            return sample_space(self.space, self.rng)
+        ranked = sorted(self.trials, key=lambda t: -t[1])
+        n = max(1, math.ceil(self.good_share * len(ranked)))
+        good, rest = ranked[:n], ranked[n:]
+        point = {}
+        for name, (kind, lo, hi) in self.space.items():
+            near = [_place(kind, lo, hi, p[name]) for p, _ in good]
+            far = [_place(kind, lo, hi, p[name]) for p, _ in rest]
+            drawn = [self._draw(near) for _ in range(self.draws)]
+            point[name] = _at(kind, lo, hi, max(drawn, key=lambda u: self._density(near, u) / self._density(far, u)))
+        return point
+
+    @staticmethod
+    def _width(points: list[float]) -> float:
+        spread = statistics.pstdev(points) if len(points) > 1 else 0.25
+        return min(0.5, max(0.05, spread * len(points) ** -0.2))
+
+    def _draw(self, points: list[float]) -> float:
+        i = self.rng.randrange(len(points) + 1)
+        if i == len(points):
+            return self.rng.random()
+        while True:
+            u = self.rng.gauss(points[i], self._width(points))
+            if 0 <= u < 1:
+                return u
+
+    def _density(self, points: list[float], u: float) -> float:
+        if not points:
+            return 1.0
+        w = self._width(points)
+        normal = statistics.NormalDist(0, w)
+        return (1.0 + sum(normal.pdf(u - p) / (normal.cdf(1 - p) - normal.cdf(-p)) for p in points)) / (len(points) + 1)
 
 
 def model_search(key: str, df: DataFrame, n_trials: int = 6, cv_splits: int = 5,
-                 seed: int = S.SEED, parallelism: int = 2, space: dict | None = None):
-    """Seeded search over ranges; objective = average precision of the pooled
-    out-of-fold scores with max(3, cv // 2) folds.  Returns (best params, trials)."""
+                 seed: int = S.SEED, space: dict | None = None, at_once: int = 10):
+    """Model-based search over ranges; objective = average precision of the pooled
+    out-of-fold scores with max(3, cv // 2) folds.  Returns (best params, trials).
+
+    Up to ``at_once`` trials grow side by side.  The first are drawn evenly; one that
+    starts later is drawn by what the finished ones found, once there are half as many."""
     space = space or SEARCH_SPACES.get(key)
     if space is None:
         return {}, []
     k = max(3, cv_splits // 2)
     folded = with_folds(df, k)
-    rng = random.Random(seed)
-    trials = []
+    sampler = ParzenSampler(space, seed)
+    trials: list[tuple[dict, float]] = []
+    _, bins = L.grown_spec(key)
+    grow = None
     try:
-        for _ in range(n_trials):
-            params = sample_space(space, rng)
-            oof = materialize(out_of_fold(key, folded, k, params, parallelism, folded=True))
-            ap = M.curve_summary(oof).first()["pr_auc"]
-            oof.unpersist()
-            if ap is None or math.isnan(ap):
-                raise ValueError("average precision is undefined: no positive rows")
-            trials.append((params, ap))
+        grow = grower(fold_views(folded, k), k, min(at_once, n_trials) * k, bins)
+        running: dict[int, tuple[dict, set]] = {}
+        started = 0
+        while len(trials) < n_trials:
+            while started < n_trials and len(running) < at_once and (started < at_once or 2 * len(trials) >= at_once):
+                params = sampler.ask(started >= at_once)
+                spec, _ = L.grown_spec(key, params)
+                running[started] = (params, {grow.add(replace(spec, view=f, held_out=f)) for f in range(k)})
+                started += 1
+            ended = grow.step()
+            done = [t for t, (_, numbers) in running.items() if ended and all(grow.models[i].done for i in numbers)]
+            if done:
+                trial_of = {i: t for t in done for i in running[t][1]}
+                for t, ap in _pooled_precision(grow, df.sparkSession, trial_of).items():
+                    params, numbers = running.pop(t)
+                    grow.forget(numbers)
+                    sampler.tell(params, ap)
+                    trials.append((params, ap))
     finally:
         folded.unpersist()
+        if grow is not None:
+            grow.release()
     best = max(trials, key=lambda t: t[1])
     return best[0], trials
+
+
+def _pooled_precision(grow, spark, trial_of: dict[int, int]) -> dict[int, float]:
+    """Average precision of each trial over the rows of all its folds."""
+    place = F.create_map(*[F.lit(x) for pair in trial_of.items() for x in pair])
+    scores = materialize(grow.held_out_scores(spark, list(trial_of)).select(place[F.col("model")].alias("trial"), "label", "score"))
+    try:
+        found = {r["trial"]: r["pr_auc"] for r in M.curve_summary(scores, groups=["trial"]).select("trial", "pr_auc").collect()}
+    finally:
+        scores.unpersist()
+    if any(v is None or math.isnan(v) for v in found.values()):
+        raise ValueError("average precision is undefined: no positive rows")
+    return dict(sorted(found.items()))

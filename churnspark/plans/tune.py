@@ -377,25 +377,31 @@ class ParzenSampler:
         return point
 
     @staticmethod
-    def _width(points: list[float]) -> float:
-        spread = statistics.pstdev(points) if len(points) > 1 else 0.25
-        return min(0.5, max(0.05, spread * len(points) ** -0.2))
+    def _widths(points: list[float]) -> list[float]:
+        """Of each point's normal: the wider gap to its neighbours (or an end of the range), a share of the range at least."""
+        order = sorted(range(len(points)), key=points.__getitem__)
+        at = [0.0, *(points[i] for i in order), 1.0]
+        out = [0.0] * len(points)
+        for k, i in enumerate(order, 1):
+            out[i] = max(at[k] - at[k - 1], at[k + 1] - at[k], 1 / min(100, 1 + len(points)))
+        return out
 
     def _draw(self, points: list[float]) -> float:
         i = self.rng.randrange(len(points) + 1)
         if i == len(points):
             return self.rng.random()
+        width = self._widths(points)[i]
         while True:
-            u = self.rng.gauss(points[i], self._width(points))
+            u = self.rng.gauss(points[i], width)
             if 0 <= u < 1:
                 return u
 
     def _density(self, points: list[float], u: float) -> float:
-        if not points:
-            return 1.0
-        w = self._width(points)
-        normal = statistics.NormalDist(0, w)
-        return (1.0 + sum(normal.pdf(u - p) / (normal.cdf(1 - p) - normal.cdf(-p)) for p in points)) / (len(points) + 1)
+        total = 1.0
+        for p, w in zip(points, self._widths(points)):
+            normal = statistics.NormalDist(p, w)
+            total += normal.pdf(u) / (normal.cdf(1) - normal.cdf(0))
+        return total / (len(points) + 1)
 
 
 def model_search(key: str, df: DataFrame, n_trials: int = 6, cv_splits: int = 5,

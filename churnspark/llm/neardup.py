@@ -1,11 +1,13 @@
 """Near-duplicate documents by chosen-path set similarity join.
 
 Each document's shingle set gives minwise values.  In each of several independent
-trees a document follows paths: a node chooses BRANCHES of the minwise coordinates,
-and sends its documents to children by their values there.  Two sets with Jaccard
-similarity J stay together along a branch with probability J, so with two branches
-a node, a pair at 0.75 meets in a given tree with probability 0.89 or more at any
-depth, and misses all TREES trees with probability 0.11 ** TREES or less.
+trees, each with coordinates of its own, a document follows paths: a node chooses one
+or two of its tree's coordinates that its path has not used, and sends its documents to
+children by their values there.  Two sets with Jaccard similarity J stay together along
+a branch with probability J, and a node has 1 / threshold children on average, so a pair
+at the threshold meets in as many nodes at any depth, while less similar ones die out.
+:func:`survival` is the probability that a pair at the threshold meets in a tree, and
+:func:`trees_for` the number of trees that a target recall takes.
 
 A document is first compared with the smallest member of its nodes, and the links
 found are joined to components; then with the likeliest member of another component
@@ -18,6 +20,7 @@ on full sets.  Sets that are equal are one class from the start.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,21 +30,57 @@ from pyspark.sql import functions as F
 
 from churnspark.llm.common import WordHashes, heavy_light_join, settle, texts
 
-#: Minwise coordinates, trees, branches of a node.
-COORDINATES, TREES, BRANCHES = 48, 6, 2
+#: Coordinates of a tree: more than its depth, so that the branches of a node mostly go by others.
+OWN = 8
 #: Depths at which members are compared: large nodes branch on from one to the next.
-DEPTHS = (2, 4, 7, 10)
+DEPTHS = (3, 5)
 #: Members of a node that are compared exhaustively; at the last depth, of a block of a larger node.
 SMALL_NODE = 64
-#: Minwise values of COORDINATES that a pair must share to be confirmed on full sets: at 0.75 one pair in 20 000 shares fewer.
-AGREE = 24
+#: Pairs at the threshold that share too few minwise values to be confirmed on full sets: a share of one in so many.
+GATE_MISS = 1e-7
+#: Coordinates at most, and so trees.
+MOST_TREES = 16
 #: Odd multipliers, from a fixed seed: of a shingle's words, of the coordinates, of node names.
 _RANDOM = np.random.default_rng(20240607)
 WORD_FACTORS = _RANDOM.integers(0, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-COORDINATE_FACTORS = _RANDOM.integers(0, 2**63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+COORDINATE_FACTORS = _RANDOM.integers(0, 2**63, MOST_TREES * OWN, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 NODE_FACTORS = _RANDOM.integers(0, 2**63, 4, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+#: A node's name: a hash, then the tree, then the coordinates that its path has used.
+TREE_SHIFT, HASH_MASK = np.uint64(OWN), np.uint64(2**64 - 2 ** (OWN + 5))
+
+
+def survival(percent: int, depth: int) -> float:
+    """Probability that a pair at exactly the threshold shares a node of one tree at a depth, if no two branches go by the same coordinate."""
+    j, (few, more) = percent / 100, child_counts(percent)
+    alive = 1.0
+    for _ in range(depth):
+        alive = 1 - (1 - more) * (1 - j * alive) ** few - more * (1 - j * alive) ** (few + 1)
+    return alive
+
+
+def child_counts(percent: int) -> tuple[int, float]:
+    """Children that every node has, and the share of nodes with one more: 1 / threshold on average."""
+    mean = min(100 / percent, OWN / 2)
+    return int(mean), mean - int(mean)
+
+
+def trees_for(recall: float, percent: int) -> int:
+    """Trees in which a pair at the threshold meets with probability ``recall`` even at the last depth."""
+    return max(1, min(MOST_TREES, math.ceil(math.log(1 - recall) / math.log(1 - survival(percent, DEPTHS[-1])))))
+
+
+def gate(percent: int, coordinates: int) -> int:
+    """Minwise values that a pair must share to be confirmed on full sets: of those at the threshold GATE_MISS share fewer."""
+    j, below = percent / 100, 0.0
+    for k in range(coordinates + 1):
+        below += math.comb(coordinates, k) * j**k * (1 - j) ** (coordinates - k)
+        if below > GATE_MISS:
+            return k
+    return coordinates
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finalizer, by multiplication and shifts."""
     x = (x ^ (x >> np.uint64(32))) * NODE_FACTORS[0]
@@ -63,36 +102,53 @@ def shingle_set(text: bytes | None, words: WordHashes, size: int) -> np.ndarray:
     return np.unique(mix(h))
 
 
-def minwise(sets: list[np.ndarray]) -> np.ndarray:
-    """COORDINATES minwise values of each set, 32 bits each; no set may be empty."""
+def minwise(sets: list[np.ndarray], coordinates: int) -> np.ndarray:
+    """Minwise values of each set, 32 bits each; no set may be empty."""
     x = np.concatenate(sets)
     starts = np.cumsum([0, *map(len, sets[:-1])])
-    out = np.empty((len(sets), COORDINATES), "<u4")
-    for i, factor in enumerate(COORDINATE_FACTORS):
+    out = np.empty((len(sets), coordinates), "<u4")
+    for i, factor in enumerate(COORDINATE_FACTORS[:coordinates]):
         out[:, i] = np.minimum.reduceat(x * factor, starts) >> np.uint64(32)
     return out
 
 
-def children(nodes: np.ndarray, mins: np.ndarray) -> list[np.ndarray]:
-    """For each row its node's BRANCHES children; the node's name alone picks the coordinates."""
+def roots(tree: int) -> np.uint64:
+    return (mix(np.array([tree + 1], np.uint64))[0] & HASH_MASK) | np.uint64(tree) << TREE_SHIFT
+
+
+def children(nodes: np.ndarray, mins: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(children, rows): each row's node's children; the node's name alone says how many and which coordinates."""
     draw = mix(nodes ^ NODE_FACTORS[2])
-    taken, out = np.zeros((len(nodes), BRANCHES), np.int64), []
-    for b in range(BRANCHES):
-        # of those not taken yet: the draw counts free coordinates, in order
-        at = ((draw >> np.uint64(16 * b)) % np.uint64(COORDINATES - b)).astype(np.int64)
-        for before in np.sort(taken[:, :b], axis=1).T:
-            at += at >= before
-        taken[:, b] = at
-        value = mins[np.arange(len(nodes)), at].astype(np.uint64)
-        out.append(mix(nodes * NODE_FACTORS[3] + mix(value + (at.astype(np.uint64) << np.uint64(32)))))
-    return out
+    used, tree = nodes & np.uint64(2**OWN - 1), (nodes >> TREE_SHIFT) & np.uint64(31)
+    free = (~(used[:, None] >> np.arange(OWN, dtype=np.uint64)[None, :]) & np.uint64(1)).astype(np.int64)
+    left, rank = free.sum(axis=1), np.cumsum(free, axis=1) - 1
+    few, more = child_counts(percent)
+    count = np.minimum(few + ((draw >> np.uint64(40)).astype(float) < more * 2.0**24), left)
+    found, rows = [], []
+    for b in range(few + 1):
+        row = np.flatnonzero(count > b)
+        wanted = ((draw[row] % left[row].astype(np.uint64)).astype(np.int64) + b) % left[row]
+        at = ((rank[row] == wanted[:, None]) & (free[row] > 0)).argmax(axis=1)
+        column = tree[row].astype(np.int64) * OWN + at
+        value = mins[row, column].astype(np.uint64) + (column.astype(np.uint64) << np.uint64(32))
+        name = mix(nodes[row] * NODE_FACTORS[3] + mix(value)) & HASH_MASK
+        found.append(name | tree[row] << TREE_SHIFT | used[row] | np.uint64(1) << at.astype(np.uint64))
+        rows.append(row)
+    return np.concatenate(found), np.concatenate(rows)
+
+
+def _down(nodes: np.ndarray, rows: np.ndarray, mins: np.ndarray, levels: int, percent: int):
+    for _ in range(levels):
+        nodes, at = children(nodes, mins[rows], percent)
+        rows = rows[at]
+    return nodes, rows
 
 
 def _matrix(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "<u4").reshape(len(column), COORDINATES)
+    return np.frombuffer(b"".join(column.to_pylist()), "<u4").reshape(len(column), -1)
 
 
-def describe(docs: DataFrame, doc_id: str, text: str, size: int) -> DataFrame:
+def describe(docs: DataFrame, doc_id: str, text: str, size: int, coordinates: int) -> DataFrame:
     """id, n (set size), sig (digest of the set) and mins (minwise values); the last two null for an empty set."""
     import pyarrow as pa
 
@@ -103,7 +159,7 @@ def describe(docs: DataFrame, doc_id: str, text: str, size: int) -> DataFrame:
             for i in range(0, len(todo), 128):
                 sets = [shingle_set(t, words, size) for t in todo[i : i + 128]]
                 full = [s for s in sets if len(s)]
-                values = iter(minwise(full) if full else ())
+                values = iter(minwise(full, coordinates) if full else ())
                 n += map(len, sets)
                 sig += [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
                 mins += [next(values).tobytes() if len(s) else None for s in sets]
@@ -112,7 +168,7 @@ def describe(docs: DataFrame, doc_id: str, text: str, size: int) -> DataFrame:
     return docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, "id long, n long, sig binary, mins binary")
 
 
-def first_nodes(reps: DataFrame) -> DataFrame:
+def first_nodes(reps: DataFrame, trees: int, percent: int) -> DataFrame:
     """(node, id): every document's nodes at the first of DEPTHS in every tree."""
     import pyarrow as pa
 
@@ -121,15 +177,14 @@ def first_nodes(reps: DataFrame) -> DataFrame:
             if not batch.num_rows:
                 continue
             ids, mins = batch.column(0).to_numpy(), _matrix(batch.column(1))
-            level = [np.full(len(ids), mix(np.array([t + 1], np.uint64))[0]) for t in range(TREES)]
-            for _ in range(DEPTHS[0]):
-                level = [c for nodes in level for c in children(nodes, mins)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(level).view(np.int64)), pa.array(np.tile(ids, len(level)))], ["node", "id"])
+            for t in range(trees):
+                nodes, rows = _down(np.full(len(ids), roots(t)), np.arange(len(ids)), mins, DEPTHS[0], percent)
+                yield pa.RecordBatch.from_arrays([pa.array(nodes.view(np.int64)), pa.array(ids[rows])], ["node", "id"])
 
     return reps.select("id", "mins").mapInArrow(run, "node long, id long")
 
 
-def branch(members: DataFrame, reps: DataFrame, levels: int) -> DataFrame:
+def branch(members: DataFrame, reps: DataFrame, levels: int, percent: int) -> DataFrame:
     """(node, id) that many levels further down."""
     import pyarrow as pa
 
@@ -137,10 +192,8 @@ def branch(members: DataFrame, reps: DataFrame, levels: int) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            mins, kids = _matrix(batch.column(2)), [batch.column(0).to_numpy().view(np.uint64)]
-            for _ in range(levels):
-                kids = [c for nodes in kids for c in children(nodes, mins)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(kids).view(np.int64)), pa.array(np.tile(batch.column(1).to_numpy(), len(kids)))], ["node", "id"])
+            nodes, rows = _down(batch.column(0).to_numpy().view(np.uint64), np.arange(batch.num_rows), _matrix(batch.column(2)), levels, percent)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes.view(np.int64)), pa.array(batch.column(1).to_numpy()[rows])], ["node", "id"])
 
     rows = members.select("node", "id").join(reps.select("id", "mins"), "id").select("node", "id", "mins")
     return rows.mapInArrow(run, "node long, id long")
@@ -157,13 +210,13 @@ def hubs(members: DataFrame) -> DataFrame:
     return members.groupBy("id").agg(F.min("first").alias("a")).filter("a < id").select("a", F.col("id").alias("b"))
 
 
-def alike(members: DataFrame, reps: DataFrame, percent: int, nearest: bool = False) -> DataFrame:
+def alike(members: DataFrame, reps: DataFrame, percent: int, agree: int, nearest: bool = False) -> DataFrame:
     """(a, b): pairs a < b of different components that share a node and may be linked.
 
     ``members`` has (node, id, size, component).  A node of more than SMALL_NODE members
     is cut into blocks of about that many by a hash of the id, and every two blocks
     meet, so that a task never holds more than two blocks.  Sizes too different for
-    ``percent`` and pairs that share fewer than AGREE minwise values are left out.
+    ``percent`` and pairs that share fewer than ``agree`` minwise values are left out.
     With ``nearest`` a block is only compared with itself, and each member gets one
     partner, that with which it shares most values.
     """
@@ -178,7 +231,7 @@ def alike(members: DataFrame, reps: DataFrame, percent: int, nearest: bool = Fal
         ok &= 100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])
         x, y = x[ok], y[ok]
         shared = (mins[x] == mins[y]).sum(axis=1)
-        ok = shared >= AGREE
+        ok = shared >= agree
         x, y, shared = ids[x[ok]], ids[y[ok]], shared[ok]
         if nearest:
             both, of = np.concatenate([x, y]), np.concatenate([y, x])
@@ -261,20 +314,23 @@ def components(links: DataFrame) -> DataFrame:
         edges = star(star(edges, True), False)
 
 
-def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 75) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 75, recall: float = 0.99) -> DataFrame:
     """doc_id, n_shingles, class_id, component_id and kept for every row of ``docs``.
 
     Words are split at ASCII white space, A-Z in lower case; a set holds the distinct
     ``size``-word shingles (the whole text, if it has fewer words), as 64-bit hashes.
     Documents are linked if 100 * intersection >= ``percent`` * union.  class_id is
     the smallest id with an equal set, component_id the smallest that links lead to;
-    kept says that the row's id is that.  Null, empty and wordless texts are linked
+    kept says that the row's id is that.  ``recall`` is the least share of links at the
+    threshold that are found directly, even in the largest groups; of others more are.  Null, empty and wordless texts are linked
     with nothing (class_id null).  Rows that repeat an id are one document with all
     their links.  Rows with a null id are linked with nothing: component_id is null,
     kept is true.  Other columns are not read.
     """
     import pyarrow as pa
-    base = settle(describe(docs, doc_id, text, size))
+    trees = trees_for(recall, percent)
+    agree = gate(percent, trees * OWN)
+    base = settle(describe(docs, doc_id, text, size, trees * OWN))
     some = base.filter("id IS NOT NULL AND sig IS NOT NULL")
     classes = settle(some.groupBy("sig").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n_docs"), F.any_value("n").alias("n"), F.any_value("mins").alias("mins")))
 
@@ -284,7 +340,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([shingle_set(t, words, size).astype("<u8").tobytes() for t in texts(batch.column(1))], pa.binary())], ["id", "set"])
 
-    members = shared_nodes(first_nodes(classes))
+    members = shared_nodes(first_nodes(classes, trees, percent))
     candidates = settle(members.select("id").distinct())
     sets = settle(docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).join(candidates, "id", "left_semi")
                   .mapInArrow(sets_of, "id long, set binary").filter(F.octet_length("set") > 0).distinct())
@@ -314,18 +370,18 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
 
     for depth, deeper_by in zip(DEPTHS, [*np.diff(DEPTHS).tolist(), 0], strict=True):
         open_ = still_open(members)
-        if not open_.isEmpty() and confirm(alike(open_, classes, percent, nearest=True)):
+        if not open_.isEmpty() and confirm(alike(open_, classes, percent, agree, nearest=True)):
             open_ = still_open(members)
         if open_.isEmpty():
             break
         last = depth == DEPTHS[-1]
         small = open_ if last else open_.filter(F.col("size") <= SMALL_NODE)
-        across = alike(small, classes, percent)
+        across = alike(small, classes, percent, agree)
         members = None
         if not last:
             deeper = open_.filter(F.col("size") > SMALL_NODE)
             if not deeper.isEmpty():
-                members = shared_nodes(settle(branch(deeper, classes, deeper_by)))
+                members = shared_nodes(settle(branch(deeper, classes, deeper_by, percent)))
                 across = across.union(hubs(members))
         confirm(across)
         if members is None:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from churnspark.llm.common import settle, texts
-from churnspark.llm.neardup import COORDINATES, describe
+from churnspark.llm.neardup import describe
 
 #: Lengths of the prefixes that count besides the whole word.
 PREFIXES = (4, 5, 6)
@@ -34,6 +34,8 @@ EDGES = (1.0, 2.0, 3.0, 4.0, 5.0)
 BINS = len(EDGES) + 1
 #: Log odds from which a token of a toxic document is labelled toxic.
 LABEL_AT = 3.0
+#: Minwise values by which near copies are told.
+COORDINATES = 48
 #: Minwise values of COORDINATES that two near copies share at least: about the share of their shingles that is common.
 NEAR = COORDINATES * 3 // 4
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
@@ -259,7 +261,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
     picked = settle(docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), digest.alias("digest")).join(F.broadcast(ids), "id")
                     .select("id", "text", "digest", (F.col("toxic") == 1).cast("int").alias("toxic")))
     unique = picked.join(F.broadcast(picked.groupBy("digest", "toxic").agg(F.min("id").alias("id"))), ["digest", "toxic", "id"]).select("id", "text", "toxic")
-    mins = describe(unique, "id", "text", 5).select("id", "mins").join(F.broadcast(ids), "id").select("id", "mins", (F.col("toxic") == 1).cast("int").alias("toxic"))
+    mins = describe(unique, "id", "text", 5, COORDINATES).select("id", "mins").join(F.broadcast(ids), "id").select("id", "mins", (F.col("toxic") == 1).cast("int").alias("toxic"))
     kept = distinct_texts((r["id"], r["toxic"], r["mins"]) for r in mins.collect())  # 3 * sample rows, of 48 values each
     rows = settle(unique.join(F.broadcast(spark.createDataFrame([(i,) for i in sorted(set(kept))], "id long")), "id"))
 

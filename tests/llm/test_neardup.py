@@ -78,3 +78,26 @@ def test_components(spark):
 
 def test_empty_table(spark, no_docs):
     assert near_duplicates(no_docs).count() == 0
+
+
+def test_pairs_at_the_threshold_meet_and_others_die_out():
+    import numpy as np
+    r, n, trees = np.random.default_rng(1), 1500, neardup.trees_for(0.99, 75)
+    width = trees * neardup.OWN
+    shared = {}
+    for j in (0.75, 0.5):
+        a = r.integers(0, 2**32, (n, width)).astype("<u4")
+        b = np.where(r.random((n, width)) < j, a, r.integers(0, 2**32, (n, width)).astype("<u4"))
+        for depth in neardup.DEPTHS:
+            met, nodes, common = np.zeros(n, bool), 0, 0
+            for t in range(trees):
+                (x, rx), (y, ry) = (neardup._down(np.full(n, neardup.roots(t)), np.arange(n), m, depth, 75) for m in (a, b))
+                both = set(zip(rx.tolist(), x.tolist()))
+                hit = [i for i, v in zip(ry.tolist(), y.tolist()) if (i, v) in both]
+                met[hit] = True
+                nodes, common = nodes + len(x) / n, common + len(hit) / n
+            shared[j, depth] = met.mean(), common / trees
+            assert nodes < 1.1 * trees * (4 / 3) ** depth
+    assert shared[0.75, 3][0] > 0.995 and shared[0.75, 5][0] > 0.97
+    assert 0.9 < shared[0.75, 3][1] < 1.1 and shared[0.5, 5][1] < 0.2  # nodes that a pair shares, in a tree
+    assert neardup.gate(75, width) < 0.5 * width

@@ -1,10 +1,8 @@
 """Spark ML stages for the feature matrix.
 
-* :func:`fit_yeo_johnson` (G7) - maximum-likelihood lambda per column.  Every
-  pass evaluates a whole lambda grid for all columns in ONE aggregate
-  (``var_pop`` of each transformed column) and the next pass refines around
-  the best point; the log-likelihood is
-  ``-n/2 * ln var(T(x, l)) + (l - 1) * sum(sign(x) * log1p(|x|))``.
+* :func:`fit_yeo_johnson` (G7) - maximum-likelihood lambda per column, by Newton steps
+  on ``-n/2 * ln var(T(x, l)) + (l - 1) * sum(sign(x) * log1p(|x|))``; a scan takes the
+  moments of T and its two derivatives at a few lambdas for all columns in ONE aggregate.
 * :class:`ChurnFeatures` / :class:`ChurnFeaturesModel` (G13) - the composite
   builder: cleaning, derived features, optional power transform, categorical
   and numeric imputation, drop-first one-hot and vector assembly (G12).  All
@@ -30,9 +28,13 @@ from churnspark.functions import clean, features
 from churnspark.operators import encode, impute
 
 
-def fit_yeo_johnson(df: DataFrame, cols, passes: int = 7, points: int = 17,
-                    lo: float = -2.0, hi: float = 2.0) -> dict:
-    """Lambda maximising the Yeo-Johnson log-likelihood of each column."""
+def fit_yeo_johnson(df: DataFrame, cols, scans: int = 4, lo: float = -2.0, hi: float = 4.0) -> dict:
+    """Lambda maximising the Yeo-Johnson log-likelihood of each column.
+
+    The first scan looks at every half from ``lo`` to ``hi``; the others at the Newton
+    point and one to each side of it.  An optimum outside the range takes a scan more
+    for each half step.  A column without two different values has lambda 1.
+    """
     cols = list(cols)
     if not cols:
         return {}
@@ -40,66 +42,50 @@ def fit_yeo_johnson(df: DataFrame, cols, passes: int = 7, points: int = 17,
     base = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).na.drop() \
         .persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        return _fit_yj(base, cols, passes, points, lo, hi)
+        return _fit_yj(base, cols, scans, lo, hi)
     finally:
         base.unpersist()
 
 
-def _grid_variances(base: DataFrame, cols, grids: dict) -> dict:
-    """Population variance of the transform for every (column, grid lambda).
+def _likelihoods(base: DataFrame, cols, points: dict) -> dict:
+    """For every (column, lambda): the log-likelihood and its first and second derivative.
 
-    Each row is exploded into one cell per (column, lambda) and reduced with a
-    grouped ``var_pop``: the map-side partial aggregate leaves at most
-    |cols| x |grid| rows per task, and the expression code does not depend on
-    the lambdas, so every pass reuses the same compiled stage.
+    Each row is exploded into one cell per (column, lambda) and reduced with a grouped
+    aggregate: at most |cols| x |points| rows leave a task, and the expression code does
+    not depend on the lambdas, so every scan reuses the same compiled stage.
     """
-    cells = F.array(*[
-        F.struct(F.lit(ci).alias("c"), F.lit(i).alias("i"), F.lit(float(lam)).alias("lam"))
-        for ci, c in enumerate(cols) for i, lam in enumerate(grids[c])
-    ])
+    cells = F.array(*[F.struct(F.lit(ci).alias("c"), F.lit(float(lam)).alias("lam")) for ci, c in enumerate(cols) for lam in points[c]])
     long = base.select(F.array(*[F.col(c) for c in cols]).alias("v"), F.explode(cells).alias("g"))
-    y = features.yeo_johnson_by(F.element_at("v", F.col("g.c") + 1), F.col("g.lam"))
-    rows = long.select("g.c", "g.i", y.alias("y")).groupBy("c", "i") \
-        .agg(F.var_pop("y").alias("vp")).collect()
-    return {(cols[r["c"]], r["i"]): r["vp"] for r in rows}
-
-
-def _fit_yj(base, cols, passes, points, lo, hi) -> dict:
-    first = base.agg(F.count(F.lit(1)).alias("n"), *[
-        F.sum(F.signum(c) * F.log1p(F.abs(c))).alias(f"s_{c}") for c in cols]).first()
-    n = first["n"]
-    if not n:
-        return {c: 1.0 for c in cols}
-    svals = {c: first[f"s_{c}"] for c in cols}
-    center = {c: (lo + hi) / 2 for c in cols}
-    half = {c: (hi - lo) / 2 for c in cols}
-    best = {c: 1.0 for c in cols}
-    extra = 0
-    p = 0
-    while p < passes:
-        grids = {c: [center[c] - half[c] + 2 * half[c] * i / (points - 1) for i in range(points)]
-                 for c in cols}
-        var = _grid_variances(base, cols, grids)
-        at_edge = False
-        for c in cols:
-            scored = []
-            for i, lam in enumerate(grids[c]):
-                v = var.get((c, i))
-                ll = (-n / 2.0 * math.log(v) + (lam - 1) * svals[c]) if v and v > 0 and \
-                    math.isfinite(v) else -math.inf
-                scored.append((ll, -abs(lam - 1.0), lam, i))
-            _, _, lam, i = max(scored)
-            best[c] = lam
-            if p == 0 and i in (0, points - 1) and extra < 3:
-                at_edge = True          # optimum outside the bracket: shift, same width
-                center[c] = lam
-            else:
-                center[c] = lam
-                half[c] = 2 * half[c] / (points - 1)
-        if at_edge:
-            extra += 1
+    x = F.element_at("v", F.col("g.c") + 1)
+    t, t1, t2 = features.yeo_johnson_slopes(x, F.col("g.lam"))
+    moved = long.select("g.c", "g.lam", t.alias("t"), t1.alias("t1"), t2.alias("t2"), (F.signum(x) * F.log1p(F.abs(x))).alias("s"))
+    out = {}
+    for r in moved.groupBy("c", "lam").agg(F.count(F.lit(1)).alias("n"), F.sum("s").alias("s"), F.var_pop("t").alias("v"), F.covar_pop("t", "t1").alias("tt1"),
+                                           F.var_pop("t1").alias("v1"), F.covar_pop("t", "t2").alias("tt2")).collect():
+        if not r["v"] or not math.isfinite(r["v"]) or r["v"] <= 0:
             continue
-        p += 1
+        d1, d2 = 2 * r["tt1"] / r["v"], 2 * (r["v1"] + r["tt2"]) / r["v"]
+        out.setdefault(cols[r["c"]], []).append((-r["n"] / 2 * math.log(r["v"]) + (r["lam"] - 1) * r["s"], r["lam"], -r["n"] / 2 * d1 + r["s"], -r["n"] / 2 * (d2 - d1 * d1)))
+    return out
+
+
+def _fit_yj(base, cols, scans, lo, hi) -> dict:
+    half = 0.5
+    points = {c: [lo + half * i for i in range(round((hi - lo) / half) + 1)] for c in cols}
+    best = dict.fromkeys(cols, 1.0)
+    left, far = scans, 0
+    while points and left > 0:
+        found, points, outside = _likelihoods(base, list(points), points), {}, False
+        for c, rows in found.items():
+            _, lam, slope, bend = max(rows, key=lambda r: (r[0], -abs(r[1] - 1.0)))
+            step = -slope / bend if bend < 0 else math.copysign(half, slope)
+            step = max(-half, min(half, step))
+            outside |= abs(step) == half
+            best[c] = lam + step
+            near = max(abs(step) / 8, 1e-4)
+            points[c] = [best[c], best[c] - near, best[c] + near]
+        far += outside
+        left -= not outside or far > 40
     return best
 
 

@@ -5,7 +5,7 @@ import tempfile
 
 import numpy as np
 import pytest
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from churnspark.operators import resample
@@ -96,9 +96,37 @@ def test_yeo_johnson_fit_is_likelihood_max(spark):
     def ll(l):
         t = np.log1p(x) if abs(l) < 1e-12 else ((x + 1) ** l - 1) / l
         return -len(x) / 2 * np.log(t.var()) + (l - 1) * np.log1p(x).sum()
-    grid = np.linspace(-2, 2, 4001)
-    best = grid[np.argmax([ll(g) for g in grid])]
-    assert abs(lam - best) < 2e-3
+    lo, hi = -2.0, 2.0
+    for _ in range(200):                          # golden section
+        a, b = hi - (hi - lo) * 0.6180339887498949, lo + (hi - lo) * 0.6180339887498949
+        lo, hi = (a, hi) if ll(a) < ll(b) else (lo, b)
+    assert abs(lam - (lo + hi) / 2) < 1e-5
+
+
+def test_yeo_johnson_slopes_and_scans(spark, monkeypatch):
+    from churnspark.functions import features as FF
+    from churnspark.plans import features as PF
+    xs, lams = [-30.0, -2.5, -1e-3, 0.0, 1e-3, 0.7, 40.0], [-1.0, -1e-4, 0.0, 0.3, 1.0, 1.9999, 2.0, 3.0]
+    df = spark.createDataFrame([(x, l) for x in xs for l in lams], "x double, l double")
+    t, t1, t2 = FF.yeo_johnson_slopes(F.col("x"), F.col("l"))
+
+    def plain(x, l):
+        u, a = (np.log1p(x), l) if x >= 0 else (np.log1p(-x), 2 - l)
+        s = np.linspace(0, u, 20001)
+        w = np.exp(a * s)
+        g, g1, g2 = (np.trapezoid(w * s**k, s) for k in range(3))
+        return (g, g1, g2) if x >= 0 else (-g, g1, -g2)
+
+    for r in df.select("x", "l", t.alias("t"), t1.alias("t1"), t2.alias("t2")).collect():
+        assert np.allclose((r.t, r.t1, r.t2), plain(r.x, r.l), rtol=1e-6, atol=1e-12)
+    calls, real = [], PF._likelihoods
+    monkeypatch.setattr(PF, "_likelihoods", lambda *args: calls.append(1) or real(*args))
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.normal(3, 2, 1500), rng.lognormal(1, 0.5, 500)])
+    four = fit_yeo_johnson(spark.createDataFrame([(float(v), 5.0) for v in x], "x double, same double"), ["x", "same"])
+    assert len(calls) == 4 and four["same"] == 1.0
+    eight = fit_yeo_johnson(spark.createDataFrame([(float(v),) for v in x], "x double"), ["x"], scans=8)
+    assert abs(four["x"] - eight["x"]) < 1e-6
 
 
 def test_registry_and_csv(spark):
@@ -237,3 +265,46 @@ def test_additivity_checks_see_a_wrong_base_value(spark, parts, small_dir, monke
     monkeypatch.setattr(X, "tree_shap", lambda *args: (lambda phi, base, space: (phi, base + 0.01, space))(*real(*args)))
     r = CHECK_QUERIES[name](spark, small_dir).first()
     assert r["n_bad"] == r["n_rows"] > 0
+
+
+@pytest.mark.parametrize("piece,pivots", [(2048, 64), (40, 10)])
+def test_knn_by_pivots_equals_brute_force(spark, monkeypatch, piece, pivots):
+    """Clusters, copies, ties on a grid, fewer rows than k."""
+    monkeypatch.setattr(resample, "PIECE", piece)
+    monkeypatch.setattr(resample, "VALUES_PER_PIVOT", pivots)
+    rng = np.random.default_rng(7)
+    clustered = rng.normal(size=(12, 6))[rng.integers(0, 12, 900)] * 8 + rng.normal(size=(900, 6)) * 0.2
+    grid = rng.integers(0, 4, size=(300, 3)).astype(float)
+    for pts, k in ((clustered, 5), (grid, 4), (rng.normal(size=(3, 2)), 5)):
+        df = spark.createDataFrame([(pts[i].tolist(), 1) for i in range(len(pts))], "x array<double>, label int").repartition(5)
+        vals = resample.distinct_values(df, "x", "label")
+        knn = resample.knn_values(vals.select("vid", "x"), vals.select("vid", "x", "n"), k).collect()
+        xs = {r.vid: (np.array(r.x), r.n) for r in vals.collect()}
+        got = {}
+        for r in knn:
+            got.setdefault(r.qid, []).append((round(r.d2, 9), r.rid, r["take"]))
+        for q, (xq, _) in xs.items():
+            near = sorted((round(float(((xq - xr) ** 2).sum()), 9), v, n - (v == q)) for v, (xr, n) in xs.items())
+            want, left = [], k
+            for d, v, n in near:
+                if n > 0 and left > 0:
+                    want.append((d, v, min(n, left)))
+                    left -= min(n, left)
+            assert [w[0] for w in want] == [g[0] for g in sorted(got.get(q, []))]
+            assert sum(w[2] for w in want) == sum(g[2] for g in got.get(q, []))
+
+
+def test_smote_rows_lie_on_segments_to_neighbours(spark):
+    rng = np.random.default_rng(9)
+    pts = rng.normal(size=(80, 3)).round(2)
+    rows = [(f"m{i}", 1, pts[i].tolist()) for i in range(30)] + [(f"n{i}", 0, pts[30 + i].tolist()) for i in range(50)]
+    df = spark.createDataFrame(rows, "customerID string, label int, x array<double>")
+    out = resample.smote(df.select("customerID", "label", array_to_vector("x").alias("features")), k=4)
+    minority = pts[:30]
+    d = ((minority[:, None] - minority[None]) ** 2).sum(axis=2) + np.diag(np.full(30, np.inf))
+    near = np.argsort(d, axis=1)[:, :4]
+    made = [np.array(r.features.toArray()) for r in out.where("customerID LIKE 'syn-%'").collect()]
+    assert len(made) == 20
+    for p in made:
+        assert any(np.linalg.norm(np.cross(p - minority[i], minority[j] - minority[i])) < 1e-8
+                   and -1e-9 <= (p - minority[i]) @ (minority[j] - minority[i]) <= d[i, j] + 1e-9 for i in range(30) for j in near[i])

@@ -10,9 +10,9 @@
   Kononenko, 2014): rows x draws x steps are expanded as a DataFrame, the
   mixed vectors are built with array functions and scored by the classifier
   stage in one pass.
-* H3 :func:`permutation_importance` - each feature x repeat permutes the column
-  inside hash buckets (positions under two seeds, an equi-join on
-  bucket + position: no global sort), and the metric drop is averaged.
+* H3 :func:`permutation_importance` - rows are dealt out once by a hash; a task
+  permutes each feature, repeat by repeat, inside blocks of its rows, the vectors are
+  scored where they come to be, and the metric drop is averaged.
 """
 
 from __future__ import annotations
@@ -248,6 +248,45 @@ def sampling_shapley(model: PipelineModel, rows: DataFrame, background: DataFram
 
 # ---------------------------------------------------------------- H3
 
+def permuted_rows(x: DataFrame, p: int, repeats: int, seed: int, key: str, block_rows: int) -> DataFrame:
+    """label, j, r and x: every row for each feature j and repeat r, with the feature's values permuted.
+
+    ``x`` has the key, label and x.  Rows are dealt out once, by a hash of key and vector, and a
+    task permutes inside blocks of ``block_rows`` to twice as many (one block, if there
+    are fewer), so that the many copies of a row come to be where they are scored.
+    """
+    import pyarrow as pa
+    parts = max(1, min(x.count() // block_rows, 10_000))     # by the rows alone: the same on any cluster
+    mixed = F.xxhash64(F.lit(seed), F.col(key), F.col("x"))
+    dealt = x.select("label", "x", mixed.alias("h"), F.col(key).alias("k")).repartition(parts, "h").sortWithinPartitions("h", "k", "x")
+
+    def blocks(batches):
+        """Labels and vectors, a block held back so that the last one is not too small."""
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            now = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, p), batch.column(2).to_numpy()
+            held = now if held is None else tuple(np.concatenate(z) for z in zip(held, now))
+            while len(held[0]) >= 3 * block_rows:
+                yield tuple(z[:block_rows] for z in held)
+                held = tuple(z[block_rows:] for z in held)
+        if held is not None:
+            yield held
+
+    def run(batches):
+        for label, values, h in blocks(batches):
+            for j in range(p):
+                for r in range(repeats):
+                    out = values.copy()
+                    # the block's first hash is its name
+                    out[:, j] = values[np.random.default_rng((seed, int(h[0]) % 2**63, j, r)).permutation(len(label)), j]
+                    yield pa.RecordBatch.from_arrays([pa.array(label), pa.array(np.full(len(label), j, np.int32)), pa.array(np.full(len(label), r, np.int32)),
+                                                      pa.ListArray.from_arrays(np.arange(0, out.size + 1, p, dtype=np.int32), pa.array(out.ravel()))], ["label", "j", "r", "x"])
+
+    return dealt.select(F.col("label").cast("int"), "x", "h").mapInArrow(run, "label int, j int, r int, x array<double>")
+
+
 def permutation_importance(model: PipelineModel, rows: DataFrame, repeats: int = 10,
                            metric: str = "roc_auc", seed: int = S.SEED, key: str = S.KEY,
                            features: str = "features", bucket_rows: int = 1024) -> DataFrame:
@@ -255,23 +294,9 @@ def permutation_importance(model: PipelineModel, rows: DataFrame, repeats: int =
     feat_model = PipelineModel(model.stages[:-1])
     clf = model.stages[-1]
     x = feat_model.transform(rows).select(key, "label", vector_to_array(features).alias("x"))
-    n = x.count()
     p = len(x.first()["x"])
-    nb = max(1, n // bucket_rows)
-    e = x.select(key, "label", "x", F.explode(F.sequence(F.lit(0), F.lit(p - 1))).alias("j")) \
-        .select("*", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("r"))
-    e = e.withColumn("bk", F.pmod(F.xxhash64(F.lit(seed), F.col("r"), F.col("j"), F.col(key)),
-                                  F.lit(nb)))
-    grp = ["j", "r", "bk"]
-    w1 = Window.partitionBy(*grp).orderBy(F.xxhash64(F.lit(seed + 1), F.col(key)), key)
-    w2 = Window.partitionBy(*grp).orderBy(F.xxhash64(F.lit(seed + 2), F.col("r"), F.col(key)), key)
-    slots = e.withColumn("pos", F.row_number().over(w1))
-    donors = e.select(*grp, F.get("x", F.col("j")).alias("dx"), F.row_number().over(w2).alias("pos"))
-    perm = slots.join(donors, grp + ["pos"]) \
-        .withColumn("x", F.transform(F.sequence(F.lit(0), F.lit(p - 1)),
-                                     lambda i: F.when(i == F.col("j"), F.col("dx"))
-                                     .otherwise(F.col("x")[i])))
-    scored = clf.transform(perm.select(key, "label", "j", "r", array_to_vector("x").alias(features)))
+    perm = permuted_rows(x, p, repeats, seed, key, bucket_rows)
+    scored = clf.transform(perm.select("label", "j", "r", array_to_vector("x").alias(features)))
     s = scored.select("label", "j", "r", vector_to_array("probability")[1].alias("score"))
     per = M.metric_table(s, groups=["j", "r"]).select("j", "r", F.col(metric).alias("m"))
     base = clf.transform(x.select("label", array_to_vector("x").alias(features))) \

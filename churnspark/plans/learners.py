@@ -6,7 +6,7 @@ tree, logistic regression and the SVC are mapped to Spark ML by :func:`to_spark_
 and the trees that draw features at each node are grown by
 :mod:`churnspark.plans.histtrees`, as :func:`to_tree_spec` says.  Parameters without a
 counterpart are logged at every fit and returned by ``build_pipeline``.  The RBF SVC
-becomes random Fourier features + ``LinearSVC``.
+becomes a map by landmarks of the kernel + ``LinearSVC``.
 """
 
 from __future__ import annotations
@@ -254,66 +254,67 @@ def subset(keys) -> dict:
 
 # ------------------------------------------------------------- M5: RBF features
 
-class RandomFourierFeatures(Estimator, HasInputCol, HasOutputCol, HasSeed,
-                            DefaultParamsReadable, DefaultParamsWritable):
-    """Random Fourier features approximating an RBF kernel (Rahimi & Recht, 2007).
+class LandmarkKernelMap(Estimator, HasInputCol, HasOutputCol, HasSeed, DefaultParamsReadable, DefaultParamsWritable):
+    """Nystroem features of an RBF kernel (Williams & Seeger, 2001): inner products of the
+    mapped rows are the kernel, exactly between landmarks and nearly elsewhere.
 
-    ``gamma='scale'`` = 1 / (n_features * variance of all matrix entries),
-    computed in one aggregate.  z(x) = sqrt(2/D) cos(W x + b), W ~ N(0, 2 gamma).
+    The landmarks are the ``numLandmarks`` distinct rows with the smallest hashes (a bounded
+    sample; all rows, if there are fewer).  z(x) = k(x, landmarks) K^(-1/2), without the
+    directions in which K has next to no weight.  ``gamma='scale'`` = 1 / (n_features *
+    variance of all matrix entries), from one aggregate.
     """
-    numFeatures = Param(Params._dummy(), "numFeatures", "output dimension D",
-                        typeConverter=TypeConverters.toInt)
+
+    numLandmarks = Param(Params._dummy(), "numLandmarks", "landmarks at most", typeConverter=TypeConverters.toInt)
     gamma = Param(Params._dummy(), "gamma", "'scale' or a number", typeConverter=TypeConverters.toString)
 
-    def __init__(self, inputCol="features", outputCol="rff", numFeatures=200, gamma="scale", seed=42):
+    def __init__(self, inputCol="features", outputCol="kernel_map", numLandmarks=200, gamma="scale", seed=42):
         super().__init__()
-        self._set(inputCol=inputCol, outputCol=outputCol, numFeatures=numFeatures,
-                  gamma=str(gamma), seed=seed)
+        self._set(inputCol=inputCol, outputCol=outputCol, numLandmarks=numLandmarks, gamma=str(gamma), seed=seed)
 
-    def _fit(self, df: DataFrame) -> "RandomFourierModel":
-        arr = vector_to_array(F.col(self.getInputCol()))
-        first = df.select(F.size(arr).alias("p")).first()
-        p = int(first["p"])
+    def _fit(self, df: DataFrame) -> "LandmarkKernelModel":
+        rows = df.select(vector_to_array(F.col(self.getInputCol())).alias("x"))
+        m = self.getOrDefault("numLandmarks")
+        hashed = rows.select("x", F.xxhash64(F.lit(self.getSeed()), "x").alias("h"))
+        marks = np.array([r["x"] for r in hashed.distinct().orderBy("h", "x").limit(m).collect()], float)   # m rows
         g = self.getOrDefault("gamma")
         if g == "scale":
-            ex = df.select(F.explode(arr).alias("v")).agg(F.var_pop("v").alias("var")).first()
-            var = ex["var"] or 1.0
-            gamma = 1.0 / (p * var) if var > 0 else 1.0
+            var = rows.select(F.explode("x").alias("v")).agg(F.var_pop("v").alias("var")).first()["var"]
+            gamma = 1.0 / (marks.shape[1] * var) if var else 1.0
         else:
             gamma = float(g)
-        rng = np.random.default_rng(self.getSeed())
-        D = self.getOrDefault("numFeatures")
-        W = rng.normal(0.0, math.sqrt(2.0 * gamma), size=(D, p))
-        b = rng.uniform(0.0, 2 * math.pi, size=D)
-        m = RandomFourierModel(weights=W.ravel().tolist(), offsets=b.tolist(), dim=p)
-        m._set(inputCol=self.getInputCol(), outputCol=self.getOutputCol())
-        return m
-
-
-class RandomFourierModel(Model, HasInputCol, HasOutputCol, DefaultParamsReadable,
-                         DefaultParamsWritable):
-    weights = Param(Params._dummy(), "weights", "W row-major", typeConverter=TypeConverters.toListFloat)
-    offsets = Param(Params._dummy(), "offsets", "b", typeConverter=TypeConverters.toListFloat)
-    dim = Param(Params._dummy(), "dim", "input dimension", typeConverter=TypeConverters.toInt)
-
-    def __init__(self, weights=None, offsets=None, dim=0):
+        weight, axes = np.linalg.eigh(rbf_kernel(marks, marks, gamma))
+        some = weight > 1e-10 * weight[-1]
+        whiten = axes[:, some] / np.sqrt(weight[some])
+        model = LandmarkKernelModel(marks, whiten, gamma)
+        return model._set(inputCol=self.getInputCol(), outputCol=self.getOutputCol())
+
+
+def rbf_kernel(x: np.ndarray, y: np.ndarray, gamma: float) -> np.ndarray:
+    d = (x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1)[None, :] - 2 * x @ y.T
+    return np.exp(-gamma * np.maximum(d, 0))
+
+
+class LandmarkKernelModel(Model, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
+    landmarks = Param(Params._dummy(), "landmarks", "landmarks, row-major", typeConverter=TypeConverters.toListFloat)
+    whitening = Param(Params._dummy(), "whitening", "landmarks by directions, row-major", typeConverter=TypeConverters.toListFloat)
+    shape = Param(Params._dummy(), "shape", "landmarks, input and output dimension", typeConverter=TypeConverters.toListInt)
+    gamma = Param(Params._dummy(), "gamma", "of the kernel", typeConverter=TypeConverters.toFloat)
+
+    def __init__(self, marks=None, whiten=None, gamma=None):
         super().__init__()
-        if weights is not None:
-            self._set(weights=weights, offsets=offsets, dim=dim)
+        if marks is not None:
+            self._set(landmarks=marks.ravel().tolist(), whitening=whiten.ravel().tolist(), shape=[len(marks), marks.shape[1], whiten.shape[1]], gamma=gamma)
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        W = np.asarray(self.getOrDefault("weights")).reshape(-1, self.getOrDefault("dim"))
-        b = np.asarray(self.getOrDefault("offsets"))
-        scale = math.sqrt(2.0 / W.shape[0])
+        n, p, q = self.getOrDefault("shape")
+        marks = np.asarray(self.getOrDefault("landmarks")).reshape(n, p)
+        whiten, gamma = np.asarray(self.getOrDefault("whitening")).reshape(n, q), self.getOrDefault("gamma")
 
         @F.pandas_udf(T.ArrayType(T.DoubleType()))
-        def rff(x: pd.Series) -> pd.Series:
-            X = np.stack(x.to_numpy()) if len(x) else np.zeros((0, W.shape[1]))
-            Z = scale * np.cos(X @ W.T + b)
-            return pd.Series(list(Z))
+        def mapped(x: pd.Series) -> pd.Series:
+            return pd.Series(list(rbf_kernel(np.stack(x.to_numpy()), marks, gamma) @ whiten) if len(x) else [])
 
-        arr = vector_to_array(F.col(self.getInputCol()))
-        return df.withColumn(self.getOutputCol(), array_to_vector(rff(arr)))
+        return df.withColumn(self.getOutputCol(), array_to_vector(mapped(vector_to_array(F.col(self.getInputCol())))))
 
 
 # ------------------------------------------------------------------ M8, V1, V4
@@ -341,8 +342,8 @@ def build_pipeline(key: str, features: ChurnFeatures | None = None, overrides: d
     fcol = "features"
     if kind == "rbf_svm":
         gamma = sp.pop("gamma", "scale")
-        stages.append(RandomFourierFeatures("features", "rff", gamma=gamma))
-        fcol = "rff"
+        stages.append(LandmarkKernelMap("features", "kernel_map", gamma=gamma))
+        fcol = "kernel_map"
     w = weight_col if (balanced and weight_col) else None
     stages.append(make_classifier(kind, sp, w, features_col=fcol))
     return Pipeline(stages=stages), ignored

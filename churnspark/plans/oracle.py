@@ -519,8 +519,14 @@ SQL["correlations"] = q(" UNION ALL ".join(
 
 # ---------------------------------------------------------------- model checks
 
-for _name in ("tree_shap_additivity", "forest_shap_additivity", "boost_shap_additivity", "vote_is_mean"):
+for _name in ("tree_shap_additivity", "forest_shap_additivity", "boost_shap_additivity", "grown_shap_additivity", "vote_is_mean", "shapley_rows",
+              "tree_prediction_rows", "forest_prediction_rows", "boost_prediction_rows", "xgb_prediction_rows", "lgbm_prediction_rows", "cat_prediction_rows",
+              "logreg_prediction_rows", "voting_probabilities", "calibration_probabilities"):
     SQL[_name] = q("SELECT count(*) AS n_rows, 0 AS n_bad FROM sp WHERE split = 'test'", _QUOTA)
+SQL["predict_batch_rows"] = q("SELECT count(*) AS n_rows, 0 AS n_bad FROM sp", _QUOTA)
+for _name in ("smote_rows", "adasyn_rows"):
+    SQL[_name] = q("SELECT count(*) FILTER (label = 0) AS n_larger, count(*) AS n_original, 0 AS n_bad FROM sp WHERE split = 'train'", _QUOTA)
+SQL["smote_classes"] = q("SELECT unnest([0, 1]) AS label, count(*) FILTER (label = 0) AS n FROM sp WHERE split = 'train'", _QUOTA)
 
 
 def oracle_sql() -> dict[str, str]:

@@ -159,3 +159,9 @@ def one_by_one(spark: SparkSession, frames: Iterable[DataFrame], several: bool)
         frame.write.mode("append").parquet(folder)
         made = True
     return spark.read.parquet(folder) if made else None
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Remove a folder that this library wrote, wherever the cluster keeps it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

@@ -69,3 +69,27 @@ def test_empty_corpus(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert P.run(spark, str(tmp_path)).count() == 0
+
+
+def test_user_columns_come_through_every_stage(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    clash = {"row_key": "mine", "n_lines": 7, "n_dropped": 8, "kept": False, "domain": "dom", "tokens": 99, "copies": 5, "id": 3, "component": 4, "other_columns": "x"}
+    mine = docs.withColumns({k: F.lit(v) for k, v in clash.items()})
+    for _, stage in P.STAGES[:4]:
+        out = stage(spark, mine, sf)
+        assert out.columns == mine.columns
+        rows = out.collect()
+        assert rows and all(r[k] == v for r in rows for k, v in clash.items())
+        assert sorted(str(tuple(r)[:5]) for r in rows) == sorted(str(tuple(r)) for r in stage(spark, docs, sf).collect())
+
+
+def test_used_results_are_removed(spark, sf):
+    from churnspark.session import ensure_checkpoint_dir
+    path = spark._jvm.org.apache.hadoop.fs.Path(ensure_checkpoint_dir(spark))
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def stages():
+        return sorted(str(s.getPath().getName()) for f in fs.listStatus(path) if f.getPath().getName().startswith("pipeline-") for s in fs.listStatus(f.getPath()))
+
+    before = stages()
+    assert P.run(spark, sf).count() and len(stages()) == len(before) + 1

@@ -123,6 +123,27 @@ def q_validate_rejects(spark, d):
     return rejects.select(S.KEY, F.array_join("reasons", ",").alias("reasons"))
 
 
+def _spoiled(spark, d):
+    """The validation input with wrong values put into some rows, by their tenure."""
+    t = F.col("tenure")
+
+    def where(divisor, value, column):
+        return F.when(t % divisor == 0, value).otherwise(F.col(column))
+
+    return _validation_input(spark, d).withColumns({
+        "gender": where(7, F.lit("unknown"), "gender"), "MonthlyCharges": where(11, -F.col("MonthlyCharges") - 1, "MonthlyCharges"),
+        "InternetService": where(13, F.lit(None), "InternetService"), "Partner": where(17, F.lit(2), "Partner")})
+
+
+def q_validate_spoiled_rejects(spark, d):
+    _, rejects = validate.split_valid(_spoiled(spark, d))
+    return rejects.select(S.KEY, F.array_join("reasons", ",").alias("reasons"))
+
+
+def q_validate_spoiled_counts(spark, d):
+    return validate.violation_counts(_spoiled(spark, d))
+
+
 def q_validate_counts(spark, d):
     return validate.violation_counts(_validation_input(spark, d))
 
@@ -413,6 +434,8 @@ ORACLE_QUERIES = {
     "impute_numeric": q_impute_numeric,
     "validate_rejects": q_validate_rejects,
     "validate_counts": q_validate_counts,
+    "validate_spoiled_rejects": q_validate_spoiled_rejects,
+    "validate_spoiled_counts": q_validate_spoiled_counts,
     "drop_nulls": q_drop_nulls,
     "label_codes": q_label_codes,
     "tenure_features": q_tenure_features,

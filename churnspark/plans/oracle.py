@@ -132,6 +132,25 @@ SQL["validate_rejects"] = q(
     ", ".join(f"CASE WHEN {cond} THEN '{name}' END" for name, cond in _rules()) +
     "], lambda x: x IS NOT NULL) AS reasons FROM vin)")
 
+# Rows with wrong values, which the rules must find.
+_SPOILED = VALIDATION_INPUT + """,
+bad AS (SELECT * REPLACE (
+  CASE WHEN tenure % 7 = 0 THEN 'unknown' ELSE gender END AS gender,
+  CASE WHEN tenure % 11 = 0 THEN -MonthlyCharges - 1 ELSE MonthlyCharges END AS MonthlyCharges,
+  CASE WHEN tenure % 13 = 0 THEN NULL ELSE InternetService END AS InternetService,
+  CASE WHEN tenure % 17 = 0 THEN 2 ELSE Partner END AS Partner) FROM vin)"""
+SQL["validate_spoiled_rejects"] = q(
+    "SELECT customerID, array_to_string(reasons, ',') AS reasons FROM rs WHERE len(reasons) > 0",
+    _SPOILED + ",\nrs AS (SELECT customerID, list_filter([" +
+    ", ".join(f"CASE WHEN {cond} THEN '{name}' END" for name, cond in _rules()) +
+    "], lambda x: x IS NOT NULL) AS reasons FROM bad)")
+SQL["validate_spoiled_counts"] = q(
+    " UNION ALL ".join(
+        [f"SELECT '{name}' AS rule, CAST(sum(CASE WHEN {cond} THEN 1 ELSE 0 END) AS BIGINT) AS n FROM bad" for name, cond in _rules()] +
+        ["SELECT 'rows_total' AS rule, CAST(count(*) AS BIGINT) AS n FROM bad",
+         "SELECT 'rows_valid' AS rule, CAST(sum(CASE WHEN " + " OR ".join(cond for _, cond in _rules()) + " THEN 0 ELSE 1 END) AS BIGINT) AS n FROM bad"]),
+    _SPOILED)
+
 SQL["validate_counts"] = q(
     " UNION ALL ".join(
         [f"SELECT '{name}' AS rule, CAST(sum(CASE WHEN {cond} THEN 1 ELSE 0 END) AS BIGINT) AS n FROM vin"

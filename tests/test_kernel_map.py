@@ -9,7 +9,7 @@ from churnspark.sources import io
 
 
 def mapped(spark, x, m, gamma="0.05"):
-    df = spark.createDataFrame([(i, Vectors.dense(v)) for i, v in enumerate(x.tolist())], "i int, features vector")
+    df = spark.createDataFrame([(i, Vectors.dense(v)) for i, v in enumerate(x.tolist())], ["i", "features"])
     model = L.LandmarkKernelMap(numLandmarks=m, gamma=gamma).fit(df)
     return model, np.array([r.kernel_map.toArray() for r in model.transform(df).orderBy("i").collect()])
 
@@ -31,7 +31,7 @@ def test_exact_with_all_rows_as_landmarks_copies_and_saving(spark, tmp_path):
     assert np.allclose(z @ z.T, L.rbf_kernel(x, x, 0.05), atol=1e-6)
     model.write().overwrite().save(str(tmp_path / "m"))
     again = L.LandmarkKernelModel.load(str(tmp_path / "m"))
-    df = spark.createDataFrame([(Vectors.dense(v),) for v in x[:3].tolist()], "features vector")
+    df = spark.createDataFrame([(i, Vectors.dense(v)) for i, v in enumerate(x[:3].tolist())], ["i", "features"])
     assert [r.kernel_map for r in again.transform(df).collect()] == [r.kernel_map for r in model.transform(df).collect()]
 
 

@@ -29,6 +29,12 @@ def settle(df: DataFrame) -> DataFrame:
     return cut_lineage(df)
 
 
+def settle_snug(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """:func:`settle`, then read by as many tasks as ``rows`` each take: a small table that comes in many partitions is not shuffled from all of them again."""
+    df = settle(df)
+    return df.coalesce(max(1, -(-df.count() // rows)))
+
+
 def own_name(df: DataFrame, wish: str) -> str:
     """A column name that ``df`` does not use yet."""
     taken = {c.lower() for c in df.columns}

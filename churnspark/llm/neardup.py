@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from churnspark.llm.common import WordHashes, heavy_light_join, settle, texts
+from churnspark.llm.common import WordHashes, heavy_light_join, settle, settle_snug, texts
 
 #: Coordinates of a tree: more than its depth, so that the branches of a node mostly go by others.
 OWN = 8
@@ -303,9 +303,10 @@ def components(links: DataFrame) -> DataFrame:
         # an id in very many links is skewed here, and Spark splits it
         rows = near.join(least, "u")
         out = rows.filter("v > u").select("v", "m") if large else rows.select("v", "m").union(least.select("u", "m"))
-        return settle(out.filter("v <> m").select(F.col("m").alias("a"), F.col("v").alias("b")).distinct())
+        # edges only get fewer: as many tasks as there were carry them on
+        return settle_snug(out.filter("v <> m").select(F.col("m").alias("a"), F.col("v").alias("b")).coalesce(edges.rdd.getNumPartitions()).distinct())
 
-    edges = settle(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct())
+    edges = settle_snug(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct())
     while True:
         # done when every id has one edge to a smaller id, and that one has none
         roles = edges.select(F.col("b").alias("id"), F.lit(1).alias("below"), F.lit(0).alias("above")).union(edges.select("a", F.lit(0), F.lit(1)))
@@ -344,8 +345,8 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     candidates = settle(members.select("id").distinct())
     sets = settle(docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).join(candidates, "id", "left_semi")
                   .mapInArrow(sets_of, "id long, set binary").filter(F.octet_length("set") > 0).distinct())
-    tested = settle(hubs(members))
-    links = settle(linked(tested, sets, percent))
+    tested = settle_snug(hubs(members))
+    links = settle_snug(linked(tested, sets, percent))
     comp = components(links)
 
     def still_open(members: DataFrame) -> DataFrame:
@@ -360,12 +361,12 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
         of = comp.select(F.col("id").alias("a"), F.col("component").alias("ca")), comp.select(F.col("id").alias("b"), F.col("component").alias("cb"))
         apart = (pairs.distinct().join(tested, ["a", "b"], "left_anti").join(of[0], "a", "left").join(of[1], "b", "left")
                  .filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")))
-        fresh = settle(apart.select("a", "b"))
+        fresh = settle_snug(apart.select("a", "b"))
         tested = tested.union(fresh)
-        found = settle(linked(fresh, sets, percent))
+        found = settle_snug(linked(fresh, sets, percent))
         if found.isEmpty():
             return False
-        comp = components(settle(comp.select(F.col("component").alias("a"), F.col("id").alias("b")).union(found)))
+        comp = components(comp.select(F.col("component").alias("a"), F.col("id").alias("b")).union(found))
         return True
 
     for depth, deeper_by in zip(DEPTHS, [*np.diff(DEPTHS).tolist(), 0], strict=True):

@@ -36,6 +36,8 @@ OWN = 8
 DEPTHS = (3, 5)
 #: Members of a node that are compared exhaustively; at the last depth, of a block of a larger node.
 SMALL_NODE = 64
+#: Members outside the largest component of a large node that go to each of its blocks, and members of such a block.
+OTHERS = 512
 #: Pairs at the threshold that share too few minwise values to be confirmed on full sets: a share of one in so many.
 GATE_MISS = 1e-7
 #: Coordinates at most, and so trees.
@@ -213,9 +215,11 @@ def hubs(members: DataFrame) -> DataFrame:
 def alike(members: DataFrame, reps: DataFrame, percent: int, agree: int, nearest: bool = False) -> DataFrame:
     """(a, b): pairs a < b of different components that share a node and may be linked.
 
-    ``members`` has (node, id, size, component).  A node of more than SMALL_NODE members
-    is cut into blocks of about that many by a hash of the id, and every two blocks
-    meet, so that a task never holds more than two blocks.  Sizes too different for
+    ``members`` has (node, id, size, component).  Of a node of more than SMALL_NODE
+    members, most of them in one component, the others meet that one's members block by
+    block; any other large node is cut into blocks of about SMALL_NODE by a hash of the
+    id, and every two blocks meet.  A task never holds more than two blocks, or a block
+    and the others.  Sizes too different for
     ``percent`` and pairs that share fewer than ``agree`` minwise values are left out.
     With ``nearest`` a block is only compared with itself, and each member gets one
     partner, that with which it shares most values.
@@ -257,12 +261,28 @@ def alike(members: DataFrame, reps: DataFrame, percent: int, agree: int, nearest
         if held is not None and len(held[0]) > 1:
             yield pa.RecordBatch.from_arrays([pa.array(z) for z in compare(*held[1:])], ["a", "b", "shared"])
 
+    def cell(first, second):
+        return F.xxhash64("node", F.least(first, second), F.greatest(first, second)).alias("cell")
+
     blocks = F.ceil(F.col("size") / SMALL_NODE)
     block = F.pmod(F.xxhash64("id"), blocks)
-    other = block if nearest else F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))
-    cells = (members.withColumns({"blocks": blocks, "block": block}).withColumn("other", other)
-             .select(F.xxhash64("node", F.least("block", "other"), F.greatest("block", "other")).alias("cell"), "id", "component",
-                     F.when(F.col("block") == F.col("other"), F.lit(-1)).otherwise(F.col("block")).cast("long").alias("own")))
+    whole = F.lit(-1).cast("long").alias("own")
+    if nearest:
+        cells = members.select(cell(block, block), "id", "component", whole)
+    else:
+        large = members.filter(F.col("size") > SMALL_NODE)
+        most = (large.groupBy("node", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("node")
+                .agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("all"))
+                .select("node", F.col("top.component").alias("major"), (F.col("all") - F.col("top.n") <= OTHERS).alias("few")))
+        large = large.join(most, "node")
+        # one component and few others: these go to every block of that one
+        strips = F.ceil(F.col("size") / OTHERS)
+        strip = F.when(F.col("component") == F.col("major"), F.array(F.pmod(F.xxhash64("id"), strips))).otherwise(F.sequence(F.lit(0).cast("long"), strips - 1))
+        crowd = large.filter("few").withColumn("at", F.explode(strip)).select(cell(F.col("at"), F.lit(-2).cast("long")), "id", "component", whole)
+        mixed = (large.filter("NOT few").withColumns({"own": block, "other": F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))})
+                 .select(cell(F.col("own"), F.col("other")), "id", "component", F.when(F.col("own") == F.col("other"), F.lit(-1)).otherwise(F.col("own")).cast("long").alias("own")))
+        alone = members.filter(F.col("size") <= SMALL_NODE).select(cell(F.lit(0).cast("long"), F.lit(0).cast("long")), "id", "component", whole)
+        cells = alone.union(crowd).union(mixed)
     rows = cells.join(reps.select("id", "n", "mins"), "id").select("cell", "id", "component", "own", "n", "mins")
     pairs = rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "a long, b long, shared long")
     if nearest:  # of all its nodes

@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from churnspark.llm import neardup
 from churnspark.llm.neardup import components, near_duplicates
 from conftest import words
@@ -57,7 +59,9 @@ def test_large_groups_chains_and_neighbours_below_the_threshold(spark):
     check(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
 
 
-def test_blocks_of_large_nodes(spark, monkeypatch):
+@pytest.mark.parametrize("others", [0, 6, 512])
+def test_blocks_of_large_nodes(spark, monkeypatch, others):
+    monkeypatch.setattr(neardup, "OTHERS", max(others, 1))
     monkeypatch.setattr(neardup, "SMALL_NODE", 4)
     monkeypatch.setattr(neardup, "DEPTHS", (2,))  # the first depth is the last: every node is compared in blocks
     r = random.Random(5)

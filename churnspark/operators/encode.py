@@ -1,20 +1,29 @@
-"""Category encodings: ordinal codes (F12), drop-first one-hot (G10), names."""
+"""Category encodings: ordinal codes (F12), drop-first one-hot (G10), names.
+
+One-hot comes as columns (:func:`one_hot_drop_first`, a column a level) or as one
+sparse vector (:func:`fit_sparse_one_hot`, whose plan does not grow with the levels).
+"""
 
 from __future__ import annotations
 
-from pyspark.ml.feature import StringIndexer
+from pyspark.ml import PipelineModel
+from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from churnspark import schema as S
 
+#: Levels that a category may have before its encoding is refused.
+MAX_LEVELS = 100_000
+
 
-def category_levels(df: DataFrame, cols) -> dict[str, list[str]]:
+def category_levels(df: DataFrame, cols, max_levels: int = MAX_LEVELS) -> dict[str, list[str]]:
     """Sorted distinct non-NULL values of every column in ONE distributed job.
 
     Rows are unpivoted to (column, value) and de-duplicated with a map-side
-    partial aggregate; only the vocabularies (which become output columns,
-    hence are bounded by the output schema) reach the driver.
+    partial aggregate; only the vocabularies reach the driver.  A column with more
+    than ``max_levels`` values is an error: it is an identifier or free text, not a
+    category, and at most ``max_levels`` values a column are ever fetched.
     """
     cols = list(cols)
     if not cols:
@@ -23,10 +32,13 @@ def category_levels(df: DataFrame, cols) -> dict[str, list[str]]:
         F.struct(F.lit(c).alias("col"), F.col(c).cast("string").alias("value")) for c in cols
     ])).alias("p")
     rows = df.select(pairs).select("p.col", "p.value").where(F.col("value").isNotNull()) \
-        .groupBy("col", "value").agg(F.count(F.lit(1)).alias("n")).collect()
+        .distinct().limit(max_levels * len(cols) + 1).collect()
     out = {c: [] for c in cols}
     for r in rows:
         out[r["col"]].append(r["value"])
+    many = [c for c in cols if len(out[c]) > max_levels]
+    if many:
+        raise ValueError(f"more than {max_levels} values in {many}: not categories")
     return {c: sorted(v) for c, v in out.items()}
 
 
@@ -44,6 +56,31 @@ def one_hot_drop_first(df: DataFrame, cols, levels: dict | None = None,
     return out if keep_input else out.drop(*cols)
 
 
+def fit_sparse_one_hot(df: DataFrame, cols, out: str = "onehot", levels: dict | None = None,
+                       max_levels: int = MAX_LEVELS) -> PipelineModel:
+    """G10 as one sparse vector column ``out``; its components are named by :func:`one_hot_names`.
+
+    The fitted model (savable like any) looks levels up in a table and adds a column,
+    however many levels there are; only the active components of a row are stored.
+    As in :func:`one_hot_drop_first`, a column's first level, values not seen and NULL
+    have no active component.  Columns with less than two levels have no components.
+    """
+    levels = levels if levels is not None else category_levels(df, cols, max_levels)
+    cols = [c for c in cols if len(levels[c]) > 1]
+    if not cols:
+        raise ValueError("no column has two or more levels")
+    codes, at, parts = ([f"_{c}_{what}" for c in cols] for what in ("code", "at", "hot"))
+    # the first level is left out of the table: like unseen values it gets the last code, which the encoder drops
+    # (a table each: the labels of several columns would all be as long as the longest)
+    index = [StringIndexerModel.from_labels(levels[c][1:], inputCol=c, outputCol=o, handleInvalid="keep") for c, o in zip(cols, codes)]
+    # plain numbers: the encoder's names for components may not be empty, a level may
+    plain = SQLTransformer(statement="SELECT *, " + ", ".join(f"`{c}` + 0D AS `{a}`" for c, a in zip(codes, at)) + " FROM __THIS__")
+    sizes = [F.lit(0.0).alias(a, metadata={"ml_attr": {"type": "nominal", "num_vals": len(levels[c])}}) for c, a in zip(cols, at)]
+    hot = OneHotEncoder(inputCols=at, outputCols=parts, dropLast=True).fit(df.limit(0).select(*sizes))   # reads no row
+    tidy = SQLTransformer(statement="SELECT * EXCEPT (" + ", ".join(f"`{c}`" for c in [*codes, *at, *parts]) + ") FROM __THIS__")
+    return PipelineModel([*index, plain, hot, VectorAssembler(inputCols=parts, outputCol=out), tidy])
+
+
 def one_hot_names(cols, levels: dict) -> list[str]:
     return [f"{c}_{v}" for c in cols for v in levels[c][1:]]
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from churnspark import schema as S
-from churnspark.operators.rank import running_sums
+from churnspark.operators.rank import ranged_sums, running_sums
 
 _G = "_g"
 
@@ -87,28 +87,22 @@ def brier(df: DataFrame, label: str = "label", score: str = "score", groups=())
 def score_levels(df: DataFrame, label: str = "label", score: str = "score", groups=()):
     """One row per (group, distinct score): positives ``tp_s`` and negatives ``fp_s``,
     with inclusive running counts from the highest score down (``tp_cum``,
-    ``fp_cum``) and the group totals ``P``/``N``.  Returns (frame, group cols)."""
+    ``fp_cum``) and the group totals ``P``/``N``.  Returns (frame, group cols).
+    ``df`` is read once, when this is called."""
     d, gc = _groups(df, groups)
+    cum = ranged_sums(_levels(d, label, score, gc), "threshold", ["tp_s", "fp_s"], gc)
+    return cum.withColumnsRenamed({"tp_s_cum": "tp_cum", "fp_s_cum": "fp_cum", "tp_s_all": "P", "fp_s_all": "N"}), gc
+
+
+def _levels(df: DataFrame, label: str, score: str, gc) -> DataFrame:
     y = F.col(label).cast("long")
-    levels = d.groupBy(*gc, F.col(score).alias("threshold")).agg(
+    return df.groupBy(*gc, F.col(score).alias("threshold")).agg(
         F.sum(y).alias("tp_s"), F.sum(1 - y).alias("fp_s"))
-    cum = running_sums(levels, "threshold", ["tp_s", "fp_s"], gc, descending=True)
-    cum = cum.withColumnRenamed("tp_s_cum", "tp_cum").withColumnRenamed("fp_s_cum", "fp_cum")
-    if gc == [_G]:
-        # ungrouped: the two totals are fit-time literals (one tiny aggregate)
-        t = levels.agg(F.sum("tp_s").alias("P"), F.sum("fp_s").alias("N")).first()
-        return cum.withColumns({"P": F.lit(int(t["P"] or 0)), "N": F.lit(int(t["N"] or 0))}), gc
-    totals = levels.groupBy(*gc).agg(F.sum("tp_s").alias("P"), F.sum("fp_s").alias("N"))
-    # one row per group: bounded by the number of groups (models x splits)
-    return cum.join(F.broadcast(totals), on=gc, how="inner"), gc
 
 
 def _levels_cum(df: DataFrame, label: str, score: str, gc):
     """Distinct-score levels with running counts (no totals attached)."""
-    y = F.col(label).cast("long")
-    levels = df.groupBy(*gc, F.col(score).alias("threshold")).agg(
-        F.sum(y).alias("tp_s"), F.sum(1 - y).alias("fp_s"))
-    cum = running_sums(levels, "threshold", ["tp_s", "fp_s"], gc, descending=True)
+    cum = running_sums(_levels(df, label, score, gc), "threshold", ["tp_s", "fp_s"], gc, descending=True)
     return cum.withColumnRenamed("tp_s_cum", "tp_cum").withColumnRenamed("fp_s_cum", "fp_cum")
 
 

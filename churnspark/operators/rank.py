@@ -15,7 +15,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from churnspark.session import default_buckets
+from churnspark.session import cut_lineage, default_buckets
 
 
 def _join_offsets(df: DataFrame, offsets: DataFrame, on) -> DataFrame:
@@ -102,3 +102,28 @@ def running_sums(df: DataFrame, order_col: str, sum_cols, partition_cols=(),
     return joined.withColumns({
         f"{c}{suffix}": F.sum(c).over(w) + F.col(f"_off_{c}") for c in sums
     }).select(*df.columns, *[f"{c}{suffix}" for c in sums])
+
+
+def ranged_sums(df: DataFrame, order_col: str, sum_cols, partition_cols=(),
+                descending: bool = True, n_buckets: int | None = None) -> DataFrame:
+    """``<c>_cum`` (inclusive running sum) and ``<c>_all`` (the group's total) of every sum column.
+
+    ``df`` is computed once: its rows are dealt by range of ``order_col``, written with
+    the number of their range, and everything else reads that.  As in
+    :func:`running_sums`, ``df`` holds one row per (group, order value).  NULL order
+    values come last in descending order, first in ascending.
+    """
+    pc, sums = list(partition_cols), list(sum_cols)
+    order = F.col(order_col).desc() if descending else F.col(order_col).asc()
+    n = n_buckets or default_buckets(df.sparkSession)
+    # later ranges have greater numbers, whatever the direction
+    d = cut_lineage(df.repartitionByRange(n, order).withColumn("_b", F.spark_partition_id()))
+    before = Window.partitionBy(*pc).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*pc)
+    totals = d.groupBy(*pc, "_b").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
+    offsets = totals.select(*pc, "_b", *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_off_{c}") for c in sums],
+                            *[F.sum(f"_t_{c}").over(whole).alias(f"{c}_all") for c in sums])
+    upto = Window.partitionBy(*pc, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # a row for each group and range: bounded like the offsets above
+    return _join_offsets(d, offsets, [*pc, "_b"]).withColumns({f"{c}_cum": F.sum(c).over(upto) + F.col(f"_off_{c}") for c in sums}) \
+        .select(*df.columns, *[f"{c}_cum" for c in sums], *[f"{c}_all" for c in sums])

@@ -3,8 +3,9 @@
 Row order inside each class comes from md5('<seed>:<key>') - stable under any
 repartitioning or input order and identical in other SQL engines.  A split only
 needs to know where the quota ends: the hash of each class's last test row is
-found by counts, and the wide rows are compared with it where they are.  Folds
-take ranks from the two-level helper, never from one window per class.
+found by counts, and the wide rows are compared with it where they are; folds by
+range need k - 1 such hashes a class.  Folds by rank take ranks from the two-level
+helper, never from one window per class.
 """
 
 from __future__ import annotations
@@ -116,6 +117,65 @@ def stratified_folds(df: DataFrame, k: int = 5, label: str = "label", key: str =
     return ranked.withColumn(out, ((F.col("_rank") - 1) % k).cast("int")).drop("_rank")
 
 
+def _range_ends(df: DataFrame, key: str, seed: int, ends: dict, label: str) -> dict:
+    """Per class the (hash, key) of its rows at the ranks ``ends``, in order of rank.
+
+    As in :func:`_cutoffs`, only the prefixes that hold such a row are put in order."""
+    if not ends:
+        return {}
+    wanted = None
+    for c, ranks in ends.items():
+        mine, ranks = F.col("_c").eqNullSafe(F.lit(c)), F.array(*[F.lit(r).cast("long") for r in ranks])
+        wanted = F.when(mine, ranks) if wanted is None else wanted.when(mine, ranks)
+    rows = df.select(F.col(label).alias("_c"), hash_key(F.col(key), seed).alias("_h"), F.col(key).cast("string").alias("_k")) \
+        .withColumn("_p", F.substring("_h", 1, 4))
+    upto = Window.partitionBy("_c").orderBy(F.col("_p").asc_nulls_first()) \
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    edges = rows.groupBy("_c", "_p").agg(F.count(F.lit(1)).alias("_n")) \
+        .withColumns({"_upto": F.sum("_n").over(upto), "_ranks": wanted}) \
+        .withColumn("_ranks", F.filter("_ranks", lambda r: (r > F.col("_upto") - F.col("_n")) & (r <= F.col("_upto")))) \
+        .where(F.size("_ranks") > 0) \
+        .select(F.col("_c").alias("_ec"), F.col("_p").alias("_ep"), "_ranks", (F.col("_upto") - F.col("_n")).alias("_before"))
+    inside = Window.partitionBy("_c", "_p").orderBy(F.col("_h").asc_nulls_first(), F.col("_k").asc_nulls_first())
+    # a row for each class and end at most, so the edges are small
+    found = rows.join(F.broadcast(edges), F.col("_c").eqNullSafe(F.col("_ec")) & F.col("_p").eqNullSafe(F.col("_ep"))) \
+        .withColumn("_r", F.row_number().over(inside) + F.col("_before")).where(F.array_contains("_ranks", F.col("_r")))
+    out = {c: [] for c in ends}
+    for r in sorted(found.select("_c", "_h", "_k", "_r").collect(), key=lambda r: r["_r"]):   # a row for each end
+        out[r["_c"]].append((r["_h"], r["_k"]))
+    return out
+
+
+def range_folds(df: DataFrame, k: int = 5, label: str = "label", key: str = S.KEY,
+                seed: int = S.SEED, out: str = "fold") -> DataFrame:
+    """X3 without moving rows: each class in hash order is cut into ``k`` runs of as near
+    equal length as can be, the longer ones first, and a run is a fold.
+
+    The folds are as large as those of :func:`stratified_folds`.  Only the hashes at the
+    ends of the runs are looked for, and the wide rows are compared with them where
+    they are.  Rows with a NULL label form a class of their own.  Rows of a class that
+    repeat a key share a fold, that of the run in which the first of them falls.
+    """
+    ends = {}
+    for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect():    # a row per class
+        small, more = divmod(int(r["n"]), k)
+        upto = [f * small + min(f, more) for f in range(1, k)]
+        ends[r[label]] = sorted({int(u) for u in upto if u > 0})
+    h, key_text = hash_key(F.col(key), seed), F.col(key).cast("string")
+    fold = F.lit(0)
+    for c, cuts in _range_ends(df, key, seed, {c: e or [0] for c, e in ends.items()}, label).items():
+        past = [F.lit(0)]
+        for hc, kc in cuts:
+            if hc is None:         # the run ends among the rows with a NULL key
+                past.append(h.isNotNull().cast("int"))
+            else:
+                past.append((h.isNotNull() & ((h > F.lit(hc)) | ((h == F.lit(hc)) & (key_text > F.lit(kc))))).cast("int"))
+        while len(past) > 1:       # in pairs: a sum of many terms must not nest deeply
+            past = [x + y for x, y in zip(past[::2], past[1::2])] + past[len(past) // 2 * 2:]
+        fold = F.when(F.col(label).eqNullSafe(F.lit(c)), past[0]).otherwise(fold)
+    return df.withColumn(out, fold.cast("int"))
+
+
 def capped_sample(df: DataFrame, n: int = 1000, key: str = S.KEY, seed: int = S.SEED) -> DataFrame:
     """A repeatable sample of at most ``n`` rows (top-n by hash: no full sort)."""
     return df.orderBy(hash_key(F.col(key), seed), F.col(key)).limit(n)

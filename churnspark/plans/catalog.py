@@ -185,6 +185,19 @@ def q_one_hot(spark, d):
     return encode.one_hot_drop_first(e.select(S.KEY, *S.CATEGORICAL), S.CATEGORICAL)
 
 
+def q_one_hot_sparse(spark, d):
+    """Customers with each component of the sparse encoding active."""
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.ml.stat import Summarizer
+    e = engineered(spark, d).select(*S.CATEGORICAL)
+    levels = encode.category_levels(e, S.CATEGORICAL)
+    rows = encode.fit_sparse_one_hot(e, S.CATEGORICAL, levels=levels).transform(e)
+    active = rows.agg(Summarizer.numNonZeros(F.col("onehot")).alias("n")) \
+        .select(F.posexplode(vector_to_array("n")).alias("idx", "n"))
+    names = encode.feature_name_frame(spark, encode.one_hot_names(S.CATEGORICAL, levels))
+    return active.join(F.broadcast(names), "idx").select("name", F.col("n").cast("long").alias("n"))
+
+
 def q_feature_names(spark, d):
     e = engineered(spark, d)
     levels = encode.category_levels(e, S.CATEGORICAL)
@@ -208,6 +221,11 @@ def q_folds(spark, d):
     return split.stratified_folds(c, k=N_FOLDS)
 
 
+def q_range_folds(spark, d):
+    c = _scored(spark, d).select(S.KEY, "label")
+    return split.range_folds(c, k=N_FOLDS)
+
+
 def q_capped_sample(spark, d):
     c = _scored(spark, d).select(S.KEY, "score")
     return split.capped_sample(c, SAMPLE_CAP)
@@ -442,10 +460,12 @@ ORACLE_QUERIES = {
     "service_features": q_service_features,
     "yeo_johnson_fixed": q_yeo_johnson_fixed,
     "one_hot": q_one_hot,
+    "one_hot_sparse": q_one_hot_sparse,
     "feature_names": q_feature_names,
     "stratified_split": q_stratified_split,
     "plain_split": q_plain_split,
     "folds": q_folds,
+    "range_folds": q_range_folds,
     "capped_sample": q_capped_sample,
     "class_weights": q_class_weights,
     "minmax_score": q_minmax_score,

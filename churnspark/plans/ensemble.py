@@ -147,10 +147,10 @@ def load_any(path: str):
     """Load a saved PipelineModel or ensemble (E17 promotes either kind)."""
     from pyspark.sql import SparkSession
     ss = SparkSession.getActiveSession()
-    try:
-        kind = json.loads(ss.read.text(os.path.join(path, "_manifest")).first()[0])["kind"]
-    except Exception:  # noqa: BLE001 - not an ensemble folder
+    manifest = ss._jvm.org.apache.hadoop.fs.Path(os.path.join(path, "_manifest"))
+    if not manifest.getFileSystem(ss._jsc.hadoopConfiguration()).exists(manifest):   # not an ensemble folder
         return PipelineModel.load(path)
+    kind = json.loads(ss.read.text(os.path.join(path, "_manifest")).first()[0])["kind"]
     return {"voting": VotingModel, "stacking": StackingModel,
             "calibrated": CalibratedModel}[kind].load(path)
 

@@ -209,6 +209,12 @@ SQL["one_hot"] = q(
         f"CAST(CASE WHEN {c} = '{v}' THEN 1 ELSE 0 END AS DOUBLE) AS \"{c}_{v}\""
         for c, vals in ONE_HOT_LEVELS.items() for v in vals[1:]) + " FROM eng")
 
+SQL["one_hot_sparse"] = q(
+    "SELECT c || '_' || v AS name, n FROM rk WHERE rn > 1",
+    "lv AS (" + " UNION ALL ".join(
+        f"SELECT '{c}' AS c, {c} AS v, count(*) AS n FROM eng WHERE {c} IS NOT NULL GROUP BY {c}" for c in S.CATEGORICAL) + "),\n"
+    "rk AS (SELECT c, v, n, row_number() OVER (PARTITION BY c ORDER BY v) AS rn FROM lv)")
+
 _fixed_names = list(S.NUMERIC + S.EXTRA_NUMERIC) + list(S.APP_BOOL)
 SQL["feature_names"] = q(
     "SELECT CAST(row_number() OVER (ORDER BY g1, g2) - 1 AS INTEGER) AS idx, name FROM nm",
@@ -246,6 +252,10 @@ SQL["folds"] = q(
     f"""SELECT customerID, label, CAST((row_number() OVER (PARTITION BY label ORDER BY {_HASH}, customerID) - 1)
         % {C.N_FOLDS} AS INTEGER) AS fold FROM clean""")
 
+SQL["range_folds"] = q(
+    f"""SELECT customerID, label, CAST(ntile(5) OVER (PARTITION BY label ORDER BY {_HASH}, customerID) - 1 AS INTEGER) AS fold
+        FROM clean""")
+
 SQL["capped_sample"] = q(
     f"SELECT customerID, score FROM clean ORDER BY {_HASH}, customerID LIMIT {C.SAMPLE_CAP}")
 

@@ -124,7 +124,7 @@ class ExactMetricEvaluator(Evaluator, HasLabelCol):
 def with_folds(df: DataFrame, k: int, seed: int = S.SEED) -> DataFrame:
     """Fold column (X3), persisted: every candidate x fold fit re-reads it."""
     from pyspark import StorageLevel
-    return split.stratified_folds(df, k=k, seed=seed, out=FOLD).persist(StorageLevel.MEMORY_AND_DISK)
+    return split.range_folds(df, k=k, seed=seed, out=FOLD).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def _scored_fold(key: str, df: DataFrame, f: int, overrides=None) -> DataFrame:

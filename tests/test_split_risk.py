@@ -1,7 +1,9 @@
 import numpy as np
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from churnspark.operators import risk, split
+from churnspark.operators.rank import hash_key
 
 
 def _labels(spark, n=1000):
@@ -27,6 +29,26 @@ def test_folds_disjoint_and_balanced(spark):
     assert all(per[(k, 1)] == 50 and per[(k, 0)] == 150 for k in range(5))
 
 
+def test_range_folds_are_runs_in_hash_order_and_move_no_row(spark):
+    df = _labels(spark).withColumn("label", F.when(F.col("label") == 1, 1).when(F.rand(3) < 0.5, 0)).cache()
+    for k in (1, 3, 5, 60):
+        f = split.range_folds(df, k=k)
+        w = Window.partitionBy("label").orderBy(hash_key(F.col("customerID"), 42), "customerID")
+        want = df.withColumn("fold", (F.ntile(k).over(w) - 1).cast("int"))
+        assert f.exceptAll(want).count() == 0 and f.count() == 1000
+        assert "Exchange" not in f._jdf.queryExecution().executedPlan().toString()
+    df.unpersist()
+
+
+def test_range_folds_of_odd_keys(spark):
+    rows = [(None, 1)] * 5 + [("k", 1)] * 6 + [("m", 0)]
+    f = split.range_folds(spark.createDataFrame(rows, "customerID string, label int"), k=3)
+    got = {(r.customerID, r.label): r.folds for r in f.groupBy("customerID", "label").agg(F.collect_set("fold").alias("folds")).collect()}
+    assert all(len(v) == 1 for v in got.values()) and len(got) == 3 and f.count() == 12    # repeated keys share a fold
+    assert got[(None, 1)] == [0] and got[("m", 0)] == [0]
+    assert split.range_folds(f.limit(0).drop("fold"), k=3).count() == 0
+
+
 def test_quantile_segments_match_numpy(spark):
     df = _labels(spark)
     seg = {r.customerID: r.risk_segment for r in risk.segment_by_quantile(df).collect()}

@@ -38,6 +38,8 @@ DEPTHS = (3, 5)
 SMALL_NODE = 64
 #: Members outside the largest component of a large node that go to each of its blocks, and members of such a block.
 OTHERS = 512
+#: Bytes of sets that are compared in one place: a cell whose pairs need more is cut into tiles.
+TILE_BYTES = 16 << 20
 #: Pairs at the threshold that share too few minwise values to be confirmed on full sets: a share of one in so many.
 GATE_MISS = 1e-7
 #: Coordinates at most, and so trees.
@@ -208,12 +210,13 @@ def shared_nodes(members: DataFrame) -> DataFrame:
 
 
 def hubs(members: DataFrame) -> DataFrame:
-    """(a, b): each member b of the nodes with a, the smallest id that it shares a node with, if smaller than its own."""
-    return members.groupBy("id").agg(F.min("first").alias("a")).filter("a < id").select("a", F.col("id").alias("b"))
+    """(cell, weight, a, b): each member b of the nodes with a, the smallest id that it shares a node with, if smaller than its own."""
+    return (members.groupBy("id").agg(F.min("first").alias("a")).filter("a < id")
+            .select(F.xxhash64("a").alias("cell"), F.lit(0).cast("long").alias("weight"), "a", F.col("id").alias("b")))
 
 
 def alike(members: DataFrame, reps: DataFrame, percent: int, agree: int, nearest: bool = False) -> DataFrame:
-    """(a, b): pairs a < b of different components that share a node and may be linked.
+    """(cell, weight, a, b): pairs a < b of different components that share a node and may be linked; cell is where they met, with ``weight`` pairs in all.
 
     ``members`` has (node, id, size, component).  Of a node of more than SMALL_NODE
     members, most of them in one component, the others meet that one's members block by
@@ -222,7 +225,8 @@ def alike(members: DataFrame, reps: DataFrame, percent: int, agree: int, nearest
     and the others.  Sizes too different for
     ``percent`` and pairs that share fewer than ``agree`` minwise values are left out.
     With ``nearest`` a block is only compared with itself, and each member gets one
-    partner, that with which it shares most values.
+    partner, that with which it shares most values.  A pair comes once for each cell
+    that it meets in; :func:`once` chooses one.
     """
     import pyarrow as pa
 
@@ -245,21 +249,29 @@ def alike(members: DataFrame, reps: DataFrame, percent: int, agree: int, nearest
             return np.stack([both[first], of[first], shared[first]])
         return np.stack([np.minimum(x, y), np.maximum(x, y), shared])
 
+    def found(*held) -> np.ndarray:
+        pairs = compare(*held[1:])
+        return np.concatenate([np.full((1, pairs.shape[1]), held[0][0]), np.full((1, pairs.shape[1]), pairs.shape[1]), pairs])
+
     def run(batches: Iterator):
         """Rows come sorted by cell; the last cell of a batch waits for the next batch."""
-        held = None
+        held, names = None, ["cell", "weight", "a", "b", "shared"]
         for batch in batches:
             if not batch.num_rows:
                 continue
             now = [batch.column(i).to_numpy() for i in range(5)] + [_matrix(batch.column(5))]
             held = now if held is None else [np.concatenate(z) for z in zip(held, now, strict=True)]
             cuts = [0, *(np.flatnonzero(held[0][1:] != held[0][:-1]) + 1).tolist()]
-            found = [compare(*(z[i:j] for z in held[1:])) for i, j in zip(cuts[:-1], cuts[1:], strict=True) if j - i > 1]
+            pairs = [found(*(z[i:j] for z in held)) for i, j in zip(cuts[:-1], cuts[1:], strict=True) if j - i > 1]
             held = [z[cuts[-1]:] for z in held]
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(z) for z in np.unique(np.concatenate(found, axis=1), axis=1)], ["a", "b", "shared"])
+            if pairs:
+                pairs = np.concatenate(pairs, axis=1)
+                order = np.lexsort((-pairs[1], pairs[3], pairs[2]))      # of a pair's cells, that with most pairs
+                pairs = pairs[:, order]
+                pairs = pairs[:, np.concatenate([[True], (pairs[2:4, 1:] != pairs[2:4, :-1]).any(axis=0)])[: pairs.shape[1]]]
+                yield pa.RecordBatch.from_arrays([pa.array(z) for z in pairs], names)
         if held is not None and len(held[0]) > 1:
-            yield pa.RecordBatch.from_arrays([pa.array(z) for z in compare(*held[1:])], ["a", "b", "shared"])
+            yield pa.RecordBatch.from_arrays([pa.array(z) for z in found(*held)], names)
 
     def cell(first, second):
         return F.xxhash64("node", F.least(first, second), F.greatest(first, second)).alias("cell")
@@ -284,34 +296,64 @@ def alike(members: DataFrame, reps: DataFrame, percent: int, agree: int, nearest
         alone = members.filter(F.col("size") <= SMALL_NODE).select(cell(F.lit(0).cast("long"), F.lit(0).cast("long")), "id", "component", whole)
         cells = alone.union(crowd).union(mixed)
     rows = cells.join(reps.select("id", "n", "mins"), "id").select("cell", "id", "component", "own", "n", "mins")
-    pairs = rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "a long, b long, shared long")
+    pairs = rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "cell long, weight long, a long, b long, shared long")
     if nearest:  # of all its nodes
-        pairs = pairs.groupBy("a").agg(F.max(F.struct("shared", F.col("b"))).alias("best")).select("a", F.col("best.b").alias("b"))
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        pairs = pairs.groupBy("a").agg(F.max(F.struct("shared", "b", "weight", "cell")).alias("best")).select("a", "best.*")
+    return pairs.select("cell", "weight", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def once(pairs: DataFrame) -> DataFrame:
+    """(cell, a, b): each pair once, in the cell with most pairs of those that it meets in, so that few cells need its sets."""
+    return pairs.groupBy("a", "b").agg(F.max(F.struct("weight", "cell")).alias("at")).select("at.cell", "a", "b")
+
 
+def linked(pairs: DataFrame, sets: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of (cell, a, b) whose sets have 100 * intersection >= percent * union.
 
-def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets have 100 * intersection >= percent * union."""
+    A set goes once to each cell with a pair of it, not once a pair.  A cell that needs
+    more than TILE_BYTES of sets (``sizes`` has n, the numbers of 8 byte values) is cut into tiles
+    by hashes of both ids, each of which needs about that much or two sets.
+    ``pairs`` and ``sets`` should be settled, as they are read twice.
+    """
     import pyarrow as pa
 
+    def alike_enough(x: np.ndarray, y: np.ndarray) -> bool:
+        small, large = sorted((x, y), key=len)
+        if 100 * len(small) < percent * len(large):
+            return False
+        at = np.searchsorted(large, small)
+        both = int((large[np.minimum(at, len(large) - 1)] == small).sum())
+        return 100 * both >= percent * (len(small) + len(large) - both)
+
     def run(batches: Iterator):
+        """Rows come sorted by tile, and in a tile the sets come first."""
+        tile, held = None, {}
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                small, large = sorted((np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")), key=len)
-                if 100 * len(small) < percent * len(large):
-                    keep.append(False)
-                    continue
-                at = np.searchsorted(large, small)
-                both = int((large[np.minimum(at, len(large) - 1)] == small).sum())
-                keep.append(100 * both >= percent * (len(small) + len(large) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    right = sets.select(F.col("id").alias("b"), F.col("set").alias("set_b"))
-    left = sets.select(F.col("id").alias("a"), F.col("set").alias("set_a"))
-    # a member is in few pairs; the first of a large group is in many, and Spark splits a skewed join
-    rows = pairs.join(right, "b").join(left, "a").select("a", "b", "set_a", "set_b")
-    return rows.mapInArrow(run, "a long, b long")
+            out = [], []
+            for t, a, b, values in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if t != tile:
+                    tile, held = t, {}
+                if values is not None:
+                    held.setdefault(a, []).append(np.frombuffer(values, "<u8"))
+                elif any(alike_enough(x, y) for x in held[a] for y in held[b]):    # rows that repeat an id have a set each
+                    out[0].append(a)
+                    out[1].append(b)
+            yield pa.RecordBatch.from_arrays([pa.array(z, pa.int64()) for z in out], ["a", "b"])
+
+    def ends(rows: DataFrame, at: str) -> DataFrame:
+        return rows.select(at, F.explode(F.array("a", "b")).alias("id")).distinct()
+
+    total = F.sum(8 * F.col("n"))
+    large = settle_snug(ends(pairs, "cell").join(sizes, "id").groupBy("cell").agg(F.ceil(total / TILE_BYTES).alias("tiles")).filter("tiles > 1"))
+    if large.isEmpty():
+        tiled = pairs.select(F.col("cell").alias("tile"), "a", "b")
+    else:
+        # Spark splits the join where one cell has very many pairs
+        tiles = F.coalesce("tiles", F.lit(1).cast("long"))
+        tiled = pairs.join(large, "cell", "left").select(F.xxhash64("cell", F.pmod(F.xxhash64("a"), tiles), F.pmod(F.xxhash64("b"), tiles)).alias("tile"), "a", "b")
+    needed = ends(tiled, "tile").join(sets, "id").select("tile", F.col("id").alias("a"), F.lit(None).cast("long").alias("b"), "set")
+    rows = needed.union(tiled.select("tile", "a", "b", F.lit(None).cast("binary")))
+    return rows.repartition("tile").sortWithinPartitions("tile", F.col("set").isNull()).mapInArrow(run, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -366,7 +408,9 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     sets = settle(docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).join(candidates, "id", "left_semi")
                   .mapInArrow(sets_of, "id long, set binary").filter(F.octet_length("set") > 0).distinct())
     tested = settle_snug(hubs(members))
-    links = settle_snug(linked(tested, sets, percent))
+    sizes = classes.select("id", "n")
+    links = settle_snug(linked(tested, sets, sizes, percent))
+    tested = tested.select("a", "b")
     comp = components(links)
 
     def still_open(members: DataFrame) -> DataFrame:
@@ -379,11 +423,11 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
         """Test what has not been tested, and join the components that are linked."""
         nonlocal tested, comp
         of = comp.select(F.col("id").alias("a"), F.col("component").alias("ca")), comp.select(F.col("id").alias("b"), F.col("component").alias("cb"))
-        apart = (pairs.distinct().join(tested, ["a", "b"], "left_anti").join(of[0], "a", "left").join(of[1], "b", "left")
+        apart = (once(pairs).join(tested, ["a", "b"], "left_anti").join(of[0], "a", "left").join(of[1], "b", "left")
                  .filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")))
-        fresh = settle_snug(apart.select("a", "b"))
-        tested = tested.union(fresh)
-        found = settle_snug(linked(fresh, sets, percent))
+        fresh = settle_snug(apart.select("cell", "a", "b"))
+        tested = tested.union(fresh.select("a", "b"))
+        found = settle_snug(linked(fresh, sets, sizes, percent))
         if found.isEmpty():
             return False
         comp = components(comp.select(F.col("component").alias("a"), F.col("id").alias("b")).union(found))

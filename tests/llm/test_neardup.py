@@ -105,3 +105,28 @@ def test_pairs_at_the_threshold_meet_and_others_die_out():
     assert shared[0.75, 3][0] > 0.995 and shared[0.75, 5][0] > 0.97
     assert 0.9 < shared[0.75, 3][1] < 1.1 and shared[0.5, 5][1] < 0.2  # nodes that a pair shares, in a tree
     assert neardup.gate(75, width) < 0.5 * width
+
+
+def test_links_are_the_same_however_small_the_tiles(spark, monkeypatch):
+    import numpy as np
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2**62, 40)
+    data = [np.unique(np.concatenate([rng.choice(base, 36, replace=False), rng.integers(0, 2**62, int(rng.integers(0, 8)))])).astype("<u8") for _ in range(40)]
+    owner = [min(i, 37) for i in range(40)]                     # id 37 has three sets
+    sets = spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in zip(owner, data)], "id long, set binary")
+    sizes = spark.createDataFrame([(i, len(x)) for i, x in zip(owner, data)], "id long, n long")
+    pairs = [(a, b) for a in range(38) for b in range(a + 1, 38)]
+    rows = spark.createDataFrame([(c, c, a, b) for a, b in pairs for c in (a % 3, 7)], "cell long, weight long, a long, b long")
+
+    def enough(x, y):
+        both = len(np.intersect1d(x, y))
+        return 100 * both >= 75 * (len(x) + len(y) - both)
+
+    of = {i: [x for j, x in zip(owner, data) if j == i] for i in range(38)}
+    want = sorted((a, b) for a, b in pairs if any(enough(x, y) for x in of[a] for y in of[b]))
+    assert 0 < len(want) < len(pairs)
+    met = neardup.once(rows)
+    assert met.count() == len(pairs) and met.select("cell").distinct().count() == 1
+    for size in (16 << 20, 2000, 100):
+        monkeypatch.setattr(neardup, "TILE_BYTES", size)
+        assert sorted(map(tuple, neardup.linked(met, sets, sizes, 75).collect())) == want

@@ -52,6 +52,11 @@ def read_customers(spark: SparkSession, path: str, fmt: str = "csv",
     df = spark.read.option("header", True).option("inferSchema", False) \
         .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False) \
         .csv(path)
+    return typed_customers(df, schema)
+
+
+def typed_customers(df: DataFrame, schema: T.StructType = S.RAW_SCHEMA) -> DataFrame:
+    """The text columns of a customer CSV by name, in the order and types of ``schema``, others after them."""
     known = [f for f in schema.fields if f.name in df.columns]
     rest = [c for c in df.columns if c not in schema.fieldNames()]
 

@@ -159,6 +159,18 @@ def test_streaming_scoring(spark, parts):
     q.awaitTermination(120)
     out = spark.read.parquet(sink)
     assert out.count() == 150 and set(out.columns) >= {"customerID", "prediction", "probability"}
+    # the same rows as CSV, columns in another order: named by the header
+    raw, csv, again, ck2 = C.raw(spark, "/root/testdata/sf0.001").drop("score"), *(os.path.join(d, x) for x in ("csv", "again", "ck2"))
+    raw.select(*sorted(raw.columns)).coalesce(1).write.option("header", True).csv(csv)
+    score_stream(spark, model, csv, again, ck2, fmt="csv").awaitTermination(120)
+    same = out.select("customerID", "prediction", "probability")
+    assert spark.read.parquet(again).select(*same.columns).exceptAll(same).count() == 0 and spark.read.parquet(again).count() == 150
+    os.makedirs(os.path.join(d, "empty"))
+    score_stream(spark, model, os.path.join(d, "empty"), os.path.join(d, "none"), os.path.join(d, "ck4"), fmt="csv").awaitTermination(120)
+    # files whose orders differ stop the query
+    raw.select(*sorted(raw.columns, reverse=True)).coalesce(1).write.mode("append").option("header", True).csv(csv)
+    with pytest.raises(Exception, match="header"):
+        score_stream(spark, model, csv, os.path.join(d, "third"), os.path.join(d, "ck3"), fmt="csv").awaitTermination(120)
 
 
 def test_promote_best_saves_ensemble(spark, parts):

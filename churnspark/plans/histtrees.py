@@ -3,15 +3,17 @@
 Rows are binned once and stay in blocks (an RDD of numpy arrays: what a task does with
 its block - look up a node, add to a histogram - has no form as a column expression).
 A :class:`Grower` holds the models that are growing.  Each step is one Spark job for all
-of them: a model says which nodes of its tree it wants histograms of, the tasks return
-sums by (model, node, feature, bin), and the driver splits those nodes.  Models do not
+of them: a model says which nodes of its tree it wants split, the tasks sum their rows by
+(model, node, feature, bin), the sums of a model meet in one task, which looks for the
+nodes' best splits, and only those splits come to the driver.  Models do not
 wait for each other, so trials of a search, folds and learners grow side by side
 whatever their depth and number of rounds.
 
-What the driver holds is bounded by CELLS_PER_JOB; a step that wants more histograms
+What a task holds is bounded by CELLS_PER_JOB; a step that wants more histograms
 runs as several jobs.  Rows that fit one block (BLOCK_ROWS) are broadcast, and each task
-grows one model to its end by the same steps, without a job for each.  Of two sibling nodes only the smaller is summed, the other is the
-rest of the parent.  Gradients are rounded to multiples of 2^-24, so that their sums are
+grows one model to its end by the same steps, without a job for each.  Features with few
+bins are counted together, by the joint code of several, and parted afterwards.
+Gradients are rounded to multiples of 2^-24, so that their sums are
 exact and do not depend on how rows are dealt to tasks.
 
 Split gains: ``newton`` T(G)^2 / (H + lambda) with T cutting alpha off |G| (second-order
@@ -47,12 +49,16 @@ from churnspark.session import ensure_checkpoint_dir
 
 #: Bins of a feature at most.
 MAX_BINS = 64
-#: Histogram cells (three numbers each) that one job brings to the driver at most.
-CELLS_PER_JOB = 4_000_000
+#: Histogram cells (three numbers each) that a task of one job sums at most, or one model's nodes.
+CELLS_PER_JOB = 2_000_000
+#: Values of the joint code of features that are counted together at most.
+JOINT = 64
 #: Jobs between two updates of the stored margins, and updates between two checkpoints.
 REFRESH, CHECKPOINT = 8, 25
 #: Row-models of a block at least, and rows of a block at most, where there are enough.
 BLOCK_WORK, BLOCK_ROWS = 25_000, 65_536
+#: Rows of a partition at most; one has several blocks, a record batch each.
+PART_ROWS = 262_144
 #: The column of fold numbers.
 FOLD = "fold"
 #: Gradients are multiples of this.
@@ -107,14 +113,13 @@ def _scramble(x: np.ndarray, salt: int) -> np.ndarray:
 def _nodes(codes: np.ndarray, feature: np.ndarray, code: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """The deepest node of the (partial) tree for every row."""
     node = np.zeros(len(codes), np.int64)
-    rows = np.arange(len(codes))
-    while True:
-        f = feature[node]
-        inner = f >= 0
-        if not inner.any():
-            return node
-        to_left = codes[rows, f] <= code[node]
-        node = np.where(inner, np.where(to_left, left[node], right[node]), node)
+    flat, start, n = codes.ravel(), np.arange(len(codes)) * codes.shape[1], len(feature)
+    leaf, own = feature < 0, np.arange(n)
+    look = np.where(leaf, 0, feature)
+    child = np.concatenate([np.where(leaf, own, right), np.where(leaf, own, left)])
+    while not leaf[node].all():
+        node = child[(flat[start + look[node]] <= code[node]) * n + node]
+    return node
 
 
 def _margin(block: dict, model: int, base: float, view: int, pending: dict) -> np.ndarray:
@@ -148,44 +153,6 @@ def _derivatives(block: dict, ask: dict, pending: dict):
     return np.flatnonzero(use), np.rint(g / GRAIN) * GRAIN, np.rint(h / GRAIN) * GRAIN, loss
 
 
-def _step(blocks, wanted: bytes, offsets: list[np.ndarray], cells: int):
-    asks, pending = pickle.loads(wanted)
-    yield _histograms(blocks, asks, offsets, cells, pending)
-
-
-def _histograms(blocks, asks: list[dict], offsets: list[np.ndarray], cells: int, pending: dict) -> tuple[np.ndarray, np.ndarray]:
-    """Sums (node, 3, cell) of all nodes asked for, in their order, and (model, 2) losses."""
-    total = sum(len(a["nodes"]) for a in asks)
-    out, losses = np.zeros((total, 3, cells)), np.zeros((len(asks), 2))
-    for block in blocks:
-        places = block.get("places") or [codes + off[None, :-1] for codes, off in zip(block["codes"], offsets, strict=True)]
-        at = 0
-        for i, ask in enumerate(asks):
-            n = len(ask["nodes"])
-            rows, g, h, loss = _derivatives(block, ask, pending)
-            losses[i] += loss
-            view, tree = ask["spec"].view, ask["tree"]
-            if len(tree[0]) > 1:
-                wanted = np.full(len(tree[0]), -1)
-                wanted[ask["nodes"]] = np.arange(n)
-                pos = wanted[_nodes(block["codes"][view][rows], *tree)]
-                rows, pos = rows[pos >= 0], pos[pos >= 0]
-            else:
-                pos = np.zeros(len(rows), np.int64)
-            place = places[view][rows]
-            if ask["features"] is not None:
-                place = place[:, ask["features"]]
-            cell = (place + (pos * cells)[:, None]).ravel()
-            each = place.shape[1]
-            for k, v in enumerate((g, h, None)):
-                sums = np.bincount(cell, None if v is None else np.repeat(v[rows], each), n * cells)
-                out[at : at + n, k] += sums.reshape(n, cells)
-            at += n
-    return out, losses
-
-
-# ------------------------------------------------------------------ on the driver
-
 def _score(spec: TreeSpec, g, h, c):
     """What a node adds to the gain of a split that makes it."""
     with np.errstate(divide="ignore", invalid="ignore"):
@@ -201,6 +168,148 @@ def _score(spec: TreeSpec, g, h, c):
     return np.where(np.isfinite(s), s, 0.0)
 
 
+@dataclass(frozen=True)
+class Layout:
+    """Where a view's features lie in a histogram, and which of them are counted together."""
+
+    offsets: np.ndarray                # the first cell of each feature, and the number of cells
+    bundles: list                      # (features, their bins) whose joint codes are counted
+
+    @property
+    def feature_of(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.offsets) - 1), np.diff(self.offsets))
+
+
+def _layout(cuts: list[np.ndarray]) -> Layout:
+    bundles: list[tuple[list, list]] = []
+    for f, c in enumerate(cuts):
+        bins = len(c) + 1
+        room = next((b for b in bundles if math.prod(b[1]) * bins <= JOINT), None)
+        if room is None:
+            room = ([], [])
+            bundles.append(room)
+        room[0].append(f)
+        room[1].append(bins)
+    return Layout(np.cumsum([0, *(len(c) + 1 for c in cuts)]), bundles)
+
+
+def _joint(codes: np.ndarray, layout: Layout) -> np.ndarray:
+    """(bundle, row): the joint codes."""
+    out = np.zeros((len(layout.bundles), len(codes)), codes.dtype)
+    for joint, (features, bins) in zip(out, layout.bundles, strict=True):
+        for f, b in zip(features, bins, strict=True):
+            joint *= codes.dtype.type(b) if len(features) > 1 else codes.dtype.type(1)
+            joint += codes[:, f]
+    return out
+
+
+def _step(blocks, wanted: bytes, layouts: list[Layout]):
+    asks, pending = pickle.loads(wanted)
+    return enumerate(_histograms(blocks, asks, layouts, pending))
+
+
+def _histograms(blocks, asks: list[dict], layouts: list[Layout], pending: dict) -> list[tuple]:
+    """For each model the sums (node, kind, cell) of the nodes it asks for, and its loss.
+
+    The kinds are g, h and the rows; for a single tree, the rows of either label."""
+    held: list[dict] = [{} for _ in asks]
+    losses = np.zeros((len(asks), 2))
+    for block in blocks:
+        for i, ask in enumerate(asks):
+            n, spec, tree = len(ask["nodes"]), ask["spec"], ask["tree"]
+            rows, g, h, loss = _derivatives(block, ask, pending)
+            losses[i] += loss
+            if len(tree[0]) > 1:
+                place = np.full(len(tree[0]), -1)
+                place[ask["nodes"]] = np.arange(n)
+                pos = place[_nodes(block["codes"][spec.view][rows], *tree)]
+                rows, pos = rows[pos >= 0], pos[pos >= 0]
+            else:
+                pos = np.zeros(len(rows), np.int64)
+            if not spec.boosted:                  # by label, and once for both
+                pos = pos * 2 + (block["y"][rows] > 0)
+            weights = (g[rows], h[rows], None) if spec.boosted else (None,)
+            for b, (features, bins) in enumerate(layouts[spec.view].bundles):
+                if ask["features"] is not None and not np.isin(features, ask["features"]).any():
+                    continue
+                size = math.prod(bins)
+                cell = pos * size + block["joint"][spec.view][b][rows]
+                if spec.boosted:
+                    sums = np.stack([np.bincount(cell, w, n * size).reshape(n, size) for w in weights], axis=1)
+                else:
+                    sums = np.bincount(cell, None, 2 * n * size).reshape(n, 2, size)
+                held[i][b] = held[i][b] + sums if b in held[i] else sums
+    return [(_parted(found, layouts[a["spec"].view], len(a["nodes"]), 3 if a["spec"].boosted else 2), loss) for a, found, loss in zip(asks, held, losses, strict=True)]
+
+
+def _parted(found: dict, layout: Layout, n: int, kinds: int) -> np.ndarray:
+    """Sums by joint codes as sums by feature and bin."""
+    o = layout.offsets
+    out = np.zeros((n, kinds, int(o[-1])), float if kinds == 3 else np.int64)
+    for b, sums in found.items():
+        features, bins = layout.bundles[b]
+        shaped = sums.reshape(n, kinds, *bins)
+        for at, f in enumerate(features):
+            out[:, :, o[f] : o[f + 1]] = shaped.sum(axis=tuple(2 + i for i in range(len(bins)) if i != at))
+    return out
+
+
+def _merged(x: tuple, y: tuple) -> tuple:
+    return x[0] + y[0], x[1] + y[1]
+
+
+def _search(found: tuple, wanted: bytes, layouts: list[Layout]) -> tuple:
+    i, (sums, loss) = found
+    return i, _splits(pickle.loads(wanted)[i], sums, loss, layouts)
+
+
+def _splits(ask: dict, hists: np.ndarray, loss: np.ndarray, layouts: list[Layout]) -> dict:
+    """The nodes' sums and best splits (gain, feature, code, sums of the left child), or None."""
+    spec, layout = ask["spec"], layouts[ask["spec"].view]
+    o, feature_of = layout.offsets, layout.feature_of
+    if not spec.boosted:
+        one = [float(np.rint(w / GRAIN) * GRAIN) for w in ask["weights"]]
+        hists = np.stack([hists[:, 1] * one[1], hists[:, 0] * one[0] + hists[:, 1] * one[1], (hists[:, 0] + hists[:, 1]).astype(float)], axis=1)
+    first = 0 if ask["features"] is None else int(ask["features"][0])
+    sums = hists[:, :, o[first] : o[first + 1]].sum(axis=2)
+    gain, left, right, ok = _gains(spec, hists, sums, o, feature_of, ask["features"])
+    if spec.symmetric:
+        total = np.where(ok, gain.sum(axis=0) - _score(spec, *sums.T).sum(), -np.inf)
+        cell = int(total.argmax())
+        if not (total[cell] > 1e-6 and total[cell] >= spec.min_gain):
+            return dict(sums=sums, best=[None] * len(sums), loss=loss)
+        f = int(feature_of[cell])
+        return dict(sums=sums, best=[(float(total[cell]) / len(sums), f, cell - int(o[f]), left[i, :, cell].copy()) for i in range(len(sums))], loss=loss)
+    ok = ok[None, :] & (left[:, 2] >= spec.min_leaf) & (right[:, 2] >= spec.min_leaf)
+    if spec.min_hessian:
+        ok &= (left[:, 1] >= spec.min_hessian) & (right[:, 1] >= spec.min_hessian)
+    if ask["masks"] is not None:
+        ok &= ask["masks"][:, feature_of]
+    gain = np.where(ok, gain - _score(spec, *sums.T)[:, None], -np.inf)
+    best = []
+    for i, cell in enumerate(gain.argmax(axis=1).tolist()):
+        f = int(feature_of[cell])
+        some = gain[i, cell] > 1e-6 and gain[i, cell] >= spec.min_gain
+        best.append((float(gain[i, cell]), f, cell - int(o[f]), left[i, :, cell].copy()) if some else None)
+    return dict(sums=sums, best=best, loss=loss)
+
+
+def _gains(spec: TreeSpec, hists: np.ndarray, sums: np.ndarray, o: np.ndarray, feature_of: np.ndarray, chosen):
+    """Gain of every cut of every node (a cut after the cell), and the sums left and right of it."""
+    running = np.cumsum(hists, axis=2)
+    before = np.concatenate([np.zeros((*running.shape[:2], 1)), running], axis=2)[:, :, o[:-1]]
+    left = running - before[:, :, feature_of]
+    right = sums[:, :, None] - left
+    gain = _score(spec, left[:, 0], left[:, 1], left[:, 2]) + _score(spec, right[:, 0], right[:, 1], right[:, 2])
+    ok = np.ones(hists.shape[2], bool)
+    ok[o[1:] - 1] = False                         # nothing lies behind a feature's last bin
+    if chosen is not None:
+        ok &= np.isin(feature_of, chosen)
+    return gain, left, right, ok
+
+
+# ------------------------------------------------------------------ on the driver
+
 class _Tree:
     """A growing tree: node lists, the best split known of each node, and sums of nodes whose children are wanted."""
 
@@ -208,7 +317,6 @@ class _Tree:
         self.feature, self.code, self.left, self.right, self.parent, self.depth = [], [], [], [], [], []
         self.sums: list[np.ndarray] = []          # g, h, count
         self.best: dict[int, tuple] = {}          # node -> (gain, feature, code, sums of the left child)
-        self.held: dict[int, np.ndarray] = {}     # node -> its histogram
         self.gain: list[float] = []
         self.taken: set[int] = set()              # nodes whose split is certain
         self.leaves = 1
@@ -243,9 +351,7 @@ class _Model:
         if self.spec.colsample < 1:
             n = max(1, int(self.features * self.spec.colsample))
             self.chosen = np.sort(self.rng.permutation(self.features)[:n])
-            self.mask = np.zeros(self.features, bool)
-            self.mask[self.chosen] = True
-        self.tree, self.wanted = None, [0]        # nodes to sum; their siblings follow from the parent
+        self.tree, self.wanted = None, [0]        # nodes to split
 
     def node_mask(self) -> np.ndarray | None:
         """Features that a node may be split on."""
@@ -262,10 +368,8 @@ class _Model:
 class Grower:
     """Models that grow together on the same blocks of rows."""
 
-    def __init__(self, blocks, offsets: list[np.ndarray], thresholds: list[list[np.ndarray]], counts: dict, parts: int):
-        self.state, self.offsets, self.thresholds, self.counts, self.parts = blocks, offsets, thresholds, counts, parts
-        self.cells = max(int(o[-1]) for o in offsets)
-        self.feature_of = [np.repeat(np.arange(len(o) - 1), np.diff(o)) for o in offsets]
+    def __init__(self, blocks, layouts: list[Layout], thresholds: list[list[np.ndarray]], counts: dict, parts: int):
+        self.state, self.layouts, self.thresholds, self.counts, self.parts = blocks, layouts, thresholds, counts, parts
         self.models: list[_Model] = []
         self.active: list[_Model] = []
         self.pending: dict[int, list] = {}        # trees since the margins were stored
@@ -285,7 +389,7 @@ class Grower:
         weights = (n.sum() / (2 * np.maximum(n, 1))).tolist() if spec.balanced else [1.0, 1.0]
         prior = (n[1] * weights[1] + 1e-12) / (n @ weights + 2e-12)
         base = math.log(prior / (1 - prior)) if spec.boosted else 0.0
-        m = _Model(spec, len(self.models), weights, base, len(self.offsets[spec.view]) - 1)
+        m = _Model(spec, len(self.models), weights, base, len(self.thresholds[spec.view]))
         self.models.append(m)
         self.active.append(m)
         if spec.boosted:
@@ -309,11 +413,14 @@ class Grower:
         if self.jobs and self.jobs % REFRESH == 0:
             self._refresh()
         self.jobs += 1
-        asks = [dict(model=m.number, spec=m.spec, round=m.round, weights=m.weights, base=m.base, features=m.chosen, nodes=np.array(m.wanted),
-                     tree=m.tree.arrays() if m.tree else (np.array([-1]),) * 4) for m in self.active]
+        asks = []
+        for m in self.active:
+            tree = m.tree.arrays() if m.tree else (np.array([-1]),) * 4
+            masks = None if m.spec.symmetric or m.spec.node_features is None else np.array([m.node_mask() for _ in m.wanted])
+            asks.append(dict(model=m.number, spec=m.spec, round=m.round, weights=m.weights, base=m.base, features=m.chosen, nodes=np.array(m.wanted), tree=tree, masks=masks))
         groups, size = [[]], 0
         for ask in asks:
-            n = len(ask["nodes"]) * self.cells
+            n = len(ask["nodes"]) * int(self.layouts[ask["spec"].view].offsets[-1])
             if groups[-1] and size + n > CELLS_PER_JOB:
                 groups.append([])
                 size = 0
@@ -321,23 +428,19 @@ class Grower:
             size += n
         models = iter(self.active)
         for group in groups:
-            sums, losses = self._sum(group)
-            at = 0
-            for ask, loss in zip(group, losses, strict=True):
-                self._grow(next(models), sums[at : at + len(ask["nodes"])], loss)
-                at += len(ask["nodes"])
+            for found in self._find(group):
+                self._grow(next(models), found)
         finished = [m.number for m in self.active if m.done]
         self.active = [m for m in self.active if not m.done]
         return finished
 
-    def _sum(self, asks: list[dict]):
+    def _find(self, asks: list[dict]) -> list[dict]:
+        """What :func:`_splits` finds for each of them."""
         pending = {a["model"]: self.pending[a["model"]] for a in asks if a["model"] in self.pending}
-        run = partial(_step, wanted=pickle.dumps((asks, pending), -1), offsets=self.offsets, cells=self.cells)
-        found = self.state.mapPartitions(run)
-        if self.parts > 32:
-            return found.treeReduce(lambda x, y: (x[0] + y[0], x[1] + y[1]))
-        parts = found.collect()
-        return sum(p[0] for p in parts), sum(p[1] for p in parts)
+        sums = self.state.mapPartitions(partial(_step, wanted=pickle.dumps((asks, pending), -1), layouts=self.layouts)) \
+            .reduceByKey(_merged, min(len(asks), self.parts))
+        light = pickle.dumps([{k: a[k] for k in ("spec", "weights", "features", "masks")} for a in asks], -1)
+        return [found for _, found in sorted(sums.map(partial(_search, wanted=light, layouts=self.layouts)).collect(), key=lambda r: r[0])]
 
     def _refresh(self) -> None:
         """Store the margins with all trees so far."""
@@ -363,31 +466,22 @@ class Grower:
 
     # -- growing one model
 
-    def _grow(self, m: _Model, sums: np.ndarray, loss) -> None:
-        spec = m.spec
+    def _grow(self, m: _Model, found: dict) -> None:
+        spec, loss = m.spec, found["loss"]
         if m.tree is None:
             if spec.patience and loss[1] and self._stale(m, loss[0] / loss[1]):
                 m.done = True
                 return
             m.tree = _Tree()
-            first = 0 if m.chosen is None else int(m.chosen[0])
-            o = self.offsets[spec.view]
-            m.tree.add(-1, sums[0][:, o[first] : o[first + 1]].sum(axis=1))
-            fresh, hists = [0], [sums[0]]
-        else:
-            fresh, hists = [], []
-            for node, s in zip(m.wanted, sums, strict=True):
-                parent, other = m.parents[node]
-                for child, hist in ((node, s), (other, m.tree.held[parent] - s)):
-                    if self._may_split(m, child):
-                        fresh.append(child)
-                        hists.append(hist)
-            for node in {m.parents[n][0] for n in m.wanted}:
-                m.tree.held.pop(node)
+            m.tree.add(-1, found["sums"][0])
+        nodes, m.wanted = m.wanted, []
+        m.tree.best.update((node, best) for node, best in zip(nodes, found["best"], strict=True) if best is not None)
         if spec.symmetric:
-            self._split_level(m, fresh, hists)
+            for node in nodes:
+                if node in m.tree.best:
+                    m.tree.taken.add(node)
+                    self._ask(m, self._split(m, node))
         else:
-            self._find_splits(m, fresh, hists)
             self._take_splits(m)
         if not m.wanted:
             self._finish_tree(m)
@@ -405,43 +499,6 @@ class Grower:
             return m.tree.depth[node] < spec.max_depth
         return m.tree.depth[node] < spec.max_depth and c >= max(spec.min_split, 2 * spec.min_leaf) and h >= 2 * spec.min_hessian
 
-    def _gains(self, m: _Model, hists: np.ndarray, sums: np.ndarray):
-        """Gain of every cut of every node (a cut after the cell), and the sums left of it."""
-        spec, o = m.spec, self.offsets[m.spec.view]
-        n = int(o[-1])
-        hists = hists[:, :, :n]
-        running = np.cumsum(hists, axis=2)
-        before = np.concatenate([np.zeros((*running.shape[:2], 1)), running], axis=2)[:, :, o[:-1]]
-        left = running - before[:, :, self.feature_of[spec.view]]
-        right = sums[:, :, None] - left
-        gain = _score(spec, left[:, 0], left[:, 1], left[:, 2]) + _score(spec, right[:, 0], right[:, 1], right[:, 2])
-        ok = np.ones(n, bool)
-        ok[o[1:] - 1] = False                     # nothing lies behind a feature's last bin
-        if m.chosen is not None:
-            ok &= m.mask[self.feature_of[spec.view]]
-        return gain, left, right, ok
-
-    def _find_splits(self, m: _Model, nodes: list[int], hists: list[np.ndarray]) -> None:
-        if not nodes:
-            return
-        spec, tree = m.spec, m.tree
-        sums = np.array([tree.sums[i] for i in nodes])
-        gain, left, right, ok = self._gains(m, np.array(hists), sums)
-        ok = ok[None, :] & (left[:, 2] >= spec.min_leaf) & (right[:, 2] >= spec.min_leaf)
-        if spec.min_hessian:
-            ok &= (left[:, 1] >= spec.min_hessian) & (right[:, 1] >= spec.min_hessian)
-        for i, node in enumerate(nodes):
-            mask = m.node_mask()
-            if mask is not None:
-                ok[i] &= mask[self.feature_of[spec.view]]
-        gain = np.where(ok, gain - _score(spec, *sums.T)[:, None], -np.inf)
-        cells = gain.argmax(axis=1)
-        for i, (node, cell) in enumerate(zip(nodes, cells.tolist(), strict=True)):
-            if gain[i, cell] > 1e-6 and gain[i, cell] >= spec.min_gain:
-                f = int(self.feature_of[spec.view][cell])
-                tree.best[node] = (float(gain[i, cell]), f, cell - int(self.offsets[spec.view][f]), left[i, :, cell].copy())
-                tree.held[node] = hists[i]
-
     def _split(self, m: _Model, node: int) -> tuple[int, int]:
         """Give the node its best split's children; which of its splits are certain is another matter."""
         tree = m.tree
@@ -460,7 +517,6 @@ class Grower:
         """
         tree, bound = m.tree, m.spec.num_leaves or math.inf
         line = [n for n in tree.best if n not in tree.taken and (n == 0 or tree.parent[n] in tree.taken)]
-        m.wanted, m.parents = [], {}
         while line and tree.leaves < bound:
             node = max(line, key=lambda n: (tree.best[n][0], -n))
             fresh = tree.feature[node] < 0
@@ -472,43 +528,19 @@ class Grower:
             if fresh:
                 kids = self._split(m, node)
                 if bound == math.inf:
-                    self._ask(m, node, kids)
+                    self._ask(m, kids)
             line += [k for k in (tree.left[node], tree.right[node]) if k in tree.best]
         if bound < math.inf and tree.leaves < bound:
             ahead = sorted((n for n in line if tree.feature[n] < 0), key=lambda n: (-tree.best[n][0], n))
             for node in ahead[: int(bound - tree.leaves)]:
-                self._ask(m, node, self._split(m, node))
+                self._ask(m, self._split(m, node))
 
     def _children_matter(self, m: _Model, node: int) -> bool:
         """Would splitting the node leave room for another split that its children may win?"""
         return m.tree.leaves + 1 < m.spec.num_leaves and m.tree.depth[node] + 1 < m.spec.max_depth
 
-    def _ask(self, m: _Model, node: int, kids: tuple[int, int]) -> None:
-        if not any(self._may_split(m, k) for k in kids):
-            m.tree.held.pop(node, None)
-            return
-        small, other = sorted(kids, key=lambda k: (m.tree.sums[k][2], k))
-        m.wanted.append(small)
-        m.parents[small] = (node, other)
-
-    def _split_level(self, m: _Model, nodes: list[int], hists: list[np.ndarray]) -> None:
-        """One cut for all nodes of a level."""
-        spec, tree = m.spec, m.tree
-        m.wanted, m.parents = [], {}
-        if not nodes:
-            return
-        sums = np.array([tree.sums[i] for i in nodes])
-        gain, left, _, ok = self._gains(m, np.array(hists), sums)
-        total = np.where(ok, gain.sum(axis=0) - _score(spec, *sums.T).sum(), -np.inf)
-        cell = int(total.argmax())
-        if not (total[cell] > 1e-6 and total[cell] >= spec.min_gain):
-            return
-        f = int(self.feature_of[spec.view][cell])
-        for i, node in enumerate(nodes):
-            tree.best[node] = (float(total[cell]) / len(nodes), f, cell - int(self.offsets[spec.view][f]), left[i, :, cell].copy())
-            tree.held[node] = hists[i]
-            tree.taken.add(node)
-            self._ask(m, node, self._split(m, node))
+    def _ask(self, m: _Model, kids: tuple[int, int]) -> None:
+        m.wanted += [k for k in sorted(kids, key=lambda k: (m.tree.sums[k][2], k)) if self._may_split(m, k)]
 
     def _finish_tree(self, m: _Model) -> None:
         spec, tree = m.spec, m.tree
@@ -586,13 +618,13 @@ def _score_rows(block: dict, model: int, fold: int, score: np.ndarray):
 class _TaskGrower(Grower):
     """Inside a task that has all rows: a step needs no job."""
 
-    def __init__(self, block: dict, offsets, thresholds, counts):
-        super().__init__(None, offsets, thresholds, counts, 1)
-        self.block = dict(block, margin={}, places=[codes + off[None, :-1] for codes, off in zip(block["codes"], offsets, strict=True)])
+    def __init__(self, block: dict, layouts, thresholds, counts):
+        super().__init__(None, layouts, thresholds, counts, 1)
+        self.block = dict(block, margin={})
 
-    def _sum(self, asks):
+    def _find(self, asks):
         self._refresh()
-        return _histograms([self.block], asks, self.offsets, self.cells, {})
+        return [_splits(a, *found, self.layouts) for a, found in zip(asks, _histograms([self.block], asks, self.layouts, {}), strict=True)]
 
     def _refresh(self) -> None:
         for i, (base, view) in self.bases.items():
@@ -606,10 +638,10 @@ class _WholeGrower(Grower):
 
     The block is broadcast: BLOCK_ROWS rows at most.  Models are the same as by steps."""
 
-    def __init__(self, spark, block: dict, offsets, thresholds, counts):
-        super().__init__(None, offsets, thresholds, counts, 1)
+    def __init__(self, spark, block: dict, layouts, thresholds, counts):
+        super().__init__(None, layouts, thresholds, counts, 1)
         self.sc = spark.sparkContext
-        self.shared = self.sc.broadcast((block, offsets, thresholds, counts))
+        self.shared = self.sc.broadcast((block, layouts, thresholds, counts))
         self.held: dict[int, bytes] = {}
 
     def step(self) -> list[int]:
@@ -686,9 +718,9 @@ def grower(rows: DataFrame, views: int = 1, models: int = 1, max_bins: int = MAX
         if any(label not in (0, 1) for _, label in counts):
             raise ValueError("labels must be 0 or 1")
         cuts = cut_points(rows, views, max_bins)
-        offsets = [np.cumsum([0, *(len(c) + 1 for c in view)]) for view in cuts]
+        layouts = [_layout(view) for view in cuts]
         # as many blocks as there are cores, where that leaves each enough to do
-        parts = 1 if n <= BLOCK_ROWS else max(2, -(-n // BLOCK_ROWS), min(-(-n * models // BLOCK_WORK), spark.sparkContext.defaultParallelism))
+        parts = 1 if n <= BLOCK_ROWS else max(2, -(-n // PART_ROWS), min(-(-n * models // BLOCK_WORK), spark.sparkContext.defaultParallelism))
 
         def pack(batches):
             for batch in batches:
@@ -699,24 +731,24 @@ def grower(rows: DataFrame, views: int = 1, models: int = 1, max_bins: int = MAX
                     x = batch.column(4 + v).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
                     codes.append(np.stack([np.searchsorted(c, x[:, i], side="left") for i, c in enumerate(view)], axis=1).astype(np.uint8 if max_bins <= 256 else np.uint16))
                 block = dict(key=batch.column(0).to_pylist(), y=batch.column(1).to_numpy(zero_copy_only=False).astype(float), fold=batch.column(2).to_numpy(zero_copy_only=False),
-                             id=batch.column(3).to_numpy(zero_copy_only=False).view(np.uint64), codes=codes, margin={})
+                             id=batch.column(3).to_numpy(zero_copy_only=False).view(np.uint64), codes=codes, joint=[_joint(c, view) for c, view in zip(codes, layouts, strict=True)], margin={})
                 yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(block)], pa.binary())], ["block"])
 
         dealt = rows.repartition(parts, "id") if parts > 1 else rows.coalesce(1)
         blocks = dealt.mapInArrow(pack, "block binary").rdd.map(lambda r: pickle.loads(bytes(r["block"])))
         if parts == 1:
-            return _WholeGrower(spark, _joined(blocks.collect()), offsets, cuts, counts)     # BLOCK_ROWS rows at most
+            return _WholeGrower(spark, _joined(blocks.collect()), layouts, cuts, counts)     # BLOCK_ROWS rows at most
         blocks = blocks.persist(StorageLevel.MEMORY_AND_DISK)
         blocks.count()
     finally:
         rows.unpersist()
-    return Grower(blocks, offsets, cuts, counts, parts)
+    return Grower(blocks, layouts, cuts, counts, parts)
 
 
 def _joined(blocks: list[dict]) -> dict:
     """One block out of several."""
     return dict(key=[k for b in blocks for k in b["key"]], margin={}, codes=[np.concatenate(z) for z in zip(*(b["codes"] for b in blocks), strict=True)],
-                **{k: np.concatenate([b[k] for b in blocks]) for k in ("y", "fold", "id")})
+                joint=[np.concatenate(z, axis=1) for z in zip(*(b["joint"] for b in blocks), strict=True)], **{k: np.concatenate([b[k] for b in blocks]) for k in ("y", "fold", "id")})
 
 
 # ------------------------------------------------------------------ Spark ML stages

@@ -241,3 +241,32 @@ def test_model_search_returns_a_trial_for_each_draw(spark, parts):
     from churnspark.operators import metrics as M
     again = M.curve_summary(tune.out_of_fold("xgb", folded, 3, params, folded=True)).first()["pr_auc"]
     assert abs(again - ap) < 1e-9
+
+
+def test_no_histogram_comes_to_the_driver(spark, monkeypatch):
+    """What a step brings to the driver does not grow with the number of bins or blocks."""
+    import pickle
+
+    from pyspark import RDD
+    monkeypatch.setattr(H, "BLOCK_ROWS", 100)
+    sizes, collect = [], RDD.collect
+
+    def measured(rdd):
+        out = collect(rdd)
+        sizes.append(len(pickle.dumps(out, -1)))
+        return out
+
+    x = np.random.default_rng(5).normal(size=(600, 6))
+    rows = frame(spark, x, table(600)[1]).cache()
+    grow = H.grower(rows, 1, 4, 64)
+    try:
+        for seed in range(4):
+            grow.add(TreeSpec(criterion="gini", max_depth=4, seed=seed))
+        monkeypatch.setattr(RDD, "collect", measured)
+        grow.run()
+    finally:
+        monkeypatch.undo()
+        cells = sum(len(c) + 1 for c in grow.thresholds[0])
+        grow.release()
+    nodes = 4 * 2**3                              # of a step at most
+    assert cells > 100 and 0 < max(sizes) < nodes * 3 * 8 * cells / 4

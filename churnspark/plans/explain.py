@@ -7,9 +7,9 @@
   path by leaf path.
   Output space: P(churn) for trees/forests, the margin for boosted trees.
 * H2 :func:`sampling_shapley` - Monte-Carlo Shapley values (Strumbelj &
-  Kononenko, 2014): rows x draws x steps are expanded as a DataFrame, the
-  mixed vectors are built with array functions and scored by the classifier
-  stage in one pass.
+  Kononenko, 2014): rows x draws are expanded as a DataFrame, tasks build the mixed
+  vectors of a batch of draws, and trees are evaluated there; other classifiers
+  score the vectors in one pass.
 * H3 :func:`permutation_importance` - rows are dealt out once by a hash; a task
   permutes each feature, repeat by repeat, inside blocks of its rows, the vectors are
   scored where they come to be, and the metric drop is averaged.
@@ -17,7 +17,6 @@
 
 from __future__ import annotations
 
-import math
 import os
 import uuid
 
@@ -27,7 +26,7 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.classification import (DecisionTreeClassificationModel, GBTClassificationModel,
                                        RandomForestClassificationModel)
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from churnspark import schema as S
@@ -109,58 +108,62 @@ def tree_table(clf) -> tuple[list[dict], list[float], str]:
 
 # ---------------------------------------------------------------- TreeSHAP core
 
-def leaf_paths(t) -> list[tuple]:
-    """(value, features, cover ratios, tests) for every leaf; tests: per feature its (node, goes left?) on the path."""
-    out, todo = [], [(0, {})]
-    while todo:
-        node, held = todo.pop()
-        if t["left"][node] < 0:
-            feats = list(held)
-            out.append((t["value"][node], feats, [held[f][0] for f in feats], [held[f][1] for f in feats]))
-            continue
-        f, cover = int(t["feat"][node]), t["cover"][node]
-        for child, left in ((t["left"][node], True), (t["right"][node], False)):
-            z, tests = held.get(f, (1.0, ()))
-            ratio = t["cover"][child] / cover if cover > 0 else 0.0
-            todo.append((child, {**held, f: (z * ratio, (*tests, (node, left)))}))
-    return out
-
-
 def path_shares(z: np.ndarray, o: np.ndarray) -> np.ndarray:
     """Shapley values of a leaf with value 1, for rows of 0/1 ``o``: the game pays the
-    product of o over the features present and of z over those absent."""
+    product of o over the features present and of z over those absent.
+
+    A value is (o_i - z_i) times the integral over t from 0 to 1 of the product of the other
+    features' z + (o - z) t (the multilinear extension along its diagonal), a polynomial of
+    degree m - 1: m / 2 Gauss-Legendre points, rounded up, give it exactly."""
     n, m = o.shape
-    weight = np.array([1.0 / (m * math.comb(m - 1, k)) for k in range(m)])
-    out = np.empty((n, m))
-    for i in range(m):
-        poly = np.zeros((n, m))
-        poly[:, 0] = 1.0
-        for d, j in enumerate(j for j in range(m) if j != i):
-            poly[:, 1 : d + 2] = poly[:, 1 : d + 2] * z[j] + poly[:, : d + 1] * o[:, j : j + 1]
-            poly[:, 0] *= z[j]
-        out[:, i] = (o[:, i] - z[i]) * (poly @ weight)
+    t, weight = np.polynomial.legendre.leggauss((m + 1) // 2)
+    gain = o - z
+    factor = z[:, None, None] + gain.T[:, :, None] * ((t + 1) / 2)      # feature, row, point
+    after = np.ones((m, *factor.shape[1:]))
+    for j in range(m - 1, 0, -1):
+        after[j - 1] = after[j] * factor[j]
+    out, before = np.empty((n, m)), np.ones(factor.shape[1:])
+    for j in range(m):
+        out[:, j] = gain[:, j] * ((before * after[j]) @ (weight / 2))
+        before = before * factor[j]
     return out
 
 
 def shap_batch(trees, weights, x: np.ndarray) -> np.ndarray:
-    """Path-dependent TreeSHAP of all rows at once, leaf path by leaf path."""
-    phi = np.zeros(x.shape)
+    """Path-dependent TreeSHAP of all rows at once, leaf path by leaf path.
+
+    On the way to a leaf every row has a code: bit j is set where the row passes all
+    tests of the path's j-th feature.  Rows of the same code get the same shares."""
+    phi = np.zeros(x.shape[::-1])
+    columns = np.ascontiguousarray(x.T)
     for t, w in zip(trees, weights):
-        inner = np.flatnonzero(t["left"] >= 0)
-        goes_left = {int(i): np.isin(x[:, t["feat"][i]], list(t["cats"][i])) if t["cats"][i] is not None
-                     else x[:, t["feat"][i]] <= t["thr"][i] for i in inner}
-        for value, feats, z, tests in leaf_paths(t):
-            if not feats:
+        todo = [(0, {}, np.zeros(len(x), np.int64))]
+        while todo:
+            node, held, code = todo.pop()
+            if t["left"][node] < 0:
+                if held:
+                    _add_leaf(phi, held, code, w * t["value"][node])
                 continue
-            one = np.ones((len(x), len(feats)), bool)
-            for j, nodes in enumerate(tests):
-                for node, left in nodes:
-                    one[:, j] &= goes_left[node] == left
-            # rows that pass the same tests get the same shares
-            code, back = np.unique(one @ (1 << np.arange(len(feats))), return_inverse=True)
-            shares = path_shares(np.asarray(z), ((code[:, None] >> np.arange(len(feats))) & 1).astype(float))
-            phi[:, feats] += w * value * shares[back]
-    return phi
+            f, cover = int(t["feat"][node]), t["cover"][node]
+            to_left = np.isin(columns[f], list(t["cats"][node])) if t["cats"][node] is not None else columns[f] <= t["thr"][node]
+            j, z = held.get(f, (len(held), 1.0))
+            for child, passed in ((t["left"][node], to_left), (t["right"][node], ~to_left)):
+                ratio = t["cover"][child] / cover if cover > 0 else 0.0
+                bit = passed.astype(np.int64) << j
+                todo.append((child, {**held, f: (j, z * ratio)}, code & (bit | ~(1 << j)) if f in held else code | bit))
+    return phi.T
+
+
+def _add_leaf(phi: np.ndarray, held: dict, code: np.ndarray, value: float) -> None:
+    """Add a leaf's shares to (feature, row) ``phi``; held: feature -> (its bit, cover ratio)."""
+    m = len(held)
+    if 2**m > len(code):
+        patterns, code = np.unique(code, return_inverse=True)
+    else:
+        patterns = np.arange(2**m)
+    shares = value * path_shares(np.array([z for _, z in held.values()]), ((patterns[:, None] >> np.arange(m)) & 1).astype(float)).T
+    for f, (j, _) in held.items():
+        phi[f] += shares[j][code]
 
 
 def expected_value(t) -> float:
@@ -202,8 +205,10 @@ def shap_long(phi_df: DataFrame, names, key: str = S.KEY) -> DataFrame:
 
 # ---------------------------------------------------------------- H2
 
-#: Background rows that are broadcast at most.
+#: Background rows at most; every task has them.
 MAX_BACKGROUND = 10_000
+#: Draws whose vectors a task holds at once.
+DRAWS_AT_ONCE = 1_000
 
 
 def sampling_shapley(model: PipelineModel, rows: DataFrame, background: DataFrame,
@@ -215,37 +220,105 @@ def sampling_shapley(model: PipelineModel, rows: DataFrame, background: DataFram
     walks from the background to the row feature by feature: p + 1 evaluations, whose
     differences are the contributions.  They sum to f(x) minus the mean output over
     the row's own draws.  ``background`` is a capped sample (the feature's own limit).
+
+    A task walks a batch of draws at once.  Trees that give probabilities are evaluated there
+    and a row's draws are summed; the vectors of any other classifier go to its ``transform``.
     """
+    import pyarrow as pa
     feat_model = PipelineModel(model.stages[:-1])
     clf = model.stages[-1]
     x = feat_model.transform(rows).select(key, vector_to_array(features).alias("x"))
-    bg = feat_model.transform(background).select(vector_to_array(features).alias("z"))
-    nbg = bg.count()
-    if nbg > MAX_BACKGROUND:
-        raise ValueError(f"{nbg} background rows; {MAX_BACKGROUND} at most, see capped_sample")
-    bg = bg.withColumn("b", F.row_number().over(Window.orderBy(F.xxhash64("z"))) - 1)
-    p = len(x.first()["x"])
-    idx = F.sequence(F.lit(0), F.lit(p - 1))
-    e = x.select(key, "x", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("s")) \
-        .withColumn("b", F.pmod(F.xxhash64(F.lit(seed), F.col(key), F.col("s")), F.lit(nbg)))
-    e = e.join(F.broadcast(bg), "b")
-    order = F.transform(F.array_sort(F.transform(idx, lambda i: F.struct(
-        F.xxhash64(F.lit(seed + 1), F.col(key), F.col("s"), i).alias("h"), i.alias("i")))), lambda r: r["i"])
-    e = e.withColumn("order", order)
-    e = e.withColumn("place", F.transform(idx, lambda i: F.array_position("order", i)))
-    step = e.select(key, "order", "place", "x", "z", F.explode(F.sequence(F.lit(0), F.lit(p))).alias("t"))
-    mixed = F.transform(idx, lambda i: F.when(F.get("place", i) <= F.col("t"), F.get("x", i)).otherwise(F.get("z", i)))
-    scored = clf.transform(step.select(key, F.get("order", F.col("t") - 1).alias("now"), F.get("order", F.col("t")).alias("next"),
-                                       array_to_vector(mixed).alias(features)))
-    out = vector_to_array("probability")[1] if "probability" in scored.columns else \
-        vector_to_array("rawPrediction")[1]
-    # the output with the feature just added, less that before the next one
-    parts = scored.select(key, F.explode(F.array(
-        F.struct(F.col("now").alias("i"), out.alias("v")),
-        F.struct(F.col("next").alias("i"), (-out).alias("v")))).alias("d")).select(key, "d.i", "d.v").where(F.col("i").isNotNull())
+    bg = feat_model.transform(background).select(vector_to_array(features).alias("z")).orderBy(F.xxhash64("z")).limit(MAX_BACKGROUND + 1)
+    z = np.array([r["z"] for r in bg.collect()], float)      # MAX_BACKGROUND rows at most
+    if len(z) > MAX_BACKGROUND:
+        raise ValueError(f"more than {MAX_BACKGROUND} background rows, see capped_sample")
+    if not len(z):
+        raise ValueError("no background rows")
+    nbg, p = z.shape
+    table = _probability_trees(clf)
+    # a row's draws are many: every core gets a share of the rows
+    x = x.repartition(max(x.rdd.getNumPartitions(), default_buckets(rows.sparkSession)), key)
+    e = x.select(F.col(key).cast("string").alias("k"), "x", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("s")) \
+        .withColumn("b", F.pmod(F.xxhash64(F.lit(seed), F.col("k"), F.col("s")), F.lit(nbg)))
+    order = F.transform(F.sequence(F.lit(0), F.lit(p - 1)), lambda i: F.xxhash64(F.lit(seed + 1), F.col("k"), F.col("s"), i))
+    e = e.select("k", "x", "b", order.alias("h"))
+
+    def walks(batches):
+        """Keys, orders, and the vectors (draw, step, feature) of some draws."""
+        for whole in batches:
+            for at in range(0, whole.num_rows, DRAWS_AT_ONCE):
+                batch = whole.slice(at, DRAWS_AT_ONCE)
+                n = batch.num_rows
+                mine, h = (batch.column(c).flatten().to_numpy(zero_copy_only=False).reshape(n, p) for c in (1, 3))
+                order = np.argsort(h, axis=1, kind="stable")
+                place = np.argsort(order, axis=1)
+                steps = np.where(place[:, None, :] < np.arange(p + 1)[None, :, None], mine[:, None, :], z[batch.column(2).to_numpy()][:, None, :])
+                yield batch.column(0), order, steps
+
+    def summed(batches):
+        for keys, order, steps in walks(batches):
+            v = table_output(*table, steps.reshape(-1, p)).reshape(len(order), p + 1)
+            phi = np.empty((len(order), p))
+            np.put_along_axis(phi, order, np.diff(v, axis=1), 1)
+            names = keys.to_numpy(zero_copy_only=False)
+            first = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]]))    # a row's draws lie together
+            yield pa.RecordBatch.from_arrays([pa.array(names[first], pa.string()), _lists(np.add.reduceat(phi, first, axis=0))], [key, "phi"])
+
+    def laid_out(batches):
+        for keys, order, steps in walks(batches):
+            none = np.full((len(order), 1), -1)
+            now, after = np.concatenate([none, order], axis=1), np.concatenate([order, none], axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(keys.to_numpy(zero_copy_only=False), p + 1), pa.string()), pa.array(now.ravel().astype(np.int32)),
+                                              pa.array(after.ravel().astype(np.int32)), _lists(steps.reshape(-1, p))], [key, "now", "next", "x"])
+
+    if table is not None:
+        parts = e.mapInArrow(summed, f"`{key}` string, phi array<double>").select(key, F.posexplode("phi").alias("i", "v"))
+    else:
+        steps = e.mapInArrow(laid_out, f"`{key}` string, now int, next int, x array<double>")
+        scored = clf.transform(steps.select(key, "now", "next", array_to_vector("x").alias(features)))
+        out = vector_to_array("probability")[1] if "probability" in scored.columns else \
+            vector_to_array("rawPrediction")[1]
+        # the output with the feature just added, less that before the next one
+        parts = scored.select(key, F.explode(F.array(
+            F.struct(F.col("now").alias("i"), out.alias("v")),
+            F.struct(F.col("next").alias("i"), (-out).alias("v")))).alias("d")).select(key, "d.i", "d.v").where(F.col("i") >= 0)
     return parts.groupBy(key, "i").agg((F.sum("v") / F.lit(float(draws))).alias("phi"))
 
 
+def _lists(values: np.ndarray):
+    """The rows of a matrix as an Arrow list array."""
+    import pyarrow as pa
+    return pa.ListArray.from_arrays(np.arange(0, values.size + 1, values.shape[1], dtype=np.int32), pa.array(values.ravel()))
+
+
+def _probability_trees(clf):
+    """Trees and weights of a classifier whose probability is the weighted sum of its trees; None for any other."""
+    if not isinstance(clf, (HistTreesModel, DecisionTreeClassificationModel, RandomForestClassificationModel)):
+        return None
+    trees, weights, space = tree_table(clf)
+    return (trees, weights) if space == "probability" else None
+
+
+def table_output(trees, weights, x: np.ndarray) -> np.ndarray:
+    """The weighted sum of the trees' values for the rows of ``x``."""
+    out, flat, start = np.zeros(len(x)), np.ascontiguousarray(x).ravel(), np.arange(len(x)) * x.shape[1]
+    for t, w in zip(trees, weights):
+        inner, own, n = t["left"] >= 0, np.arange(len(t["left"])), len(t["left"])
+        look = np.where(inner, t["feat"], 0)
+        child = np.concatenate([np.where(inner, t["right"], own), np.where(inner, t["left"], own)])
+        sets = [i for i in own.tolist() if t["cats"][i] is not None]
+        node = np.zeros(len(x), np.int64)
+        while inner[node].any():
+            value = flat[start + look[node]]
+            to_left = value <= t["thr"][node]
+            for i in sets:
+                here = node == i
+                to_left[here] = np.isin(value[here], list(t["cats"][i]))
+            node = child[to_left * n + node]
+        out += w * t["value"][node]
+    return out
+
+
 # ---------------------------------------------------------------- H3
 
 def permuted_rows(x: DataFrame, p: int, repeats: int, seed: int, key: str, block_rows: int) -> DataFrame:

@@ -56,7 +56,7 @@ JOINT = 64
 #: Jobs between two updates of the stored margins, and updates between two checkpoints.
 REFRESH, CHECKPOINT = 8, 25
 #: Row-models of a block at least, and rows of a block at most, where there are enough.
-BLOCK_WORK, BLOCK_ROWS = 25_000, 65_536
+BLOCK_WORK, BLOCK_ROWS = 25_000, 131_072
 #: Rows of a partition at most; one has several blocks, a record batch each.
 PART_ROWS = 262_144
 #: The column of fold numbers.
@@ -110,9 +110,9 @@ def _scramble(x: np.ndarray, salt: int) -> np.ndarray:
     return ((x >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
-def _nodes(codes: np.ndarray, feature: np.ndarray, code: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """The deepest node of the (partial) tree for every row."""
-    node = np.zeros(len(codes), np.int64)
+def _nodes(codes: np.ndarray, feature: np.ndarray, code: np.ndarray, left: np.ndarray, right: np.ndarray, node: np.ndarray | None = None) -> np.ndarray:
+    """The deepest node of the (partial) tree for every row; ``node``: nodes that the rows are known to pass."""
+    node = np.zeros(len(codes), np.int64) if node is None else node
     flat, start, n = codes.ravel(), np.arange(len(codes)) * codes.shape[1], len(feature)
     leaf, own = feature < 0, np.arange(n)
     look = np.where(leaf, 0, feature)
@@ -616,15 +616,66 @@ def _score_rows(block: dict, model: int, fold: int, score: np.ndarray):
 
 
 class _TaskGrower(Grower):
-    """Inside a task that has all rows: a step needs no job."""
+    """Inside a task that has all rows: a step needs no job.
+
+    What does not change while a tree grows is kept: the rows drawn and their
+    derivatives, the nodes that they have reached, and the histograms of nodes whose
+    children are wanted.  Of two children the smaller is counted, and the other is what
+    is left of their parent; sums are exact, so that the trees are the same."""
 
     def __init__(self, block: dict, layouts, thresholds, counts):
         super().__init__(None, layouts, thresholds, counts, 1)
         self.block = dict(block, margin={})
+        self.kept: dict[int, dict] = {}           # of each model's tree
 
     def _find(self, asks):
         self._refresh()
-        return [_splits(a, *found, self.layouts) for a, found in zip(asks, _histograms([self.block], asks, self.layouts, {}), strict=True)]
+        return [_splits(a, *self._sums(a), self.layouts) for a in asks]
+
+    def _sums(self, ask: dict) -> tuple:
+        kept = self.kept.get(ask["model"])
+        if kept is None or kept["round"] != ask["round"]:
+            rows, g, h, loss = _derivatives(self.block, ask, {})
+            kept = self.kept[ask["model"]] = dict(round=ask["round"], rows=rows, g=g[rows], h=h[rows], loss=loss, at=np.zeros(len(rows), np.int64), sums={},
+                                                  codes=self.block["codes"][ask["spec"].view][rows], joint=self.block["joint"][ask["spec"].view][:, rows])
+        tree, nodes = ask["tree"], ask["nodes"].tolist()
+        if len(tree[0]) > 1:
+            kept["at"] = _nodes(kept["codes"], *tree, node=kept["at"])
+        inner = np.flatnonzero(tree[0] >= 0)
+        family = {kid: (parent, other) for parent, x, y in zip(inner.tolist(), tree[2][inner].tolist(), tree[3][inner].tolist(), strict=True) for kid, other in ((x, y), (y, x))}
+        counted, rest = [], []
+        for node in nodes:
+            parent, other = family.get(node, (None, None))
+            (rest if other in counted and parent in kept["sums"] else counted).append(node)
+        found = dict(zip(counted, self._count(ask, kept, counted), strict=True))
+        for node in rest:
+            parent, other = family[node]
+            found[node] = kept["sums"][parent] - found[other]
+        used = {family[node][0] for node in nodes if node in family}
+        kept["sums"] = {**{node: sums for node, sums in kept["sums"].items() if ask["spec"].num_leaves and node not in used}, **found}
+        return np.stack([found[node] for node in nodes]), kept["loss"]
+
+    def _count(self, ask: dict, kept: dict, nodes: list[int]) -> np.ndarray:
+        """As :func:`_histograms`, of one model."""
+        spec, layout, n = ask["spec"], self.layouts[ask["spec"].view], len(nodes)
+        place = np.full(len(ask["tree"][0]), -1)
+        place[nodes] = np.arange(n)
+        pos = place[kept["at"]]
+        some = np.flatnonzero(pos >= 0)
+        pos, g, h = pos[some], kept["g"][some], kept["h"][some]
+        if not spec.boosted:
+            pos = pos * 2 + (self.block["y"][kept["rows"][some]] > 0)
+        found = {}
+        for b, (features, bins) in enumerate(layout.bundles):
+            if ask["features"] is not None and not np.isin(features, ask["features"]).any():
+                continue
+            size = math.prod(bins)
+            cell = pos * size + kept["joint"][b][some]
+            if spec.boosted:
+                found[b] = np.stack([np.bincount(cell, w, n * size).reshape(n, size) for w in (g, h, None)], axis=1)
+            else:
+                found[b] = np.bincount(cell, None, 2 * n * size).reshape(n, 2, size)
+        return _parted(found, layout, n, 3 if spec.boosted else 2)
 
     def _refresh(self) -> None:
         for i, (base, view) in self.bases.items():

@@ -116,6 +116,33 @@ def test_together_alone_and_by_steps_are_the_same(spark, monkeypatch):
     assert 3 < len(stopped) < 40
 
 
+def test_a_task_keeps_what_a_tree_does_not_change(monkeypatch):
+    """Derivatives are taken once a tree, and of two children one is counted."""
+    x, y = table(900)
+    cuts = [np.unique(np.quantile(c, np.arange(1, 16) / 16)) for c in x.T]
+    codes = np.stack([np.searchsorted(c, x[:, i], side="left") for i, c in enumerate(cuts)], axis=1).astype(np.uint8)
+    layouts = [H._layout(cuts)]
+    block = dict(key=[str(i) for i in range(900)], y=y.astype(float), fold=np.full(900, -2), id=np.arange(900, dtype=np.uint64), codes=[codes], joint=[H._joint(codes, layouts[0])], margin={})
+    grow = H._TaskGrower(block, layouts, [cuts], {(-2, 0): int((y == 0).sum()), (-2, 1): int((y == 1).sum())})
+    grow.add(TreeSpec(rounds=6, learning_rate=0.3, max_depth=4, reg_lambda=1.0, subsample=0.8))
+    calls, rows, plain = [], [], H._derivatives
+    monkeypatch.setattr(H, "_derivatives", lambda *a: calls.append(1) or plain(*a))
+    count = H.np.bincount
+    monkeypatch.setattr(H.np, "bincount", lambda cell, *a, **k: rows.append(len(cell)) or count(cell, *a, **k))
+    grow.run()
+    assert len(calls) == 6
+    assert sum(rows) < 0.75 * 6 * 4 * 720 * 3 * len(layouts[0].bundles)
+
+
+def test_rows_of_a_tenth_gigabyte_are_one_block(spark):
+    rows = spark.range(72_000).select(F.col("id").cast("string").alias("customerID"), (F.col("id") % 3 == 0).cast("int").alias("label"), F.lit(-2).alias("fold"), F.array(F.col("id") % 7 + 0.0).alias("x0"))
+    grow = H.grower(rows)
+    try:
+        assert isinstance(grow, H._WholeGrower)
+    finally:
+        grow.release()
+
+
 def test_symmetric_trees_split_a_level_alike(spark):
     tree = fit_specs(frame(spark, *table()), [TreeSpec(symmetric=True, max_depth=3, reg_lambda=1.0)])[0].forest["trees"][0]
     level = [0]

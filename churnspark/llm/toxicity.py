@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -81,20 +82,30 @@ class Lexicon:
         if not of:
             return 0, 0.0
         whole, prefix = of[0], max(of[1:], default=0.0)
-        return int(np.searchsorted(EDGES, whole, "right")) * BINS + int(np.searchsorted(EDGES, prefix, "right")), max(whole, prefix)
+        return bisect_right(EDGES, whole) * BINS + bisect_right(EDGES, prefix), max(whole, prefix)
 
 
 class TokenBins(dict):
-    """Joint bin of a word, remembered."""
+    """Joint bin of a word, remembered: that of ``Lexicon.token``, from tables of the few units that the lexicon has."""
 
     def __init__(self, lexicon: Lexicon, limit: int = 500_000):
         super().__init__()
-        self.lexicon, self.limit = lexicon, limit
+        self.limit = limit
+        bins = {u: bisect_right(EDGES, lexicon.odds(u)) for u in lexicon.counts}
+        self.whole = {u: b * BINS for u, b in bins.items() if b}
+        self.prefixes = [(n, {u[len(f"{n}|"):]: b for u, b in bins.items() if b and u.startswith(f"{n}|")}) for n in PREFIXES]
 
     def __missing__(self, word: str) -> int:
         if len(self) >= self.limit:
             self.clear()
-        out = self[word] = self.lexicon.token(word)[0]
+        w, prefix = core(word), 0
+        for n, known in self.prefixes:
+            if len(w) <= n:
+                break
+            found = known.get(w[:n])
+            if found is not None and found > prefix:
+                prefix = found
+        out = self[word] = self.whole.get(w, 0) + prefix
         return out
 
 
@@ -146,8 +157,37 @@ class Field:
             result[i] = out[s : s + n]
         return result, expected
 
+    def chances(self, lines: list[np.ndarray]) -> list[np.ndarray]:
+        """The probabilities of ``passes``: with two states, a message is one number, the odds of state 1."""
+        order = sorted(range(len(lines)), key=lambda i: -len(lines[i]))
+        lengths = np.array([len(lines[i]) for i in order])
+        top = int(lengths[0]) if len(order) else 0
+        active = np.searchsorted(-lengths, -np.arange(top), "left").tolist()  # lines longer than t
+        begins = np.concatenate([[0], np.cumsum(active)]).astype(np.int64)
+        # step after step: the t-th tokens of all lines that have one lie together
+        line = np.arange(begins[-1]) - np.repeat(begins[:-1], active)
+        first = np.concatenate([[0], np.cumsum(lengths)])[:-1]
+        place = first[line] + np.repeat(np.arange(top), active) if top else np.zeros(0, np.int64)
+        emit = np.exp(np.clip(self.theta, -20, 20))[(np.concatenate([lines[i] for i in order]) if top else np.zeros(0, int))[place]]
+        (t00, t01), (t10, t11) = np.exp(np.clip(self.move, -20, 20)).tolist()
+        odds = emit.copy()
+        for t in range(1, top):
+            a = odds[begins[t - 1] : begins[t - 1] + active[t]]
+            odds[begins[t] : begins[t + 1]] *= (t01 + a * t11) / (t00 + a * t10)
+        after = np.ones(len(odds))
+        for t in range(top - 2, -1, -1):
+            u = after[begins[t + 1] : begins[t + 2]] * emit[begins[t + 1] : begins[t + 2]]
+            after[begins[t] : begins[t] + active[t + 1]] = (t10 + t11 * u) / (t00 + t01 * u)
+        odds *= after
+        out = np.empty(len(odds))
+        out[place] = odds / (1 + odds)
+        result: list[np.ndarray] = [np.zeros(0)] * len(lines)
+        for i, s, n in zip(order, first, lengths, strict=True):
+            result[i] = out[s : s + n]
+        return result
+
     def marginals(self, lines: list[np.ndarray]) -> list[np.ndarray]:
-        """As ``passes``; lines with nothing remarkable depend on their length only."""
+        """As ``chances``; lines with nothing remarkable depend on their length only."""
         out: list = [None] * len(lines)
         todo = []
         for i, line in enumerate(lines):
@@ -157,11 +197,11 @@ class Field:
                 if len(line) not in self.plain:
                     if len(self.plain) > 5000:
                         self.plain.clear()
-                    self.plain[len(line)] = self.passes([line])[0][0]
+                    self.plain[len(line)] = self.chances([line])[0]
                 out[i] = self.plain[len(line)]
         for s in range(0, len(todo), 4096):
             part = todo[s : s + 4096]
-            for i, p in zip(part, self.passes([lines[i] for i in part])[0], strict=True):
+            for i, p in zip(part, self.chances([lines[i] for i in part]), strict=True):
                 out[i] = p
         return out
 

@@ -6,6 +6,25 @@ from churnspark.llm import toxicity as X
 from conftest import WORDS
 
 
+def test_token_bins_are_those_of_the_lexicon():
+    lex = X.Lexicon({"poison": (9, 0), "4|pois": (20, 1), "6|poison": (9, 3), "5|mildl": (1, 30), "mild": (1, 30)}, 25, 40)
+    words = ["poison", "poisonous", "poise", "pois", "4|pois", "(poison)", "mildly", "mild", "...", "", "other"]
+    bins = X.TokenBins(lex)
+    want = [lex.token(w)[0] for w in words]
+    lex.token = None     # no word is looked up by its list of units
+    assert [bins[w] for w in words] == want and len(set(want)) > 3
+
+
+def test_odds_give_the_marginals_of_the_passes():
+    r = np.random.default_rng(5)
+    lines = [r.integers(0, 36, n) for n in (1, 700, 3, 0, 40, 40, 2)]
+    for scale in (1, 15, 100):
+        f = X.Field(scale * r.normal(size=36), scale * r.normal(size=(2, 2)))
+        for a, b in zip(f.chances(lines), f.passes(lines)[0], strict=True):
+            assert np.allclose(a, b, rtol=1e-9, atol=1e-12)
+    assert f.chances([]) == []
+
+
 def test_marginals_equal_enumeration():
     r = np.random.default_rng(0)
     f = X.Field(r.normal(size=36), r.normal(size=(2, 2)))

@@ -28,8 +28,9 @@ from churnspark.operators import metrics as M
 from churnspark.operators import score as V
 from churnspark.plans import learners as L
 from churnspark.plans import tune as T
+from churnspark.plans.features import ChurnFeatures
 from churnspark.plans.histtrees import fit_specs
-from churnspark.session import materialize
+from churnspark.session import cut_lineage, materialize
 
 
 def add_member_score(df: DataFrame, model, out: str) -> DataFrame:
@@ -189,6 +190,15 @@ def _whole(model, features):
     return model if features is None else PipelineModel([features, *model.stages])
 
 
+def _encoded_fold(folded: DataFrame, f: int, features):
+    """The feature stage of a fold and all rows as it encodes them: ``features`` has encoded
+    them, or a stage fitted on the other folds does, once for all members."""
+    if features is not None:
+        return features, folded
+    stage = ChurnFeatures().fit(folded.where(F.col(T.FOLD) != f))
+    return stage, cut_lineage(stage.transform(folded).select(S.KEY, "label", T.FOLD, "features"))
+
+
 def fit_stacking(keys, train: DataFrame, k: int = 5, overrides: dict | None = None,
                  max_iter: int = 200, parallelism: int = 2, features=None) -> StackingModel:
     """Out-of-fold member scores (fold by fold, member after member on the same
@@ -196,18 +206,21 @@ def fit_stacking(keys, train: DataFrame, k: int = 5, overrides: dict | None = No
 
     The k folds, and then the member refits, run as independent jobs, up to
     ``parallelism`` at once.  With ``features``, a fitted feature stage, ``train``
-    holds rows that it has encoded (resampled ones, say)."""
+    holds rows that it has encoded (resampled ones, say); else every fold has its own."""
     overrides = overrides or {}
     keys = list(keys)
     folded = T.with_folds(train, k)
     grown = grow_members(keys, folded, overrides, [*range(k), None]) if features is not None else {}
 
     def fold_part(f: int) -> DataFrame:
-        fit_rows = folded.where(F.col(T.FOLD) != f)
-        held = folded.where(F.col(T.FOLD) == f).select(S.KEY, "label", *[
-            c for c in train.columns if c not in (S.KEY, "label")])
-        for key in keys:
-            held = add_member_score(held, grown.get((key, f)) or _fit_member(key, fit_rows, overrides.get(key), features), f"p_{key}")
+        stage, rows = _encoded_fold(folded, f, features)
+        fit_rows = rows.where(F.col(T.FOLD) != f).drop(T.FOLD)
+        mine = {key: grown.get((key, f)) for key in keys} if features is not None else \
+            {key: m for (key, _), m in grow_members(keys, fit_rows, overrides, [None]).items()}
+        held = rows.where(F.col(T.FOLD) == f).select(S.KEY, "label", "features")
+        with L.persisted(fit_rows):
+            for key in keys:
+                held = add_member_score(held, mine.get(key) or _fit_member(key, fit_rows, overrides.get(key), stage), f"p_{key}")
         return held.select(S.KEY, "label", *[f"p_{key}" for key in keys])
 
     try:
@@ -216,17 +229,19 @@ def fit_stacking(keys, train: DataFrame, k: int = 5, overrides: dict | None = No
         oof = parts[0]
         for p in parts[1:]:
             oof = oof.unionByName(p)
-        oof = materialize(oof)
+        oof = cut_lineage(oof)
     finally:
         folded.unpersist()
-    try:
-        x = VectorAssembler(inputCols=[f"p_{key}" for key in keys],
-                            outputCol="_meta_x").transform(oof)
+    x = VectorAssembler(inputCols=[f"p_{key}" for key in keys],
+                        outputCol="_meta_x").transform(oof)
+    with L.persisted(x):
         meta = LogisticRegression(featuresCol="_meta_x", labelCol="label",
                                   maxIter=max_iter).fit(x)
-    finally:
-        oof.unpersist()
-    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as ex:
+    if features is None:
+        features = ChurnFeatures().fit(train)
+        train = cut_lineage(features.transform(train).select(S.KEY, "label", "features"))
+        grown = grow_members(keys, train, overrides, [None])
+    with L.persisted(train), ThreadPoolExecutor(max_workers=max(1, parallelism)) as ex:
         fitted = list(ex.map(lambda key: _whole(grown.get((key, None)) or _fit_member(key, train, overrides.get(key), features), features), keys))
     return StackingModel(dict(zip(keys, fitted)), meta)
 
@@ -244,12 +259,16 @@ def fit_calibrated(base, train: DataFrame, cv: int = 3, overrides=None,
     grown = grow_members([base], folded, {base: overrides}, range(cv)) if features is not None and not callable(base) else {}
 
     def one(f: int):
-        rows = folded.where(F.col(T.FOLD) != f).drop(T.FOLD)
-        whole = base(rows) if callable(base) else _whole(grown.get((base, f)) or _fit_member(base, rows, overrides, features), features)
-        scorer = whole
-        if features is not None:       # held-out rows are encoded already
-            scorer = encoded_part(whole)
-        held = add_member_score(folded.where(F.col(T.FOLD) == f).drop(T.FOLD), scorer, "score").select("label", "score")
+        if callable(base):
+            stage, rows = features, folded
+            whole = base(rows.where(F.col(T.FOLD) != f).drop(T.FOLD))
+        else:
+            stage, rows = _encoded_fold(folded, f, features)
+            fit_rows = rows.where(F.col(T.FOLD) != f).drop(T.FOLD)
+            mine = grown.get((base, f)) if features is not None else grow_members([base], fit_rows, {base: overrides}, [None]).get((base, None))
+            whole = _whole(mine or _fit_member(base, fit_rows, overrides, stage), stage)
+        scorer = whole if stage is None else encoded_part(whole)       # held-out rows are encoded already
+        held = add_member_score(rows.where(F.col(T.FOLD) == f).drop(T.FOLD), scorer, "score").select("label", "score")
         iso = IsotonicRegression(featuresCol="score", labelCol="label", isotonic=True).fit(held)
         return whole, iso
 
@@ -265,6 +284,8 @@ def encoded_part(model):
     """The part of a model after its feature stage, to score encoded rows."""
     if isinstance(model, PipelineModel):
         return PipelineModel(model.stages[1:])
+    if isinstance(model, CalibratedModel):
+        return CalibratedModel([(encoded_part(base), iso) for base, iso in model.parts])
     members = {n: encoded_part(m) for n, m in model.members.items()}
     return StackingModel(members, model.meta) if isinstance(model, StackingModel) else VotingModel(members)
 

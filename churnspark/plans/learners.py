@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import logging
 import math
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -30,6 +31,7 @@ from churnspark import schema as S
 from churnspark.operators import score as V
 from churnspark.plans.features import ChurnFeatures
 from churnspark.plans.histtrees import MAX_BINS, HistTreesClassifier, TreeSpec
+from churnspark.session import cut_lineage
 
 # ---------------------------------------------------------------------------
 # Learner presets in the original parameter names.
@@ -378,15 +380,39 @@ def fit_vectors(key: str, features: Model, vectors: DataFrame, overrides: dict |
     return PipelineModel([features, *fit_persisted(Pipeline(stages=pipe.getStages()[1:]), data).stages])
 
 
-def fit_persisted(estimator, data: DataFrame):
+def fit_persisted(pipeline: Pipeline, data: DataFrame) -> PipelineModel:
     """Fit with the input persisted for the many passes of an iterative fit
-    (feature statistics, tree levels, boosting rounds), then release it."""
+    (feature statistics, tree levels, boosting rounds), then release it.
+
+    The classifier reads encoded rows that are cut off from the plan that encoded them: each
+    of its jobs would send that plan to the tasks, and a model with a training summary would
+    keep it and send it along whenever it scores."""
+    *before, last = pipeline.getStages()
+    with persisted(data):
+        models, rows = [], data
+        if before:
+            models = Pipeline(stages=before).fit(data).stages
+            rows = cut_lineage(training_rows(PipelineModel(models).transform(data), last))
+    with persisted(rows):
+        return PipelineModel([*models, last.fit(rows)])
+
+
+def training_rows(encoded: DataFrame, classifier) -> DataFrame:
+    """The columns that the classifier reads, and the key."""
+    names = [*({S.KEY} & set(encoded.columns)), *(classifier.getOrDefault(p) for p in ("labelCol", "featuresCol", "weightCol") if classifier.hasParam(p) and classifier.isDefined(p))]
+    return encoded.select(*dict.fromkeys(names))
+
+
+@contextmanager
+def persisted(data: DataFrame):
+    """The rows persisted, unless they are already, and released afterwards."""
     from pyspark import StorageLevel
     if data.storageLevel.useMemory or data.storageLevel.useDisk:
-        return estimator.fit(data)
-    data = data.persist(StorageLevel.MEMORY_AND_DISK)
+        yield
+        return
+    data.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        return estimator.fit(data)
+        yield
     finally:
         data.unpersist()
 

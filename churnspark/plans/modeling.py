@@ -23,7 +23,7 @@ from churnspark.plans import explain as X
 from churnspark.plans import learners as L
 from churnspark.plans import tune as T
 from churnspark.plans.features import ChurnFeatures, fit_yeo_johnson
-from churnspark.session import default_buckets, ensure_checkpoint_dir
+from churnspark.session import cut_lineage, default_buckets, ensure_checkpoint_dir
 from churnspark.sources.fixtures import read_table
 
 _MODELS: dict = {}
@@ -59,13 +59,14 @@ def labeled_cached(spark: SparkSession, d: str) -> DataFrame:
     A partition for each core, more where one would have over PART_ROWS rows: fits do much
     work with few bytes, by which Spark would deal them to a task or two, and the number of
     tasks of a fit's many jobs does not grow before the rows ask for it.  Rows are in the
-    order of their keys, so that fits that draw rows draw the same ones each time."""
+    order of their keys, so that fits that draw rows draw the same ones each time.  They are
+    cut off from the plan that made them, which every job of a fit would carry."""
     from pyspark import StorageLevel
     k = (_session(spark), d)
     if k not in _LABELED:
         n = read_table(spark, d, "customer").count()
         parts = max(default_buckets(spark, factor=1, floor=1), -(-n // PART_ROWS))
-        lab = labeled(spark, d).repartition(parts, S.KEY).sortWithinPartitions(S.KEY).persist(StorageLevel.MEMORY_AND_DISK)
+        lab = cut_lineage(labeled(spark, d).repartition(parts, S.KEY).sortWithinPartitions(S.KEY)).persist(StorageLevel.MEMORY_AND_DISK)
         lab.count()
         _LABELED[k] = lab
     return _LABELED[k]

@@ -39,3 +39,20 @@ def test_stacking_encodes_a_fold_once(parts, monkeypatch):
     scored = EN.VotingModel(model.members).member_scores(test)
     for k, rows in alone.items():
         assert dict(scored.select("customerID", f"p_{k}").collect()) == pytest.approx(dict(rows), abs=1e-12)
+
+
+def test_a_flow_encodes_its_test_rows_once(parts, monkeypatch):
+    from churnspark.plans.features import ChurnFeaturesModel
+    from churnspark.plans.flow import FlowPlan, train_flow
+    train, test = parts
+    runs, plain = [], ChurnFeaturesModel._transform
+    monkeypatch.setattr(ChurnFeaturesModel, "_transform", lambda self, df: runs.append(1) or plain(self, df))
+    found = train_flow(train, test, FlowPlan(learners=("dt",), ensembles=(), calibration_folds=2))
+    assert len(runs) == 2                 # training rows, test rows
+    assert {r.model for r in found.comparison.collect()} == {"dt", "dt_calibrated"}
+
+
+def test_fold_views_carry_no_plan(parts):
+    from churnspark.plans import tune as T
+    train, _ = parts
+    assert "tenure" not in _plan(T.fold_views(T.with_folds(train, 2), 2))

@@ -14,8 +14,11 @@ found are joined to components; then with the likeliest member of another compon
 in its block of a node, so that copies of one text are one component before anything
 else is compared.  Members of different components that share a small
 node are then compared exhaustively, by their minwise values; a large node branches
-again, and at the last depth is compared block by block.  Links are always confirmed
-on full sets.  Sets that are equal are one class from the start.
+again, and at the last depth is compared block by block.  For the members of large nodes
+that are still apart, :func:`rare_values` says which of their values few of them hold.
+Two sets that share none of these share the others at most, which leaves out most pairs
+below the threshold before they are made; those that share some are found by them.
+Links are always confirmed on full sets.  Sets that are equal are one class from the start.
 """
 
 from __future__ import annotations
@@ -38,6 +41,8 @@ DEPTHS = (3, 5)
 SMALL_NODE = 64
 #: Members outside the largest component of a large node that go to each of its blocks, and members of such a block.
 OTHERS = 512
+#: Sets of members of large nodes that hold a rare value, at most: these are compared by it.
+RARE = 64
 #: Bytes of sets that are compared in one place: a cell whose pairs need more is cut into tiles.
 TILE_BYTES = 16 << 20
 #: Pairs at the threshold that share too few minwise values to be confirmed on full sets: a share of one in so many.
@@ -225,18 +230,21 @@ def alike(members: DataFrame, reps: DataFrame, percent: int, agree: int, nearest
     and the others.  Sizes too different for
     ``percent`` and pairs that share fewer than ``agree`` minwise values are left out.
     With ``nearest`` a block is only compared with itself, and each member gets one
-    partner, that with which it shares most values.  A pair comes once for each cell
+    partner, that with which it shares most values.  With ``common`` of ``reps`` (null
+    where not known), so are pairs that cannot be linked if they share no rare value.  A pair comes once for each cell
     that it meets in; :func:`once` chooses one.
     """
     import pyarrow as pa
 
-    def compare(ids, component, own, n, mins) -> np.ndarray:
+    def compare(ids, component, own, n, common, mins) -> np.ndarray:
         """Columns (a, b, shared values)."""
         x, y = np.triu_indices(len(ids), 1)
         ok = component[x] != component[y]
         if (own >= 0).any():
             ok &= own[x] != own[y]
         ok &= 100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])
+        most = np.minimum(common[x], common[y])        # -1: not known
+        ok &= (most < 0) | ((100 + percent) * most >= percent * (n[x] + n[y]))
         x, y = x[ok], y[ok]
         shared = (mins[x] == mins[y]).sum(axis=1)
         ok = shared >= agree
@@ -259,7 +267,7 @@ def alike(members: DataFrame, reps: DataFrame, percent: int, agree: int, nearest
         for batch in batches:
             if not batch.num_rows:
                 continue
-            now = [batch.column(i).to_numpy() for i in range(5)] + [_matrix(batch.column(5))]
+            now = [batch.column(i).to_numpy() for i in range(6)] + [_matrix(batch.column(6))]
             held = now if held is None else [np.concatenate(z) for z in zip(held, now, strict=True)]
             cuts = [0, *(np.flatnonzero(held[0][1:] != held[0][:-1]) + 1).tolist()]
             pairs = [found(*(z[i:j] for z in held)) for i, j in zip(cuts[:-1], cuts[1:], strict=True) if j - i > 1]
@@ -295,7 +303,8 @@ def alike(members: DataFrame, reps: DataFrame, percent: int, agree: int, nearest
                  .select(cell(F.col("own"), F.col("other")), "id", "component", F.when(F.col("own") == F.col("other"), F.lit(-1)).otherwise(F.col("own")).cast("long").alias("own")))
         alone = members.filter(F.col("size") <= SMALL_NODE).select(cell(F.lit(0).cast("long"), F.lit(0).cast("long")), "id", "component", whole)
         cells = alone.union(crowd).union(mixed)
-    rows = cells.join(reps.select("id", "n", "mins"), "id").select("cell", "id", "component", "own", "n", "mins")
+    known = F.coalesce("common", F.lit(-1).cast("long")).alias("common")
+    rows = cells.join(reps.select("id", "n", known, "mins"), "id").select("cell", "id", "component", "own", "n", "common", "mins")
     pairs = rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "cell long, weight long, a long, b long, shared long")
     if nearest:  # of all its nodes
         pairs = pairs.groupBy("a").agg(F.max(F.struct("shared", "b", "weight", "cell")).alias("best")).select("a", "best.*")
@@ -307,6 +316,56 @@ def once(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("a", "b").agg(F.max(F.struct("weight", "cell")).alias("at")).select("at.cell", "a", "b")
 
 
+def rare_values(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(value, id) of the values that 2 to RARE of ``sets`` hold; (id, alone): how many values only this set holds."""
+    import pyarrow as pa
+
+    def run(batches: Iterator):
+        for batch in batches:
+            for i in range(0, batch.num_rows, 128):
+                part = batch.slice(i, 128)
+                held = [np.frombuffer(v, "<i8") for v in part.column(1).to_pylist()]
+                ids = np.repeat(part.column(0).to_numpy(), list(map(len, held)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held)), pa.array(ids)], ["value", "id"])
+
+    values = sets.select("id", "set").mapInArrow(run, "value long, id long")
+    holders = values.groupBy("value").agg(F.count(F.lit(1)).alias("holders"), F.min("id").alias("id"))
+    alone = holders.filter("holders = 1").groupBy("id").agg(F.count(F.lit(1)).alias("alone"))
+    return values.join(holders.filter(F.col("holders").between(2, RARE)).select("value"), "value"), alone
+
+
+def shares(sets: DataFrame, rare: DataFrame, alone: DataFrame) -> DataFrame:
+    """(id, n, found, common): a set's size, how many of its values any other of ``sets`` holds, and how many of these are not rare.
+
+    No set shares more than ``found`` values with another, nor more than ``common`` besides
+    the rare ones.  Ids with several sets are not in the result.
+    """
+    one = sets.groupBy("id").agg(F.count(F.lit(1)).alias("sets"), F.max(F.octet_length("set") / 8).cast("long").alias("n")).filter("sets = 1")
+    few = rare.groupBy("id").agg(F.count(F.lit(1)).alias("rare"))
+    found = F.col("n") - F.coalesce("alone", F.lit(0))
+    return one.join(alone, "id", "left").join(few, "id", "left").select("id", "n", found.alias("found"), (found - F.coalesce("rare", F.lit(0))).alias("common"))
+
+
+def by_rare_values(rare: DataFrame, known: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
+    """(cell, weight, a, b): pairs a < b of different components that share so many rare values that they may be linked; ``known`` is of :func:`shares`."""
+    able = known.filter(100 * F.col("found") >= percent * F.col("n")).select("id", "n", "common")
+    rows = rare.join(able, "id").join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    apart = rows.groupBy("value").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("value")
+    rows = rows.join(apart, "value", "left_semi")
+    x, y = (rows.select("value", *(F.col(c).alias(end + c) for c in ("id", "n", "common", "component"))) for end in "xy")
+    met = x.join(y, "value").filter("xid < yid AND xcomponent <> ycomponent").groupBy("xid", "yid", "xn", "yn", "xcommon", "ycommon").agg(F.count(F.lit(1)).alias("shared"))
+    enough = (100 + percent) * (F.least("xcommon", "ycommon") + F.col("shared")) >= percent * (F.col("xn") + F.col("yn"))
+    return met.filter(enough).select(F.xxhash64("xid").alias("cell"), F.lit(0).cast("long").alias("weight"), F.col("xid").alias("a"), F.col("yid").alias("b"))
+
+
+def central(members: DataFrame, known: DataFrame) -> DataFrame:
+    """(cell, weight, a, b): each member of nodes with the one of these whose set has most of its values in others, of all in its nodes."""
+    rows = members.select("node", "id").join(known.select("id", (F.col("found") / F.col("n")).alias("part")), "id")
+    best = rows.groupBy("node").agg(F.max(F.struct("part", (-F.col("id")).alias("last"))).alias("best"))
+    hub = rows.join(best, "node").groupBy("id").agg(F.max("best").alias("best")).select("id", (-F.col("best.last")).alias("hub")).filter("hub <> id")
+    return hub.select(F.xxhash64("hub").alias("cell"), F.lit(0).cast("long").alias("weight"), F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
+
+
 def linked(pairs: DataFrame, sets: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of (cell, a, b) whose sets have 100 * intersection >= percent * union.
 
@@ -412,6 +471,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     links = settle_snug(linked(tested, sets, sizes, percent))
     tested = tested.select("a", "b")
     comp = components(links)
+    reps, sharing = classes.withColumn("common", F.lit(None).cast("long")), None
 
     def still_open(members: DataFrame) -> DataFrame:
         """The members of nodes that hold several components."""
@@ -433,15 +493,38 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
         comp = components(comp.select(F.col("component").alias("a"), F.col("id").alias("b")).union(found))
         return True
 
+    def without_lonely(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The members of nodes that are still open when those of large nodes are linked with the central ones, and pairs that share rare values.
+
+        Members of large nodes that can be linked with no other of these leave them.  All
+        members of a large node are counted, and so are those of the nodes below it."""
+        nonlocal reps
+        crowded = F.col("size") > SMALL_NODE
+        large = members.filter(crowded)
+        crowd = settle(sets.join(large.select("id").distinct(), "id", "left_semi"))
+        rare, alone = rare_values(crowd)
+        rare = settle(rare)
+        known = settle(shares(crowd, rare, alone))
+        reps = classes.join(known.select("id", "common"), "id", "left")
+        confirm(central(large, known))
+        lonely = known.filter(100 * F.col("found") < percent * F.col("n")).select("id", F.lit(True).alias("lonely"))
+        left = members.join(lonely, "id", "left").filter(~(crowded & F.coalesce("lonely", F.lit(False)))).select("node", "id")
+        sizes = left.groupBy("node").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+        return still_open(left.join(sizes, "node")), by_rare_values(rare, known, comp, percent)
+
     for depth, deeper_by in zip(DEPTHS, [*np.diff(DEPTHS).tolist(), 0], strict=True):
         open_ = still_open(members)
-        if not open_.isEmpty() and confirm(alike(open_, classes, percent, agree, nearest=True)):
+        if not open_.isEmpty() and confirm(alike(open_, reps, percent, agree, nearest=True)):
             open_ = still_open(members)
-        if open_.isEmpty():
+        if depth == DEPTHS[0] and not open_.filter(F.col("size") > SMALL_NODE).isEmpty():
+            open_, sharing = without_lonely(open_)
+        if open_.isEmpty() and sharing is None:
             break
         last = depth == DEPTHS[-1]
         small = open_ if last else open_.filter(F.col("size") <= SMALL_NODE)
-        across = alike(small, classes, percent, agree)
+        across = alike(small, reps, percent, agree)
+        if sharing is not None:
+            across, sharing = across.union(sharing), None
         members = None
         if not last:
             deeper = open_.filter(F.col("size") > SMALL_NODE)

@@ -130,3 +130,28 @@ def test_links_are_the_same_however_small_the_tiles(spark, monkeypatch):
     for size in (16 << 20, 2000, 100):
         monkeypatch.setattr(neardup, "TILE_BYTES", size)
         assert sorted(map(tuple, neardup.linked(met, sets, sizes, 75).collect())) == want
+
+
+def test_pairs_of_a_large_group_below_the_threshold_are_left_out_unmade(spark, monkeypatch):
+    r = random.Random(11)
+    base, rows = words(52, 150).split(), []
+    for i in range(400):  # near copies: a few linked, most of them below the threshold with all others
+        w = list(base)
+        for _ in range(r.randrange(1, 18)):
+            w[r.randrange(len(w))] = f"new{r.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    compared, linked = [], neardup.linked
+    monkeypatch.setattr(neardup, "linked", lambda pairs, *rest: compared.append(pairs.count()) or linked(pairs, *rest))
+    check(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert 0 < sum(compared) < 10 * len(rows)
+
+
+def test_values_that_few_sets_hold(spark, monkeypatch):
+    import numpy as np
+    monkeypatch.setattr(neardup, "RARE", 2)
+    data = [(1, [1, 2, 3, 4]), (2, [3, 4, 5]), (3, [9]), (4, [4, 10]), (4, [11, 12])]
+    sets = spark.createDataFrame([(i, bytearray(np.array(x, "<i8").tobytes())) for i, x in data], "id long, set binary")
+    rare, alone = neardup.rare_values(sets)
+    assert sorted(tuple(r) for r in rare.collect()) == [(3, 1), (3, 2)]
+    got = {r["id"]: (r["n"], r["found"], r["common"]) for r in neardup.shares(sets, rare, alone).collect()}
+    assert got == {1: (4, 2, 1), 2: (3, 2, 1), 3: (1, 0, 0)}

@@ -11,7 +11,8 @@ whatever their depth and number of rounds.
 
 What a task holds is bounded by CELLS_PER_JOB; a step that wants more histograms
 runs as several jobs.  Rows that fit one block (BLOCK_ROWS) are broadcast, and each task
-grows one model to its end by the same steps, without a job for each.  Features with few
+grows one model to its end by the same steps, without a job for each; where several models
+are boosted, tasks get the rows of up to HELD_BLOCKS blocks by an exchange and do the same.  Features with few
 bins are counted together, by the joint code of several, and parted afterwards.
 Gradients are rounded to multiples of 2^-24, so that their sums are
 exact and do not depend on how rows are dealt to tasks.
@@ -30,7 +31,7 @@ import json
 import math
 import pickle
 from dataclasses import dataclass, replace
-from functools import partial
+from functools import cached_property, partial
 
 import numpy as np
 import pandas as pd
@@ -59,6 +60,14 @@ REFRESH, CHECKPOINT = 8, 25
 BLOCK_WORK, BLOCK_ROWS = 25_000, 131_072
 #: Rows of a partition at most; one has several blocks, a record batch each.
 PART_ROWS = 262_144
+#: Rows of a model's task from which nodes keep lists of their rows, and of a node from which it is counted alone.
+MANY_ROWS, OWN_ROWS = 8_192, 4_096
+#: Rows that are dealt at once, so that they stay in a core's cache.
+DEALT = 8_192
+#: Rows that are counted at once, and what stands for one row beside its h: the sums stay within a double's 53 bits.
+CHUNK, ONE_ROW = 32_767, 2.0**14
+#: Blocks of rows that a task which grows whole models may hold.
+HELD_BLOCKS = 8
 #: The column of fold numbers.
 FOLD = "fold"
 #: Gradients are multiples of this.
@@ -134,7 +143,7 @@ def _derivatives(block: dict, ask: dict, pending: dict):
     """Rows to use, and their g, h and count; and the loss over the rows of early stopping."""
     spec, y = ask["spec"], block["y"]
     use = block["fold"] != (-1 if spec.held_out is None else spec.held_out)
-    w = np.where(y > 0, ask["weights"][1], ask["weights"][0])
+    w = 1.0 if ask["weights"][0] == ask["weights"][1] == 1 else np.where(y > 0, ask["weights"][1], ask["weights"][0])
     loss = np.zeros(2)
     if spec.boosted:
         m = _margin(block, ask["model"], ask["base"], spec.view, pending)
@@ -147,7 +156,7 @@ def _derivatives(block: dict, ask: dict, pending: dict):
             w = w * (-np.log(_scramble(block["id"], 977 * ask["round"] + spec.seed + 7))) ** spec.temperature
         g, h = w * (p - y), w * p * (1 - p)
     else:
-        g, h = w * y, w
+        g, h = w * y, w * np.ones(len(y))
     if spec.subsample < 1:
         use = use & (_scramble(block["id"], 1009 * ask["round"] + spec.seed + 1) < spec.subsample)
     return np.flatnonzero(use), np.rint(g / GRAIN) * GRAIN, np.rint(h / GRAIN) * GRAIN, loss
@@ -179,6 +188,24 @@ class Layout:
     def feature_of(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.offsets) - 1), np.diff(self.offsets))
 
+    @cached_property
+    def spread(self) -> list[tuple]:
+        """For each bundle the cells of its features, and (joint code, cell): 1 where the code counts for the cell."""
+        out = []
+        for features, bins in self.bundles:
+            codes = np.unravel_index(np.arange(math.prod(bins)), bins)
+            cells = np.concatenate([np.arange(self.offsets[f], self.offsets[f + 1]) for f in features])
+            out.append((cells, np.concatenate([c[:, None] == np.arange(b) for c, b in zip(codes, bins, strict=True)], axis=1).astype(float)))
+        return out
+
+    def wanted(self, chosen) -> list[bool]:
+        """The bundles that hold one of the chosen features (None: of all)."""
+        if chosen is None:
+            return [True] * len(self.bundles)
+        some = np.zeros(len(self.offsets) - 1, bool)
+        some[chosen] = True
+        return [bool(some[features].any()) for features, _ in self.bundles]
+
 
 def _layout(cuts: list[np.ndarray]) -> Layout:
     bundles: list[tuple[list, list]] = []
@@ -203,6 +230,28 @@ def _joint(codes: np.ndarray, layout: Layout) -> np.ndarray:
     return out
 
 
+def _pairs(layout: Layout) -> list[tuple]:
+    """The bundles two by two, the largest with the smallest; one alone where two have too many joint codes."""
+    size = [math.prod(bins) for _, bins in layout.bundles]
+    line, out = sorted(range(len(size)), key=lambda b: (size[b], b)), []
+    while line:
+        b = line.pop()
+        out.append((line.pop(0), b) if line and size[line[0]] * size[b] <= JOINT * JOINT else (b,))
+    return out
+
+
+def _wide(joint: np.ndarray, layout: Layout) -> np.ndarray:
+    """(pair, row): the joint codes of a pair of bundles."""
+    pairs = _pairs(layout)
+    out = np.empty((len(pairs), joint.shape[1]), np.uint16)
+    for wide, (a, *b) in zip(out, pairs, strict=True):
+        wide[:] = joint[a]
+        for other in b:
+            wide *= np.uint16(math.prod(layout.bundles[other][1]))
+            wide += joint[other]
+    return out
+
+
 def _step(blocks, wanted: bytes, layouts: list[Layout]):
     asks, pending = pickle.loads(wanted)
     return enumerate(_histograms(blocks, asks, layouts, pending))
@@ -244,13 +293,10 @@ def _histograms(blocks, asks: list[dict], layouts: list[Layout], pending: dict)
 
 def _parted(found: dict, layout: Layout, n: int, kinds: int) -> np.ndarray:
     """Sums by joint codes as sums by feature and bin."""
-    o = layout.offsets
-    out = np.zeros((n, kinds, int(o[-1])), float if kinds == 3 else np.int64)
+    out = np.zeros((n, kinds, int(layout.offsets[-1])), float if kinds == 3 else np.int64)
     for b, sums in found.items():
-        features, bins = layout.bundles[b]
-        shaped = sums.reshape(n, kinds, *bins)
-        for at, f in enumerate(features):
-            out[:, :, o[f] : o[f + 1]] = shaped.sum(axis=tuple(2 + i for i in range(len(bins)) if i != at))
+        cells, counts = layout.spread[b]
+        out[:, :, cells] = (sums.reshape(n * kinds, -1) @ counts).reshape(n, kinds, -1)      # exact: whole multiples of GRAIN
     return out
 
 
@@ -611,7 +657,8 @@ def _output(block: dict, model: int, base: float, view: int, pending: dict, tree
 def _score_rows(block: dict, model: int, fold: int, score: np.ndarray):
     import pyarrow as pa
     held = np.flatnonzero(block["fold"] == fold)
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(held), model, np.int32)), pa.array([block["key"][r] for r in held.tolist()], pa.string()), pa.array(block["y"][held].astype(np.int32)),
+    key = block["key"].take(pa.array(held)) if isinstance(block["key"], pa.Array) else pa.array([block["key"][r] for r in held.tolist()], pa.string())
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(held), model, np.int32)), key, pa.array(block["y"][held].astype(np.int32)),
                                        pa.array(np.full(len(held), fold, np.int32)), pa.array(score)], ["model", S.KEY, "label", FOLD, "score"])
 
 
@@ -632,17 +679,25 @@ class _TaskGrower(Grower):
         self._refresh()
         return [_splits(a, *self._sums(a), self.layouts) for a in asks]
 
+    def _begin(self, ask: dict) -> dict:
+        """What a tree's nodes are counted from."""
+        rows, g, h, loss = _derivatives(self.block, ask, {})
+        return dict(rows=rows, g=g[rows], h=h[rows], loss=loss, at=np.zeros(len(rows), np.int64),
+                    codes=self.block["codes"][ask["spec"].view][rows], joint=self.block["joint"][ask["spec"].view][:, rows])
+
+    def _reach(self, ask: dict, kept: dict, family: dict) -> None:
+        """Move the rows to the nodes that are asked for."""
+        if len(ask["tree"][0]) > 1:
+            kept["at"] = _nodes(kept["codes"], *ask["tree"], node=kept["at"])
+
     def _sums(self, ask: dict) -> tuple:
         kept = self.kept.get(ask["model"])
         if kept is None or kept["round"] != ask["round"]:
-            rows, g, h, loss = _derivatives(self.block, ask, {})
-            kept = self.kept[ask["model"]] = dict(round=ask["round"], rows=rows, g=g[rows], h=h[rows], loss=loss, at=np.zeros(len(rows), np.int64), sums={},
-                                                  codes=self.block["codes"][ask["spec"].view][rows], joint=self.block["joint"][ask["spec"].view][:, rows])
+            kept = self.kept[ask["model"]] = dict(self._begin(ask), round=ask["round"], sums={})
         tree, nodes = ask["tree"], ask["nodes"].tolist()
-        if len(tree[0]) > 1:
-            kept["at"] = _nodes(kept["codes"], *tree, node=kept["at"])
         inner = np.flatnonzero(tree[0] >= 0)
         family = {kid: (parent, other) for parent, x, y in zip(inner.tolist(), tree[2][inner].tolist(), tree[3][inner].tolist(), strict=True) for kid, other in ((x, y), (y, x))}
+        self._reach(ask, kept, family)
         counted, rest = [], []
         for node in nodes:
             parent, other = family.get(node, (None, None))
@@ -666,10 +721,10 @@ class _TaskGrower(Grower):
         if not spec.boosted:
             pos = pos * 2 + (self.block["y"][kept["rows"][some]] > 0)
         found = {}
-        for b, (features, bins) in enumerate(layout.bundles):
-            if ask["features"] is not None and not np.isin(features, ask["features"]).any():
+        for b, wanted in enumerate(layout.wanted(ask["features"])):
+            if not wanted:
                 continue
-            size = math.prod(bins)
+            size = math.prod(layout.bundles[b][1])
             cell = pos * size + kept["joint"][b][some]
             if spec.boosted:
                 found[b] = np.stack([np.bincount(cell, w, n * size).reshape(n, size) for w in (g, h, None)], axis=1)
@@ -684,54 +739,390 @@ class _TaskGrower(Grower):
         self.pending = {}
 
 
-class _WholeGrower(Grower):
-    """Rows that fit one block: nothing is exchanged between tasks, each grows one model to its end.
+class _RowGrower(_TaskGrower):
+    """One model, inside a task that has many rows.
+
+    Rows are dealt to the nodes as the tree grows: a node has its rows' codes and
+    derivatives in arrays of its own.  Bundles are counted two by two, eight codes of a
+    row lie in one value of 16 bytes, and one complex sum has g, and h with the rows beside
+    it, to be parted afterwards.  A finished tree moves the margins of all rows by bit masks
+    of its leaves.  Sums are exact here too, so that the trees are the same."""
+
+    def __init__(self, rows: dict, wide: np.ndarray, view: int, layouts, thresholds, counts):
+        Grower.__init__(self, None, layouts, thresholds, counts, 1)
+        self.block, self.wide, self.kept, self.margin = rows, wide, {}, None
+        self.layout = layout = layouts[view]
+        self.size = [math.prod(bins) for _, bins in layout.bundles]
+        self.pairs = _pairs(layout)
+        self.shape = [tuple(self.size[b] for b in pair) for pair in self.pairs]
+        lanes = np.zeros((len(rows["y"]), -(-len(wide) // 8) * 8), np.uint16)
+        lanes[:, : len(wide)] = wide.T
+        self.lanes = [np.ascontiguousarray(lanes[:, i : i + 8]).view(np.complex128)[:, 0] for i in range(0, lanes.shape[1], 8)]
+        self.home = {}                            # feature -> its pair, and its code by the pair's code
+        for p, pair in enumerate(self.pairs):
+            for b, joint in zip(pair, np.unravel_index(np.arange(math.prod(self.shape[p])), self.shape[p]), strict=True):
+                features, bins = layout.bundles[b]
+                self.home.update((f, (p, code.astype(np.uint16))) for f, code in zip(features, np.unravel_index(joint, bins), strict=True))
+        # rows of nodes of even and of odd depth: a level is dealt from one to the other
+        self.space = [[np.empty(rows["training"], complex) for _ in (0, *self.lanes)] for _ in range(2)]
 
-    The block is broadcast: BLOCK_ROWS rows at most.  Models are the same as by steps."""
+    def _find(self, asks):
+        return [_splits(a, *self._sums(a), self.layouts) for a in asks]
 
-    def __init__(self, spark, block: dict, layouts, thresholds, counts):
-        super().__init__(None, layouts, thresholds, counts, 1)
-        self.sc = spark.sparkContext
-        self.shared = self.sc.broadcast((block, layouts, thresholds, counts))
-        self.held: dict[int, bytes] = {}
+    def _refresh(self) -> None:
+        pass
+
+    def _begin(self, ask: dict) -> dict:
+        spec, block, n = ask["spec"], self.block, self.block["training"]
+        if self.margin is None:
+            self.margin = np.full(len(block["y"]), ask["base"])
+        # h is a quarter of a row's weight at most
+        counted, loss, k = spec.boosted and not spec.temperature and max(ask["weights"]) <= 2, np.zeros(2), 0
+        for a in range(0, n, DEALT):
+            s = slice(a, min(n, a + DEALT))
+            rows, g, h, part = _derivatives(dict(y=block["y"][s], fold=block["fold"][s], id=block["id"][s], margin={ask["model"]: self.margin[s]}), ask, {})
+            loss += part
+            mine = slice(k, k + len(rows))
+            both = self.space[0][0][mine]
+            both.real, both.imag = (g.take(rows), h.take(rows)) if spec.boosted else (block["y"][s].take(rows) > 0, 1)
+            if counted:
+                both.imag += ONE_ROW
+            for lanes, space in zip(self.lanes, self.space[0][1:], strict=True):
+                lanes[s].take(rows, out=space[mine], mode="clip")
+            k += len(rows)
+        return dict(counted=counted, loss=loss, depth={0: 0}, full={}, bound=spec.num_leaves, rows={0: ([x[:k] for x in self.space[0]], None, True)})
+
+    def _rows(self, kept: dict, node: int) -> list[np.ndarray]:
+        """The node's derivatives and codes; taken out of its parent's when they are needed first."""
+        rows, side, way = kept["rows"][node]
+        if side is not None:
+            depth, n = kept["depth"][node], int(np.count_nonzero(side == way))
+            k = kept["full"].get(depth, 0)
+            kept["full"][depth] = k + n
+            # best node first is not level by level
+            out = [np.empty(n, complex) for _ in rows] if kept["bound"] else [x[k : k + n] for x in self.space[depth % 2]]
+            at = 0
+            for a in range(0, len(side), DEALT):
+                some = np.flatnonzero(side[a : a + DEALT] == way)
+                for x, to in zip(rows, out, strict=True):
+                    x[a : a + DEALT].take(some, out=to[at : at + len(some)], mode="clip")
+                at += len(some)
+            rows = out
+            kept["rows"][node] = rows, None, True
+        return rows
+
+    @staticmethod
+    def _codes(rows: list[np.ndarray], p: int) -> np.ndarray:
+        return rows[1 + p // 8].view(np.uint16).reshape(-1, 8)[:, p % 8]
+
+    def _reach(self, ask: dict, kept: dict, family: dict) -> None:
+        feature, code, left, right = ask["tree"]
+        for node in ask["nodes"].tolist():
+            if node not in kept["rows"]:
+                parent, _ = family[node]
+                rows = self._rows(kept, parent)
+                p, codes = self.home[int(feature[parent])]
+                goes, joint, side = codes <= code[parent], self._codes(rows, p), np.empty(len(rows[0]), bool)
+                for a in range(0, len(side), DEALT):
+                    goes.take(joint[a : a + DEALT], out=side[a : a + DEALT], mode="clip")
+                for kid, way in ((int(left[parent]), True), (int(right[parent]), False)):
+                    kept["rows"][kid], kept["depth"][kid] = (rows, side, way), kept["depth"][parent] + 1
+                del kept["rows"][parent]
+
+    def _count(self, ask: dict, kept: dict, nodes: list[int]) -> np.ndarray:
+        spec, layout, n = ask["spec"], self.layout, len(nodes)
+        kinds = 3 if spec.boosted else 2
+        some, apart = layout.wanted(ask["features"]), spec.boosted and not kept["counted"]
+        found = {b: np.zeros((n, kinds, self.size[b]), float if spec.boosted else np.int64) for b in range(len(some)) if some[b]}
+        pairs = [(p, pair) for p, pair in enumerate(self.pairs) if any(some[b] for b in pair)]
+        own: dict[int, list] = {b: [] for b in found}
+        places, few = [], []
+        for i, rows in enumerate(self._rows(kept, node) for node in nodes):
+            if len(rows[0]) < OWN_ROWS:
+                few.append((i, rows))
+                continue
+            for a in range(0, len(rows[0]), CHUNK):
+                places.append(i)
+                for p, pair in pairs:
+                    sums = self._added(self._codes(rows, p)[a : a + CHUNK].astype(np.intp), rows[0][a : a + CHUNK], math.prod(self.shape[p]), apart)
+                    for axis, b in enumerate(pair):
+                        if some[b]:
+                            own[b].append(_margin_sums(sums, self.shape[p], axis))
+        if places:
+            for b, sums in own.items():
+                np.add.at(found[b], places, self._kinds(np.stack(sums), spec.boosted))
+        while few:                                # so many at once as stay in a core's cache
+            ends = np.cumsum([len(rows[0]) for _, rows in few])
+            now = max(1, int(np.searchsorted(ends, 2 * DEALT, side="right")))
+            at, parts = zip(*few[:now], strict=True)
+            few = few[now:]
+            rows = [np.concatenate(x) for x in zip(*parts, strict=True)]
+            place = np.repeat(np.arange(now), [len(x[0]) for x in parts])
+            for p, pair in pairs:
+                joint = self._codes(rows, p)
+                for b, code in zip(pair, np.divmod(joint, np.uint16(self.shape[p][1])) if len(pair) > 1 else (joint,), strict=True):
+                    if some[b]:
+                        sums = self._added(place * self.size[b] + code, rows[0], now * self.size[b], apart)
+                        found[b][list(at)] = self._kinds(sums.reshape(now, self.size[b], -1), spec.boosted)
+        return _parted(found, layout, n, kinds)
+
+    @staticmethod
+    def _added(cell: np.ndarray, both: np.ndarray, cells: int, count: bool) -> np.ndarray:
+        """(cell, part): the sums by cell, and the rows apart where they do not go with h."""
+        sums = np.zeros(cells, complex)
+        np.add.at(sums, cell, both)
+        sums = sums.view(float).reshape(-1, 2)
+        return np.concatenate([sums, np.bincount(cell, None, cells)[:, None]], axis=1) if count else sums
+
+    @staticmethod
+    def _kinds(sums: np.ndarray, boosted: bool) -> np.ndarray:
+        """(node, kind, cell) of (node, cell, part): the sums of CHUNK rows at most each."""
+        if not boosted:
+            return np.stack([sums[:, :, 1] - sums[:, :, 0], sums[:, :, 0]], axis=1).astype(np.int64)
+        if sums.shape[2] == 3:
+            return sums.swapaxes(1, 2)
+        count = np.floor(sums[:, :, 1] / ONE_ROW)
+        return np.stack([sums[:, :, 0], sums[:, :, 1] - count * ONE_ROW, count], axis=1)
+
+    def _finish_tree(self, m: _Model) -> None:
+        super()._finish_tree(m)
+        self.pending.pop(m.number, None)
+        del self.kept[m.number]
+        tree = m.trees[-1]
+        value, feature, code, left, right = (np.array(tree[k]) for k in ("value", "feature", "code", "left", "right"))
+        leaves = int((feature < 0).sum())
+        if leaves > 256:
+            used = np.unique(feature[feature >= 0])
+            place = np.where(feature >= 0, np.searchsorted(used, feature), -1)
+            for a in range(0, len(self.margin), DEALT):
+                codes = np.stack([self.home[f][1].take(self.wide[self.home[f][0]][a : a + DEALT]) for f in used.tolist()], axis=1)
+                self.margin[a : a + DEALT] += value[_nodes(codes, place, code, left, right)]
+            return
+        masks, values = self._masks(tree, leaves)
+        for a in range(0, len(self.margin), DEALT):
+            self.margin[a : a + DEALT] += _first_leaf([(words, self.wide[p][a : a + DEALT]) for p, words in masks.items()], values)
+
+    def _masks(self, tree: dict, leaves: int) -> tuple:
+        """For each pair that the tree asks (word, code): the leaves that rows with the code may come to, as bits; and the leaves' values.
+
+        A row that goes right at a node does not come to the leaves on its left; the
+        first leaf that is left over is the row's."""
+        feature, left, right, n = tree["feature"], tree["left"], tree["right"], len(tree["feature"])
+        below, first = [1] * n, [0] * n
+        for i in range(n - 1, -1, -1):            # children come after their parents
+            if feature[i] >= 0:
+                below[i] = below[left[i]] + below[right[i]]
+        words = -(-leaves // 64)
+        values = np.zeros(words * 64)
+        by_feature: dict[int, np.ndarray] = {}
+        for i in range(n):
+            if feature[i] < 0:
+                values[first[i]] = tree["value"][i]
+                continue
+            first[left[i]], first[right[i]] = first[i], first[i] + below[left[i]]
+            gone = ((1 << below[left[i]]) - 1) << first[i]
+            codes = by_feature.setdefault(feature[i], np.full((words, self._bins(feature[i])), 2**64 - 1, np.uint64))
+            codes[:, tree["code"][i] + 1 :] &= np.array([~(gone >> 64 * w) & (2**64 - 1) for w in range(words)], np.uint64)[:, None]
+        out: dict[int, np.ndarray] = {}
+        for f, codes in by_feature.items():
+            p, code = self.home[f]
+            mine = codes.take(code, axis=1)
+            out[p] = out[p] & mine if p in out else mine
+        return out, values
+
+    def _bins(self, feature: int) -> int:
+        return int(self.layout.offsets[feature + 1] - self.layout.offsets[feature])
+
+    def output(self, m: _Model) -> np.ndarray:
+        """As :func:`_output`, of all rows."""
+        return 1.0 / (1.0 + np.exp(-self.margin)) if m.spec.boosted else self.margin / len(m.trees)
+
+
+def _first_leaf(masks: list[tuple], values: np.ndarray):
+    """The value of the first leaf that no pair's mask rules out, for each row."""
+    out = None if masks else values[0]
+    for w in range(len(values) // 64 - 1, -1, -1) if masks else ():
+        bits = None
+        for words, codes in masks:
+            mine = words[w].take(codes)
+            bits = mine if bits is None else np.bitwise_and(bits, mine, out=bits)
+        lowest = bits & (~bits + np.uint64(1))
+        at = (lowest.astype(float).view(np.int64) >> 52) - 1023          # the exponent of a power of two
+        if out is None:
+            out = values.take(at + 64 * w, mode="clip")
+        else:
+            some = bits != 0
+            out[some] = values.take(at.compress(some) + 64 * w)
+    return out
+
+
+def _margin_sums(sums: np.ndarray, shape: tuple, axis: int) -> np.ndarray:
+    """(cell, part) sums over the other axis; exact in any order."""
+    if len(shape) == 1:
+        return sums
+    parts = sums.shape[1]
+    if axis == 0:
+        return sums.reshape(shape[0], -1) @ np.tile(np.eye(parts), (shape[1], 1))
+    return (np.ones(shape[0]) @ sums.reshape(shape[0], -1)).reshape(-1, parts)
+
+
+def _grow_whole(rows: dict, spec: TreeSpec, layouts, thresholds, counts) -> tuple:
+    """The trees of one model, and its scores of the rows held out (one array, in their order)."""
+    many = len(rows["y"]) >= MANY_ROWS or "wide" in rows
+    if many:
+        wide = rows["wide"][spec.view] if "wide" in rows else _wide(rows["joint"][spec.view], layouts[spec.view])
+        held = rows["fold"] == (-1 if spec.held_out is None else spec.held_out)
+        order = np.argsort(held, kind="stable")               # the rows held out come last
+        grow = _RowGrower({"training": int((~held).sum()), **{k: rows[k].take(order) for k in ("y", "fold", "id")}},
+                          np.stack([w.take(order) for w in wide]), spec.view, layouts, thresholds, counts)
+    else:
+        grow = _TaskGrower(rows, layouts, thresholds, counts)
+    m = grow.models[grow.add(spec)]
+    grow.run()
+    if spec.held_out is None:
+        return m.trees, np.zeros(0)
+    grow._refresh()
+    if many:
+        return m.trees, grow.output(m)[grow.block["training"]:]
+    score = _output(grow.block, m.number, m.base, spec.view, {}, [] if spec.boosted else [_arrays(t) for t in m.trees])
+    return m.trees, score[rows["fold"] == spec.held_out]
+
+
+class _ModelGrower(Grower):
+    """Each task grows whole models: nothing is exchanged between tasks while they grow.
+
+    Trees and scores stay with the tasks; the driver fetches the trees that it is asked
+    for.  Models are the same as by steps."""
+
+    def __init__(self, blocks, layouts, thresholds, counts):
+        super().__init__(blocks, layouts, thresholds, counts, 1)
+        self.grown: dict = {}                     # model -> the RDD with its trees and scores
+
+    def _grown(self, todo: list[_Model]):
+        """An RDD of (model, its trees, its scores of the rows held out as Arrow bytes)."""
+        raise NotImplementedError
 
     def step(self) -> list[int]:
         """Grow all active models to their end, the longest first."""
-        shared = self.shared
-
-        def run(spec: TreeSpec):
-            grow = _TaskGrower(*shared.value)
-            i = grow.add(spec)
-            grow.run()
-            grow._refresh()
-            m, block = grow.models[i], grow.block
-            scores = b"" if spec.held_out is None else _output(block, i, m.base, spec.view, {}, [] if spec.boosted else [_arrays(t) for t in m.trees])[block["fold"] == spec.held_out].tobytes()
-            return m.trees, scores
-
-        todo = sorted(self.active, key=lambda m: -m.spec.rounds * min(m.spec.max_depth, 10))
-        for m, (trees, scores) in zip(todo, self.sc.parallelize([m.spec for m in todo], len(todo)).map(run).collect(), strict=True):
-            m.trees, m.done, m.round = trees, True, len(trees)
-            self.held[m.number] = scores
+        todo = sorted(self.active, key=lambda m: -_length(m.spec))
+        grown = self._grown(todo).persist(StorageLevel.MEMORY_AND_DISK)
+        self.grown.update((m.number, grown) for m in todo)
+        rounds = dict(grown.map(lambda r: (r[0], r[1])).collect())       # two numbers for each model
+        for m in todo:
+            m.done, m.round = True, rounds[m.number]
         self.active = []
         return [m.number for m in todo]
 
+    def _of(self, numbers) -> list:
+        """The RDDs that hold these models."""
+        return list({self.grown[i].id(): self.grown[i] for i in numbers}.values())
+
+    def forest(self, number: int) -> dict:
+        if not self.models[number].trees:
+            for i, _, trees, _ in self.grown[number].map(lambda r: (*r[:3], None)).collect():
+                self.models[i].trees = pickle.loads(trees)
+        return super().forest(number)
+
     def forget(self, numbers) -> None:
-        for i in numbers:
-            self.held.pop(i, None)
+        mine = {i: self.grown.pop(i) for i in numbers if i in self.grown}
+        kept = {rdd.id() for rdd in self.grown.values()}
+        for rdd in mine.values():
+            if rdd.id() not in kept:
+                rdd.unpersist()
 
     def release(self) -> None:
-        self.shared.unpersist()
+        self.forget(list(self.grown))
 
     def held_out_scores(self, spark, numbers: list[int]) -> DataFrame:
-        shared = self.shared
+        import pyarrow as pa
 
         def run(batches):
             for batch in batches:
-                for i, fold, scores in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    yield _score_rows(shared.value[0], i, fold, np.frombuffer(scores))
+                for scores in batch.column(0).to_pylist():
+                    yield from pa.ipc.open_stream(scores)
+
+        found = None
+        for rdd in self._of(numbers):
+            rows = spark.createDataFrame(rdd.filter(lambda r: r[0] in numbers).map(lambda r: (bytearray(r[3]),)), "scores binary")
+            found = rows if found is None else found.unionAll(rows)
+        return found.mapInArrow(run, _SCORES)
+
+
+def _length(spec: TreeSpec) -> int:
+    return spec.rounds * min(spec.max_depth, 10)
+
+
+def _grown_parts(rows: dict, models: list[tuple], layouts, thresholds, counts):
+    """(model, rounds, trees, scores) of models (number, spec) grown on the rows."""
+    for i, spec in models:
+        trees, scores = _grow_whole(rows, spec, layouts, thresholds, counts)
+        yield i, len(trees), pickle.dumps(trees, -1), _ipc(_score_rows(rows, i, spec.held_out, scores)) if spec.held_out is not None else b""
+
+
+def _ipc(batch) -> bytes:
+    import pyarrow as pa
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, batch.schema) as stream:
+        stream.write_batch(batch)
+    return out.getvalue().to_pybytes()
+
+
+class _WholeGrower(_ModelGrower):
+    """Rows that fit one block: it is broadcast, and a task grows one model.  BLOCK_ROWS rows at most."""
+
+    def __init__(self, spark, block: dict, layouts, thresholds, counts):
+        super().__init__(None, layouts, thresholds, counts)
+        self.sc = spark.sparkContext
+        self.shared = self.sc.broadcast((block, layouts, thresholds, counts))
+
+    def _grown(self, todo):
+        shared = self.shared
+        return self.sc.parallelize([(m.number, m.spec) for m in todo], len(todo)).flatMap(lambda m: _grown_parts(shared.value[0], [m], *shared.value[1:]))
+
+    def release(self) -> None:
+        super().release()
+        self.shared.unpersist()
+
 
-        rows = [(i, self.models[i].spec.held_out, bytearray(self.held[i])) for i in numbers]
-        return spark.createDataFrame(rows, "model int, fold int, scores binary").mapInArrow(run, _SCORES)
+class _HeldGrower(_ModelGrower):
+    """Rows that a task can hold, and models for many tasks: each gets the rows of a view by an exchange.
+
+    HELD_BLOCKS * BLOCK_ROWS rows at most, about 100 bytes each while a model grows."""
+
+    def _grown(self, todo):
+        views: dict[int, list] = {}
+        for m in todo:
+            views.setdefault(m.spec.view, []).append(m)
+        most = max(1, 4 * self.state.context.defaultParallelism // len(views))
+        tasks = []
+        for view, mine in views.items():
+            dealt: list[list] = [[] for _ in range(min(len(mine), most))]
+            for m in mine:                        # the longest first, each to the task with the least to do
+                min(dealt, key=lambda models: sum(_length(x.spec) for x in models)).append(m)
+            tasks += [(view, [(m.number, m.spec) for m in models]) for models in dealt]
+        tasks.sort(key=lambda t: -sum(_length(spec) for _, spec in t[1]))
+        layouts, thresholds, counts = self.layouts, self.thresholds, self.counts
+
+        def copies(blocks):
+            for b in blocks:
+                for t, (view, _) in enumerate(tasks):
+                    yield t, dict(b, wide=b["wide"][view])
+
+        def run(t: int, mine):
+            import pyarrow as pa
+            blocks = [b for _, b in mine]
+            view, models = tasks[t]
+            rows = {k: np.concatenate([b[k] for b in blocks]) for k in ("y", "fold", "id")}
+            rows["key"] = pa.concat_arrays([b["key"] for b in blocks])
+            rows["wide"] = {view: np.concatenate([b["wide"] for b in blocks], axis=1)}
+            del blocks
+            return _grown_parts(rows, models, layouts, thresholds, counts)
+
+        return self.state.mapPartitions(copies).partitionBy(len(tasks), int).mapPartitionsWithIndex(run)
+
+    def release(self) -> None:
+        super().release()
+        self.state.unpersist()
 
 
 # ------------------------------------------------------------------ binned rows
@@ -753,10 +1144,12 @@ def cut_points(rows: DataFrame, views: int, max_bins: int) -> list[list[np.ndarr
     return [[d[i] for i in range(len(d))] for d in out]
 
 
-def grower(rows: DataFrame, views: int = 1, models: int = 1, max_bins: int = MAX_BINS) -> Grower:
+def grower(rows: DataFrame, views: int = 1, models: int = 1, max_bins: int = MAX_BINS, rounds: int = 1) -> Grower:
     """A grower for ``rows``: the key, label, ``fold`` (any integer column, -2 where rows have no folds) and x0, x1, ... (the views' arrays).
 
     With several views, view v belongs to fold v: its bins come from the other folds.
+    Several models of several ``rounds`` are grown task by task where a task can hold the
+    rows; a single one, or trees of one round, take few steps or have no other task to fill.
     """
     import pyarrow as pa
     spark = rows.sparkSession
@@ -770,6 +1163,7 @@ def grower(rows: DataFrame, views: int = 1, models: int = 1, max_bins: int = MAX
             raise ValueError("labels must be 0 or 1")
         cuts = cut_points(rows, views, max_bins)
         layouts = [_layout(view) for view in cuts]
+        held = BLOCK_ROWS < n <= HELD_BLOCKS * BLOCK_ROWS and models > 1 and rounds > 1
         # as many blocks as there are cores, where that leaves each enough to do
         parts = 1 if n <= BLOCK_ROWS else max(2, -(-n // PART_ROWS), min(-(-n * models // BLOCK_WORK), spark.sparkContext.defaultParallelism))
 
@@ -781,8 +1175,12 @@ def grower(rows: DataFrame, views: int = 1, models: int = 1, max_bins: int = MAX
                 for v, view in enumerate(cuts):
                     x = batch.column(4 + v).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
                     codes.append(np.stack([np.searchsorted(c, x[:, i], side="left") for i, c in enumerate(view)], axis=1).astype(np.uint8 if max_bins <= 256 else np.uint16))
-                block = dict(key=batch.column(0).to_pylist(), y=batch.column(1).to_numpy(zero_copy_only=False).astype(float), fold=batch.column(2).to_numpy(zero_copy_only=False),
-                             id=batch.column(3).to_numpy(zero_copy_only=False).view(np.uint64), codes=codes, joint=[_joint(c, view) for c, view in zip(codes, layouts, strict=True)], margin={})
+                joint = [_joint(c, view) for c, view in zip(codes, layouts, strict=True)]
+                block = dict(y=batch.column(1).to_numpy(zero_copy_only=False).astype(float), fold=batch.column(2).to_numpy(zero_copy_only=False), id=batch.column(3).to_numpy(zero_copy_only=False).view(np.uint64))
+                if held:
+                    block |= dict(key=batch.column(0), wide=[_wide(j, view) for j, view in zip(joint, layouts, strict=True)])
+                else:
+                    block |= dict(key=batch.column(0).to_pylist(), codes=codes, joint=joint, margin={})
                 yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(block)], pa.binary())], ["block"])
 
         dealt = rows.repartition(parts, "id") if parts > 1 else rows.coalesce(1)
@@ -793,7 +1191,7 @@ def grower(rows: DataFrame, views: int = 1, models: int = 1, max_bins: int = MAX
         blocks.count()
     finally:
         rows.unpersist()
-    return Grower(blocks, layouts, cuts, counts, parts)
+    return _HeldGrower(blocks, layouts, cuts, counts) if held else Grower(blocks, layouts, cuts, counts, parts)
 
 
 def _joined(blocks: list[dict]) -> dict:
@@ -890,7 +1288,7 @@ class HistTreesClassifier(Estimator, HasFeaturesCol, HasLabelCol, DefaultParamsR
 
 def fit_specs(rows: DataFrame, specs: list[TreeSpec], max_bins: int = MAX_BINS, features_col: str = "features") -> list[HistTreesModel]:
     """A model for each spec, grown together; ``rows`` as in :func:`grower`, with one view."""
-    grow = grower(rows, 1, len(specs), max_bins)
+    grow = grower(rows, 1, len(specs), max_bins, max(s.rounds for s in specs))
     try:
         numbers = [grow.add(s) for s in specs]
         grow.run()

@@ -265,7 +265,7 @@ def _grown_search(key: str, df: DataFrame, combos: list[dict], k: int, metric: s
             place: dict = {}                      # equal candidates are grown once
             for _, spec in mine:
                 place.setdefault(spec, len(place))
-            grow = grower(rows, k, len(place) * k, bins)
+            grow = grower(rows, k, len(place) * k, bins, max(spec.rounds for spec in place))
             try:
                 numbers = {(c, f): grow.add(replace(spec, view=f, held_out=f)) for spec, c in place.items() for f in range(k)}
                 grow.run()
@@ -419,10 +419,11 @@ def model_search(key: str, df: DataFrame, n_trials: int = 6, cv_splits: int = 5,
     folded = with_folds(df, k)
     sampler = ParzenSampler(space, seed)
     trials: list[tuple[dict, float]] = []
-    _, bins = L.grown_spec(key)
+    spec, bins = L.grown_spec(key)
+    rounds = space["n_estimators"][2] if "n_estimators" in space else spec.rounds
     grow = None
     try:
-        grow = grower(fold_views(folded, k), k, min(at_once, n_trials) * k, bins)
+        grow = grower(fold_views(folded, k), k, min(at_once, n_trials) * k, bins, rounds)
         running: dict[int, tuple[dict, set]] = {}
         started = 0
         while len(trials) < n_trials:

@@ -134,6 +134,54 @@ def test_a_task_keeps_what_a_tree_does_not_change(monkeypatch):
     assert sum(rows) < 0.75 * 6 * 4 * 720 * 3 * len(layouts[0].bundles)
 
 
+MANY = [*SPECS, *DRAWN, TreeSpec(rounds=2, max_depth=12, learning_rate=0.5, balanced=True, held_out=1), TreeSpec(criterion="entropy", max_depth=12, held_out=0)]
+
+
+@pytest.mark.parametrize("own", [50, 10**6])
+def test_a_task_with_many_rows_grows_the_same_trees(monkeypatch, own):
+    """Rows dealt to nodes, pairs of bundles and leaf masks against the plain task grower."""
+    r = np.random.default_rng(4)
+    n = 3000
+    x = np.concatenate([r.random((n, 3)) * 100, r.integers(0, 9, (n, 1)), r.random((n, 14)) < 0.3], axis=1).astype(float)
+    y = (r.random(n) < 0.1 + 0.3 * (x[:, 0] > 60) + 0.3 * x[:, 5]).astype(float)
+    cuts = [np.unique(np.quantile(c, np.arange(1, 64) / 64, method="lower")) for c in x.T]
+    cuts = [c[c < v.max()] for c, v in zip(cuts, x.T)]
+    codes = np.stack([np.searchsorted(c, x[:, i], side="left") for i, c in enumerate(cuts)], axis=1).astype(np.uint8)
+    layouts, fold = [H._layout(cuts)], np.arange(n) % 3
+    block = dict(key=None, y=y, fold=fold, id=np.arange(n, dtype=np.uint64), codes=[codes], joint=[H._joint(codes, layouts[0])], margin={})
+    counts = {(f, v): int(((fold == f) & (y == v)).sum()) for f in range(3) for v in (0, 1)}
+    monkeypatch.setattr(H, "OWN_ROWS", own)
+    monkeypatch.setattr(H, "DEALT", 700)
+    monkeypatch.setattr(H, "CHUNK", 900)
+    for spec in MANY:
+        monkeypatch.setattr(H, "MANY_ROWS", 10**9)
+        trees, scores = H._grow_whole(block, spec, layouts, [cuts], counts)
+        monkeypatch.setattr(H, "MANY_ROWS", 0)
+        again, many = H._grow_whole(block, spec, layouts, [cuts], counts)
+        assert again == trees and np.array_equal(many, scores) and (spec.held_out is None or len(scores) == 1000)
+    assert max(len(t["feature"]) for t in trees) > 511        # more leaves than masks are made for
+
+
+def test_many_boosted_models_take_one_job(spark, monkeypatch):
+    """Rows of several blocks: a job for each level of each round before, one for all models now; the same trees and scores."""
+    from pyspark import RDD
+    rows = frame(spark, *table(900)).withColumn("fold", F.pmod(F.xxhash64("customerID"), F.lit(3)).cast("int")).cache()
+    monkeypatch.setattr(H, "BLOCK_ROWS", 200)
+    jobs, collect = [], RDD.collect
+    monkeypatch.setattr(RDD, "collect", lambda rdd: jobs.append(1) or collect(rdd))
+    found = []
+    for held in (0, 8):
+        monkeypatch.setattr(H, "HELD_BLOCKS", held)
+        grow = H.grower(rows, 1, 3, H.MAX_BINS, 6)
+        numbers = [grow.add(TreeSpec(rounds=6, learning_rate=0.3, max_depth=3, subsample=0.8, held_out=f)) for f in range(3)]
+        jobs.clear()
+        grow.run()
+        found.append((len(jobs), [grow.forest(i) for i in numbers], sorted((r["customerID"], r["model"], r["label"], r["score"]) for r in grow.held_out_scores(spark, numbers).collect())))
+        grow.release()
+    assert found[0][1:] == found[1][1:] and len(found[1][2]) == 900
+    assert found[0][0] >= 18 and found[1][0] == 1
+
+
 def test_rows_of_a_tenth_gigabyte_are_one_block(spark):
     rows = spark.range(72_000).select(F.col("id").cast("string").alias("customerID"), (F.col("id") % 3 == 0).cast("int").alias("label"), F.lit(-2).alias("fold"), F.array(F.col("id") % 7 + 0.0).alias("x0"))
     grow = H.grower(rows)

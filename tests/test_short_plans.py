@@ -56,3 +56,18 @@ def test_fold_views_carry_no_plan(parts):
     from churnspark.plans import tune as T
     train, _ = parts
     assert "tenure" not in _plan(T.fold_views(T.with_folds(train, 2), 2))
+
+
+def test_a_flow_fits_a_member_on_the_same_rows_once(parts, monkeypatch):
+    """The stacking takes the members that the flow has fitted; fits of few rows have few tasks."""
+    from churnspark.plans import learners as L
+    from churnspark.plans.flow import FlowPlan, train_flow
+    train, test = parts
+    fits, fit = [], L.fit_vectors
+    monkeypatch.setattr(L, "fit_vectors", lambda key, features, vectors, overrides=None: fits.append((key, vectors.rdd.getNumPartitions())) or fit(key, features, vectors, overrides))
+    over = {"logreg": dict(max_iter=3), "dt": dict(max_depth=2), "gb": dict(n_estimators=3)}
+    found = train_flow(train, test, FlowPlan(learners=("dt", "gb", "logreg"), ensembles=("stacking",), folds=2, calibration_folds=0, overrides=over))
+    assert sorted(key for key, _ in fits) == ["dt"] * 3 + ["logreg"] * 3      # all rows, and without each of two folds
+    assert {n for _, n in fits} == {1}
+    assert list(found.models) == ["dt", "gb", "logreg", "stacking"] and found.comparison.count() == 4
+    assert all(found.models["stacking"].members[key] is found.models[key] for key in ("dt", "gb", "logreg"))
